@@ -1,31 +1,69 @@
-"""Queries of this subpackage, for the entry module."""
+"""Queries of this subpackage and their SQL, for the entry module."""
 
 from __future__ import annotations
 
+from . import rollup, urls
 from .store import shared_dir, table
 
 
-def _op4(spark, sf_dir):
-    from .quality import op4_quality_rules
+def op1_lm_scores(spark, sf_dir):
+    from .lm import op1_lm_scores as op
 
-    return op4_quality_rules(table(spark, sf_dir, "documents"))
+    return op(table(spark, sf_dir, "documents"))
 
 
-def _op7(spark, sf_dir):
+def op2_best_fit_packing(spark, sf_dir):
+    from .packing import op2_best_fit_packing as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    from .quality import op4_quality_rules as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_jaccard(spark, sf_dir):
+    from .jaccard import op5_ngram_jaccard as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark, sf_dir):
+    return urls.op6_url_filters(table(spark, sf_dir, "pages"))
+
+
+def op7_byte_bpe(spark, sf_dir):
     import public_tokenizers as P
 
-    from .bpe import op7_byte_bpe
+    from .bpe import op7_byte_bpe as op
+
+    return op(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def op8_nearest(spark, sf_dir):
+    from .ann import op8_nearest as op
+
+    return op(table(spark, sf_dir, "embeddings"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    from .lines import op9_line_dedup as op
 
-    return op7_byte_bpe(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return op(table(spark, sf_dir, "documents"))
 
 
-def _op10(spark, sf_dir):
+def op10_token_files(spark, sf_dir):
     import public_tokenizers as P
 
-    from .tokenfile import op10_token_files
+    from .tokenfile import op10_token_files as op
 
-    return op10_token_files(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), shared_dir(spark))
+    return op(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), shared_dir(spark))
 
 
-QUERIES = {"op4_quality_rules": _op4, "op7_byte_bpe": _op7, "op10_token_files": _op10}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scores, op2_best_fit_packing, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
+} | {"op3_token_counts": rollup.op3_query}
+SQL = {"op3_token_counts": rollup.SQL, "op6_url_filters": urls.SQL}
