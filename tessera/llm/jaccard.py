@@ -8,9 +8,11 @@ with enough tokens left after the shared one are paired. Hashed bitmap signature
 as the set's size band, bound the overlap from above by bit counts; what passes is decided by
 exact intersection of the sorted arrays.
 
-First only neighbours in each group are compared, which connects groups of near copies
-by a chain; then all remaining pairs between different components. So a large group of
-near copies costs about one comparison a member, and no link between components is missed.
+First only neighbours in each group are compared, which connects many near copies by a
+chain; then all remaining pairs between different components. Small groups list their pairs.
+Members of large groups are cut into tiles by size band and compared tile by tile inside a
+task, so their pairs are never rows: a tile is sent once for each tile it is compared with,
+and only the links that join two components come out. No link between components is missed.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .lm import level_of
-from .segments import FLUSH, blobs, joined, segment_bits, sum_by_key
+from .segments import FLUSH, blobs, dealt, joined, segment_bits, sum_by_key
 from .store import Workspace, binary_text, reduce_width
 
 K, NUM, DEN = 5, 80, 100
 #: Share of the hash range whose tokens are counted for the order, the count from which a token is
 #: frequent, and the most of them that are broadcast (8 bytes each; the most frequent ones).
 COUNTED, FREQUENT, MAX_FREQUENT = 0.3, 40, 2_000_000
+#: Sets of a token's group from which it is compared in tiles, sets of a tile (on average), and the
+#: ratio of sizes that a band spans: above 1 / 0.8, so that similar sets lie in one band or in adjacent ones.
+LARGE, TILE, BAND = 32, 256, 1.26
 #: Rows up to which an id list is broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 U = W.U
@@ -110,7 +115,7 @@ def frequent_tokens(ws: Workspace, docs: DataFrame, bits: int, parts: int) -> np
         if len(key):
             yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([np.bincount(level_of(c), minlength=256).tobytes()], pa.binary())], names=["keys", "counts", "hist"])
 
-    found = ws.save(docs.select("t").mapInArrow(count, "seg int, keys binary, counts binary").repartition(parts, "seg").mapInArrow(total, "keys binary, counts binary, hist binary"), "frequent")
+    found = ws.save(dealt(docs.select("t").mapInArrow(count, "seg int, keys binary, counts binary"), parts, bits).mapInArrow(total, "keys binary, counts binary, hist binary"), "frequent")
     hist = np.zeros(256, np.int64)
     for x in found.select("hist").toArrow().column(0).to_pylist():
         hist += np.frombuffer(x, np.int64)[:256]
@@ -196,7 +201,7 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, bits: int, parts: int)
         pairs = np.unique(np.stack([np.minimum(fp[i], fp[i + 1]), np.maximum(fp[i], fp[i + 1])], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, fp, n, at, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))], names=["keys", "fps", "ns", "at", "a", "b"])
 
-    return docs.select("t").mapInArrow(emit, "seg int, keys binary, fps binary, ns binary, at binary").repartition(parts, "seg").mapInArrow(meet, _SHARED)
+    return dealt(docs.select("t").mapInArrow(emit, "seg int, keys binary, fps binary, ns binary, at binary"), parts, bits).mapInArrow(meet, _SHARED)
 
 
 def _unpack(df: DataFrame, names: list[str], out: list[str]) -> DataFrame:
@@ -269,17 +274,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
         likely = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(self.nodes, "fp").select(F.col("doc_id").alias("rep"))
-        ends = ws.save(ends, f"{name}-ends")
-        texts = self.docs.join(_small(ends), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("t")
-
-        def arrays(batches):
-            for batch in batches:
-                for b in W.blocks(batch.column(0), lower=True):
-                    h, at = b.shingle_sets(K)
-                    yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, at)), blobs(h, at)], names=["fp", "set"])
-
-        sets = texts.mapInArrow(arrays, "fp long, set binary").dropDuplicates(["fp"])
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), name)
 
         def exact(batches):
             for b in batches:
@@ -296,11 +291,103 @@ class Verifier:
         return ws.save(both.mapInArrow(exact, "a long, b long"), f"{name}-links")
 
 
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(fp, set): the sorted tokens of the wanted nodes, made again from the texts that name them."""
+        reps = self.ws.save(wanted.join(self.nodes, "fp").select(F.col("doc_id").alias("rep")).distinct(), f"{name}-ends")
+        texts = self.docs.join(_small(reps), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("t")
+
+        def arrays(batches):
+            for batch in batches:
+                for b in W.blocks(batch.column(0), lower=True):
+                    h, at = b.shingle_sets(K)
+                    yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, at)), blobs(h, at)], names=["fp", "set"])
+
+        return texts.mapInArrow(arrays, "fp long, set binary").dropDuplicates(["fp"])
+
+    def tile_links(self, members: DataFrame, clusters: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) that join components of members (fp, n, label), among those of one cluster."""
+        ws = self.ws
+        m = members.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
+        m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int"))
+        counts = m.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+        m = m.join(counts, ["cluster", "band"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        m = m.join(self.sets(members.select("fp"), name), "fp")
+
+        def pack(table: pa.Table) -> pa.Table:
+            sets = table.column("set").to_pylist()
+            at = np.cumsum([0, *(len(x) // 8 for x in sets)])
+            first = table.slice(0, 1)
+            blob = [table.column("fp").to_numpy().tobytes(), table.column("label").to_numpy().tobytes(), at.astype(np.int64).tobytes(), b"".join(sets)]
+            return pa.table({**{c: first.column(c) for c in ("cluster", "band", "t")}, **{c: pa.array([x], pa.binary()) for c, x in zip(("fps", "labels", "at", "sets"), blob, strict=True)}})
+
+        schema = "cluster long, band int, t int, fps binary, labels binary, at binary, sets binary"
+        tiles = ws.save(m.select("cluster", "band", "t", "fp", "label", "set").groupBy("cluster", "band", "t").applyInArrow(pack, schema), f"{name}-tiles")
+        x = tiles.select("cluster", "band", "t", *(F.col(c).alias(f"x_{c}") for c in ("fps", "labels", "at", "sets")))
+        y = tiles.select("cluster", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
+        both = x.join(y, ["cluster", "band"]).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop("cluster", "band", "own", "t", "u")
+
+        def compare(batches):
+            for b in batches:
+                for row in b.to_pylist():
+                    links = tile_pairs(*([row[f"{s}_{c}"] for c in ("fps", "labels", "at", "sets")] for s in "xy"))
+                    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
+
+        return ws.save(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
+
+
+def tile_pairs(x: list[bytes], y: list[bytes]) -> list[tuple[int, int]]:
+    """Links between two tiles that join sets of different labels; pairs already joined are passed over."""
+    fx, lx, ax = (np.frombuffer(v, np.int64) for v in x[:3])
+    fy, ly, ay = (np.frombuffer(v, np.int64) for v in y[:3])
+    hx, hy = np.frombuffer(x[3], U), np.frombuffer(y[3], U)
+    nx, ny = np.diff(ax), np.diff(ay)
+    width = max(64, 1 << int(2 * max(nx.max(), ny.max()) - 1).bit_length())
+
+    def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        bits = np.zeros((len(at) - 1, width), bool)
+        bits[np.repeat(np.arange(len(at) - 1), np.diff(at)), (h & U(width - 1)).astype(np.int64)] = True
+        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+    sx, sy = signatures(hx, ax), signatures(hy, ay)
+    cx, cy = np.bitwise_count(sx).sum(axis=1).astype(np.int64), np.bitwise_count(sy).sum(axis=1).astype(np.int64)
+    todo: list[np.ndarray] = []
+    for i in range(len(fx)):
+        both = np.bitwise_count(sx[i] & sy).sum(axis=1).astype(np.int64)
+        most = np.minimum(nx[i] - (cx[i] - both), ny - (cy - both))  # a bit that the other lacks is a token that it lacks
+        j = np.flatnonzero((lx[i] != ly) & (DEN * np.minimum(nx[i], ny) >= NUM * np.maximum(nx[i], ny)) & (DEN * most >= NUM * (nx[i] + ny - most)))
+        if len(j):
+            todo.append(np.stack([np.full(len(j), i), j, -most[j]]))
+    if not todo:
+        return []
+    pairs = np.concatenate(todo, axis=1)
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while v in up:
+            if up[v] in up:
+                up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    out = []
+    for i, j in pairs[:2, np.argsort(pairs[2], kind="stable")].T.tolist():
+        p, q = root(int(lx[i])), root(int(ly[j]))
+        if p == q:
+            continue
+        a, b = hx[ax[i] : ax[i + 1]], hy[ay[j] : ay[j + 1]]
+        k = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        common = int((b[k] == a).sum())
+        if DEN * common >= NUM * (len(a) + len(b) - common):
+            up[p] = q
+            out.append((int(fx[i]), int(fy[j])))
+    return out
+
+
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     ws = Workspace(docs.sparkSession)
     parts = reduce_width(docs)
-    bits = min(segment_bits(parts), 20)
+    bits = segment_bits(parts)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text(text).alias("t"))
     sets = ws.save(set_table(d), "sets")
     nodes = ws.save(sets.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
@@ -313,8 +400,11 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     held = _unpack(shared, ["keys", "fps", "ns", "at"], ["key", "fp", "n", "at"]).join(label.select(F.col("node").alias("fp"), "component"), "fp", "left")
     held = ws.save(held.select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("label")), "labelled")
     ws.drop("shared")
-    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = ws.save(held.join(mixed, "key", "left_semi"), "mixed")
+    mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("fp").alias("head")).where("lo <> hi")
+    rows = ws.save(held.join(mixed.select("key", "size", "head"), "key"), "mixed")
+    large = rows.where(F.col("size") > LARGE)
+    members = ws.save(large.select("fp", "n", "label").distinct(), "members")
+    rows = rows.where(F.col("size") <= LARGE)
     x, y = rows.alias("x"), rows.alias("y")
     c = {f"{s}{k}": F.col(f"{s}.{k}") for s in "xy" for k in ("n", "fp", "at", "label")}
     need = F.ceil((NUM * (c["xn"] + c["yn"])) / (NUM + DEN))
@@ -328,7 +418,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = verify.links(pairs, "rest")
 
     rep = nodes.select("fp", F.col("doc_id").alias("rep"))
-    links = chains.unionAll(rest)
+    links = chains.unionAll(rest).unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile"))
     comp = components(ws, links, "a", "b", "all-cc").select(F.col("node").alias("fp"), "component")
     least = comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"))
     first = comp.join(least, "component").select("fp", "first")
