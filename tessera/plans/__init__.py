@@ -1 +1,10 @@
+"""Registered queries of the engine's own operators."""
 
+from __future__ import annotations
+
+
+def registered() -> dict:
+    """{name: (function of session and table folder, SQL or None)}."""
+    from . import blocks, media, packets
+
+    return {**packets.QUERIES, **blocks.QUERIES, **media.QUERIES}
