@@ -8,6 +8,7 @@ lowest-rank merge. Texts are first cut into pre-tokens, each encoded separately.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import struct
 from collections.abc import Iterable
@@ -99,12 +100,18 @@ class BytePieceTokenizer(dict):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@functools.cache
+def tokenizer(path: str, pattern: str) -> BytePieceTokenizer:
+    """One for each worker process, which serves many tasks."""
+    return BytePieceTokenizer(path, pattern)
+
+
 def encode_frame(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and ``ids`` (binary, little-endian u32); a null text is empty."""
     schema = docs.select(*keep, binary_text(text).alias("ids")).schema
 
     def run(batches):
-        t = BytePieceTokenizer(path, pattern)
+        t = tokenizer(path, pattern)
         for b in batches:
             ids = [t.encode(x.decode()) for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=b.schema.names)
@@ -119,7 +126,7 @@ def op7_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches):
-        t = BytePieceTokenizer(path, pattern)
+        t = tokenizer(path, pattern)
         for b in batches:
             n, a, d = [], [], []
             for x in b.column(1):

@@ -8,6 +8,7 @@ takes the tail of the file, then only the frames that hold the documents it asks
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
@@ -24,7 +25,8 @@ from .store import binary_text, reduce_width
 INDEX_MAGIC, SEEK_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids after which a frame is closed; a longer document is a frame of its own.
 FRAME_IDS = 1 << 15
-CACHE = 300_000
+#: Chunks in each generation of a worker's cache, and texts that are looked up together.
+CACHE, GROUP = 700_000, 1024
 
 
 def _fs(path: str):
@@ -113,12 +115,13 @@ class FileReader:
             before += n
 
 
-class WordCacheEncoder(dict):
+class WordCacheEncoder:
     """Ids of whole texts by the tokenizers library, asked once for each distinct space-free chunk.
 
     Sound for tokenizers whose normaliser and pre-tokeniser never join characters across
-    ASCII white space and drop it, as the word BPE here does; ``check`` holds whole texts
-    against the library itself.
+    ASCII white space and drop it, as the word BPE here does; tests hold whole texts against
+    the library itself. Two generations of up to CACHE chunks are kept, so that rare
+    ones leave and frequent ones stay; a chunk that has left is asked again.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -129,23 +132,48 @@ class WordCacheEncoder(dict):
 
         self.t = Tokenizer.from_file(path)
         self.width = 2 if max(self.t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.packs = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)]
+        self.end = self.pack([end_id])
+        ids = lambda w: self.t.encode(w, add_special_tokens=False).ids
+        self.tail = {c: self.pack(ids(chr(c))) for c in b".,"}
+        self.folds = ids("ABCDEFGHIJKLM NOPQRSTUVWXYZ") == ids("abcdefghijklm nopqrstuvwxyz")
+        self.now: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return self.packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{self.width}").tobytes()
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text and its end, packed; ASCII capitals are folded first where the tokenizer folds them anyway."""
+        if self.folds:
+            texts = [x if b"<|" in x else x.lower() for x in texts]  # special tokens are matched before folding
         split = [x.split() for x in texts]
-        new = set().union(*split).difference(self) if split else set()
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = set().union(*split)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self.t.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.__getitem__
+        if len(self.now) > CACHE:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        new = set().union(*split).difference(now)
+        again = new.intersection(old)
+        now.update((w, old[w]) for w in again)
+        new -= again
+        # a full stop or comma after an ASCII letter at a chunk's end is a pre-token of its own
+        tailed = {w for w in new if w[-1] in b".," and len(w) > 1 and w[-2:-1].isalpha()}
+        asked = new - tailed
+        asked.update(w[:-1] for w in tailed)
+        asked = [w for w in asked if w not in now]
+        if asked:
+            found = self.t.encode_batch([w.decode() for w in asked], add_special_tokens=False)
+            now.update((w, self.pack(e.ids)) for w, e in zip(asked, found, strict=True))
+        now.update((w, now[w[:-1]] + self.tail[w[-1]]) for w in tailed)
+        get = now.__getitem__
         return [b"".join(map(get, s)) + self.end for s in split]
 
 
+@functools.cache
+def encoder(path: str, end_id: int) -> WordCacheEncoder:
+    """One for each worker process, which serves many tasks."""
+    return WordCacheEncoder(path, end_id)
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Encode every text, end each with ``end_id`` and write files whose names ascend with doc_id.
 
@@ -168,10 +196,10 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
         enc, docs, ids, w = None, 0, 0, None
         with fs.open_output_stream(temp) as f:
             for b in batches:
-                enc = enc or WordCacheEncoder(tokenizer, end_id)
+                enc = enc or encoder(tokenizer, end_id)
                 w = w or FileWriter(f, enc.width)
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
+                for lo in range(0, b.num_rows, GROUP):
+                    part = b.slice(lo, GROUP)
                     for doc, x in zip(part.column(0).to_pylist(), enc.texts(part.column(1).to_pylist()), strict=True):
                         w.add(doc, x)
                         docs, ids = docs + 1, ids + len(x) // enc.width
@@ -187,8 +215,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1) ->
     return dealt.select("doc_id", "text").mapInArrow(run, "file string, docs long, ids long, bytes long")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame, root: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of all or the requested documents of the files in a manifest.
+def read_tokens(spark: SparkSession, manifest: DataFrame, root: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of all or the requested documents of the files in a manifest; ids are null unless asked for.
 
     start counts ids over all files in order of their names; only one number a file goes to the driver.
     """
@@ -207,7 +235,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, root: str, doc_ids: li
                     got: list = []
                     for doc, before, ids in FileReader(f).documents(only):
                         wide = ids.astype("<u4")
-                        got.append((doc, first + before, len(ids), zlib.crc32(wide.tobytes()), wide.tobytes()))
+                        got.append((doc, first + before, len(ids), zlib.crc32(wide), wide.tobytes() if with_ids else None))
                         if len(got) == 512:
                             yield _rows(got)
                             got = []
@@ -230,4 +258,4 @@ def op10_token_files(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
     manifest = write_tokens(docs, out, tokenizer)
     spark = docs.sparkSession
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")
-    return read_tokens(spark, spark.read.schema(manifest.schema).parquet(f"{out}/manifest"), out).drop("ids")
+    return read_tokens(spark, spark.read.schema(manifest.schema).parquet(f"{out}/manifest"), out, with_ids=False).drop("ids")
