@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .segments import FLUSH, blobs, cut, joined, segment_bits, sum_by_key
+from .segments import FLUSH, blobs, cut, dealt, give_back, joined, segment_bits, sum_by_key
 from .store import Workspace, binary_text, reduce_width
 
 ORDER, MIN_COUNT = 2, 2
@@ -67,7 +67,7 @@ def grams(tok: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
 
 def slots(keys: np.ndarray, level: np.ndarray | int, order: int, size: np.ndarray) -> list[np.ndarray]:
     """Bit positions of (key, level) in segments of the given sizes."""
-    g = W.mix(keys + np.asarray(level).astype(U) * U(0xD1B54A32D192ED03) + U(order) * U(0x8CB92BA72F3D8DD7))
+    g = W.mix(keys + np.atleast_1d(level).astype(U) * U(0xD1B54A32D192ED03) + U(order * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF))
     a, step = (g >> U(32)).astype(np.int64), (g & U(0xFFFFFFFF)).astype(np.int64) | 1
     return [(a + i * step) % size for i in range(HASHES)]
 
@@ -116,7 +116,7 @@ class Model:
 
         keys = grams(tok, at, self.order)
         level = looked_up(tok, 1)
-        p = (count_of(level) + 1) / (self.tokens + self.vocabulary + 1)
+        p = np.minimum((count_of(level) + 1) / (self.tokens + self.vocabulary + 1), 1.0)  # a quantised count may lie above the total
         begins = np.zeros(len(tok), bool)
         begins[at[:-1][at[:-1] < len(tok)]] = True
         history, before = np.where(begins, self.texts, np.roll(count_of(level), 1)), np.where(begins, 1 << 30, np.roll(level, 1))
@@ -172,6 +172,7 @@ def count_grams(train: DataFrame, text: str, bits: int, order: int) -> DataFrame
                     yield from flush()
                     n = 0
         yield from flush()
+        give_back()
 
     return train.select(text).mapInArrow(run, _BLOBS)
 
@@ -217,8 +218,10 @@ def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int,
         own = np.flatnonzero(size)
         if len(own):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1), pa.int32()), pa.array(own, pa.int32()), pa.array([b""] * len(own), pa.binary()), pa.array([packed[base[s] : base[s + 1]].tobytes() for s in own], pa.binary())], names=["kind", "seg", "keys", "counts"])
+        del items, kept, bitmap, packed
+        give_back()
 
-    return counts.repartition(parts, "seg").mapInArrow(run, _BLOBS)
+    return dealt(counts, parts, bits).mapInArrow(run, _BLOBS)
 
 
 def train(ws: Workspace, docs: DataFrame, text: str, parts: int, order: int = ORDER, min_count: int = MIN_COUNT, max_bytes: int = MAX_BYTES, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame]:
@@ -316,7 +319,7 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
             yield pa.RecordBatch.from_arrays([pa.array(r[first]), pa.array(np.add.reduceat(term, first)), pa.array(np.diff(np.append(first, len(r))))], names=["row", "more", "known"])
 
     exact = saved.where("kind = 1").select("kind", "seg", "keys", "counts").unionAll(asked)
-    more = exact.repartition(parts, "seg").mapInArrow(resolve, "row long, more double, known long").groupBy("row").agg(F.sum("more").alias("more"), F.sum("known").alias("known"))
+    more = dealt(exact, parts, model.bits).mapInArrow(resolve, "row long, more double, known long").groupBy("row").agg(F.sum("more").alias("more"), F.sum("known").alias("known"))
     total = float(np.log10(model.tokens + model.vocabulary + 1.0))
     zero = F.lit(0)
     j = out.where("seg IS NULL").join(more, "row", "left")

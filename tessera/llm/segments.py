@@ -9,16 +9,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import U
 
 #: Keys that a map task sums before it sends them on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def segment_bits(parts: int) -> int:
-    """At least 16 segments for each reduce task."""
-    return int(np.clip(int(np.ceil(np.log2(max(parts, 1)))) + 4, 8, 24))
+    """Four to eight segments for each reduce task."""
+    return int(np.clip(int(np.ceil(np.log2(max(parts, 1)))) + 2, 4, 20))
+
+
+def dealt(df: DataFrame, parts: int, bits: int) -> DataFrame:
+    """Rows by segment: neighbouring segments to one reduce task, as many to each."""
+    return df.repartitionById(parts, F.shiftright(F.col("seg").cast("bigint") * parts, bits).cast("int"))
 
 
 def sum_by_key(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -51,3 +58,13 @@ def blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
 def joined(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
     """All blobs of a binary column, end to end, as one array."""
     return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept between tasks, and others need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
