@@ -22,12 +22,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repe
 SIGNALS = {
     "word_len": ("100 * word_chars div n_words", 150, True),
     "symbols": ("10000 * n_symbols div word_chars", 300, False),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 200, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 50, False),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 350, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 250, False),
 }
 #: Documents from which a group's own sketch is used; smaller groups use their language's, then the corpus's.
 MIN_GROUP = 200
-#: A fence lies this many times the spread between median and outer quantile beyond the outer quantile.
+#: A fence lies this many times the distance between the quartiles beyond the outer one, and a slack further:
+#: up to a quarter of a group may be junk without moving its fence.
 SPREAD = 3
 
 
@@ -136,13 +137,13 @@ def fences(sketch: DataFrame) -> DataFrame:
     def quantile(pct: int) -> F.Column:
         return F.min(F.when(100 * F.col("below") >= pct * F.col("size"), bucket_low(F.col("bucket"))))
 
-    q = run.groupBy(*key).agg(F.max("size").alias("size"), quantile(5).alias("q05"), quantile(50).alias("q50"), quantile(95).alias("q95"))
+    q = run.groupBy(*key).agg(F.max("size").alias("size"), quantile(25).alias("q25"), quantile(75).alias("q75"))
     out = []
     for k, (_, slack, two) in SIGNALS.items():
         here = F.col("signal") == k
-        out.append(F.max(F.when(here, F.col("q95") + SPREAD * (F.col("q95") - F.col("q50")) + slack)).alias(f"high_{k}"))
+        out.append(F.max(F.when(here, F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + slack)).alias(f"high_{k}"))
         if two:
-            out.append(F.max(F.when(here, F.col("q05") - SPREAD * (F.col("q50") - F.col("q05")) - slack)).alias(f"low_{k}"))
+            out.append(F.max(F.when(here, F.col("q25") - SPREAD * (F.col("q75") - F.col("q25")) - slack)).alias(f"low_{k}"))
     return q.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *out)
 
 
@@ -189,3 +190,30 @@ def keep_good(docs: DataFrame) -> DataFrame:
     fence = ws.save(fences(sketches(slim, p=p)), "fences")
     wide = with_stats(docs.withColumn("__q_text", binary_text("text")), "__q_text", p).drop("__q_text")
     return judge(wide, fence, p=p, out="__q_kept").where("__q_kept").select(*docs.columns)
+
+
+_SQL_FENCES = " AND ".join(
+    f"max(CASE WHEN signal = '{k}' THEN v END) <= max(CASE WHEN signal = '{k}' THEN q75 + {SPREAD} * (q75 - q25) + {slack} END)"
+    + (f" AND max(CASE WHEN signal = '{k}' THEN v END) >= max(CASE WHEN signal = '{k}' THEN q25 - {SPREAD} * (q75 - q25) - {slack} END)" if two else "")
+    for k, (_, slack, two) in SIGNALS.items()
+)
+SQL = f"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
+c AS (SELECT doc_id, lang, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM l),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM w, unnest(generate_series(1, len(ws) - 7)) AS u(i)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 7) AS s(k) GROUP BY doc_id),
+s AS (SELECT c.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * n_words AS base_failed FROM c LEFT JOIN r USING (doc_id)),
+v AS (SELECT doc_id, lang, source, signal, v, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b FROM (
+  SELECT doc_id, lang, source, unnest([{", ".join(f"struct_pack(signal := '{k}', v := CAST({e.replace(' div ', ' // ')} AS BIGINT))" for k, (e, _, _) in SIGNALS.items())}], recursive := true) FROM s WHERE NOT base_failed)),
+k AS (SELECT 0 AS level, lang, source, signal, b FROM v UNION ALL SELECT 1, lang, NULL, signal, b FROM v UNION ALL SELECT 2, NULL, NULL, signal, b FROM v),
+m AS (SELECT level, lang, source, signal, b, count(*) AS n FROM k GROUP BY ALL),
+o AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, signal ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, signal) AS size FROM m),
+q AS (SELECT level, lang, source, signal, max(size) AS size, min(CASE WHEN 100 * below >= 25 * size THEN b END) AS b25, min(CASE WHEN 100 * below >= 75 * size THEN b END) AS b75 FROM o GROUP BY ALL),
+f AS (SELECT level, lang, source, signal, size, CASE WHEN b25 < 64 THEN b25 ELSE (b25 - 32 * (b25 // 32 - 1)) << (b25 // 32 - 1) END AS q25, CASE WHEN b75 < 64 THEN b75 ELSE (b75 - 32 * (b75 // 32 - 1)) << (b75 // 32 - 1) END AS q75 FROM q),
+j AS (SELECT v.doc_id, v.signal, v.v, f.q25, f.q75 FROM v JOIN f ON v.signal = f.signal AND (f.level = 2 OR f.size >= {MIN_GROUP}) AND (f.level = 2 OR v.lang IS NOT DISTINCT FROM f.lang) AND (f.level > 0 OR v.source IS NOT DISTINCT FROM f.source)
+  QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.signal ORDER BY f.level) = 1),
+d AS (SELECT doc_id, {_SQL_FENCES} AS ok FROM j GROUP BY doc_id)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, coalesce(ok, false) AS kept FROM s LEFT JOIN d USING (doc_id)
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rollup, urls
+from . import quality, rollup, urls
 from .store import shared_dir, table
 
 
@@ -66,4 +66,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_lm_scores, op2_best_fit_packing, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
 } | {"op3_token_counts": rollup.op3_query}
-SQL = {"op3_token_counts": rollup.SQL, "op6_url_filters": urls.SQL}
+SQL = {"op3_token_counts": rollup.SQL, "op4_quality_rules": quality.SQL, "op6_url_filters": urls.SQL}
