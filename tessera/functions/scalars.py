@@ -164,3 +164,20 @@ def frame_ticks(fps_n: Column, fps_d: Column) -> Column:
 
 def sample_ticks(sample: Column, rate: Column | int) -> Column:
     return F.floor(sample * 1_000_000 / _c(rate))
+
+
+def color_meta(matrix: Column, transfer: Column, primaries: Column, color_range: Column, location: Column) -> Column:
+    """Packed metadata of a probe's colour names; unknown names are unspecified."""
+    # fixed values: names and their codes
+    names = {
+        0: (matrix, {"smpte170m": 1, "bt470bg": 1, "bt709": 2, "bt2020nc": 3}),
+        4: (transfer, {"bt709": 1, "iec61966-2-1": 2, "smpte2084": 3, "arib-std-b67": 4}),
+        8: (primaries, {"smpte170m": 1, "bt470bg": 1, "bt709": 2, "bt2020": 3}),
+        12: (color_range, {"pc": 1, "jpeg": 1}),
+        13: (location, {"left": 1, "center": 2}),
+    }
+    out = F.lit(0)
+    for at, (column, codes) in names.items():
+        for name, value in codes.items():
+            out = out + F.when(column == name, value << at).otherwise(0)
+    return out

@@ -284,6 +284,74 @@ def mux(packets: DataFrame, streams: list[wire.Stream]) -> DataFrame:
     return packets.groupBy("file_id").applyInArrow(run, out_schema)
 
 
+def encode_av(frames: DataFrame, pcm: DataFrame, rate: int, channels: int, fps: tuple[int, int], every: int = 48, q: int = 96, preset: str = "balanced", audio_q: int = 1, mid_side: bool = False, cuts: bool = True) -> DataFrame:
+    """Container files of clips (frames) and their audio packets (clip_id, seq, first_frame, samples).
+
+    Video epochs begin every ``every`` frames and, with ``cuts``, at scene cuts; audio belongs to the epoch in
+    whose time it begins, and what begins after the last video epoch's end is dropped. The interval
+    lookup is one ordered pass over both sides of a clip.
+    """
+    tick = fps[1] * 1_000_000 // fps[0]
+    f = epochs_by_cut(frames, every) if cuts else frames.withColumn("epoch_id", F.floor(F.col("frame_index") / every))
+    size = frames.agg(F.max("width"), F.max("height")).first()
+    marks = f.groupBy("clip_id", "epoch_id").agg(F.min("frame_index").alias("i"), F.max("frame_index").alias("j"))
+    begins = marks.select("clip_id", (F.col("i") * tick).alias("at"), "epoch_id", ((F.col("j") + 1) * tick).alias("end"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("first_frame"), F.lit(None).cast("array<short>").alias("samples"))
+    sound = pcm.select("clip_id", F.floor(F.col("first_frame") * 1_000_000 / rate).alias("at"), F.lit(None).cast("long").alias("epoch_id"), F.lit(None).cast("long").alias("end"), "seq", "first_frame", "samples")
+    w = Window.partitionBy("clip_id").orderBy("at", F.col("seq").isNotNull().cast("int"), "seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = begins.unionByName(sound).withColumn("e", F.last("epoch_id", True).over(w)).withColumn("until", F.last("end", True).over(w))
+    placed = placed.where("seq IS NOT NULL AND e IS NOT NULL AND at < until").select(F.col("clip_id").alias("file_id"), F.col("e").alias("epoch_id"), "seq", "first_frame", "samples")
+    packets = encode_video(f, 1, tick, q, preset).unionByName(encode_audio(placed, 2, rate, channels, audio_q, mid_side))
+    streams = [wire.Stream(1, 1, 1, wire.TIMESCALE, size[0], size[1], fps[0] << 16 | fps[1]), wire.Stream(2, 2, 1, wire.TIMESCALE, rate, channels)]
+    return mux(packets, streams)
+
+
+def encode_audio_only(pcm: DataFrame, rate: int, channels: int, epoch_seconds: int = 2, q: int = 1, mid_side: bool = False) -> DataFrame:
+    """Container files of audio packets (file_id, seq, first_frame, samples); epochs are whole spans of seconds."""
+    p = pcm.withColumn("epoch_id", F.floor(F.col("first_frame") / (rate * epoch_seconds)))
+    return mux(encode_audio(p, 2, rate, channels, q, mid_side), [wire.Stream(2, 2, 1, wire.TIMESCALE, rate, channels)])
+
+
+def only_stream(streams: DataFrame, kind: str) -> DataFrame:
+    """The stream of each file that has exactly one of a kind."""
+    one = streams.where(F.col("kind") == kind).groupBy("file_id").agg(F.count("*").alias("n"), F.min("stream_id").alias("stream_id")).where("n = 1")
+    return one.select("file_id", "stream_id")
+
+
+def decode_media(packets: DataFrame, streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frames, PCM) of the one video and the one audio stream of each file."""
+    r = route(packets, streams)
+    return decode_video(r).join(only_stream(streams, "video"), ["file_id", "stream_id"]), decode_audio(r).join(only_stream(streams, "audio"), ["file_id", "stream_id"])
+
+
+def pcm_bytes(pcm: DataFrame) -> DataFrame:
+    """Samples of each file and stream in order of pts, as little-endian 16-bit bytes of packets."""
+    low = lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")
+    high = lambda x: F.lpad(F.hex(F.pmod(F.shiftright(x.cast("int"), 8), F.lit(256))), 2, "0")
+    packed = F.unhex(F.array_join(F.transform("samples", lambda x: F.concat(low(x), high(x))), ""))
+    return pcm.select("file_id", "stream_id", "pts", packed.alias("s16le"))
+
+
+def violations(packets: DataFrame, streams: DataFrame, epochs: DataFrame, file_bytes: DataFrame) -> DataFrame:
+    """(rule, file_id, detail): broken rules of scanned files, one row each."""
+    r = route(packets, streams)
+    media = F.col("kind").isin("video_frame", "audio_frame")
+    w = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.max((F.col("kind") == "epoch_start").cast("int")).over(w)
+    rules = [
+        r.where("error_code IS NOT NULL").select(F.concat(F.lit("packet:"), "error_code").alias("rule"), "file_id", F.col("byte_offset").alias("detail")),
+        r.withColumn("open", opened).where(media & (F.coalesce("open", F.lit(0)) == 0)).select(F.lit("media_before_epoch").alias("rule"), "file_id", F.col("byte_offset").alias("detail")),
+        epochs.join(file_bytes, "file_id").where("byte_offset + byte_len > file_bytes").select(F.lit("range_outside_file").alias("rule"), "file_id", F.col("epoch_id").alias("detail")),
+        epochs.groupBy("file_id", "epoch_id").count().where("count > 1").select(F.lit("duplicate_epoch").alias("rule"), "file_id", F.col("epoch_id").alias("detail")),
+        streams.where("kind = 'video' AND codec = 1 AND (param0 % 2 <> 0 OR param1 % 2 <> 0 OR param0 = 0 OR param1 = 0 OR param0 * param1 > 67108864)").select(F.lit("video_size").alias("rule"), "file_id", F.col("stream_id").cast("long").alias("detail")),
+        streams.where("kind = 'audio' AND codec = 1 AND (param0 NOT BETWEEN 8000 AND 384000 OR param1 NOT BETWEEN 1 AND 8)").select(F.lit("audio_format").alias("rule"), "file_id", F.col("stream_id").cast("long").alias("detail")),
+        epochs.join(r.where("kind = 'epoch_start'").select("file_id", F.col("byte_offset").cast("decimal(20,0)").alias("byte_offset"), F.col("epoch_id").alias("found")), ["file_id", "byte_offset"], "left").where("found IS NULL OR found <> epoch_id").select(F.lit("offset_without_start").alias("rule"), "file_id", F.col("epoch_id").alias("detail")),
+    ]
+    out = rules[0]
+    for x in rules[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def reindex(files: DataFrame, repair: bool = False) -> DataFrame:
     """Files with a rebuilt index (content, epochs, dropped packets), or an error_code."""
 

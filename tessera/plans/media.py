@@ -210,5 +210,44 @@ def stream_parse(spark, sf):
     return spark.read.schema(OUT).parquet(f"{root}/out").groupBy("file_id", "kind", "error_code").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
 
 
-_ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, inspect_files, repair_files, y4m_roundtrip, stream_parse)
+def format_experiments(spark, sf):
+    """Transform skip, block copy, motion merge, deblocking and entropy lanes on the generated clips."""
+    from tessera.operators.research import experiments
+
+    return experiments(clips(spark))
+
+
+def rate_quality(spark, sf):
+    """Bytes of each clip by quantiser."""
+    frames = media.epochs_by_cut(clips(spark), 6)
+    out = None
+    for q in (1, 48, 192):
+        size = media.encode_video(frames, 1, FRAME_US, q, "fast").groupBy(F.col("file_id").alias("clip_id")).agg(F.sum(F.octet_length("payload")).alias("bytes")).withColumn("q", F.lit(q))
+        out = size if out is None else out.unionByName(size)
+    return out
+
+
+def encode_and_decode(spark, sf):
+    """A clip with sound through encode_av, scan and decode: frames, samples, and packets of the audio dropped at the end."""
+    c = clips(spark)
+    n = F.sequence(F.lit(0), F.lit(34))
+    pcm = c.select("clip_id").distinct().select("clip_id", F.explode(n).alias("k")).select("clip_id", F.col("k").cast("long").alias("seq"), (F.col("k") * 960).cast("long").alias("first_frame"), F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: (F.pmod(i * 31 + F.col("k"), F.lit(2000)) - 1000).cast("short")).alias("samples"))
+    files = media.encode_av(c, pcm, 48_000, 1, (24, 1), 6, 1, "fast")
+    frames, sound = media.decode_media(media.scan(files), media.streams_of(files))
+    f = frames.groupBy("file_id").agg(F.count("*").alias("frames"), F.count("error_code").alias("rejected"))
+    s = sound.groupBy("file_id").agg(F.count("*").alias("packets"), F.sum(F.size("samples")).alias("samples"), F.min("pts").alias("first_pts"))
+    return f.join(s, "file_id")
+
+
+def file_violations(spark, sf):
+    """Broken rules of good files, of a truncated copy and of one with a flipped byte."""
+    good = encoded_clips(spark)
+    short = good.select(F.concat("file_id", F.lit("-short")).alias("file_id"), F.expr("substring(content, 1, octet_length(content) - 9)").alias("content"))
+    flip = good.select(F.concat("file_id", F.lit("-flip")).alias("file_id"), F.concat(F.expr("substring(content, 1, octet_length(content) - 9)"), F.lit(b"x"), F.expr("substring(content, octet_length(content) - 7)")).alias("content"))
+    files = good.select("file_id", "content").unionByName(short).unionByName(flip)
+    sizes = files.select("file_id", F.octet_length("content").alias("file_bytes"))
+    return media.violations(media.scan(files), media.streams_of(files), media.epochs_of(files), sizes).groupBy("file_id", "rule").agg(F.count("*").alias("n"))
+
+
+_ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, inspect_files, repair_files, y4m_roundtrip, stream_parse, format_experiments, rate_quality, encode_and_decode, file_violations)
 QUERIES = {f.__name__: (f, None) for f in _ALL}

@@ -10,7 +10,7 @@ from tessera.functions import scalars as S
 
 from .carriers import PACKETS, STREAMS, packets, read, streams
 
-_MEDIA = F.col("kind").isin(2, 3)
+_MEDIA = "kind IN (2, 3)"
 _LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
@@ -46,12 +46,14 @@ def orphan_packets(spark, sf):
 
 ORPHAN_PACKETS = f"WITH {PACKETS}, {STREAMS} SELECT seq, stream_id, kind FROM packets WHERE kind IN (2, 3) AND stream_id NOT IN (SELECT stream_id FROM streams)"
 
-_BY_PTS = Window.partitionBy("stream_id").orderBy("pts", "seq")
+
+def _by_pts():
+    return Window.partitionBy("stream_id").orderBy("pts", "seq")
 
 
 def epoch_fixed(spark, sf):
     """Epochs of sixteen packets, counted from each stream's start."""
-    return packets(spark, sf).select("seq", F.floor((F.row_number().over(_BY_PTS) - 1) / 16).alias("epoch"))
+    return packets(spark, sf).select("seq", F.floor((F.row_number().over(_by_pts()) - 1) / 16).alias("epoch"))
 
 
 EPOCH_FIXED = f"WITH {PACKETS} SELECT seq, (row_number() OVER (PARTITION BY stream_id ORDER BY pts, seq) - 1) // 16 AS epoch FROM packets"
@@ -135,7 +137,7 @@ REINDEX_GROUPS = f"WITH {PACKETS} SELECT file_id, seq, max(CASE WHEN kind = 1 TH
 def media_before_epoch(spark, sf):
     w = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     p = packets(spark, sf).select("stream_id", "seq", "kind", F.max((F.col("kind") == 1).cast("int")).over(w).alias("open"))
-    return p.where(_MEDIA & (F.col("open") == 0)).select("stream_id", "seq", F.lit("BadEpoch").alias("error_code"))
+    return p.where(_MEDIA).where("open = 0").select("stream_id", "seq", F.lit("BadEpoch").alias("error_code"))
 
 
 MEDIA_BEFORE_EPOCH = f"""WITH {PACKETS}, p AS (SELECT *, max(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS open FROM packets)
@@ -156,7 +158,7 @@ def missing_dependencies(spark, sf):
     """Dependencies on the frame six places back or on the next but one: both are beyond the four retained."""
     p = packets(spark, sf).where("kind = 2")
     age = F.col("seq") % 6 + 1
-    w = _BY_PTS
+    w = _by_pts()
     dep = F.coalesce(*(F.when(age == k, F.lag("seq", k).over(w)) for k in range(1, 7)))
     d = p.select("stream_id", "seq", age.alias("age"), dep.alias("dep"))
     return d.where(F.col("dep").isNotNull() & (F.col("age") > 4)).select("stream_id", "seq", "dep", F.lit("ReferenceMissing").alias("error_code"))

@@ -293,3 +293,24 @@ def test_y4m():
         assert code(y4m.parse, f"YUV4MPEG2 W4 H2 {tag}\n".encode()) == "BadHeader"
     assert code(y4m.parse, b"YUV4MPEG2 W4 H2\nFRAME\nabc") == "UnexpectedEof"
     assert wire.unpack_meta(y4m.parse(y4m.emit(y4m.Clip(4, 2))).meta0)[4] == 2
+
+
+def test_experiments():
+    from tessera.operators import research as R
+
+    a = np.zeros((32, 32), np.uint8)
+    a[4:12, 4:12] = np.arange(64).reshape(8, 8)
+    b = np.roll(a, 1, axis=1)
+    m = R.motion_merge([a, b])
+    assert m["groups"] == 4 and m["accepted_4"] >= m["accepted_0"] and m["lattice_bytes"] >= m["groups"] * 3
+    assert (R._grids(b, a, 8, 2)[1][0] == [-1, 0]).all() and R._grids(b, a, 8, 2)[0][0] == 0
+    c = R.block_copy(np.tile(np.array([[1, 2], [3, 4]], np.uint8), (8, 8)))
+    assert c == {"blocks": 4, "repeated": 3, "palette_repeated": 3, "palette_bytes": 66, "copy_bytes": 6}
+    s = R.transform_skip([a, b], 1)
+    assert s["sse"] == 0 and s["skip_step"] == 1 and s["blocks"] == 16 and s["bytes"] == R.token_cost(R.wht(R.tiles(b.astype(int) - a)).reshape(-1, 64))
+    flat = np.full((16, 16), 9, np.uint8)
+    step = flat.copy()
+    step[:, 8:] = 13
+    d = R.deblock([flat], [step])
+    assert d["sse"] == 16 * 8 * 16 and d["sse_2"] == d["sse"] and d["sse_4"] == d["sse"] + 16 * (1 + 9 - 16)
+    assert set(R.entropy_lanes(bytes(range(100)))) == {"one_block", "two_lanes"}

@@ -64,7 +64,7 @@ def test_round_trips(spark):
 
 
 def test_containers(spark):
-    got = {(r.file_id, r.kind): r for r in result(spark, "container_scan")}
+    got = {(r.file_id.removesuffix(".bin"), r.kind): r for r in result(spark, "container_scan")}
     assert all(r.rejected == 0 for r in got.values())
     assert all(got[c, k].n == 12 for c in ("cut", "pan", "noise") for k in ("video", "audio"))
     assert got["cut", "epoch"].n >= 2
@@ -74,10 +74,29 @@ def test_containers(spark):
     assert all(r.strict_error is not None and r.error_code is None and r.dropped >= 1 and r.epochs >= 1 for r in result(spark, "repair_files"))
 
 
+def test_encode_decode_and_rules(spark):
+    got = result(spark, "encode_and_decode")
+    assert len(got) == 6 and all(r.frames == 12 and r.rejected == 0 and r.packets == 25 and r.samples == 25 * 960 for r in got)  # 0.5 s of 0.7 s
+    bad = {(r.file_id, r.rule) for r in result(spark, "file_violations")}
+    assert bad and all(f.endswith(("-short", "-flip")) for f, _ in bad)
+    assert {("cut-short", "range_outside_file"), ("cut-short", "packet:UnexpectedEof"), ("cut-flip", "packet:PayloadChecksum")} <= bad
+    sizes = {(r.clip_id, r.q): r.bytes for r in result(spark, "rate_quality")}
+    assert all(sizes[c, 1] > sizes[c, 192] for c in ("noise", "pan", "gradient"))
+    e = {(r.clip_id, r.experiment, r.measure): r.value for r in result(spark, "format_experiments")}
+    assert e["ui", "block_copy", "repeated"] > 0 and e["noise", "deblock", "sse_32"] > 0
+
+
+def test_pcm_bytes(spark):
+    from tessera.operators.media import pcm_bytes
+
+    df = spark.createDataFrame([("a", 2, 0, [0, 1, -1, 32767, -32768])], "file_id string, stream_id int, pts int, samples array<short>")
+    assert bytes(pcm_bytes(df).first().s16le) == b"\x00\x00\x01\x00\xff\xff\xff\x7f\x00\x80"
+
+
 def test_stream_equals_scan(spark):
     streamed = {(r.file_id, r.kind): r.n for r in result(spark, "stream_parse")}
     assert not any(r.error_code for r in result(spark, "stream_parse"))
-    scanned = {(r.file_id, r.kind): r.n for r in result(spark, "container_scan")}
+    scanned = {(r.file_id.removesuffix(".bin"), r.kind): r.n for r in result(spark, "container_scan")}
     assert {k: v for k, v in streamed.items() if k[1] == "video_frame"} == {(f, "video_frame"): n for (f, k), n in scanned.items() if k == "video"}
 
 
