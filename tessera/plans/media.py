@@ -28,7 +28,12 @@ def shared(spark: SparkSession) -> str:
     if not root:
         root = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/media/{uuid.uuid4().hex}"
+    out = f"{root.rstrip('/')}/media/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return out
 
 
 def crc32c_texts(spark, sf):
