@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set."""
+    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set.
+
+    It goes when the driver's JVM ends: results that still read it are those of the same session.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    out = f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return out
 
 
 def drop(spark: SparkSession, path: str) -> None:
