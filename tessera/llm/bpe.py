@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .store import binary_text
+from .store import binary_text, bounded_batches
 
 #: Entries of a worker's pre-token cache; it is emptied when full, which changes no result.
 CACHE = 250_000
@@ -108,6 +108,7 @@ def tokenizer(path: str, pattern: str) -> BytePieceTokenizer:
 
 def encode_frame(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and ``ids`` (binary, little-endian u32); a null text is empty."""
+    bounded_batches(docs.sparkSession)
     schema = docs.select(*keep, binary_text(text).alias("ids")).schema
 
     def run(batches):
@@ -136,6 +137,7 @@ def op7_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 d.append(hashlib.sha256(t.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select("doc_id", binary_text("text").alias("text"))
     kind = dict(slim.dtypes)["doc_id"]
     return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -32,11 +32,24 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Most rows and bytes of an Arrow batch between the JVM and Python: whole texts are long, and both sides hold batches beside the heap.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batch limits to ours, unless its row limit is lower already."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Workspace:
     """Writes frames as Parquet and reads them back, which cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, shared_dir(spark)
+        bounded_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -50,6 +63,7 @@ class Workspace:
 def reduce_width(df: DataFrame) -> int:
     """Partitions for a shuffle that carries a share of the input: at least as many as the scan's splits."""
     spark = df.sparkSession
+    bounded_batches(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
