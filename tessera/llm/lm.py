@@ -85,6 +85,7 @@ class Model:
     tokens: int
     vocabulary: int
     texts: int
+    hot_level: np.ndarray | None = None
 
     def levels(self, keys: np.ndarray, order: int, most: np.ndarray | None = None) -> np.ndarray:
         """Quantised counts by probing upward; an n-gram's level is at most its parts'."""
@@ -108,14 +109,34 @@ class Model:
                 live = live[most[live] > j]
         return out
 
+    def known(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each token is in the table of frequent words, and its place there."""
+        if not len(self.hot):
+            return np.zeros(len(tok), bool), np.zeros(len(tok), np.int64)
+        i = np.minimum(np.searchsorted(self.hot, tok), len(self.hot) - 1)
+        return self.hot[i] == tok, i
+
+    def word_levels(self, tok: np.ndarray) -> np.ndarray:
+        """Quantised counts of tokens; those of frequent words are probed once for each worker process."""
+        if self.hot_level is None:
+            self.hot_level = self.levels(self.hot, 1)
+        hit, i = self.known(tok)
+        out = np.zeros(len(tok), np.int64)
+        out[hit] = self.hot_level[i[hit]]
+        u, back = np.unique(tok[~hit], return_inverse=True)
+        out[~hit] = self.levels(u, 1)[back]
+        return out
+
     def log10_probability(self, tok: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of each token given its history."""
-        def looked_up(keys, order, most=None):
-            u, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            return self.levels(u, order, None if most is None else most[first])[back]
+        def looked_up(keys, order, most):
+            out, some = np.zeros(len(keys), np.int64), np.flatnonzero(most > 0)  # an absent word has no n-grams
+            u, first, back = np.unique(keys[some], return_index=True, return_inverse=True)
+            out[some] = self.levels(u, order, most[some][first])[back]
+            return out
 
         keys = grams(tok, at, self.order)
-        level = looked_up(tok, 1)
+        level = self.word_levels(tok)
         p = np.minimum((count_of(level) + 1) / (self.tokens + self.vocabulary + 1), 1.0)  # a quantised count may lie above the total
         begins = np.zeros(len(tok), bool)
         begins[at[:-1][at[:-1] < len(tok)]] = True
@@ -264,14 +285,15 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
         from pyspark import TaskContext
 
         m = shared.value
+        logs = np.log10(m.hot_count + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             stats, rare_k, rare_r = [], [], []
             for b in W.blocks(batch.column(nk), lower=True):
                 tok, at = token_stream(b)
-                i = np.minimum(np.searchsorted(m.hot, tok), max(len(m.hot) - 1, 0))
-                known = m.hot[i] == tok if len(m.hot) else np.zeros(len(tok), bool)
-                term = np.where(known, np.log10(np.where(known, m.hot_count[i], 0) + 1.0), 0.0) if len(m.hot) else np.zeros(len(tok))
+                known, i = m.known(tok)
+                term = np.zeros(len(tok))
+                term[known] = logs[i[known]]
                 p = m.log10_probability(tok, at)
                 stats.append(np.stack([np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(term, at[:-1]), np.add.reduceat(p, at[:-1])]))
                 doc = np.repeat(np.arange(b.n), np.diff(at)) + row + b.first
