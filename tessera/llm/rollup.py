@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .store import drop, shared_dir, table
 
 KEYS = ("source", "lang", "version")
+#: Ids up to which a list is broadcast; beyond it texts meet it in a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Token patterns by tokenizer version; they mean the same to Java's and to RE2's engine.
 VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "marks-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
@@ -117,17 +119,22 @@ def op3_token_counts(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame
     texts count 0 tokens; a label without a document changes nothing; repeated rows count
     each time, repeated labels once.
     """
-    ledger = TokenLedger(docs.sparkSession, root)
+    spark = docs.sparkSession
+    ledger = TokenLedger(spark, root)
     docs = docs.select("doc_id", "source", "lang", "text")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    load = signed(counted(docs), 1)
+    # counts are recorded once; deletes and revisions take back what was recorded, in rows without texts
+    recorded = f"{root}/counts"
+    counted(docs).write.mode("overwrite").parquet(recorded)
+    counts = spark.read.schema("doc_id long, source string, lang string, version string, n_tokens long").parquet(recorded)
+    load = signed(counts, 1)
     ledger.apply("0-load", load)
     ledger.apply("0-load", load)
-    ledger.apply("1-retract", signed(counted(docs.join(toxic, "doc_id", "left_semi")), -1))
-    old = docs.join(poor, "doc_id", "left_semi")
-    new = old.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    revise = signed(counted(old), -1).unionByName(signed(counted(new), 1))
+    ledger.apply("1-retract", signed(counts.join(toxic, "doc_id", "left_semi"), -1))
+    ids = F.broadcast(poor) if poor.count() <= BROADCAST_ROWS else poor
+    new = docs.join(ids, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
+    revise = signed(counts.join(poor, "doc_id", "left_semi"), -1).unionByName(signed(counted(new), 1))
     ledger.apply("2-revise", revise)
     ledger.compact()
     ledger.apply("2-revise", revise)
