@@ -446,3 +446,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {K - 1}], ' ') AS g FROM w, unnest(generate_series(1, len(ws) - {K - 1})) AS u(i)
+      UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {K - 1}),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {DEN} * c >= {NUM} * (a.n + b.n - c)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON x = doc_id
+"""

@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
-A cyclic rolling hash over the hashes of the last WINDOW lines closes a chunk wherever it
-is 0 modulo DIVISOR, so an inserted or removed line moves boundaries near it only. A line
+A rolling hash over the hashes of the last WINDOW lines (60 bits of MD5 each, an older one
+shifted by its age, joined by exclusive or) closes a chunk wherever it is 0 modulo DIVISOR, so an inserted or removed line moves boundaries near it only. A line
 of at least LONG characters (a passage set as one line) is a chunk of its own. Chunks of
 two or more lines with text, and such long lines, that occur more than once in the corpus
 are compared byte for byte; all but the first occurrence are removed.
@@ -26,8 +26,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _rotate(x: Column, k: int) -> Column:
-    return F.shiftleft(x, k).bitwiseOR(F.shiftrightunsigned(x, 64 - k)) if k else x
+def line_hash(line: Column) -> Column:
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
 
 
 def chunks(text: Column) -> Column:
@@ -43,7 +43,7 @@ def chunks(text: Column) -> Column:
             def closes(i: Column) -> Column:
                 roll = F.get(hs, i - 1)
                 for k in range(1, WINDOW):
-                    roll = roll.bitwiseXOR(F.coalesce(_rotate(F.get(hs, i - 1 - k), k), F.lit(0).cast("long")))
+                    roll = roll.bitwiseXOR(F.coalesce(F.shiftright(F.get(hs, i - 1 - k), k), F.lit(0).cast("bigint")))
                 return (i == n) | (F.pmod(roll, F.lit(DIVISOR)) == 0) | long_line(i) | F.coalesce(long_line(i + 1), F.lit(False))
 
             def with_cuts(cuts: Column) -> Column:
@@ -57,7 +57,7 @@ def chunks(text: Column) -> Column:
 
             return _let(F.filter(F.sequence(F.lit(1), n), closes), with_cuts)
 
-        return _let(F.transform(lines, lambda x: F.xxhash64(x)), with_hashes)
+        return _let(F.transform(lines, line_hash), with_hashes)
 
     return _let(F.split(text, "\n", -1), with_lines)
 
@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     left = _let(parts, lambda p: F.array_join(F.transform(F.filter(p, lambda x, i: ~F.array_contains(F.col("__gone"), i)), lambda x: x["text"]), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     others = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return j.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).alias("__n_removed"))
+    return j.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_removed"))
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
@@ -109,3 +109,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+SQL = f"""
+WITH l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h, length(line) >= {LONG} AS lng FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)),
+b AS (SELECT *, lag(h) OVER w AS before, lead(lng) OVER w AS nxt, lead(i) OVER w IS NULL AS ends FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, ends OR xor(h, coalesce(before >> 1, 0)) % {DIVISOR} = 0 OR lng OR coalesce(nxt, false) AS closes FROM b),
+k AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
+t AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS t, count(*) FILTER (trim(line) <> '') >= 2 OR (count(*) = 1 AND bool_or(lng)) AS eligible FROM k GROUP BY doc_id, k),
+f AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible, t ORDER BY doc_id, k) > 1 AS gone FROM t),
+o AS (SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed FROM f GROUP BY doc_id)
+SELECT d.doc_id, o.text, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
+"""

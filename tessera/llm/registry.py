@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, rollup, urls
+from . import jaccard, lines, quality, rollup, urls
 from .store import shared_dir, table
 
 
@@ -25,9 +25,7 @@ def op4_quality_rules(spark, sf_dir):
 
 
 def op5_ngram_jaccard(spark, sf_dir):
-    from .jaccard import op5_ngram_jaccard as op
-
-    return op(table(spark, sf_dir, "documents"))
+    return jaccard.op5_ngram_jaccard(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filters(spark, sf_dir):
@@ -49,9 +47,7 @@ def op8_nearest(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    from .lines import op9_line_dedup as op
-
-    return op(table(spark, sf_dir, "documents"))
+    return lines.op9_line_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark, sf_dir):
@@ -66,4 +62,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_lm_scores, op2_best_fit_packing, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
 } | {"op3_token_counts": rollup.op3_query}
-SQL = {"op3_token_counts": rollup.SQL, "op4_quality_rules": quality.SQL, "op6_url_filters": urls.SQL}
+SQL = {"op3_token_counts": rollup.SQL, "op4_quality_rules": quality.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_url_filters": urls.SQL, "op9_line_dedup": lines.SQL}

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -123,11 +124,10 @@ def spark_hash(s):
 
 def py_chunks(text):
     ls = text.split("\n")
-    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in ls]
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in ls]
     out, start = [], 0
     for i in range(len(ls)):
-        r = h[i] ^ ((((h[i - 1] << 1) | (h[i - 1] >> 63)) & (2**64 - 1)) if i else 0)
-        r = r - (1 << 64) if r >> 63 else r
+        r = h[i] ^ (h[i - 1] >> 1 if i else 0)
         if i + 1 == len(ls) or r % 4 == 0 or len(ls[i]) >= 200 or len(ls[i + 1]) >= 200:
             part = ls[start : i + 1]
             out.append(("\n".join(part), sum(bool(x.strip(" ")) for x in part) >= 2 or (len(part) == 1 and len(part[0]) >= 200)))
