@@ -32,9 +32,9 @@ K, NUM, DEN = 5, 80, 100
 #: Share of the hash range whose tokens are counted for the order, the count from which a token is
 #: frequent, and the most of them that are broadcast (8 bytes each; the most frequent ones).
 COUNTED, FREQUENT, MAX_FREQUENT = 0.3, 40, 2_000_000
-#: Sets of a token's group from which it is compared in tiles, sets of a tile (on average), and the
+#: Sets of a token's group from which it is compared in tiles, sets and tokens of a tile (on average), and the
 #: ratio of sizes that a band spans: above 1 / 0.8, so that similar sets lie in one band or in adjacent ones.
-LARGE, TILE, BAND = 32, 256, 1.26
+LARGE, TILE, TILE_TOKENS, BAND = 32, 256, 500_000, 1.26
 #: Rows up to which an id list is broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 U = W.U
@@ -309,7 +309,7 @@ class Verifier:
         ws = self.ws
         m = members.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
         m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int"))
-        counts = m.groupBy("cluster", "band").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+        counts = m.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"))
         m = m.join(counts, ["cluster", "band"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         m = m.join(self.sets(members.select("fp"), name), "fp")
 
