@@ -244,9 +244,12 @@ def _sad(src: np.ndarray, pred: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(inside, np.abs(src - pred), 0).sum(axis=(1, 2))
 
 
-def _search(src: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search(src: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: np.ndarray, radius: int, pattern: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sad, dx2, dy2) of every block: whole-sample square around zero, then the half samples around the best.
 
+    With ``pattern`` the square is not searched whole: blocks step to their best neighbour, two samples away
+    and then one, as long as that improves.
+
     All blocks try one displacement at a time. A later displacement wins only if strictly better: zero comes
     first, then rows, then columns; blocks that match exactly are not refined.
     """
@@ -259,15 +262,22 @@ def _search(src: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: np.ndarray
             better = np.flatnonzero(which)[s < best[which]]
             best[better], bx[better], by[better] = s[s < best[which]], dx2[better], dy2[better]
 
-    for dy in range(-radius, radius + 1):
+    around = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
+    for step in (2, 1) if pattern else ():
+        moving = best > 0
+        while moving.any():
+            before, cx, cy = best.copy(), bx.copy(), by.copy()
+            for dx, dy in around:
+                x2, y2 = cx + 2 * step * dx, cy + 2 * step * dy
+                attempt(x2, y2, moving & (np.abs(x2) <= 2 * radius) & (np.abs(y2) <= 2 * radius))
+            moving = (best < before) & (best > 0)
+    for dy in () if pattern else range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
             if dx or dy:
                 attempt(zero + 2 * dx, zero + 2 * dy, best > 0)
     cx, cy = bx.copy(), by.copy()
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            if dx or dy:
-                attempt(cx + dx, cy + dy, best > 0)
+    for dx, dy in around:
+        attempt(cx + dx, cy + dy, best > 0)
     return best, bx, by
 
 
@@ -306,7 +316,7 @@ def _encode_plane(src: np.ndarray, refs: list[np.ndarray], q: int, preset: str,
     tiles = padded.reshape(padded.shape[0] // BLOCK, BLOCK, -1, BLOCK).swapaxes(1, 2).reshape(-1, BLOCK, BLOCK)
     k = np.arange(BLOCK)
     inside = ((at[:, 1, None] + k < h)[:, :, None]) & ((at[:, 0, None] + k < w)[:, None, :])
-    found = [_search(tiles, inside, at, r, PRESETS[preset][0]) for r in refs]
+    found = [_search(tiles, inside, at, r, PRESETS[preset][0], preset == "fast") for r in refs]
     lam, recon, used, out = max(q * q // 512, 1), np.full((h, w), 128, np.uint8), [False] * len(refs), []
 
     def evaluate(i: int, mode: int, r: int, dx2: int, dy2: int):

@@ -30,12 +30,13 @@ PACKETS = """packets AS (SELECT user_id % 8 AS file_id, event_id AS seq,
 
 
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A descriptor for most users: even ones carry video, odd ones audio; every seventh has none."""
-    users = read(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 7 <> 0")
-    return users.select(F.col("user_id").alias("stream_id"), F.when(F.col("user_id") % 2 == 0, 2).otherwise(3).alias("media_kind"))
+    """A descriptor for each user whose first event is no error: video where it is a view or a signup, else audio."""
+    first = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("stream_id")).agg(F.min_by("event_type", "event_id").alias("first"))
+    return first.where("first <> 'error'").select("stream_id", F.when(F.col("first").isin("view", "signup"), 2).otherwise(3).alias("media_kind"))
 
 
-STREAMS = "streams AS (SELECT DISTINCT user_id AS stream_id, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 3 END AS media_kind FROM events WHERE user_id % 7 <> 0)"
+STREAMS = """streams AS (SELECT stream_id, CASE WHEN first IN ('view', 'signup') THEN 2 ELSE 3 END AS media_kind
+    FROM (SELECT user_id AS stream_id, arg_min(event_type, event_id) AS first FROM events GROUP BY user_id) WHERE first <> 'error')"""
 
 
 def scaled(embedding: Column | str, by: int) -> Column:

@@ -232,12 +232,14 @@ SELECT event_type, v[(len(v) - 1) * 10 // 100 + 1] AS p10, v[(len(v) - 1) * 50 /
 
 
 def run_compare(spark, sf):
-    """Two runs by case, outer joined: missing cases and changed hashes fail; sizes and qualities gate; time ratios by geometric mean."""
+    """An earlier and a later run by case, outer joined: missing cases and changed hashes fail; sizes and qualities gate; time ratios by geometric mean."""
     e = read(spark, sf, "events").withColumn("case_id", F.col("user_id") * 10 + F.length("event_type"))
-    def run(parity: int, name: str) -> DataFrame:
-        return e.where(F.col("event_id") % 2 == parity).groupBy("case_id").agg(F.sum(F.floor(F.col("value") * 100)).alias(f"{name}_bytes"), F.count("*").alias(f"{name}_q"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
 
-    j = run(0, "base").join(run(1, "head"), "case_id", "full_outer")
+    def run(which: Column, name: str) -> DataFrame:
+        return e.where(which).groupBy("case_id").agg(F.sum(F.floor(F.col("value") * 100)).alias(f"{name}_bytes"), F.count("*").alias(f"{name}_q"))
+
+    j = run(early, "base").join(run(~early, "head"), "case_id", "full_outer")
     gain = F.col("head_q") - F.col("base_q")
     verdict = (
         F.when(F.col("base_bytes").isNull() | F.col("head_bytes").isNull(), "missing")
@@ -250,7 +252,7 @@ def run_compare(spark, sf):
 
 
 RUN_COMPARE = """WITH e AS (SELECT *, user_id * 10 + length(event_type) AS case_id FROM events),
-b AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS bb, count(*) AS bq FROM e WHERE event_id % 2 = 0 GROUP BY 1), h AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS hb, count(*) AS hq FROM e WHERE event_id % 2 = 1 GROUP BY 1),
+b AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS bb, count(*) AS bq FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), h AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS hb, count(*) AS hq FROM e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
 j AS (SELECT CASE WHEN bb IS NULL OR hb IS NULL THEN 'missing' WHEN hb > bb * 1.05 AND hq - bq < 1 THEN 'larger' WHEN hq - bq < -3 AND NOT hb <= bb * 0.97 THEN 'worse' ELSE 'ok' END AS verdict, ln(CAST(hq AS DOUBLE) / bq) AS r FROM b FULL JOIN h USING (case_id))
 SELECT verdict, count(*) AS cases, round(exp(avg(r)), 6) AS geomean FROM j GROUP BY verdict"""
 
@@ -405,6 +407,22 @@ DUPLICATE_IDS = f"""WITH {PACKETS} SELECT file_id, pts, count(*) AS n FROM packe
 UNION ALL SELECT CAST(regexp_extract(source, '\\d+') AS BIGINT), n_chars, count(*) FROM documents GROUP BY source, n_chars HAVING count(*) > 1"""
 
 
+def color_meta(spark, sf):
+    """Packed colour metadata from names, as a probe reports them."""
+    pick = lambda c, names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    p = read(spark, sf, "lineitem")
+    packed = S.color_meta(pick("l_partkey", _MATRIX), pick("l_suppkey", _TRANSFER), pick("l_orderkey", _PRIMARIES), pick("l_partkey", _RANGE), pick("l_suppkey", _PLACE))
+    return p.select("l_partkey", "l_suppkey", "l_orderkey", packed.cast("bigint").alias("meta0")).groupBy("meta0").agg(F.count("*").alias("n"))
+
+
+_MATRIX, _TRANSFER, _PRIMARIES = ("bt709", "smpte170m", "bt2020nc", "bt470bg", "other"), ("bt709", "iec61966-2-1", "smpte2084", "arib-std-b67", "linear"), ("bt2020", "bt709", "bt470bg", "film")
+_RANGE, _PLACE = ("pc", "tv", "jpeg"), ("left", "center", "top")
+_NAME = lambda c, names: f"[{', '.join(repr(n) for n in names)}][{c} % {len(names)} + 1]"
+COLOR_META = f"""WITH n AS (SELECT {_NAME("l_partkey", _MATRIX)} AS m, {_NAME("l_suppkey", _TRANSFER)} AS t, {_NAME("l_orderkey", _PRIMARIES)} AS p, {_NAME("l_partkey", _RANGE)} AS r, {_NAME("l_suppkey", _PLACE)} AS c FROM lineitem)
+SELECT CAST(CASE m WHEN 'smpte170m' THEN 1 WHEN 'bt470bg' THEN 1 WHEN 'bt709' THEN 2 WHEN 'bt2020nc' THEN 3 ELSE 0 END + CASE t WHEN 'bt709' THEN 16 WHEN 'iec61966-2-1' THEN 32 WHEN 'smpte2084' THEN 48 WHEN 'arib-std-b67' THEN 64 ELSE 0 END
++ CASE p WHEN 'bt470bg' THEN 256 WHEN 'bt709' THEN 512 WHEN 'bt2020' THEN 768 ELSE 0 END + CASE WHEN r IN ('pc', 'jpeg') THEN 4096 ELSE 0 END + CASE c WHEN 'left' THEN 8192 WHEN 'center' THEN 16384 ELSE 0 END AS BIGINT) AS meta0, count(*) AS n FROM n GROUP BY 1"""
+
+
 def stream_order(spark, sf):
     """Streams of each file in ascending order of id."""
     s = packets(spark, sf).select("file_id", "stream_id").distinct()
@@ -413,5 +431,5 @@ def stream_order(spark, sf):
 
 STREAM_ORDER = f"WITH {PACKETS} SELECT file_id, stream_id, row_number() OVER (PARTITION BY file_id ORDER BY stream_id) AS place FROM (SELECT DISTINCT file_id, stream_id FROM packets)"
 
-_ALL = (verify_counts, packet_interleave, route_lookup, orphan_packets, epoch_fixed, epoch_scene_cut, audio_epochs, front_offsets, packet_offsets, seek_epoch, reindex_groups, media_before_epoch, ref_window, missing_dependencies, range_violations, unique_stream, trim_audio, audio_to_epoch, nearest_rank_pct, run_compare, timing_summary, meta_unpack, byte_histogram, freq_normalize, dup_blocks, repeated_block_pct, modal_vector, used_references, rate_curve, log_tail, first_seconds, limit_violations, rising_indexes, duplicate_ids, stream_order)
+_ALL = (verify_counts, packet_interleave, route_lookup, orphan_packets, epoch_fixed, epoch_scene_cut, audio_epochs, front_offsets, packet_offsets, seek_epoch, reindex_groups, media_before_epoch, ref_window, missing_dependencies, range_violations, unique_stream, trim_audio, audio_to_epoch, nearest_rank_pct, run_compare, timing_summary, meta_unpack, byte_histogram, freq_normalize, dup_blocks, repeated_block_pct, modal_vector, used_references, rate_curve, log_tail, first_seconds, limit_violations, rising_indexes, duplicate_ids, stream_order, color_meta)
 QUERIES = {f.__name__: (f, globals()[f.__name__.upper()]) for f in _ALL}
