@@ -235,3 +235,31 @@ def test_pipeline(spark):
         seen.append(d.count())
     assert docs.count() >= seen[0] >= seen[1] >= seen[2] > 0
     assert cp.run(spark, SF).select("doc_id").distinct().count() == seen[2]
+
+
+def test_pipeline_against_sql_and_counts(spark):
+    """The first three stages follow in SQL, each on the rows the one before kept; packing places every token of what is left."""
+    import corpus_pipeline as cp
+    import duckdb
+
+    from tessera.llm import quality
+
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for step in (
+        f"SELECT d.* FROM documents d JOIN ({quality.SQL}) k USING (doc_id) WHERE kept",
+        f"SELECT d.* REPLACE (k.text AS text, CASE WHEN n_removed > 0 THEN length(k.text) ELSE n_chars END AS n_chars) FROM documents d JOIN ({lines.SQL}) k USING (doc_id) WHERE n_removed = 0 OR trim(k.text) <> ''",
+        f"SELECT d.* FROM documents d JOIN ({jaccard.SQL}) k USING (doc_id) WHERE k.component_id = doc_id",
+    ):
+        con.execute(f"CREATE TABLE next AS {step}")
+        con.execute("DROP TABLE documents")
+        con.execute("ALTER TABLE next RENAME TO documents")
+    want = {d: len(WORD.findall((t or "").encode())) + 1 for d, t in con.execute("SELECT doc_id, text FROM documents").fetchall()}
+    got, bins = {}, {}
+    for r in cp.run(spark, SF).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+        bins.setdefault((r.bin_id, r.capacity), []).append((r.offset, r.n_tokens))
+    assert got == want
+    for (_, capacity), parts in bins.items():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= capacity
