@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .lm import level_of
-from .segments import FLUSH, blobs, dealt, joined, segment_bits, sum_by_key
+from .segments import FLUSH, blobs, dealt, give_back, joined, segment_bits, sum_by_key
 from .store import Workspace, binary_text, reduce_width
 
 K, NUM, DEN = 5, 80, 100
@@ -103,6 +103,7 @@ def frequent_tokens(ws: Workspace, docs: DataFrame, bits: int, parts: int) -> np
                     held, n = [], 0
         if n:
             yield from flush()
+        give_back()
 
     def total(batches):
         key, c = [np.zeros(0, U)], [np.zeros(0, np.int64)]
@@ -170,11 +171,13 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, bits: int, parts: int)
                 m = place < prefix_length(n)[owner]
                 held.append((key[m], fp[owner[m]], n[owner[m]], place[m]))
                 size += int(m.sum())
-                if size > FLUSH // 2:
+                if size > FLUSH // 4:
                     yield from flush()
                     held, size = [], 0
         if size:
             yield from flush()
+        held.clear()
+        give_back()
 
     def meet(batches):
         cols: list[list] = [[], [], [], []]
@@ -200,6 +203,8 @@ def shared_tokens(docs: DataFrame, frequent: np.ndarray, bits: int, parts: int)
         i = np.flatnonzero((key[1:] == key[:-1]) & enough(n[:-1], n[1:], at[:-1], at[1:]))
         pairs = np.unique(np.stack([np.minimum(fp[i], fp[i + 1]), np.maximum(fp[i], fp[i + 1])], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, fp, n, at, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))], names=["keys", "fps", "ns", "at", "a", "b"])
+        cols.clear()
+        give_back()
 
     return dealt(docs.select("t").mapInArrow(emit, "seg int, keys binary, fps binary, ns binary, at binary"), parts, bits).mapInArrow(meet, _SHARED)
 
