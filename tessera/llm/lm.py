@@ -4,15 +4,17 @@ An n-gram seen c times is entered as (n-gram, 1) .. (n-gram, level), level = 1 +
 A count is read back by probing levels upward until one is absent. Orders are smoothed by
 interpolation: P_n(w | h) = L * c(hw) / c(h) + (1 - L) * P_{n-1}(w | h'), down to add-one unigrams.
 
-The filter is built in segments, each sized by what it holds and at most MAX_BYTES in all,
-which bounds the broadcast whatever the corpus; beyond that the error rate rises and nothing
-is left out. Exact counts for the base score never pass through it: the most frequent words
+The filter is built in segments, each sized by what it holds at BITS an entry, so that the error
+rate is the same for every corpus. Segments are broadcast at most MAX_BYTES at a time: a filter
+that fits is probed in the scoring pass itself; a larger one in rounds over the texts, each of
+which notes the levels of the n-grams in its segments, one byte each. Exact counts for the base score never pass through it: the most frequent words
 (a bounded table) are broadcast, all others meet their counts in a shuffle by segment.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from .store import Workspace, binary_text, reduce_width
 
 ORDER, MIN_COUNT = 2, 2
 LEVEL_BASE, HASHES, BITS = 1.25, 4, 8
+#: Filter bytes broadcast at once.
 MAX_BYTES = 64 << 20
 #: Words in the broadcast table of exact counts (12 bytes each).
 HOT_WORDS = 500_000
@@ -74,7 +77,10 @@ def slots(keys: np.ndarray, level: np.ndarray | int, order: int, size: np.ndarra
 
 @dataclass
 class Model:
-    """Broadcast to the workers: at most MAX_BYTES of filter, 12 bytes a hot word and a few totals."""
+    """Broadcast to the workers: at most MAX_BYTES of filter, 12 bytes a hot word and a few totals.
+
+    ``filter`` holds the segments of the first round; those of other rounds have size 0 in ``base``.
+    """
 
     order: int
     bits: int
@@ -85,6 +91,7 @@ class Model:
     tokens: int
     vocabulary: int
     texts: int
+    round_of: np.ndarray | None = None  # of each segment
     hot_level: np.ndarray | None = None
 
     def levels(self, keys: np.ndarray, order: int, most: np.ndarray | None = None) -> np.ndarray:
@@ -109,6 +116,13 @@ class Model:
                 live = live[most[live] > j]
         return out
 
+    @property
+    def rounds(self) -> int:
+        return 1 if self.round_of is None else int(self.round_of.max()) + 1
+
+    def round_of_keys(self, keys: np.ndarray) -> np.ndarray:
+        return self.round_of[(keys >> U(64 - self.bits)).astype(np.int64)]
+
     def known(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each token is in the table of frequent words, and its place there."""
         if not len(self.hot):
@@ -127,16 +141,18 @@ class Model:
         out[~hit] = self.levels(u, 1)[back]
         return out
 
-    def log10_probability(self, tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of each token given its history."""
+    def log10_probability(self, tok: np.ndarray, at: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """Of each token given its history; ``given`` are the levels by token and order, where rounds have found them."""
         def looked_up(keys, order, most):
+            if given is not None:
+                return np.minimum(given[:, order - 1], most)
             out, some = np.zeros(len(keys), np.int64), np.flatnonzero(most > 0)  # an absent word has no n-grams
             u, first, back = np.unique(keys[some], return_index=True, return_inverse=True)
             out[some] = self.levels(u, order, most[some][first])[back]
             return out
 
         keys = grams(tok, at, self.order)
-        level = self.word_levels(tok)
+        level = self.word_levels(tok) if given is None else given[:, 0]
         p = np.minimum((count_of(level) + 1) / (self.tokens + self.vocabulary + 1), 1.0)  # a quantised count may lie above the total
         begins = np.zeros(len(tok), bool)
         begins[at[:-1][at[:-1] < len(tok)]] = True
@@ -198,7 +214,7 @@ def count_grams(train: DataFrame, text: str, bits: int, order: int) -> DataFrame
     return train.select(text).mapInArrow(run, _BLOBS)
 
 
-def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int, max_bytes: int) -> DataFrame:
+def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int) -> DataFrame:
     """Of the summed n-grams: kind 1, words with exact counts; 0, a task's totals; -1, filter segments."""
 
     def run(batches):
@@ -226,7 +242,7 @@ def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int,
             seg = (keys >> U(64 - bits)).astype(np.int64)
             need += np.bincount(seg, weights=level, minlength=1 << bits).astype(np.int64)
             kept.append((k, keys, level, seg))
-        size = np.minimum(-(-need * BITS // 8), max_bytes >> bits)
+        size = -(-need * BITS // 8)
         base = np.concatenate([[0], np.cumsum(size)])
         bitmap = np.zeros(base[-1] * 8, bool)
         for k, keys, level, seg in kept:
@@ -245,22 +261,70 @@ def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int,
     return dealt(counts, parts, bits).mapInArrow(run, _BLOBS)
 
 
+def rounds(size: np.ndarray, max_bytes: int) -> np.ndarray:
+    """The round of each segment: neighbours together while they fit; a segment is never divided."""
+    out, held = np.zeros(len(size), np.int64), 0
+    for i, n in enumerate(size.tolist()):
+        new = held > 0 and held + n > max_bytes
+        out[i] = (out[i - 1] if i else 0) + new
+        held = n if new else held + n
+    return out
+
+
+def segments(saved: DataFrame, round_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base and filter of the segments of round k."""
+    own = np.flatnonzero(round_of == k)
+    lo, hi = (int(own[0]), int(own[-1])) if len(own) else (0, -1)
+    rows = saved.where((F.col("kind") == -1) & F.col("seg").between(lo, hi)).select("seg", "counts").toArrow()
+    seg, parts = rows.column(0).to_numpy(), rows.column(1).to_pylist()
+    size = np.zeros(len(round_of), np.int64)
+    size[seg] = [len(x) for x in parts]
+    return np.concatenate([[0], np.cumsum(size)]), np.frombuffer(b"".join(parts[i] for i in np.argsort(seg)), np.uint8)
+
+
+def levels_by_round(ws: Workspace, texts: DataFrame, model: Model, saved: DataFrame) -> DataFrame:
+    """(row, r, levels) of texts (row, t): for each round, a byte for each n-gram of its segments, by token and then order."""
+
+    def passed(k: int) -> DataFrame:
+        base, filt = segments(saved, model.round_of, k)
+        shared = ws.spark.sparkContext.broadcast(replace(model, base=base, filter=filt, hot=model.hot[:0], hot_count=model.hot_count[:0]))
+
+        def run(batches):
+            m = shared.value
+            for batch in batches:
+                for b in W.blocks(batch.column(1), lower=True):
+                    tok, at = token_stream(b)
+                    keys = np.stack(grams(tok, at, m.order), axis=1)
+                    own = m.round_of_keys(keys) == k
+                    level = np.zeros(keys.shape, np.int64)
+                    for n in range(m.order):
+                        u, back = np.unique(keys[own[:, n], n], return_inverse=True)
+                        level[own[:, n], n] = m.levels(u, n + 1)[back]
+                    ends = np.concatenate([[0], np.cumsum(own.sum(axis=1))])[at]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array(np.full(b.n, k), pa.int32()), blobs(np.minimum(level[own], 255).astype(np.uint8), ends)], names=["row", "r", "levels"])
+            give_back()
+
+        out = ws.save(texts.mapInArrow(run, "row long, r int, levels binary"), f"levels-{k}")
+        shared.destroy()
+        return out
+
+    return functools.reduce(DataFrame.unionAll, [passed(k) for k in range(model.rounds)])
+
+
 def train(ws: Workspace, docs: DataFrame, text: str, parts: int, order: int = ORDER, min_count: int = MIN_COUNT, max_bytes: int = MAX_BYTES, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame]:
     """The model, and the saved table whose rows of kind 1 hold all words' exact counts."""
     bits = segment_bits(parts)
-    saved = ws.save(build(count_grams(docs, text, bits, order), bits, parts, order, min_count, max_bytes), "grams")
+    saved = ws.save(build(count_grams(docs, text, bits, order), bits, parts, order, min_count), "grams")
     total = np.zeros(259, np.int64)
     for r in saved.where("kind = 0").select("counts").toArrow().column(0).to_pylist():
         total += np.frombuffer(r, np.int64)
     above = np.cumsum(total[3:][::-1])[::-1]  # words of a level or more
     least = int(np.flatnonzero(np.append(above, 0) <= hot_words)[0])
-    rows = saved.where("kind = -1").select("seg", "counts").toArrow()  # at most max_bytes
-    seg, parts_of = rows.column(0).to_numpy(), rows.column(1).to_pylist()
+    sizes = saved.where("kind = -1").select("seg", F.length("counts").alias("n")).toArrow()
     size = np.zeros(1 << bits, np.int64)
-    size[seg] = [len(x) for x in parts_of]
-    base = np.concatenate([[0], np.cumsum(size)])
-    order_of = np.argsort(seg)
-    filt = np.frombuffer(b"".join(parts_of[i] for i in order_of), np.uint8)
+    size[sizes.column(0).to_numpy()] = sizes.column(1).to_numpy()
+    round_of = rounds(size, max_bytes)
+    base, filt = segments(saved, round_of, 0)
 
     def hot(batches):
         for b in batches:
@@ -271,15 +335,29 @@ def train(ws: Workspace, docs: DataFrame, text: str, parts: int, order: int = OR
     top = saved.where("kind = 1").mapInArrow(hot, "keys binary, counts binary").toArrow()
     keys, counts = joined(top.column(0), U), joined(top.column(1), np.int64)
     o = np.argsort(keys)
-    return Model(order, bits, base, filt, keys[o], counts[o], int(total[0]), int(total[1]), int(total[2])), saved
+    return Model(order, bits, base, filt, keys[o], counts[o], int(total[0]), int(total[1]), int(total[2]), round_of), saved
 
 
 def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Model, saved: DataFrame, parts: int) -> DataFrame:
     """The kept columns with n_tokens, n_known, base_score and score, a row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("t"))
     kinds = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes))
     nk = len(keep)
+    many = model.rounds > 1
+    if many:  # rows are numbered once and kept, so that every round sees the same
+        plain = ws.save(plain.withColumn("row", F.monotonically_increasing_id()), "texts")
+        found = levels_by_round(ws, plain.select("row", "t"), model, saved)
+        found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("r", "levels"))).alias("found"))
+        plain = plain.join(found.select("row", F.transform("found", lambda x: x["levels"]).alias("found")), "row").select(*(f"k{i}" for i in range(nk)), "t", "found")
+        model = replace(model, base=np.zeros_like(model.base), filter=model.filter[:0])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def levels_of(found: pa.Array, tok: np.ndarray, at: np.ndarray, m: Model) -> np.ndarray:
+        keys = np.stack(grams(tok, at, m.order), axis=1)
+        which, out, rows = m.round_of_keys(keys), np.zeros(keys.shape, np.int64), found.to_pylist()
+        for k in range(m.rounds):
+            out[which == k] = np.frombuffer(b"".join(x[k] for x in rows), np.uint8)
+        return out
 
     def run(batches):
         from pyspark import TaskContext
@@ -294,7 +372,7 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
                 known, i = m.known(tok)
                 term = np.zeros(len(tok))
                 term[known] = logs[i[known]]
-                p = m.log10_probability(tok, at)
+                p = m.log10_probability(tok, at, levels_of(batch.column(nk + 1).slice(b.first, b.n), tok, at, m) if many else None)
                 stats.append(np.stack([np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(term, at[:-1]), np.add.reduceat(p, at[:-1])]))
                 doc = np.repeat(np.arange(b.n), np.diff(at)) + row + b.first
                 rare_k.append(tok[~known])

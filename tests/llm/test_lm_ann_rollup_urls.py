@@ -77,6 +77,24 @@ def test_lm_is_a_distribution(spark):
     assert 0.8 < total < 1.1
 
 
+def test_lm_filter_grows_with_its_entries(spark, odd, monkeypatch):
+    """However small a round, the filter keeps its bits an entry, and the scores are those of one round."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    score = lambda d: sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.op1_lm_scores(d).collect())
+    want = [score(d) for d in (docs, odd)]
+    d = docs.select(docs.text.cast("binary").alias("t"))
+    whole, _ = lm.train(Workspace(spark), d, "t", 4)
+    most = len(whole.filter) // 5
+    small, saved = lm.train(Workspace(spark), d, "t", 4, max_bytes=most)
+    parts = [lm.segments(saved, small.round_of, k)[1] for k in range(small.rounds)]
+    assert small.rounds > 3 and all(0 < len(x) <= most for x in parts)
+    assert np.array_equal(np.concatenate(parts), whole.filter) and np.unpackbits(whole.filter).mean() < 0.5
+    defaults = list(lm.train.__defaults__)
+    defaults[-2] = most
+    monkeypatch.setattr(lm.train, "__defaults__", tuple(defaults))
+    assert [score(d) for d in (docs, odd)] == want
+
+
 def test_lm_empty(spark, none):
     assert lm.op1_lm_scores(none).count() == 0
 
