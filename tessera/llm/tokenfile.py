@@ -144,10 +144,16 @@ class WordCacheEncoder:
         return self.packs[len(ids)](*ids) if len(ids) < 64 else np.array(ids, f"<u{self.width}").tobytes()
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text and its end, packed; ASCII capitals are folded first where the tokenizer folds them anyway."""
-        if self.folds:
-            texts = [x if b"<|" in x else x.lower() for x in texts]  # special tokens are matched before folding
-        split = [x.split() for x in texts]
+        """Ids of each text and its end, packed; chunks of ASCII alone are folded first where the tokenizer folds them anyway.
+
+        Others go to the library as they are: it composes before it folds, and a capital with a mark may have no composed form.
+        """
+        def chunks(x: bytes) -> list[bytes]:
+            if not self.folds or b"<|" in x:  # special tokens are matched before folding
+                return x.split()
+            return x.lower().split() if x.isascii() else [w.lower() if w.isascii() else w for w in x.split()]
+
+        split = [chunks(x) for x in texts]
         if len(self.now) > CACHE:
             self.now, self.old = {}, self.now
         now, old = self.now, self.old

@@ -117,6 +117,18 @@ def test_token_files(spark, odd, which):
     assert start == sum(len(ids[x]) for _, x in rows)
 
 
+def test_token_files_compose_before_folding():
+    """Letters with a mark whose composed form exists only in lower case."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), tokenfile.WordCacheEncoder(path, 1)
+    marked = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = ["a J\u030c x b", *(f"Plain {m}ELLO Two{m}. {m}, {m.lower()} END" for m in marked), " ".join(marked)]
+    for x, ids in zip(texts, enc.texts([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(ids, f"<u{enc.width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
+
+
 def test_token_file_random_access(tmp_path):
     from pyarrow import fs
 
