@@ -241,7 +241,7 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp, sig) of every row; an empty set has n 0 and null fp and sig."""
+    """(doc_id, h, n, fp, sig) of every row; an empty set has n 0 and null fp and sig."""
 
     def run(batches):
         for batch in batches:
@@ -252,9 +252,9 @@ def set_table(docs: DataFrame) -> DataFrame:
                 ns += n.tolist()
                 fps += [x if m else None for x, m in zip(fp.tolist(), n.tolist(), strict=True)]
                 sigs += [signature(h[at[i] : at[i + 1]]) if n[i] else None for i in range(b.n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "h", "n", "fp", "sig"])
 
-    return docs.select("doc_id", "t").mapInArrow(run, "doc_id long, n long, fp long, sig binary")
+    return docs.select("doc_id", "t", "h").mapInArrow(run, "doc_id long, h long, n long, fp long, sig binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -389,12 +389,15 @@ def tile_pairs(x: list[bytes], y: list[bytes]) -> list[tuple[int, int]]:
 
 
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
+    """(doc_id, h, n_shingles, component_id, label) of every row of docs.
+
+    h is the text's hash. label is the same for the rows of one component, whatever their ids; it is null for an empty set.
+    """
     ws = Workspace(docs.sparkSession)
     parts = reduce_width(docs)
     bits = segment_bits(parts)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text(text).alias("t"))
-    sets = ws.save(set_table(d), "sets")
+    sets = ws.save(set_table(d.withColumn("h", F.xxhash64("t"))), "sets")
     nodes = ws.save(sets.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     frequent = frequent_tokens(ws, d, bits, parts)
     shared = ws.save(shared_tokens(d, frequent, bits, parts), "shared")
@@ -426,10 +429,10 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     links = chains.unionAll(rest).unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile"))
     comp = components(ws, links, "a", "b", "all-cc").select(F.col("node").alias("fp"), "component")
     least = comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"))
-    first = comp.join(least, "component").select("fp", "first")
-    of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id")), "node-components")
+    first = comp.join(least, "component").select("fp", "first", "component")
+    of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "fp").alias("label")), "node-components")
     out = sets.join(of_node, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 
 
 def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:
@@ -440,17 +443,30 @@ def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:
     component; a group of such rows alone has a null one. An empty table gives no rows;
     extra columns are ignored. Shingles are identified by 64-bit hashes.
     """
-    return near_groups(docs)
+    return near_groups(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their component, with their own columns; repeated rows of one stay once."""
+    """One row of each component, with its own columns: that of the smallest doc_id (nulls last), then text hash.
+
+    Rows are told apart by doc_id and text hash, so null and repeated ids cost no other text. Rows that
+    share both stay once; rows without words are linked with nothing, and those of a null id all stay.
+    """
     ws = Workspace(docs.sparkSession)
     found = ws.save(near_groups(docs), "groups")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    linked = found.where("label IS NOT NULL").select("doc_id", "h", "label", key.alias("k"))
+    keep = ws.save(linked.groupBy("label").agg(F.min("k").alias("kept"), F.count("*").alias("rows")).where("rows > 1").select("label", "kept"), "kept")
+    lost = linked.join(_small(keep), "label").where(~F.col("k").eqNullSafe(F.col("kept")))
+    gone = ws.save(lost.select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct(), "gone")
+    text_hash = F.xxhash64(binary_text("text"))
+    out = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("__gone")) & (text_hash == F.col("__h")), "left_anti")
+    repeated = found.where("doc_id IS NOT NULL OR label IS NOT NULL").groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return out
+    wordless = F.col("doc_id").isNull() & ~binary_text("text").cast("string").rlike(r"[^\x20\x09-\x0D]")
+    own = F.when(wordless, F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return out.withColumn("__h", text_hash).withColumn("__own", own).dropDuplicates(["doc_id", "__h", "__own"]).select(*docs.columns)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

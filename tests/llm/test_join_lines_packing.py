@@ -102,6 +102,26 @@ def test_one_of_each(spark, odd, none):
     assert jaccard.one_of_each(odd).columns == odd.columns
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """Exactly one row of each component stays, and no text goes for sharing an id or having none."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [
+        (None, text("a") + " more"), (1, text("a")),  # a copy without an id goes
+        (None, text("b")), (None, text("c")),  # clean ones without an id stay
+        (None, text("d")), (None, text("d")), (None, text("d") + " more"),  # one of the copies without ids stays
+        (2, text("e")), (2, text("f")), (3, text("f")),  # texts under one id
+        (4, text("g")), (5, text("g")), (5, text("h")),  # an id loses its copied text only
+        (6, text("i")), (6, text("i")), (6, text("j")),  # a repeated row stays once
+        (None, ""), (None, ""), (None, None), (7, " "), (7, " "),
+    ]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)
+    out = jaccard.one_of_each(docs)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == docs.columns and sum((t or "").startswith("d0 ") for _, t in got) == 1
+    want = [(1, text("a")), (None, text("b")), (None, text("c")), (2, text("e")), (2, text("f")), (4, text("g")), (5, text("h")), (6, text("i")), (6, text("j")), (None, ""), (None, ""), (None, None), (7, " ")]
+    assert sorted(map(repr, (x for x in got if not (x[1] or "").startswith("d0 ")))) == sorted(map(repr, want))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(200)] + [(7, None), (5, 5)]
