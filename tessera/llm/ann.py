@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product over sharded, robust-pruned directed graphs.
 
-Each shard holds a graph over its own vectors. Vectors are inserted in batches of growing
-size: a greedy beam search over the graph so far proposes neighbours, and relaxed pruning
-drops a neighbour that a kept one already leads to (ALPHA times nearer), so the kept edges
-are diverse. Each query walks every shard with a beam; what it finds is scored again in
-double precision on the original vectors.
+A shard's vectors are cut into bands of nearly equal length, and each band has a graph of its
+own over the directions, so that neither long vectors nor extreme magnitudes bend the edges.
+Vectors are inserted in batches of growing size: a greedy beam search over the graph so far
+proposes neighbours, and relaxed pruning drops a neighbour that a kept one already leads to
+(ALPHA times nearer), so the kept edges are diverse. Each query walks every shard with a beam,
+longest band first; a band is passed over only where its length proves that it holds nothing
+near enough. What is found is scored again in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -19,26 +21,44 @@ from .store import Workspace
 
 #: Distinct vectors of a shard (on average), and queries that are searched together.
 SHARD, QUERIES = 4096, 512
-DEGREE, BEAM, SEARCH_BEAM, ALPHA, EXPAND = 32, 64, 96, 1.2, 4
+DEGREE, BEAM, SEARCH_BEAM, ALPHA, EXPAND = 32, 64, 128, 1.2, 4
+#: Longest to shortest length of a band, and the vectors that it holds at least: fewer than a beam, which then sees all of them.
+BAND, LEAST = 1.1, 64
 TOP = 20
 
 
-def lifted(x: np.ndarray) -> np.ndarray:
-    """One more component, so that nearness by distance is nearness by inner product (all lengths equal)."""
-    sq = np.einsum("ij,ij->i", x, x)
-    return np.concatenate([x, np.sqrt(np.maximum(sq.max() - sq, 0))[:, None]], axis=1)
+def directions(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors (32-bit) and lengths; scaled before squaring, so that no magnitude overflows or vanishes."""
+    most = np.abs(v).max(axis=1, keepdims=True)
+    u = v / most
+    size = np.sqrt(np.einsum("ij,ij->i", u, u))
+    return (u / size[:, None]).astype(np.float32), size * most[:, 0]
 
 
-def beam_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def bands(length: np.ndarray) -> np.ndarray:
+    """Where each band of descending lengths begins, with the end."""
+    at, n = [0], len(length)
+    while (i := at[-1]) < n:
+        j = int(np.searchsorted(-length, -length[i] / BAND, side="right"))
+        j = max(j, i + LEAST)
+        at.append(n if n - j < LEAST else j)
+    return np.array(at)
+
+
+def beam_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The beam (ids, inner products; best first, -1 where short) of each query after it can improve no more."""
     n = len(q)
     rows = np.arange(n)[:, None]
     seen = np.zeros((n, len(x) + 1), bool)  # the last column takes the padding
-    seen[:, start] = seen[:, -1] = True
+    seen[:, -1] = True
     ids = np.full((n, width), -1, np.int64)
     near = np.full((n, width), -np.inf, np.float32)
     done = np.ones((n, width), bool)
-    ids[:, 0], near[:, 0], done[:, 0] = start, q @ x[start], False
+    first = q @ x[starts].T
+    pick = np.argsort(-first, axis=1, kind="stable")[:, :width]
+    m = pick.shape[1]
+    ids[:, :m], near[:, :m], done[:, :m] = starts[pick], np.take_along_axis(first, pick, 1), False
+    seen[rows, ids[:, :m]] = True
     live = np.arange(n)
     while len(live):
         r = np.arange(len(live))[:, None]
@@ -60,7 +80,6 @@ def beam_search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: int, wid
         ids[live], near[live] = all_ids[r, top], all_near[r, top]
         done[live] = all_done[r, top] | (ids[live] < 0)
         live = live[~done[live].all(axis=1)]
-    del rows
     return ids, near
 
 
@@ -91,8 +110,8 @@ def robust_prune(p: np.ndarray, cand: np.ndarray, x: np.ndarray, degree: int, al
     return out
 
 
-def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
-    """Out-edges (n, DEGREE), -1 where fewer, and the entry point; x is lifted."""
+def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Out-edges (n, DEGREE), -1 where fewer, and the entry points, from which every node is reached; x are unit vectors."""
     n = len(x)
     graph = np.full((n + 1, DEGREE), -1, np.int64)  # the last row answers to -1
     start = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
@@ -104,7 +123,7 @@ def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
         while at < n:
             size = min(256, n - at) if again else min(max(1, at // 2), 256, n - at)
             p = order[at : at + size]
-            found, _ = beam_search_distance(x[p], x, graph, start, BEAM)
+            found, _ = beam_search(x[p], x, graph, order[:1], BEAM)  # of equal lengths the nearest is that of largest inner product
             cand = np.concatenate([found, graph[p]], axis=1)
             if not again and size > 1:  # points of one batch may be each other's neighbours
                 cand = np.concatenate([cand, np.broadcast_to(p[: min(size, 32)], (size, min(size, 32)))], axis=1)
@@ -122,52 +141,78 @@ def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
                 s = slice(lo, lo + 512)
                 graph[q[s]] = robust_prune(q[s], np.concatenate([graph[q[s]], new[s]], axis=1), x, DEGREE, ALPHA)
             at += size
-    return graph[:n], start
-
-
-def beam_search_distance(q: np.ndarray, x: np.ndarray, graph: np.ndarray, start: int, width: int):
-    """Lifted vectors have equal lengths, so the nearest are those of largest inner product."""
-    return beam_search(q, x, graph, start, width)
+    starts, reached = [start], np.zeros(n + 1, bool)
+    reached[-1] = True
+    while True:
+        todo = np.array(starts[-1:])
+        while len(todo):
+            reached[todo] = True
+            todo = np.unique(graph[todo])
+            todo = todo[~reached[todo]]
+        if reached.all():
+            return graph[:n], np.array(starts)
+        starts.append(int(np.argmin(reached)))
 
 
 class Shard:
-    """One shard's distinct vectors, each with the smallest ids of the rows that hold it, and its graph."""
+    """One shard's distinct vectors by descending length, each with the smallest ids of the rows that hold it, and the bands' graphs."""
 
     def __init__(self, vectors: np.ndarray, ids: list[list[int]]):
-        self.vectors, self.ids = vectors, ids
-        x = vectors.astype(np.float32)
-        scale = float(np.abs(x).max()) or 1.0
-        self.x = lifted(x / np.float32(scale))
-        self.graph, self.start = build_graph(self.x)
-
-    def pack(self) -> tuple[bytes, bytes, bytes, bytes, int]:
+        unit, length = directions(vectors)
+        order = np.argsort(-length, kind="stable")
+        self.vectors, self.ids = vectors[order], [ids[i] for i in order]
+        self.bands, graphs, starts = bands(length[order]), [], []
+        for k, (lo, hi) in enumerate(zip(self.bands[:-1], self.bands[1:], strict=True)):
+            graph, first = build_graph(unit[order[lo:hi]])
+            graphs.append(graph)
+            starts += [(k, i) for i in first.tolist()]
+        self.graph, self.starts = np.concatenate(graphs), np.array(starts)
+
+    def pack(self) -> tuple[bytes, ...]:
         at = np.cumsum([0, *map(len, self.ids)])
-        return self.vectors.astype("<f8").tobytes(), np.array([i for x in self.ids for i in x], "<i8").tobytes(), at.astype("<i8").tobytes(), self.graph.astype("<i4").tobytes(), self.start
+        ids = np.array([i for x in self.ids for i in x], "<i8")
+        return tuple(x.tobytes() for x in (self.vectors.astype("<f8"), ids, at.astype("<i8"), self.graph.astype("<i4"), self.bands.astype("<i4"), self.starts.astype("<i4")))
+
+
+#: What Shard.pack() gives, by name.
+PACKED = ("vec", "ids", "at", "graph", "bands", "starts")
 
 
-def search_shard(dim: int, packed: tuple, qid: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(dim: int, packed: tuple[bytes, ...], qid: np.ndarray, q: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec_id, score) of each query's ``top`` nearest rows of a shard, as the beam finds them."""
-    vec, ids, at, graph, start = packed
+    vec, ids, at, graph, cuts, starts = packed
     v = np.frombuffer(vec, "<f8").reshape(-1, dim)
-    ids, at = np.frombuffer(ids, "<i8"), np.frombuffer(at, "<i8")
-    g = np.concatenate([np.frombuffer(graph, "<i4").reshape(len(v), -1), np.full((1, DEGREE), -1, np.int32)]).astype(np.int64)
-    x = v.astype(np.float32)
-    scale = np.abs(q).max(axis=1, keepdims=True)
-    found, _ = beam_search((q / scale).astype(np.float32), x, g, start, max(SEARCH_BEAM, top + 1))
-    row, col = np.nonzero(found >= 0)
-    node = found[row, col]
-    n = at[node + 1] - at[node]
-    row, node = np.repeat(row, n), np.repeat(node, n)
-    place = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
-    vec_id = ids[at[node] + place]
-    other = vec_id != qid[row]
-    row, node, vec_id = row[other], node[other], vec_id[other]
-    score = np.einsum("ij,ij->i", q[row], v[node])
-    o = np.lexsort((vec_id, -score, row))
-    row, vec_id, score = row[o], vec_id[o], score[o]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    best = rank < top
-    return qid[row[best]], vec_id[best], score[best]
+    ids, at, cuts = np.frombuffer(ids, "<i8"), np.frombuffer(at, "<i8"), np.frombuffer(cuts, "<i4")
+    graph, starts = np.frombuffer(graph, "<i4").reshape(len(v), -1), np.frombuffer(starts, "<i4").reshape(-1, 2)
+    unit, length = directions(v)
+    ask, size = directions(q)
+    none = np.zeros(0, np.int64)
+    row, vec_id, score = none, none, np.zeros(0)
+    least = np.full(len(q), -np.inf)  # each query's score at rank ``top`` so far
+    for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        live = np.flatnonzero(size * length[lo] * (1 + 1e-9) >= least)
+        if not len(live):
+            break  # bands that follow are shorter still
+        x = unit[lo:hi] * (length[lo:hi] / length[lo]).astype(np.float32)[:, None]
+        g = np.concatenate([graph[lo:hi], np.full((1, DEGREE), -1, np.int32)]).astype(np.int64)
+        found, _ = beam_search(ask[live], x, g, starts[starts[:, 0] == k, 1].astype(np.int64), max(SEARCH_BEAM, top + 1))
+        r, col = np.nonzero(found >= 0)
+        node = found[r, col] + lo
+        n = at[node + 1] - at[node]
+        r, node = np.repeat(live[r], n), np.repeat(node, n)
+        place = np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n)
+        i = ids[at[node] + place]
+        other = i != qid[r]
+        r, node, i = r[other], node[other], i[other]
+        row, vec_id, score = np.concatenate([row, r]), np.concatenate([vec_id, i]), np.concatenate([score, np.einsum("ij,ij->i", q[r], v[node])])
+        o = np.lexsort((vec_id, -score, row))
+        row, vec_id, score = row[o], vec_id[o], score[o]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best = rank < top
+        row, vec_id, score = row[best], vec_id[best], score[best]
+        full = rank[best] == top - 1
+        least[row[full]] = score[full]
+    return qid[row], vec_id, score
 
 
 def usable(embedding) -> F.Column:
@@ -216,10 +261,9 @@ def build_index(ws: Workspace, vectors: DataFrame, top: int, shard_size: int = S
         keys = sorted(held)
         dim = len(keys[0]) // 8
         s = Shard(np.frombuffer(b"".join(keys), "<f8").reshape(-1, dim), [held[k] for k in keys])
-        vec, ids, at, graph, start = s.pack()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "vec": pa.array([vec], pa.binary()), "ids": pa.array([ids], pa.binary()), "at": pa.array([at], pa.binary()), "graph": pa.array([graph], pa.binary()), "start": pa.array([start], pa.int32())})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(PACKED, s.pack(), strict=True)}})
 
-    index = dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, vec binary, ids binary, at binary, graph binary, start int")
+    index = dealt.groupBy("dim", "shard").applyInArrow(run, f"dim int, shard int, {', '.join(f'{c} binary' for c in PACKED)}")
     return ws.save(index, "index"), shards
 
 
@@ -254,7 +298,7 @@ def search(index: DataFrame, blocks: DataFrame, top: int = TOP) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 q = np.frombuffer(r["q"], "<f8").reshape(-1, r["dim"])
-                found = search_shard(r["dim"], (r["vec"], r["ids"], r["at"], r["graph"], r["start"]), np.frombuffer(r["qid"], "<i8"), q, top)
+                found = search_shard(r["dim"], tuple(r[c] for c in PACKED), np.frombuffer(r["qid"], "<i8"), q, top)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
 
     near = index.join(blocks, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double").distinct()
@@ -266,8 +310,8 @@ def op8_nearest(embeddings: DataFrame, top: int = TOP, every: int = 20, shard_si
     """The ``top`` nearest of every row whose vec_id is divisible by ``every``, among all other rows.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no part,
-    nor do rows without a vec_id. Equal vectors share one node of the graph. Vectors of
-    different lengths are never compared. Repeated rows of one vec_id count once. An empty
+    nor do rows without a vec_id. Equal vectors share one node of the graph. Vectors with
+    different numbers of components are never compared. Repeated rows of one vec_id count once. An empty
     table gives no rows; extra columns are ignored.
     """
     ws = Workspace(embeddings.sparkSession)

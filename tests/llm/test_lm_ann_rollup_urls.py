@@ -145,25 +145,51 @@ def test_nearest_odd(spark):
     assert ann.op8_nearest(e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "log-normal", "one long", "tiny", "huge"])
+def test_nearest_whatever_the_lengths(spark, kind):
+    """Vectors of differing lengths and of extreme magnitudes: recall of 0.9 and all 20 answers."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 32))
+    if kind == "log-normal":
+        x *= rng.lognormal(size=(900, 1))
+    if kind == "one long":
+        x[5] *= 1e4
+    x *= {"tiny": 1e-50, "huge": 1e40}.get(kind, 1.0)
+    rows = list(enumerate(x.tolist()))
+    want = brute(rows, 20, 20)
+    got = found(ann.op8_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_size=500))
+    assert recall(got, want) >= 0.9 and all(len(got[q]) == 20 for q in want)
+
+
+def test_bands_hold_like_lengths():
+    rng = np.random.default_rng(3)
+    for length in (np.sort(rng.lognormal(size=700))[::-1], np.ones(300), np.array([5.0]), np.r_[1e30, np.ones(63)]):
+        at = ann.bands(length)
+        assert at[0] == 0 and at[-1] == len(length) and (np.diff(at) > 0).all()
+        for lo, hi in zip(at[:-1], at[1:]):
+            assert hi - lo < 2 * ann.LEAST or length[lo] <= length[hi - 1 - ann.LEAST] * ann.BAND * (1 + 1e-9)
+
+
 def test_graph_edges_are_diverse():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 6)).astype(np.float32)
-    g, start = ann.build_graph(ann.lifted(x))
-    assert g.shape == (300, ann.DEGREE) and (g < 300).all() and 0 <= start < 300
-    seen, todo = {start}, [start]
+    x, _ = ann.directions(rng.normal(size=(300, 6)))
+    x[200:] = x[200]  # copies that pruning may leave without a way in
+    g, starts = ann.build_graph(x)
+    assert g.shape == (300, ann.DEGREE) and (g < 300).all()
+    seen, todo = set(starts.tolist()), starts.tolist()
     while todo:
         for j in g[todo.pop()]:
             if j >= 0 and j not in seen:
                 seen.add(int(j))
                 todo.append(int(j))
     assert len(seen) == 300
-    y = ann.lifted(x)
+    y = x[:200]
     d = lambda i, j: float(((y[i] - y[j]) ** 2).sum())
     p = np.array([0, 1])
-    out = ann.robust_prune(p, np.tile(np.arange(300), (2, 1)), y, 16, 1.2)
+    out = ann.robust_prune(p, np.tile(np.arange(200), (2, 1)), y, 16, 1.2)
     for i in p:
         kept = [j for j in out[i] if j >= 0]
-        assert kept[0] == min((j for j in range(300) if j != i), key=lambda j: d(i, j))
+        assert kept[0] == min((j for j in range(200) if j != i), key=lambda j: d(i, j))
         assert all(1.2**2 * d(a, b) > d(i, b) for k, b in enumerate(kept) for a in kept[:k])
 
 
