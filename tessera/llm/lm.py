@@ -5,16 +5,17 @@ A count is read back by probing levels upward until one is absent. Orders are sm
 interpolation: P_n(w | h) = L * c(hw) / c(h) + (1 - L) * P_{n-1}(w | h'), down to add-one unigrams.
 
 The filter is built in segments, each sized by what it holds at BITS an entry, so that the error
-rate is the same for every corpus. Segments are broadcast at most MAX_BYTES at a time: a filter
-that fits is probed in the scoring pass itself; a larger one in rounds over the texts, each of
-which notes the levels of the n-grams in its segments, one byte each. Exact counts for the base score never pass through it: the most frequent words
+rate is the same for every corpus. A filter of up to MAX_BYTES is broadcast and probed in the
+scoring pass itself. A larger one stays where it was built: texts are kept in chunks, the distinct
+n-grams of each chunk travel to their segments in one shuffle, are probed there, and their levels
+come back to the chunk. Both ways give the same levels, at a cost in proportion to the texts.
+Exact counts for the base score never pass through the filter: the most frequent words
 (a bounded table) are broadcast, all others meet their counts in a shuffle by segment.
 """
 
 from __future__ import annotations
 
-import functools
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ from . import words as W
 from .segments import FLUSH, blobs, cut, dealt, give_back, joined, segment_bits, sum_by_key
 from .store import Workspace, binary_text, reduce_width
 
-ORDER, MIN_COUNT = 2, 2
+ORDER, MIN_COUNT = 2, 1
 LEVEL_BASE, HASHES, BITS = 1.25, 4, 8
-#: Filter bytes broadcast at once.
-MAX_BYTES = 64 << 20
+#: Bytes up to which the filter is broadcast; each worker process holds a copy.
+MAX_BYTES = 16 << 20
 #: Words in the broadcast table of exact counts (12 bytes each).
 HOT_WORDS = 500_000
 LAMBDA = 0.35
@@ -75,12 +76,32 @@ def slots(keys: np.ndarray, level: np.ndarray | int, order: int, size: np.ndarra
     return [(a + i * step) % size for i in range(HASHES)]
 
 
+def probe(base: np.ndarray, filt: np.ndarray, bits: int, keys: np.ndarray, order: int, top: int, most: np.ndarray | None = None) -> np.ndarray:
+    """Quantised counts by probing upward, to level ``top`` or an n-gram's ``most``; ``base`` is where each segment begins, with the end."""
+    out = np.zeros(len(keys), np.int64)
+    live = np.arange(len(keys)) if most is None else np.flatnonzero(most > 0)
+    seg = (keys >> U(64 - bits)).astype(np.int64)
+    for j in range(1, top + 1):
+        k, s = keys[live], seg[live]
+        size = (base[s + 1] - base[s]) * 8
+        has = size > 0
+        live, k, s, size = live[has], k[has], s[has], size[has]
+        if not len(live):
+            break
+        hit = np.ones(len(live), bool)
+        for pos in slots(k, j, order, size):
+            byte = filt[base[s] + (pos >> 3)]
+            hit &= (byte >> (pos & 7).astype(np.uint8)) & 1 == 1
+        live = live[hit]
+        out[live] = j
+        if most is not None:
+            live = live[most[live] > j]
+    return out
+
+
 @dataclass
 class Model:
-    """Broadcast to the workers: at most MAX_BYTES of filter, 12 bytes a hot word and a few totals.
-
-    ``filter`` holds the segments of the first round; those of other rounds have size 0 in ``base``.
-    """
+    """Broadcast to the workers: 13 bytes a hot word, a few totals, and the filter where it fits (else it is empty)."""
 
     order: int
     bits: int
@@ -88,40 +109,16 @@ class Model:
     filter: np.ndarray
     hot: np.ndarray
     hot_count: np.ndarray
+    hot_level: np.ndarray  # as probed where the filter was built
     tokens: int
     vocabulary: int
     texts: int
-    round_of: np.ndarray | None = None  # of each segment
-    hot_level: np.ndarray | None = None
-
-    def levels(self, keys: np.ndarray, order: int, most: np.ndarray | None = None) -> np.ndarray:
-        """Quantised counts by probing upward; an n-gram's level is at most its parts'."""
-        out = np.zeros(len(keys), np.int64)
-        live = np.arange(len(keys)) if most is None else np.flatnonzero(most > 0)
-        seg = (keys >> U(64 - self.bits)).astype(np.int64)
-        j = 0
-        while len(live):
-            j += 1
-            k, s = keys[live], seg[live]
-            size = (self.base[s + 1] - self.base[s]) * 8
-            has = size > 0
-            live, k, s, size = live[has], k[has], s[has], size[has]
-            hit = np.ones(len(live), bool)
-            for pos in slots(k, j, order, size):
-                byte = self.filter[self.base[s] + (pos >> 3)]
-                hit &= (byte >> (pos & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
-            out[live] = j
-            if most is not None:
-                live = live[most[live] > j]
-        return out
+    top: int  # level of the largest count
+    filter_bytes: int  # of all segments, held here or not
 
     @property
-    def rounds(self) -> int:
-        return 1 if self.round_of is None else int(self.round_of.max()) + 1
-
-    def round_of_keys(self, keys: np.ndarray) -> np.ndarray:
-        return self.round_of[(keys >> U(64 - self.bits)).astype(np.int64)]
+    def whole(self) -> bool:
+        return len(self.filter) == self.filter_bytes
 
     def known(self, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each token is in the table of frequent words, and its place there."""
@@ -130,36 +127,32 @@ class Model:
         i = np.minimum(np.searchsorted(self.hot, tok), len(self.hot) - 1)
         return self.hot[i] == tok, i
 
-    def word_levels(self, tok: np.ndarray) -> np.ndarray:
-        """Quantised counts of tokens; those of frequent words are probed once for each worker process."""
-        if self.hot_level is None:
-            self.hot_level = self.levels(self.hot, 1)
+    def levels(self, keys: np.ndarray, order: int, most: np.ndarray | None = None) -> np.ndarray:
+        """Levels of distinct n-grams from the broadcast filter."""
+        return probe(self.base, self.filter, self.bits, keys, order, self.top, most)
+
+    def word_levels(self, tok: np.ndarray, found) -> np.ndarray:
+        """Quantised counts of tokens; ``found`` gives those of distinct words that are not in the table."""
         hit, i = self.known(tok)
         out = np.zeros(len(tok), np.int64)
         out[hit] = self.hot_level[i[hit]]
         u, back = np.unique(tok[~hit], return_inverse=True)
-        out[~hit] = self.levels(u, 1)[back]
+        out[~hit] = found(u, 1, None)[back]
         return out
 
-    def log10_probability(self, tok: np.ndarray, at: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
-        """Of each token given its history; ``given`` are the levels by token and order, where rounds have found them."""
-        def looked_up(keys, order, most):
-            if given is not None:
-                return np.minimum(given[:, order - 1], most)
-            out, some = np.zeros(len(keys), np.int64), np.flatnonzero(most > 0)  # an absent word has no n-grams
-            u, first, back = np.unique(keys[some], return_index=True, return_inverse=True)
-            out[some] = self.levels(u, order, most[some][first])[back]
-            return out
-
+    def log10_probability(self, tok: np.ndarray, at: np.ndarray, found=None) -> np.ndarray:
+        """Of each token given its history; ``found(keys, order, most)`` gives levels of distinct n-grams, by default from the filter here."""
+        found = found or self.levels
         keys = grams(tok, at, self.order)
-        level = self.word_levels(tok) if given is None else given[:, 0]
+        level = self.word_levels(tok, found)
         p = np.minimum((count_of(level) + 1) / (self.tokens + self.vocabulary + 1), 1.0)  # a quantised count may lie above the total
         begins = np.zeros(len(tok), bool)
         begins[at[:-1][at[:-1] < len(tok)]] = True
         history, before = np.where(begins, self.texts, np.roll(count_of(level), 1)), np.where(begins, 1 << 30, np.roll(level, 1))
         for n in range(2, self.order + 1):
-            least = np.minimum(before, level)
-            level = looked_up(keys[n - 1], n, least)
+            most = np.minimum(before, level)  # an n-gram's level is at most its parts'
+            u, first, back = np.unique(keys[n - 1], return_index=True, return_inverse=True)
+            level = found(u, n, most[first])[back]
             c = count_of(level)
             ratio = np.minimum(np.divide(c, history, out=np.zeros(len(c)), where=history > 0), 1.0)
             p = np.where(history > 0, LAMBDA * ratio + (1 - LAMBDA) * p, p)
@@ -167,14 +160,24 @@ class Model:
         return np.log10(p)
 
 
-_BLOBS = "kind int, seg int, keys binary, counts binary"
+_BLOBS = "kind int, seg int, keys binary, counts binary, levels binary"
+_NAMES = ["kind", "seg", "keys", "counts", "levels"]
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int):
-    """One row for each segment; counts go in four bytes unless one is larger."""
+def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, levels: np.ndarray | None = None):
+    """One row for each segment; counts go in one, four or eight bytes, as the largest of a segment needs."""
     seg, at = cut(keys, bits)
     if len(seg):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seg), kind), pa.int32()), pa.array(seg, pa.int32()), blobs(keys, at), blobs(counts.astype("<i8") if counts.max() > 0x7FFFFFFF else counts.astype("<u4"), at)], names=["kind", "seg", "keys", "counts"])
+        largest = np.maximum.reduceat(counts, at[:-1])
+        for kind_of, here in (("<u1", largest < 1 << 8), ("<u4", (largest >= 1 << 8) & (largest < 1 << 32)), ("<i8", largest >= 1 << 32)):
+            if here.any():
+                narrow = blobs(np.minimum(counts, np.iinfo(kind_of).max).astype(kind_of), at).filter(pa.array(here))
+                own = pa.nulls(int(here.sum()), pa.binary()) if levels is None else blobs(levels, at).filter(pa.array(here))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(narrow), kind), pa.int32()), pa.array(seg[here], pa.int32()), blobs(keys, at).filter(pa.array(here)), narrow, own], names=_NAMES)
+
+
+def _numbers(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, {n: "<u1", 4 * n: "<u4"}.get(len(counts), "<i8")).astype(np.int64)
 
 
 def _counted(batch: pa.RecordBatch, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +185,7 @@ def _counted(batch: pa.RecordBatch, kind: int) -> tuple[np.ndarray, np.ndarray]:
     for which, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
         if which == kind:
             k.append(np.frombuffer(keys, U))
-            c.append(np.frombuffer(counts, "<u4" if len(counts) * 2 == len(keys) else "<i8").astype(np.int64))
+            c.append(_numbers(counts, len(keys) // 8))
     return (np.concatenate(k), np.concatenate(c)) if k else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
@@ -215,7 +218,7 @@ def count_grams(train: DataFrame, text: str, bits: int, order: int) -> DataFrame
 
 
 def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int) -> DataFrame:
-    """Of the summed n-grams: kind 1, words with exact counts; 0, a task's totals; -1, filter segments."""
+    """Of the summed n-grams: kind 1, words with exact counts and probed levels; 0, a task's totals; -1, filter segments."""
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
@@ -227,12 +230,11 @@ def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int)
         batches.clear()
         if not items:
             return
-        keys, c = items[1]
-        yield from _rows(1, keys, c, bits)
+        words, c = items[1]
+        count_of_word = c
         hist = np.bincount(level_of(c), minlength=256) if len(c) else np.zeros(256, np.int64)
-        ends = int(c[keys == W.END].sum())
-        totals = np.array([c.sum(), len(keys), ends, *hist[:256]], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([totals.tobytes()], pa.binary())], names=["kind", "seg", "keys", "counts"])
+        totals = np.array([c.sum(), len(words), c[words == W.END].sum(), *hist[:256]], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([totals.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], names=_NAMES)
         need = np.zeros(1 << bits, np.int64)
         kept = []
         for k, (keys, c) in items.items():
@@ -254,65 +256,25 @@ def build(counts: DataFrame, bits: int, parts: int, order: int, min_count: int)
         packed = np.packbits(bitmap, bitorder="little")
         own = np.flatnonzero(size)
         if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1), pa.int32()), pa.array(own, pa.int32()), pa.array([b""] * len(own), pa.binary()), pa.array([packed[base[s] : base[s + 1]].tobytes() for s in own], pa.binary())], names=["kind", "seg", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), -1), pa.int32()), pa.array(own, pa.int32()), pa.array([b""] * len(own), pa.binary()), pa.array([packed[base[s] : base[s + 1]].tobytes() for s in own], pa.binary()), pa.nulls(len(own), pa.binary())], names=_NAMES)
+        yield from _rows(1, words, count_of_word, bits, np.minimum(probe(base, packed, bits, words, 1, 255), 255).astype(np.uint8))
         del items, kept, bitmap, packed
         give_back()
 
     return dealt(counts, parts, bits).mapInArrow(run, _BLOBS)
 
 
-def rounds(size: np.ndarray, max_bytes: int) -> np.ndarray:
-    """The round of each segment: neighbours together while they fit; a segment is never divided."""
-    out, held = np.zeros(len(size), np.int64), 0
-    for i, n in enumerate(size.tolist()):
-        new = held > 0 and held + n > max_bytes
-        out[i] = (out[i - 1] if i else 0) + new
-        held = n if new else held + n
-    return out
-
-
-def segments(saved: DataFrame, round_of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Base and filter of the segments of round k."""
-    own = np.flatnonzero(round_of == k)
-    lo, hi = (int(own[0]), int(own[-1])) if len(own) else (0, -1)
-    rows = saved.where((F.col("kind") == -1) & F.col("seg").between(lo, hi)).select("seg", "counts").toArrow()
+def segments(saved: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Base and bytes of the whole filter."""
+    rows = saved.where("kind = -1").select("seg", "counts").toArrow()
     seg, parts = rows.column(0).to_numpy(), rows.column(1).to_pylist()
-    size = np.zeros(len(round_of), np.int64)
+    size = np.zeros(1 << bits, np.int64)
     size[seg] = [len(x) for x in parts]
     return np.concatenate([[0], np.cumsum(size)]), np.frombuffer(b"".join(parts[i] for i in np.argsort(seg)), np.uint8)
 
 
-def levels_by_round(ws: Workspace, texts: DataFrame, model: Model, saved: DataFrame) -> DataFrame:
-    """(row, r, levels) of texts (row, t): for each round, a byte for each n-gram of its segments, by token and then order."""
-
-    def passed(k: int) -> DataFrame:
-        base, filt = segments(saved, model.round_of, k)
-        shared = ws.spark.sparkContext.broadcast(replace(model, base=base, filter=filt, hot=model.hot[:0], hot_count=model.hot_count[:0]))
-
-        def run(batches):
-            m = shared.value
-            for batch in batches:
-                for b in W.blocks(batch.column(1), lower=True):
-                    tok, at = token_stream(b)
-                    keys = np.stack(grams(tok, at, m.order), axis=1)
-                    own = m.round_of_keys(keys) == k
-                    level = np.zeros(keys.shape, np.int64)
-                    for n in range(m.order):
-                        u, back = np.unique(keys[own[:, n], n], return_inverse=True)
-                        level[own[:, n], n] = m.levels(u, n + 1)[back]
-                    ends = np.concatenate([[0], np.cumsum(own.sum(axis=1))])[at]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n), pa.array(np.full(b.n, k), pa.int32()), blobs(np.minimum(level[own], 255).astype(np.uint8), ends)], names=["row", "r", "levels"])
-            give_back()
-
-        out = ws.save(texts.mapInArrow(run, "row long, r int, levels binary"), f"levels-{k}")
-        shared.destroy()
-        return out
-
-    return functools.reduce(DataFrame.unionAll, [passed(k) for k in range(model.rounds)])
-
-
 def train(ws: Workspace, docs: DataFrame, text: str, parts: int, order: int = ORDER, min_count: int = MIN_COUNT, max_bytes: int = MAX_BYTES, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame]:
-    """The model, and the saved table whose rows of kind 1 hold all words' exact counts."""
+    """The model, and the saved table whose rows of kind 1 hold all words' exact counts and of kind -1 the filter."""
     bits = segment_bits(parts)
     saved = ws.save(build(count_grams(docs, text, bits, order), bits, parts, order, min_count), "grams")
     total = np.zeros(259, np.int64)
@@ -320,22 +282,93 @@ def train(ws: Workspace, docs: DataFrame, text: str, parts: int, order: int = OR
         total += np.frombuffer(r, np.int64)
     above = np.cumsum(total[3:][::-1])[::-1]  # words of a level or more
     least = int(np.flatnonzero(np.append(above, 0) <= hot_words)[0])
-    sizes = saved.where("kind = -1").select("seg", F.length("counts").alias("n")).toArrow()
-    size = np.zeros(1 << bits, np.int64)
-    size[sizes.column(0).to_numpy()] = sizes.column(1).to_numpy()
-    round_of = rounds(size, max_bytes)
-    base, filt = segments(saved, round_of, 0)
+    top = int(np.flatnonzero(total[3:]).max(initial=0))
+    size = saved.where("kind = -1").select(F.coalesce(F.sum(F.length("counts").cast("long")), F.lit(0))).first()[0]
+    base, filt = segments(saved, bits) if size <= max_bytes else (np.zeros((1 << bits) + 1, np.int64), np.zeros(0, np.uint8))
 
     def hot(batches):
         for b in batches:
             k, c = _counted(b, 1)
-            k, c = k[level_of(c) >= least], c[level_of(c) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=["keys", "counts"])
+            often = level_of(c) >= least
+            v = joined(b.column(4), np.uint8)[often]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (k[often], c[often], v)], names=["keys", "counts", "levels"])
 
-    top = saved.where("kind = 1").mapInArrow(hot, "keys binary, counts binary").toArrow()
-    keys, counts = joined(top.column(0), U), joined(top.column(1), np.int64)
+    most = saved.where("kind = 1").mapInArrow(hot, "keys binary, counts binary, levels binary").toArrow()
+    keys, counts, levels = joined(most.column(0), U), joined(most.column(1), np.int64), joined(most.column(2), np.uint8)
     o = np.argsort(keys)
-    return Model(order, bits, base, filt, keys[o], counts[o], int(total[0]), int(total[1]), int(total[2]), round_of), saved
+    return Model(order, bits, base, filt, keys[o], counts[o], np.minimum(levels[o], top).astype(np.int64), int(total[0]), int(total[1]), int(total[2]), top, int(size)), saved
+
+
+def _whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all of a chunk's texts, and where each text begins."""
+    tok, at = zip(*(token_stream(b) for b in W.blocks(texts, lower=True)), strict=True)
+    n = np.concatenate([np.diff(x) for x in at])
+    return np.concatenate(tok), np.concatenate([[0], np.cumsum(n)])
+
+
+def routed(ws: Workspace, plain: DataFrame, shared, saved: DataFrame, parts: int) -> DataFrame:
+    """(body, found): chunks of the rows of ``plain`` (its last column is the text) and the levels of each one's distinct n-grams.
+
+    Chunks are Arrow batches and kept, so that the passes over them see the same ones. Of each chunk and order the
+    distinct n-grams are asked for in ascending order; hot words are known already.
+    """
+    spark, order, bits, top = ws.spark, shared.value.order, shared.value.bits, shared.value.top
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 33
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
+                chunk += 1
+
+    chunks = ws.save(plain.mapInArrow(pack, "chunk long, body binary"), "chunks")
+
+    def ask(batches):
+        m = shared.value
+        for b in batches:
+            for chunk, body in zip(b.column(0), b.column(1), strict=True):
+                batch = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+                tok, at = _whole(batch.column(batch.num_columns - 1))
+                for n, keys in enumerate(grams(tok, at, order), 1):
+                    keys = np.unique(keys[~m.known(keys)[0]] if n == 1 else keys)
+                    seg, cuts = cut(keys, bits)
+                    z = len(seg)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(z, n + 1), pa.int32()), pa.array(seg, pa.int32()), blobs(keys, cuts), pa.array(np.full(z, chunk.as_py()), pa.int64())], names=["kind", "seg", "keys", "chunk"])
+        give_back()
+
+    def answer(batches):
+        batches = [b for b in batches if b.num_rows]
+        held = {s: np.frombuffer(f, np.uint8) for b in batches for k, s, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) if k == -1}
+        base = np.zeros((1 << bits) + 1, np.int64)
+        for s, f in held.items():
+            base[s + 1] = len(f)
+        base, filt = np.cumsum(base), np.concatenate([held[s] for s in sorted(held)] or [np.zeros(0, np.uint8)])
+        for b in batches:
+            kind, keys = b.column(0).to_numpy(), b.column(2)
+            for n in range(1, order + 1):
+                own = np.flatnonzero(kind == n + 1)
+                if len(own):
+                    at = np.concatenate([[0], np.cumsum([len(keys[i].as_buffer()) // 8 for i in own.tolist()])])
+                    level = probe(base, filt, bits, joined(keys.take(pa.array(own)), U), n, top)
+                    yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(own)), pa.array(np.full(len(own), n), pa.int32()), b.column(1).take(pa.array(own)), blobs(level.astype(np.uint8), at)], names=["chunk", "n", "seg", "levels"])
+        give_back()
+
+    asked = chunks.mapInArrow(ask, "kind int, seg int, keys binary, chunk long")
+    here = saved.where("kind = -1").select("kind", "seg", F.col("counts").alias("keys"), F.lit(None).cast("long").alias("chunk"))
+    found = dealt(here.unionAll(asked), parts, bits).mapInArrow(answer, "chunk long, n int, seg int, levels binary")
+    found = found.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("n", "seg", "levels"))).alias("found"))
+    return chunks.join(found, "chunk", "left").select("body", "found")
+
+
+def _lookup(found: list[dict] | None, order: int):
+    """The chunk's levels as a function of distinct n-grams, which come back in the order asked."""
+    parts = {n: joined(pa.array([x["levels"] for x in found or () if x["n"] == n], pa.binary()), np.uint8).astype(np.int64) for n in range(1, order + 1)}
+    return lambda keys, n, most: parts[n] if most is None else np.minimum(parts[n], most)
 
 
 def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Model, saved: DataFrame, parts: int) -> DataFrame:
@@ -343,21 +376,21 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
     plain = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text).alias("t"))
     kinds = ", ".join(f"k{i} {t}" for i, (_, t) in enumerate(docs.select(*keep).dtypes))
     nk = len(keep)
-    many = model.rounds > 1
-    if many:  # rows are numbered once and kept, so that every round sees the same
-        plain = ws.save(plain.withColumn("row", F.monotonically_increasing_id()), "texts")
-        found = levels_by_round(ws, plain.select("row", "t"), model, saved)
-        found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("r", "levels"))).alias("found"))
-        plain = plain.join(found.select("row", F.transform("found", lambda x: x["levels"]).alias("found")), "row").select(*(f"k{i}" for i in range(nk)), "t", "found")
-        model = replace(model, base=np.zeros_like(model.base), filter=model.filter[:0])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = plain if model.whole else routed(ws, plain, shared, saved, parts)
 
-    def levels_of(found: pa.Array, tok: np.ndarray, at: np.ndarray, m: Model) -> np.ndarray:
-        keys = np.stack(grams(tok, at, m.order), axis=1)
-        which, out, rows = m.round_of_keys(keys), np.zeros(keys.shape, np.int64), found.to_pylist()
-        for k in range(m.rounds):
-            out[which == k] = np.frombuffer(b"".join(x[k] for x in rows), np.uint8)
-        return out
+    def batches_of(batches):
+        """(rows, blocks of them, levels): whole chunks as one block where levels came by shuffle."""
+        for batch in batches:
+            if model_here(batch):
+                yield batch, [(b.first, b.n, *token_stream(b)) for b in W.blocks(batch.column(nk), lower=True)], None
+                continue
+            for body, found in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                rows = pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+                yield rows, [(0, rows.num_rows, *_whole(rows.column(nk)))], _lookup(found, shared.value.order)
+
+    def model_here(batch) -> bool:
+        return batch.schema.names[0] != "body"
 
     def run(batches):
         from pyspark import TaskContext
@@ -365,16 +398,15 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
         m = shared.value
         logs = np.log10(m.hot_count + 1.0)
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch, parts_of, found in batches_of(batches):
             stats, rare_k, rare_r = [], [], []
-            for b in W.blocks(batch.column(nk), lower=True):
-                tok, at = token_stream(b)
+            for first, count, tok, at in parts_of:
                 known, i = m.known(tok)
                 term = np.zeros(len(tok))
                 term[known] = logs[i[known]]
-                p = m.log10_probability(tok, at, levels_of(batch.column(nk + 1).slice(b.first, b.n), tok, at, m) if many else None)
+                p = m.log10_probability(tok, at, found)
                 stats.append(np.stack([np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(term, at[:-1]), np.add.reduceat(p, at[:-1])]))
-                doc = np.repeat(np.arange(b.n), np.diff(at)) + row + b.first
+                doc = np.repeat(np.arange(count), np.diff(at)) + row + first
                 rare_k.append(tok[~known])
                 rare_r.append(doc[~known])
             n = batch.num_rows
@@ -394,7 +426,8 @@ def score(ws: Workspace, docs: DataFrame, keep: list[str], text: str, model: Mod
             row += n
 
     names = [*(f"k{i}" for i in range(nk)), "row", "n_tokens", "hot", "term", "score", "seg", "keys", "rows"]
-    out = ws.save(plain.mapInArrow(run, f"{kinds}, row long, n_tokens long, hot long, term double, score double, seg int, keys binary, rows binary"), "scored")
+    out = ws.save(source.mapInArrow(run, f"{kinds}, row long, n_tokens long, hot long, term double, score double, seg int, keys binary, rows binary"), "scored")
+    ws.drop("chunks")
     asked = out.where("seg IS NOT NULL").select(F.lit(0).alias("kind"), "seg", "keys", F.col("rows").alias("counts"))
 
     def resolve(batches):
@@ -442,7 +475,8 @@ def op1_lm_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     A null or empty text is the end token alone. A null doc_id is training data. Repeated
     rows count and are scored each. An empty table gives no rows; without training rows every
-    count is 0. Extra columns are ignored. Words are identified by 64-bit hashes.
+    count is 0. Extra columns are ignored. Words are identified by 64-bit hashes. A very long
+    text is scored whole in one task, which holds its tokens.
     """
     ws = Workspace(docs.sparkSession)
     parts = reduce_width(docs)

@@ -54,8 +54,8 @@ def test_lm_counts_by_probing(spark):
     unseen = next(W.blocks(pa.array([" ".join(f"z{i}" for i in range(5000))]), True))
     assert (model.levels(unseen.word, 1) > 0).mean() < 0.06
     assert len(model.filter) <= lm.MAX_BYTES and model.tokens == sum(c.values()) + 400 and model.vocabulary == len(c) + 1
-    small, _ = lm.train(Workspace(spark), docs, "t", 4, max_bytes=1 << 12)
-    assert len(small.filter) <= 1 << 12
+    small, _ = lm.train(Workspace(spark), docs, "t", 4, max_bytes=1 << 8)
+    assert len(small.filter) == 0 and not small.whole and small.filter_bytes == model.filter_bytes == len(model.filter)
     lv = lm.level_of(np.arange(1, 5000))
     est = lm.count_of(lv)
     assert (np.abs(est - np.arange(1, 5000)) <= 0.13 * np.arange(1, 5000) + 1e-9).all()
@@ -77,22 +77,54 @@ def test_lm_is_a_distribution(spark):
     assert 0.8 < total < 1.1
 
 
-def test_lm_filter_grows_with_its_entries(spark, odd, monkeypatch):
-    """However small a round, the filter keeps its bits an entry, and the scores are those of one round."""
+def test_lm_filter_beyond_the_broadcast(spark, odd, monkeypatch):
+    """A filter above the limit is probed where it was built: the same scores, and the bits an entry stay."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    score = lambda d: sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.op1_lm_scores(d).collect())
+    score = lambda d: sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.op1_lm_scores(d).collect())
     want = [score(d) for d in (docs, odd)]
     d = docs.select(docs.text.cast("binary").alias("t"))
     whole, _ = lm.train(Workspace(spark), d, "t", 4)
-    most = len(whole.filter) // 5
-    small, saved = lm.train(Workspace(spark), d, "t", 4, max_bytes=most)
-    parts = [lm.segments(saved, small.round_of, k)[1] for k in range(small.rounds)]
-    assert small.rounds > 3 and all(0 < len(x) <= most for x in parts)
-    assert np.array_equal(np.concatenate(parts), whole.filter) and np.unpackbits(whole.filter).mean() < 0.5
-    defaults = list(lm.train.__defaults__)
-    defaults[-2] = most
-    monkeypatch.setattr(lm.train, "__defaults__", tuple(defaults))
-    assert [score(d) for d in (docs, odd)] == want
+    assert whole.whole and np.unpackbits(whole.filter).mean() < 0.5
+    for hot in (lm.HOT_WORDS, 50):
+        defaults = (*lm.train.__defaults__[:-2], 0, hot)
+        monkeypatch.setattr(lm.train, "__defaults__", defaults)
+        assert [score(d) for d in (docs, odd)] == want
+
+
+def test_lm_score_from_exact_counts(spark):
+    """The score is the interpolation of quantised exact counts but for the filter's false positives, which only raise counts."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    seqs = {d: tokens(x) for d, x in rows}
+    uni, bi = Counter(), Counter()
+    for d, s in seqs.items():
+        if not out(d):
+            uni.update(s)
+            bi.update(zip(["<", *s], s))
+    n, v, texts = sum(uni.values()), len(uni), sum(not out(d) for d in seqs)
+    q = lambda c: float(lm.count_of(lm.level_of(np.array([c])))[0]) if c else 0.0
+    got = {r.doc_id: r for r in lm.op1_lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    near = 0
+    for d, s in seqs.items():
+        total = 0.0
+        for h, w in zip(["<", *s], s):
+            p, c = (q(uni[w]) + 1) / (n + v + 1), texts if h == "<" else q(uni[h])
+            total += math.log10(lm.LAMBDA * min(q(bi[h, w]) / c, 1) + (1 - lm.LAMBDA) * p if c else p)
+        assert got[d].score >= total - 0.02 * len(s)  # a history whose count reads too high
+        near += abs(got[d].score - total) <= 0.08 * len(s)
+    assert near >= 0.95 * len(seqs)
+
+
+def test_lm_repeats_are_told_apart(spark):
+    """A held-out text whose words followed each other once in training scores above one of the same words in another order."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 == 2][:40]
+    free = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    rows = list(zip(free, texts)) + [(i, texts[k]) for k, i in enumerate(held[:20])] + [(i, " ".join(rng.permutation(texts[k].split()))) for k, i in enumerate(held[20:])]
+    got = {r.doc_id: r.score for r in lm.op1_lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in held[:20]) > max(got[i] for i in held[20:])
 
 
 def test_lm_empty(spark, none):
