@@ -3,6 +3,12 @@
 The sketch is a histogram over integer buckets with 32 steps for each power of two
 (relative error below 1/32). Sketches merge by adding counts, so a group's sketch, a
 language's and the whole corpus's all come from one small table of counts.
+
+Every signal is a count over an exposure (symbols over characters, ...). A group's fences lie
+SPREAD interquartile distances beyond its quartiles; the quartiles are drawn towards the
+language's, and these towards the corpus's, with the weight of PRIOR documents, so that a small
+group leans on its parent and a large one stands alone, without a step between. A document
+goes when even the end of its count's confidence interval that is nearer lies beyond a fence.
 """
 
 from __future__ import annotations
@@ -18,18 +24,19 @@ from . import words as W
 from .store import Workspace, binary_text
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Signal: (scaled integer expression, least slack above the spread, whether there is a lower fence too).
+#: Signal: (count, exposure, scale, words or characters that come as one, whether there is a lower fence too).
 SIGNALS = {
-    "word_len": ("100 * word_chars div n_words", 150, True),
-    "symbols": ("10000 * n_symbols div word_chars", 300, False),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 350, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 250, False),
+    "word_len": ("word_chars", "n_words", 100, 1, True),
+    "symbols": ("n_symbols", "word_chars", 10000, 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 16, False),  # an 8-word window and its repetition
 }
-#: Documents from which a group's own sketch is used; smaller groups use their language's, then the corpus's.
-MIN_GROUP = 200
-#: A fence lies this many times the distance between the quartiles beyond the outer one, and a slack further:
-#: up to a quarter of a group may be junk without moving its fence.
+#: Weight of the parent's quartiles, in documents.
+PRIOR = 50
+#: A fence lies this many times the distance between the quartiles beyond the outer one: up to a quarter of a group may be junk without moving it.
 SPREAD = 3
+#: Standard errors of a count (the square root of independent units) on either side of it.
+SURE = 3
 
 
 def _repeats(b: W.Block, k: int = 8) -> np.ndarray:
@@ -110,22 +117,25 @@ def base_failed(p: str = "") -> F.Column:
     return (F.col(p + "n_words") < 20) | (100 * F.col(p + "n_repeat_words") > 30 * F.col(p + "n_words"))
 
 
+def _rate(name: str, p: str = "", sure: int = 0) -> str:
+    """A signal's scaled integer value, at the lower (-1) or upper (1) end of its count's interval."""
+    count, exposure, scale, unit, _ = SIGNALS[name]
+    k, e = f"`{p}{count}`", f"greatest(`{p}{exposure}`, 1)"
+    margin = f"CAST(floor({SURE} * sqrt(CAST({k} * {unit} AS DOUBLE))) AS BIGINT)"
+    return f"({scale} * {k if not sure else f'greatest({k} - {margin}, 0)' if sure < 0 else f'({k} + {margin})'}) div {e}"
+
+
 def sketches(stats: DataFrame, lang: str = "lang", source: str = "source", p: str = "") -> DataFrame:
     """(lang, source, signal, bucket, n): counts of the documents that pass the base rules."""
-    signals = F.array(*(F.struct(F.lit(k).alias("signal"), F.expr(_scaled(e, p)).alias("v")) for k, (e, _, _) in SIGNALS.items()))
+    signals = F.array(*(F.struct(F.lit(k).alias("signal"), F.expr(_rate(k, p)).alias("v")) for k in SIGNALS))
     long = stats.where(~base_failed(p)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(signals).alias("s"))
     return long.groupBy("lang", "source", F.col("s.signal").alias("signal"), bucket(F.col("s.v")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def _scaled(expr: str, p: str) -> str:
-    for k in STATS:
-        expr = expr.replace(k, f"`{p}{k}`")
-    return expr
-
-
 def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, size, low_*, high_*) of every group (0), language (1) and the corpus (2)."""
-    levels = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), F.lit(None).cast("string")), (2, F.lit(None).cast("string"), F.lit(None).cast("string"))]
+    """(lang, source, high_*, low_*) of every group, from its quartiles drawn towards its language's and the corpus's."""
+    none = F.lit(None).cast("string")
+    levels = [(0, F.col("lang"), F.col("source")), (1, F.col("lang"), none), (2, none, none)]
     merged = None
     for k, lang, source in levels:
         part = sketch.groupBy(lang.alias("lang"), source.alias("source"), "signal", "bucket").agg(F.sum("n").alias("n")).withColumn("level", F.lit(k))
@@ -138,35 +148,39 @@ def fences(sketch: DataFrame) -> DataFrame:
         return F.min(F.when(100 * F.col("below") >= pct * F.col("size"), bucket_low(F.col("bucket"))))
 
     q = run.groupBy(*key).agg(F.max("size").alias("size"), quantile(25).alias("q25"), quantile(75).alias("q75"))
-    out = []
-    for k, (_, slack, two) in SIGNALS.items():
-        here = F.col("signal") == k
-        out.append(F.max(F.when(here, F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + slack)).alias(f"high_{k}"))
+
+    def level(k: int) -> DataFrame:
+        return q.where(F.col("level") == k).select("lang", "source", "signal", *(F.col(c).alias(f"{c}_{k}") for c in ("size", "q25", "q75")))
+
+    def drawn(c: str, k: int, parent: F.Column) -> F.Column:
+        return F.floor((F.col(f"size_{k}") * F.col(f"{c}_{k}") + PRIOR * parent) / (F.col(f"size_{k}") + PRIOR)).cast("bigint")
+
+    own, langs, whole = level(0), level(1).drop("source").withColumnRenamed("lang", "l1").withColumnRenamed("signal", "s1"), level(2).drop("lang", "source").withColumnRenamed("signal", "s2")
+    langs = langs.join(whole, langs.s1 == whole.s2).select("l1", "s1", *(drawn(c, 1, F.col(f"{c}_2")).alias(f"{c}_p") for c in ("q25", "q75")))
+    j = own.join(langs, own.lang.eqNullSafe(langs.l1) & (own.signal == langs.s1))
+    j = j.select("lang", "source", "signal", *(drawn(c, 0, F.col(f"{c}_p")).alias(c) for c in ("q25", "q75")))
+    out, wide = [], SPREAD * (F.col("q75") - F.col("q25"))
+    for k, (*_, two) in SIGNALS.items():
+        out.append(F.max(F.when(F.col("signal") == k, F.col("q75") + wide)).alias(f"high_{k}"))
         if two:
-            out.append(F.max(F.when(here, F.col("q25") - SPREAD * (F.col("q75") - F.col("q25")) - slack)).alias(f"low_{k}"))
-    return q.groupBy("level", "lang", "source").agg(F.max("size").alias("size"), *out)
+            out.append(F.max(F.when(F.col("signal") == k, F.col("q25") - wide)).alias(f"low_{k}"))
+    return j.groupBy("lang", "source").agg(*out)
 
 
 def judge(stats: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source", p: str = "", out: str = "kept") -> DataFrame:
     """stats with a boolean column ``out``: passes the base rules and lies within its group's fences.
 
-    Joined on language and source (nulls match nulls). A group of fewer than MIN_GROUP
-    documents takes its language's fences, a small language the corpus's.
+    Joined on language and source (nulls match nulls): a row for each group, so a hot group is met by
+    broadcast or, where groups are very many, by a join that adaptive execution splits.
     """
     names = [c for c in fence.columns if c[:4] in ("high", "low_")]
-    packed = F.struct(*names)
-    own = fence.where((F.col("level") == 0) & (F.col("size") >= MIN_GROUP)).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), packed.alias("__own"))
-    by_lang = fence.where((F.col("level") == 1) & (F.col("size") >= MIN_GROUP)).select(F.col("lang").alias("__l1"), packed.alias("__lang"))
-    whole = fence.where(F.col("level") == 2).select(packed.alias("__all"))
+    own = fence.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), F.struct(*names).alias("__f"))
     j = stats.join(own, stats[lang].eqNullSafe(F.col("__l")) & stats[source].eqNullSafe(F.col("__s")), "left")
-    j = j.join(by_lang, j[lang].eqNullSafe(F.col("__l1")), "left").join(F.broadcast(whole), F.lit(True), "left")  # one row
-    j = j.withColumn("__f", F.coalesce("__own", "__lang", "__all"))
     ok = ~base_failed(p)
-    for k, (e, _, two) in SIGNALS.items():
-        v = F.expr(f"CASE WHEN `{p}n_words` > 0 THEN {_scaled(e, p)} END")
-        ok = ok & (v <= F.col(f"__f.high_{k}"))
+    for k, (*_, two) in SIGNALS.items():
+        ok = ok & (F.expr(_rate(k, p, -1)) <= F.col(f"__f.high_{k}"))
         if two:
-            ok = ok & (v >= F.col(f"__f.low_{k}"))
+            ok = ok & (F.expr(_rate(k, p, 1)) >= F.col(f"__f.low_{k}"))
     return j.withColumn(out, F.coalesce(ok, F.lit(False))).select(*stats.columns, out)
 
 
@@ -175,7 +189,7 @@ def op4_quality_rules(docs: DataFrame) -> DataFrame:
 
     Null or empty texts have zero counts and fail. Ties at a fence are kept. Rows that
     repeat are judged alike. Null languages and sources are groups of their own. An empty
-    table gives no rows. Extra columns are ignored.
+    table gives no rows. Extra columns are ignored. A very long text is counted whole in one task.
     """
     ws = Workspace(docs.sparkSession)
     stats = ws.save(with_stats(docs.select("doc_id", "lang", "source", binary_text("text").alias("text"))).drop("text"), "stats")
@@ -184,7 +198,10 @@ def op4_quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns; texts are read twice and never shuffled by key."""
+    """The documents that pass, with their own columns; texts are read twice and never shuffled by key.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     ws, p = Workspace(docs.sparkSession), "__q_"
     slim = with_stats(docs.select("lang", "source", binary_text("text").alias("text")), prefix=p).drop("text")
     fence = ws.save(fences(sketches(slim, p=p)), "fences")
@@ -192,11 +209,17 @@ def keep_good(docs: DataFrame) -> DataFrame:
     return judge(wide, fence, p=p, out="__q_kept").where("__q_kept").select(*docs.columns)
 
 
+def _sql_rate(name: str, sure: int = 0) -> str:
+    return "CAST(" + _rate(name, "", sure).replace("`", "").replace(" div ", " // ") + " AS BIGINT)"
+
+
 _SQL_FENCES = " AND ".join(
-    f"max(CASE WHEN signal = '{k}' THEN v END) <= max(CASE WHEN signal = '{k}' THEN q75 + {SPREAD} * (q75 - q25) + {slack} END)"
-    + (f" AND max(CASE WHEN signal = '{k}' THEN v END) >= max(CASE WHEN signal = '{k}' THEN q25 - {SPREAD} * (q75 - q25) - {slack} END)" if two else "")
-    for k, (_, slack, two) in SIGNALS.items()
+    f"max(CASE WHEN v.signal = '{k}' THEN lo END) <= max(CASE WHEN v.signal = '{k}' THEN q75 + {SPREAD} * (q75 - q25) END)"
+    + (f" AND max(CASE WHEN v.signal = '{k}' THEN hi END) >= max(CASE WHEN v.signal = '{k}' THEN q25 - {SPREAD} * (q75 - q25) END)" if two else "")
+    for k, (*_, two) in SIGNALS.items()
 )
+_SQL_SIGNALS = ", ".join(f"struct_pack(signal := '{k}', v := {_sql_rate(k)}, lo := {_sql_rate(k, -1)}, hi := {_sql_rate(k, 1)})" for k in SIGNALS)
+_SQL_DRAWN = lambda c, own, parent: f"CAST(floor(CAST({own}.size * {own}.{c} + {PRIOR} * {parent}.{c} AS DOUBLE) / ({own}.size + {PRIOR})) AS BIGINT) AS {c}"
 SQL = f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
@@ -205,15 +228,15 @@ g AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM w, unnest(
 twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, generate_series(0, 7) AS s(k) GROUP BY doc_id),
 s AS (SELECT c.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * n_words AS base_failed FROM c LEFT JOIN r USING (doc_id)),
-v AS (SELECT doc_id, lang, source, signal, v, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b FROM (
-  SELECT doc_id, lang, source, unnest([{", ".join(f"struct_pack(signal := '{k}', v := CAST({e.replace(' div ', ' // ')} AS BIGINT))" for k, (e, _, _) in SIGNALS.items())}], recursive := true) FROM s WHERE NOT base_failed)),
+v AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END AS b FROM (
+  SELECT doc_id, lang, source, unnest([{_SQL_SIGNALS}], recursive := true) FROM s WHERE NOT base_failed)),
 k AS (SELECT 0 AS level, lang, source, signal, b FROM v UNION ALL SELECT 1, lang, NULL, signal, b FROM v UNION ALL SELECT 2, NULL, NULL, signal, b FROM v),
 m AS (SELECT level, lang, source, signal, b, count(*) AS n FROM k GROUP BY ALL),
 o AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, signal ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, signal) AS size FROM m),
 q AS (SELECT level, lang, source, signal, max(size) AS size, min(CASE WHEN 100 * below >= 25 * size THEN b END) AS b25, min(CASE WHEN 100 * below >= 75 * size THEN b END) AS b75 FROM o GROUP BY ALL),
 f AS (SELECT level, lang, source, signal, size, CASE WHEN b25 < 64 THEN b25 ELSE (b25 - 32 * (b25 // 32 - 1)) << (b25 // 32 - 1) END AS q25, CASE WHEN b75 < 64 THEN b75 ELSE (b75 - 32 * (b75 // 32 - 1)) << (b75 // 32 - 1) END AS q75 FROM q),
-j AS (SELECT v.doc_id, v.signal, v.v, f.q25, f.q75 FROM v JOIN f ON v.signal = f.signal AND (f.level = 2 OR f.size >= {MIN_GROUP}) AND (f.level = 2 OR v.lang IS NOT DISTINCT FROM f.lang) AND (f.level > 0 OR v.source IS NOT DISTINCT FROM f.source)
-  QUALIFY row_number() OVER (PARTITION BY v.doc_id, v.signal ORDER BY f.level) = 1),
-d AS (SELECT doc_id, {_SQL_FENCES} AS ok FROM j GROUP BY doc_id)
+fl AS (SELECT a.lang, a.signal, {_SQL_DRAWN("q25", "a", "b")}, {_SQL_DRAWN("q75", "a", "b")} FROM f a JOIN f b USING (signal) WHERE a.level = 1 AND b.level = 2),
+fg AS (SELECT a.lang, a.source, a.signal, {_SQL_DRAWN("q25", "a", "b")}, {_SQL_DRAWN("q75", "a", "b")} FROM f a JOIN fl b ON a.signal = b.signal AND a.lang IS NOT DISTINCT FROM b.lang WHERE a.level = 0),
+d AS (SELECT v.doc_id, {_SQL_FENCES} AS ok FROM v JOIN fg ON v.signal = fg.signal AND v.lang IS NOT DISTINCT FROM fg.lang AND v.source IS NOT DISTINCT FROM fg.source GROUP BY v.doc_id)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, coalesce(ok, false) AS kept FROM s LEFT JOIN d USING (doc_id)
 """

@@ -59,6 +59,34 @@ def test_quality_thresholds(spark):
     assert quality.keep_good(docs).columns == docs.columns
 
 
+def _counts(spark, groups):
+    """A stats frame of groups {(lang, source): rows of the six counts}."""
+    rows = [(i, g[0], g[1], *r) for i, (g, r) in enumerate((g, r) for g, rs in groups.items() for r in rs)]
+    return spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+
+
+@pytest.mark.parametrize("signal,shift", [("word_len", lambda k: (400, 400 * 9 + k % 40, 0, 40, 0, 0)), ("symbols", lambda k: (400, 2000, 300 + k % 40, 40, 0, 0)), ("dup_lines", lambda k: (400, 2000, 0, 40, 18 + k % 3, 0)), ("repeats", lambda k: (400, 2000, 0, 40, 0, 90 + k % 20))])
+def test_every_fence_moves_with_its_group(spark, signal, shift):
+    """A group that is like that throughout keeps its documents; the same document elsewhere goes or has a lower fence."""
+    plain = lambda k: (400, 2000 + k % 40, 0, 40, 0, 0)
+    stats = _counts(spark, {("en", "plain"): [plain(k) for k in range(400)], ("en", "other"): [shift(k) for k in range(400)], ("fr", "plain"): [plain(k) for k in range(400)]})
+    fence = quality.fences(quality.sketches(stats))
+    high = {(r.lang, r.source): r[f"high_{signal}"] for r in fence.collect()}
+    assert high["en", "other"] > 1.3 * high["en", "plain"] + 20 and high["en", "plain"] >= high["fr", "plain"]
+    kept = {r.doc_id: r.kept for r in quality.judge(stats, fence).collect()}
+    assert all(kept.values())
+
+
+def test_small_groups_lean_on_their_language(spark):
+    """The more documents a group has, the nearer its fence is to its own data, without a step."""
+    plain, marked = (400, 2000, 0, 40, 0, 0), (400, 2000, 400, 40, 0, 0)
+    high = []
+    for n in (1, 10, 50, 199, 200, 201, 1000):
+        stats = _counts(spark, {("en", "big"): [plain] * 20_000, ("en", "small"): [marked] * n})
+        high.append(next(r.high_symbols for r in quality.fences(quality.sketches(stats)).collect() if r.source == "small"))
+    assert high == sorted(high) and high[0] < 200 and high[-1] > 1800 and high[5] - high[3] < 20
+
+
 def test_quality_sketch_merges(spark):
     v = [*range(0, 3000, 7), 64, 65, 127, 128, 1 << 40]
     r = spark.createDataFrame([(x,) for x in v], "v long").select("v", quality.bucket(F.col("v")).alias("b")).select("*", quality.bucket_low(F.col("b")).alias("lo")).collect()
