@@ -1,10 +1,14 @@
 """Line dedup by content-defined chunks of lines, in DataFrame operations only.
 
-A rolling hash over the hashes of the last WINDOW lines (60 bits of MD5 each, an older one
-shifted by its age, joined by exclusive or) closes a chunk wherever it is 0 modulo DIVISOR, so an inserted or removed line moves boundaries near it only. A line
-of at least LONG characters (a passage set as one line) is a chunk of its own. Chunks of
-two or more lines with text, and such long lines, that occur more than once in the corpus
-are compared byte for byte; all but the first occurrence are removed.
+Lines without text are passed over. A rolling hash over the hashes of the last WINDOW lines (60
+bits of MD5 each, the older one shifted, joined by exclusive or) closes a chunk wherever it is 0
+modulo DIVISOR, so an inserted or removed line moves boundaries near it only. Text also bounds
+chunks by its amount: a line whose hash modulo SPAN is below its length in characters stands
+alone, so the longer a line, the likelier it is a chunk of its own. Chunks that occur more than
+once in the corpus are the seeds; the windows of two neighbouring lines, compared in the same
+way, extend them to the whole run of repeated lines, whatever the chunks at its ends hold
+besides. Of each repeated chunk or window all but the first occurrence go, after a comparison
+of their lines' bytes. The first line of its kind in the corpus therefore always stays.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
-WINDOW, DIVISOR, LONG = 2, 4, 200
+WINDOW, DIVISOR, SPAN = 2, 4, 256
 #: Rows up to which a side is broadcast (a few dozen bytes each); beyond it the join is by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -30,36 +34,40 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")
 
 
-def chunks(text: Column) -> Column:
-    """Array of (text, eligible) that joins to the whole text with line feeds."""
+def split_lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def with_lines(lines: Column) -> Column:
-        n = F.size(lines)
 
-        def with_hashes(hs: Column) -> Column:
-            def long_line(i: Column) -> Column:
-                return F.length(F.get(lines, i - 1)) >= LONG
+def units(text: Column) -> Column:
+    """Array of (a, b, x): first and last line, from 0, and hash of each chunk and each window of two lines with text."""
 
-            def closes(i: Column) -> Column:
-                roll = F.get(hs, i - 1)
-                for k in range(1, WINDOW):
-                    roll = roll.bitwiseXOR(F.coalesce(F.shiftright(F.get(hs, i - 1 - k), k), F.lit(0).cast("bigint")))
-                return (i == n) | (F.pmod(roll, F.lit(DIVISOR)) == 0) | long_line(i) | F.coalesce(long_line(i + 1), F.lit(False))
+    def of(ls: Column) -> Column:
+        n = F.size(ls)
+        h = lambda k: F.get(ls, k)["h"]
+        alone = lambda k: F.coalesce(F.get(ls, k)["alone"], F.lit(False))
 
-            def with_cuts(cuts: Column) -> Column:
-                def one(end: Column, k: Column) -> Column:
-                    start = F.when(k == 0, 1).otherwise(F.get(cuts, k - 1) + 1)
-                    part = F.slice(lines, start, end - start + 1)
-                    texts = F.size(F.filter(part, lambda x: F.trim(x) != ""))
-                    return F.struct(F.array_join(part, "\n").alias("text"), ((texts >= 2) | ((end == start) & long_line(end))).alias("eligible"))
+        def closes(k: Column) -> Column:
+            roll = h(k)
+            for back in range(1, WINDOW):
+                roll = roll.bitwiseXOR(F.coalesce(F.shiftright(h(k - back), back), F.lit(0).cast("bigint")))
+            return (k == n - 1) | (F.pmod(roll, F.lit(DIVISOR)) == 0) | alone(k) | alone(k + 1)
 
-                return F.transform(cuts, one)
+        def unit(first: Column, last: Column) -> Column:
+            own = F.transform(F.slice(ls, first + 1, last - first + 1), lambda x: x["h"])
+            return F.struct(F.get(ls, first)["i"].alias("a"), F.get(ls, last)["i"].alias("b"), F.xxhash64(own).alias("x"))
 
-            return _let(F.filter(F.sequence(F.lit(1), n), closes), with_cuts)
+        def of_ends(ends: Column) -> Column:
+            spans = F.transform(ends, lambda last, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("first"), last.alias("last")))
+            seeds = F.filter(spans, lambda s: (s["last"] > s["first"] + 1) | ((s["last"] == s["first"]) & alone(s["first"])))  # two lines are a window anyway
+            return F.concat(F.transform(seeds, lambda s: unit(s["first"], s["last"])), windows)
 
-        return _let(F.transform(lines, line_hash), with_hashes)
+        windows = F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda k: unit(k, k + 1))
+        some = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return _let(F.filter(some, closes), of_ends)
 
-    return _let(F.split(text, "\n", -1), with_lines)
+    marked = F.transform(split_lines(text), lambda x, i: F.when(F.trim(x) != "", F.struct(i.alias("i"), line_hash(x).alias("h"), F.length(x).alias("n"))))
+    kept = F.transform(F.filter(marked, lambda x: x.isNotNull()), lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), (F.pmod(x["h"], F.lit(SPAN)) < x["n"]).alias("alone")))
+    return _let(kept, of)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -67,44 +75,60 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out of ``text``, and __n_chunks and __n_removed.
+    """docs with repeated chunks and windows taken out of ``text``, and __n_removed, the number of lines that went.
 
-    The first occurrence (smallest doc_id, nulls first, then place in the text) stays. Rows
-    that share doc_id and text count as one document and keep the same chunks. Null texts stay null.
-    Texts are written once, as chunks; only rows with repeated chunks are compared, and joins
-    that fit are broadcast, so texts are not shuffled unless there are very many of these.
+    The first occurrence (smallest doc_id, nulls first, then text hash, then place in the text) stays. Rows
+    that share doc_id and text count as one document and keep the same lines. Null texts stay null.
+    Only hashes are written and shuffled, and the lines of repeated units for the comparison of bytes;
+    joins that fit are broadcast, so whole texts are not shuffled unless there are very many of these.
     """
     ws = Workspace(docs.sparkSession)
-    key = [F.col("doc_id").alias("__d"), F.xxhash64(text).alias("__h")]
-    each = docs.select(*key, F.posexplode(chunks(F.col(text))).alias("__i", "__c")).where("__c.eligible")
-    each = ws.save(each.select("__d", "__h", "__i", F.xxhash64("__c.text").alias("__x"), F.col("__c.text").alias("__t")), "chunks")
-    again = ws.save(each.groupBy("__x").count().where("count > 1").select("__x"), "repeated")
-    cand = each.join(_small(again), "__x", "left_semi")
-    # grouping by the text itself is the comparison of bytes; the hash only spares the others
-    keep = cand.groupBy("__x", "__t").agg(F.min(F.struct("__d", "__h", "__i")).alias("k")).select("k.*")
-    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("__d", "__h", "__i")]
-    gone = cand.drop("__t").alias("c").join(keep.alias("k"), same[0] & same[1] & same[2], "left_anti")
-    gone = ws.save(gone.groupBy("__d", "__h").agg(F.collect_set("__i").alias("__gone")), "removed")
-    ws.drop("chunks")
-    j = docs.withColumn("__hash", F.xxhash64(text)).join(_small(gone), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")), "left")
-    parts = chunks(F.col(text))
-    left = _let(parts, lambda p: F.array_join(F.transform(F.filter(p, lambda x, i: ~F.array_contains(F.col("__gone"), i)), lambda x: x["text"]), "\n"))
+    doc = {"__d": F.col("doc_id"), "__h": F.xxhash64(text)}
+    each = docs.select(*(c.alias(k) for k, c in doc.items()), F.inline(units(F.col(text)))).select("__d", "__h", "a", "b", "x")
+    each = ws.save(each, "units")
+    place = F.struct("__d", "__h", "a", "b")
+    again = ws.save(each.groupBy("x").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "first"), "repeated")
+    met = each.join(_small(again), "x")
+    later = met.where(~(F.col("first.__d").eqNullSafe(F.col("__d")) & (F.col("first.__h") == F.col("__h")) & (F.col("first.a") == F.col("a"))))
+    spans = later.select("__d", "__h", "a", "b", F.lit(True).alias("goes")).unionAll(again.select("first.*", F.lit(False)))
+    rows = F.flatten(F.collect_list(F.sequence("a", "b")))
+    gone = F.flatten(F.collect_list(F.when(F.col("goes"), F.sequence("a", "b"))))
+    touched = ws.save(spans.groupBy("__d", "__h").agg(F.array_distinct(rows).alias("__all"), F.array_distinct(gone).alias("__gone")), "touched")
+    ws.drop("units")
+
+    keyed = docs.withColumn("__hash", doc["__h"])
+    on = lambda right: F.col("doc_id").eqNullSafe(right["__d"]) & (F.col("__hash") == right["__h"])
+    side = _small(touched.select("__d", "__h", "__all"))
+    lines = keyed.select("doc_id", "__hash", F.col(text).alias("__t")).join(side, on(side)).select("__d", "__h", "__all", split_lines(F.col("__t")).alias("__l"))
+    lines = lines.select("__d", "__h", F.explode("__all").alias("__i"), "__l").select("__d", "__h", "__i", F.get("__l", F.col("__i")).alias("line")).withColumn("hash", line_hash(F.col("line")))
+    differ = ws.save(lines.groupBy("hash").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("hash"), "differ")
+    if differ.limit(1).count():  # lines that only share a hash stay, with what hangs on them
+        wrong = lines.join(_small(differ), "hash").groupBy("__d", "__h").agg(F.collect_set("__i").alias("__wrong"))
+        touched = touched.join(wrong.select(F.col("__d").alias("d"), F.col("__h").alias("h"), "__wrong"), F.col("__d").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")), "left")
+        touched = touched.select("__d", "__h", F.array_except("__gone", F.coalesce("__wrong", F.array().cast("array<int>"))).alias("__gone"))
+    side = _small(touched.where(F.size("__gone") > 0).select("__d", "__h", "__gone"))
+    j = keyed.join(side, on(side), "left")
+    left = _let(split_lines(F.col(text)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
     others = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return j.select(*others, F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("__n_removed"))
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, the remaining text and the number of chunks removed, for every document.
+    """doc_id, the remaining text and the number of lines removed, for every document.
 
-    A null text stays null; a text whose chunks all go becomes empty. Repeated rows (same
+    A null text stays null; a text whose lines all go becomes empty. Repeated rows (same
     doc_id, same text) are one document. An empty table gives no rows; extra columns are ignored.
+    A very long text is an array of its lines in one task, at a cost in proportion to its length.
     """
     return dedup_lines(docs.select("doc_id", "text")).withColumnRenamed("__n_removed", "n_removed")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: documents' own columns, n_chars brought up to date; a document that is emptied goes."""
+    """The pipeline's form: documents' own columns, n_chars brought up to date; a document that is emptied goes.
+
+    Null texts stay; repeated rows are treated alike; an empty table stays empty.
+    """
     out = dedup_lines(docs).where("__n_removed = 0 OR trim(text) != ''")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -112,12 +136,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-WITH l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h, length(line) >= {LONG} AS lng FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)),
-b AS (SELECT *, lag(h) OVER w AS before, lead(lng) OVER w AS nxt, lead(i) OVER w IS NULL AS ends FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, ends OR xor(h, coalesce(before >> 1, 0)) % {DIVISOR} = 0 OR lng OR coalesce(nxt, false) AS closes FROM b),
+WITH a AS (SELECT doc_id, i, line FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)),
+l AS (SELECT *, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h FROM a WHERE trim(line) <> ''),
+m AS (SELECT *, h % {SPAN} < length(line) AS alone FROM l),
+b AS (SELECT *, lag(h) OVER w AS before, lead(alone) OVER w AS nxt, lead(i) OVER w AS j, lead(line) OVER w AS other FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, j IS NULL OR xor(h, coalesce(before >> 1, 0)) % {DIVISOR} = 0 OR alone OR coalesce(nxt, false) AS closes FROM b),
 k AS (SELECT *, coalesce(sum(CASE WHEN closes THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM c),
-t AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS t, count(*) FILTER (trim(line) <> '') >= 2 OR (count(*) = 1 AND bool_or(lng)) AS eligible FROM k GROUP BY doc_id, k),
-f AS (SELECT *, eligible AND row_number() OVER (PARTITION BY eligible, t ORDER BY doc_id, k) > 1 AS gone FROM t),
-o AS (SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed FROM f GROUP BY doc_id)
+t AS (SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS t FROM k GROUP BY doc_id, k HAVING count(*) >= 3 OR (count(*) = 1 AND bool_or(alone))
+      UNION ALL SELECT doc_id, i, j, line || chr(10) || other FROM k WHERE j IS NOT NULL),
+f AS (SELECT doc_id, a, b FROM t QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id, a) > 1),
+g AS (SELECT DISTINCT a.doc_id, i FROM a JOIN f ON a.doc_id = f.doc_id AND i BETWEEN f.a AND f.b),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.i IS NULL), '') AS text, count(g.i) AS n_removed FROM a LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, o.text, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id
 """

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import components, jaccard, lines, packing
 from tessera.llm.store import Workspace
@@ -142,31 +143,31 @@ def spark_hash(s):
     return h - (1 << 64) if h >> 63 else h
 
 
-def py_chunks(text):
-    ls = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in ls]
+def py_units(text):
+    """(first line, last line, text) of the chunks and windows of a text."""
+    ls = [(i, x, int(hashlib.md5(x.encode()).hexdigest()[:15], 16)) for i, x in enumerate(text.split("\n")) if x.strip(" ")]
+    alone = [h % lines.SPAN < len(x) for _, x, h in ls]
     out, start = [], 0
-    for i in range(len(ls)):
-        r = h[i] ^ (h[i - 1] >> 1 if i else 0)
-        if i + 1 == len(ls) or r % 4 == 0 or len(ls[i]) >= 200 or len(ls[i + 1]) >= 200:
-            part = ls[start : i + 1]
-            out.append(("\n".join(part), sum(bool(x.strip(" ")) for x in part) >= 2 or (len(part) == 1 and len(part[0]) >= 200)))
-            start = i + 1
-    return out
+    for k, (_, _, h) in enumerate(ls):
+        r = h ^ (ls[k - 1][2] >> 1 if k else 0)
+        if k + 1 == len(ls) or r % lines.DIVISOR == 0 or alone[k] or alone[k + 1]:
+            if k - start >= 2 or (k == start and alone[k]):
+                out.append((start, k))
+            start = k + 1
+    out += [(k, k + 1) for k in range(len(ls) - 1)]
+    return [(ls[p][0], ls[q][0], "\n".join(x for _, x, _ in ls[p : q + 1])) for p, q in out]
 
 
 def py_dedup(rows):
     """{(doc_id, text): new text}; rows that are equal are one document."""
     docs = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])))
-    seen, out = set(), {}
+    seen, out = {}, {}
+    for d, t in docs:
+        for a, b, x in sorted(py_units(t)):
+            seen.setdefault(x, (d, t, a))
     for d, t in docs:
-        keep = []
-        for c, ok in py_chunks(t):
-            if not ok or c not in seen:
-                keep.append(c)
-            if ok:
-                seen.add(c)
-        out[d, t] = "\n".join(keep)
+        gone = {i for a, b, x in py_units(t) if seen[x] != (d, t, a) for i in range(a, b + 1)}
+        out[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
     return out
 
 
@@ -180,24 +181,35 @@ def test_line_dedup(spark, odd, which):
 
 
 def test_line_dedup_shifts(spark, none):
-    """A shared run of lines is found wherever it stands; lone short lines stay; the pipeline drops emptied documents."""
+    """A shared run of lines goes whole wherever it stands; lines that share nothing with a neighbour stay; the pipeline drops emptied documents."""
     rng = random.Random(2)
-    line = lambda: " ".join(f"t{rng.randrange(10**6)}" for _ in range(8))
-    run = [line() for _ in range(40)]
+    line = lambda n=8: " ".join(f"t{rng.randrange(10**6)}" for _ in range(n))
+    run, short = [line() for _ in range(40)], [line(4) for _ in range(3)]
     long = " ".join(f"p{rng.randrange(10**6)}" for _ in range(60))
-    texts = ["\n".join([line() for _ in range(k)] + run + [line() for _ in range(3)]) for k in range(6)] + [f"{line()}\n{long}\n{line()}", f"{line()}\n{long}", "short\nown " + line(), "short\nmine " + line(), long]
+    texts = ["\n".join([line() for _ in range(k)] + run + [line() for _ in range(3)]) for k in range(6)]
+    texts += [f"{line()}\n{long}\n{line()}", f"{line()}\n{long}", "x\nown " + line(), "x\nmine " + line(), long]
+    texts += ["\n\n".join([line(), *short, line()]), "\n".join([line(), line(), *short, line()])]
     docs = spark.createDataFrame([(i, t, len(t), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, extra string")
     got = {r.doc_id: r.text for r in lines.op9_line_dedup(docs).collect()}
-    assert got[0] == texts[0] and got[6] == texts[6] and got[8] == texts[8] and got[9] == texts[9]
+    assert all(got[i] == texts[i] for i in (0, 6, 8, 9, 11))
     for k in range(1, 6):
-        assert sum(x in got[k].split("\n") for x in run) <= 14
-        assert set(texts[k].split("\n")) - set(run) <= set(got[k].split("\n"))
-    assert long not in got[7] and got[10] == ""
+        assert got[k].split("\n") == [x for x in texts[k].split("\n") if x not in run]
+    assert got[7] == texts[7].split("\n")[0] and got[10] == "" and got[12].split("\n") == [x for x in texts[12].split("\n") if x not in short]
     kept = {r.doc_id: r for r in lines.without_repeats(docs).collect()}
-    assert 10 not in kept and kept[7].n_chars == len(kept[7].text) and set(kept) == set(range(10))
+    assert 10 not in kept and kept[7].n_chars == len(kept[7].text) and set(kept) == set(range(13)) - {10}
     assert lines.op9_line_dedup(none).count() == 0 and lines.without_repeats(none).columns == none.columns
 
 
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With a hash that many lines share, nothing goes whose bytes do not stand elsewhere."""
+    monkeypatch.setattr(lines, "line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(37)))
+    rng = random.Random(9)
+    texts = ["\n".join(f"line {rng.randrange(200)} of all" for _ in range(12)) for _ in range(60)]
+    got = {r.doc_id: r.text for r in lines.op9_line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    left = {x for t in got.values() for x in t.split("\n")}
+    assert left >= {x for t in texts for x in t.split("\n")}
+
+
 def test_packing(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for frame in (docs, odd):
