@@ -33,6 +33,8 @@ MAX_BYTES = 16 << 20
 #: Words in the broadcast table of exact counts (12 bytes each).
 HOT_WORDS = 500_000
 LAMBDA = 0.35
+#: Bytes of the key of a longer n-gram: two such meet by chance in one of 2**48, far below the filter's own errors.
+GRAM_BYTES = 6
 U = W.U
 BEGIN = U(0x3C79AC492BA7B653)
 
@@ -57,7 +59,7 @@ def token_stream(b: W.Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(tok: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-gram that ends at each token, for n = 1 .. order; histories are padded with BEGIN."""
+    """Keys of the n-gram that ends at each token, for n = 1 .. order; histories are padded with BEGIN. Longer ones have GRAM_BYTES."""
     place = np.arange(len(tok)) - np.repeat(at[:-1], np.diff(at))
     out = [tok]
     for n in range(2, order + 1):
@@ -65,10 +67,26 @@ def grams(tok: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
         for back in range(n - 1, -1, -1):
             w = np.where(place >= back, np.roll(tok, back), BEGIN)
             h = h * U(0x9E3779B97F4A7C15) + w
-        out.append(W.mix(h))
+        out.append(W.mix(h) >> U(64 - 8 * GRAM_BYTES) << U(64 - 8 * GRAM_BYTES))
     return out
 
 
+def packed_keys(keys: np.ndarray, at: np.ndarray, order: int) -> pa.Array:
+    """Binary array of slices of keys, without the bytes that are 0."""
+    if order == 1:
+        return blobs(keys, at)
+    own = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 8 - GRAM_BYTES :])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * GRAM_BYTES).astype(np.int32)), pa.py_buffer(own)])
+
+
+def unpacked_keys(raw: bytes, order: int) -> np.ndarray:
+    if order == 1:
+        return np.frombuffer(raw, U)
+    out = np.zeros((len(raw) // GRAM_BYTES, 8), np.uint8)
+    out[:, 8 - GRAM_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, GRAM_BYTES)
+    return out.view(U).ravel()
+
+
 def slots(keys: np.ndarray, level: np.ndarray | int, order: int, size: np.ndarray) -> list[np.ndarray]:
     """Bit positions of (key, level) in segments of the given sizes."""
     g = W.mix(keys + np.atleast_1d(level).astype(U) * U(0xD1B54A32D192ED03) + U(order * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF))
@@ -173,7 +191,7 @@ def _rows(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int, levels: np
             if here.any():
                 narrow = blobs(np.minimum(counts, np.iinfo(kind_of).max).astype(kind_of), at).filter(pa.array(here))
                 own = pa.nulls(int(here.sum()), pa.binary()) if levels is None else blobs(levels, at).filter(pa.array(here))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(narrow), kind), pa.int32()), pa.array(seg[here], pa.int32()), blobs(keys, at).filter(pa.array(here)), narrow, own], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(narrow), kind), pa.int32()), pa.array(seg[here], pa.int32()), packed_keys(keys, at, kind).filter(pa.array(here)), narrow, own], names=_NAMES)
 
 
 def _numbers(counts: bytes, n: int) -> np.ndarray:
@@ -184,8 +202,8 @@ def _counted(batch: pa.RecordBatch, kind: int) -> tuple[np.ndarray, np.ndarray]:
     k, c = [], []
     for which, keys, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
         if which == kind:
-            k.append(np.frombuffer(keys, U))
-            c.append(_numbers(counts, len(keys) // 8))
+            k.append(unpacked_keys(keys, kind))
+            c.append(_numbers(counts, len(k[-1])))
     return (np.concatenate(k), np.concatenate(c)) if k else (np.zeros(0, U), np.zeros(0, np.int64))
 
 
@@ -338,7 +356,7 @@ def routed(ws: Workspace, plain: DataFrame, shared, saved: DataFrame, parts: int
                     keys = np.unique(keys[~m.known(keys)[0]] if n == 1 else keys)
                     seg, cuts = cut(keys, bits)
                     z = len(seg)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(z, n + 1), pa.int32()), pa.array(seg, pa.int32()), blobs(keys, cuts), pa.array(np.full(z, chunk.as_py()), pa.int64())], names=["kind", "seg", "keys", "chunk"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(z, n + 1), pa.int32()), pa.array(seg, pa.int32()), packed_keys(keys, cuts, n), pa.array(np.full(z, chunk.as_py()), pa.int64())], names=["kind", "seg", "keys", "chunk"])
         give_back()
 
     def answer(batches):
@@ -353,8 +371,9 @@ def routed(ws: Workspace, plain: DataFrame, shared, saved: DataFrame, parts: int
             for n in range(1, order + 1):
                 own = np.flatnonzero(kind == n + 1)
                 if len(own):
-                    at = np.concatenate([[0], np.cumsum([len(keys[i].as_buffer()) // 8 for i in own.tolist()])])
-                    level = probe(base, filt, bits, joined(keys.take(pa.array(own)), U), n, top)
+                    raw = [keys[i].as_py() for i in own.tolist()]
+                    at = np.concatenate([[0], np.cumsum([len(x) for x in raw])]) // (8 if n == 1 else GRAM_BYTES)
+                    level = probe(base, filt, bits, unpacked_keys(b"".join(raw), n), n, top)
                     yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(own)), pa.array(np.full(len(own), n), pa.int32()), b.column(1).take(pa.array(own)), blobs(level.astype(np.uint8), at)], names=["chunk", "n", "seg", "levels"])
         give_back()
 
