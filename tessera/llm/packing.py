@@ -1,4 +1,4 @@
-"""Variable-capacity best-fit packing of documents into training sequences."""
+"""Variable-capacity best-fit packing of documents' token ids into training sequences."""
 
 from __future__ import annotations
 
@@ -7,12 +7,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranked
+from .store import binary_text, bounded_batches
+
 #: Permitted sequence lengths, ascending.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence of c tokens: per sequence, per token, per squared token.
 COST = (64.0, 1.0, 1 / 65536)
-#: Documents that one task packs together.
-SHARD = 1 << 15
+#: Documents and tokens that one task packs together, on average.
+SHARD, SHARD_TOKENS = 1 << 15, 1 << 24
+#: Tokens of the sequences that are handed over at once.
+OUT_TOKENS = 1 << 20
 
 
 def cost(c: int, weights: tuple[float, float, float] = COST) -> float:
@@ -68,16 +73,36 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, weig
     return bins, offs, final
 
 
-def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, weights=COST, shard: int = SHARD) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, bin_id, capacity, offset) for a frame of (doc_id, n_tokens >= 1).
+def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids) of every row: the whole text's ids and one end id, the first that the vocabulary leaves free."""
+    bounded_batches(docs.sparkSession)
+    width = ranked.id_bytes(tokenizer)
+
+    def run(batches):
+        from .bpe import read_ranks
+
+        end = [len(read_ranks(tokenizer))]
+        for b in batches:
+            ids = [ranked.encoded(x.decode(), tokenizer, pattern, end, width) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", binary_text(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+
 
+def pack(tokens: DataFrame, width: int, capacities: tuple[int, ...] = CAPACITIES, weights=COST, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Sequences (bin_id, capacity, ids, pieces) of a frame of (doc_id, n_tokens >= 1, ids).
+
+    ``pieces`` are structs (doc_id, piece, start, n_tokens, offset) in the order of their offsets.
     Rows are dealt evenly, whatever their keys, into shards that are packed alone: a task
-    holds at most about ``shard`` rows, and each shard leaves a bin or two partly filled.
-    A document longer than the largest capacity becomes full pieces and a remainder.
+    holds about ``shard`` rows or ``shard_tokens`` tokens, and each shard leaves a bin or two
+    partly filled. A document longer than the largest capacity becomes full pieces and a remainder.
     """
     top = capacities[-1]
-    shards = max(1, -(-lengths.count() // shard))
-    kind = dict(lengths.dtypes)["doc_id"]
+    rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    shards = max(1, -(-rows // shard), -(-total // shard_tokens))
+    kind = dict(tokens.dtypes)["doc_id"]
+    schema = f"bin_id long, capacity long, ids binary, pieces array<struct<doc_id: {kind}, piece: long, start: long, n_tokens: long, offset: long>>"
 
     def run(batches):
         from pyspark import TaskContext
@@ -85,27 +110,44 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, weights=C
         rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if rows is None:
             return
-        n = rows.column("n_tokens").to_numpy()
+        first = TaskContext.get().partitionId() << 32
+        n, ids = rows.column("n_tokens").to_numpy(), rows.column("ids")
         pieces = -(-n // top)
         doc = np.repeat(np.arange(len(n)), pieces)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = piece * top
         size = np.minimum(n[doc] - start, top)
         bins, offs, final = best_fit(size, capacities, weights)
-        bin_id = (TaskContext.get().partitionId() << 32) + bins
-        out = pa.table({"doc_id": rows.column("doc_id").combine_chunks().take(pa.array(doc)), "piece": piece, "start": start, "n_tokens": size, "bin_id": bin_id, "capacity": final[bins], "offset": offs})
-        yield from out.to_batches(max_chunksize=1 << 15)
-
-    dealt = lengths.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens")).repartition(shards)
-    return dealt.mapInArrow(run, f"doc_id {kind}, piece long, start long, n_tokens long, bin_id long, capacity long, offset long")
-
-
-def op2_best_fit_packing(docs: DataFrame) -> DataFrame:
-    """Where every document's tokens go: its pieces, their bins, final capacities and offsets.
-
-    A document's length is its count of words ``[^\\x20\\x09-\\x0D]+`` and one end token, so a
-    null or empty text takes one token. Repeated rows are packed each on their own; ties in
-    length go by position. An empty table gives no rows. Extra columns are ignored.
+        order = np.lexsort((offs, bins))
+        cuts = np.searchsorted(bins[order], np.arange(len(final) + 1))
+        filled = np.add.reduceat(size[order], cuts[:-1])
+        group = np.concatenate([[0], np.cumsum(filled)])[:-1] // OUT_TOKENS
+        for g in range(int(group[-1]) + 1):
+            own = np.flatnonzero(group == g)
+            if not len(own):
+                continue
+            at = order[cuts[own[0]] : cuts[own[-1] + 1]]
+            blobs = [b"".join(ids[int(doc[i])].as_py()[start[i] * width : (start[i] + size[i]) * width] for i in order[cuts[k] : cuts[k + 1]].tolist()) for k in own.tolist()]
+            members = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().take(pa.array(doc[at])), *(pa.array(x[at], pa.int64()) for x in (piece, start, size, offs))], names=["doc_id", "piece", "start", "n_tokens", "offset"])
+            ends = pa.array(np.append(cuts[own], cuts[own[-1] + 1]) - cuts[own[0]], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(first + own), pa.array(final[own]), pa.array(blobs, pa.binary()), pa.ListArray.from_arrays(ends, members)], names=["bin_id", "capacity", "ids", "pieces"])
+
+    return tokens.repartition(shards).mapInArrow(run, schema)
+
+
+def op2_best_fit_packing(docs: DataFrame, tokenizer: str, pattern: str, out: str) -> DataFrame:
+    """Packed sequences below ``out`` and, read back from them, where every document's tokens are.
+
+    Returns (doc_id, piece, start, n_tokens, bin_id, capacity, offset, sequence_crc32), a row for
+    each piece. A null or empty text is its end id alone, under a null doc_id too. Repeated rows are packed each
+    on their own; ties in length go by position. An empty table gives no rows. Extra columns
+    are ignored. A text longer than the largest capacity is cut into pieces; each text is encoded whole.
     """
-    n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1
-    return pack(docs.select("doc_id", n.cast("long").alias("n_tokens")))
+    spark = docs.sparkSession
+    encode(docs, tokenizer, pattern).write.mode("overwrite").parquet(f"{out}/tokens")
+    tokens = spark.read.schema(f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids binary").parquet(f"{out}/tokens")
+    sequences = pack(tokens, ranked.id_bytes(tokenizer))
+    sequences.write.mode("overwrite").parquet(f"{out}/sequences")
+    packed = spark.read.schema(sequences.schema).parquet(f"{out}/sequences")
+    each = packed.select("bin_id", "capacity", F.crc32("ids").alias("sequence_crc32"), F.explode("pieces").alias("p"))
+    return each.select("p.doc_id", "p.piece", "p.start", "p.n_tokens", "bin_id", "capacity", "p.offset", "sequence_crc32")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, quality, rollup, urls
+from . import jaccard, lines, quality, urls
 from .store import shared_dir, table
 
 
@@ -13,9 +13,20 @@ def op1_lm_scores(spark, sf_dir):
 
 
 def op2_best_fit_packing(spark, sf_dir):
+    import public_tokenizers as P
+
     from .packing import op2_best_fit_packing as op
 
-    return op(table(spark, sf_dir, "documents"))
+    return op(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shared_dir(spark))
+
+
+def op3_token_counts(spark, sf_dir):
+    import public_tokenizers as P
+
+    from .rollup import op3_token_counts as op
+
+    versions = {"byte-bpe": P.path("byte_bpe_50k.tiktoken"), "byte-bpe-multi": P.path("byte_bpe_multi_50k.tiktoken")}
+    return op(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_dir(spark), versions, P.PATTERN)
 
 
 def op4_quality_rules(spark, sf_dir):
@@ -60,6 +71,6 @@ def op10_token_files(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_best_fit_packing, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
-} | {"op3_token_counts": rollup.op3_query}
-SQL = {"op3_token_counts": rollup.SQL, "op4_quality_rules": quality.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_url_filters": urls.SQL, "op9_line_dedup": lines.SQL}
+    for f in (op1_lm_scores, op2_best_fit_packing, op3_token_counts, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
+}
+SQL = {"op4_quality_rules": quality.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_url_filters": urls.SQL, "op9_line_dedup": lines.SQL}

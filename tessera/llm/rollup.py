@@ -5,16 +5,16 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop, shared_dir, table
+from . import ranked
+from .store import binary_text, bounded_batches, drop, shared_dir, table
 
 KEYS = ("source", "lang", "version")
 #: Ids up to which a list is broadcast; beyond it texts meet it in a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Token patterns by tokenizer version; they mean the same to Java's and to RE2's engine.
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "marks-2": r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"}
 
 
 class TokenLedger:
@@ -82,7 +82,11 @@ class TokenLedger:
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) of all that is committed; groups that came to nothing are left out."""
         snap, folded = self._snapshot()
-        paths = [f"{self.root}/batches/{b}" for b in self._names("batches") if b not in folded] + ([f"{self.root}/snapshots/{snap}"] if snap else [])
+        return self._sum(snap, [b for b in self._names("batches") if b not in folded])
+
+    def _sum(self, snap: str | None, names: list[str]) -> DataFrame:
+        """Totals of one snapshot and the named batches."""
+        paths = [f"{self.root}/batches/{b}" for b in names] + ([f"{self.root}/snapshots/{snap}"] if snap else [])
         schema = "source string, lang string, version string, n_docs long, n_tokens long"
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -90,34 +94,47 @@ class TokenLedger:
         return sums.where("n_docs != 0 OR n_tokens != 0")
 
     def compact(self) -> None:
-        """Fold the committed batches into one snapshot; what it replaces is removed after it is committed."""
+        """Fold the committed batches into one snapshot; what it replaces is removed after it is committed.
+
+        The batches are listed once: one that is committed meanwhile is neither in the sums nor in the note.
+        """
         snap, folded = self._snapshot()
-        names, new = self.batches(), f"{int(snap or 0) + 1:012d}"
-        if self._commit(self.totals(), f"snapshots/{new}", json.dumps(names)):
-            for b in self._names("batches"):
-                if b in names:
-                    drop(self.spark, f"{self.root}/batches/{b}")
+        present, new = self._names("batches"), f"{int(snap or 0) + 1:012d}"
+        if self._commit(self._sum(snap, [b for b in present if b not in folded]), f"snapshots/{new}", json.dumps(sorted({*present, *folded}))):
+            for b in present:
+                drop(self.spark, f"{self.root}/batches/{b}")
             if snap:
                 drop(self.spark, f"{self.root}/snapshots/{snap}")
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each document and tokenizer version, with its token count."""
-    each = F.array(*(F.struct(F.lit(v).alias("version"), F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long").alias("n_tokens")) for v, p in VERSIONS.items()))
-    return docs.withColumn("__v", F.explode(each)).select("doc_id", "source", "lang", F.col("__v.version").alias("version"), F.col("__v.n_tokens").alias("n_tokens"))
+def counted(docs: DataFrame, versions: dict[str, str], pattern: str, text: str = "text") -> DataFrame:
+    """(doc_id, source, lang, version, n_tokens): a row for each document and tokenizer version (name and rank file), whole texts encoded."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = [x.decode() for x in b.column(3).to_pylist()]
+            for name, path in versions.items():
+                n = pa.array([ranked.count(x, path, pattern) for x in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * len(texts)), n], names=["doc_id", "source", "lang", "version", "n_tokens"])
+
+    slim = docs.select("doc_id", "source", "lang", binary_text(text).alias("t"))
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, source string, lang string, version string, n_tokens long")
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
     return counts.withColumn("sign", F.lit(sign))
 
 
-def op3_token_counts(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame:
+def op3_token_counts(docs: DataFrame, labels: DataFrame, root: str, versions: dict[str, str], pattern: str) -> DataFrame:
     """Totals after four batches, two of them sent twice.
 
-    load: all documents under both tokenizer versions. retract: documents labelled toxic.
-    revise: other documents labelled of low quality, now without repeats of a line. Null
-    texts count 0 tokens; a label without a document changes nothing; repeated rows count
-    each time, repeated labels once.
+    load: all documents under all tokenizer versions. retract: documents labelled toxic.
+    revise: other documents labelled of low quality, now without repeats of a line. Null and empty
+    texts count 0 tokens; null sources and languages are keys of their own; a document without an id is
+    loaded and never revised; a label without a document changes nothing; repeated rows count each time,
+    repeated labels once. An empty table of documents gives no rows, an empty one of labels changes
+    nothing; extra columns are ignored. A very long text is encoded whole in one task.
     """
     spark = docs.sparkSession
     ledger = TokenLedger(spark, root)
@@ -126,34 +143,17 @@ def op3_token_counts(docs: DataFrame, labels: DataFrame, root: str) -> DataFrame
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
     # counts are recorded once; deletes and revisions take back what was recorded, in rows without texts
     recorded = f"{root}/counts"
-    counted(docs).write.mode("overwrite").parquet(recorded)
-    counts = spark.read.schema("doc_id long, source string, lang string, version string, n_tokens long").parquet(recorded)
+    first = counted(docs, versions, pattern)
+    first.write.mode("overwrite").parquet(recorded)
+    counts = spark.read.schema(first.schema).parquet(recorded)
     load = signed(counts, 1)
     ledger.apply("0-load", load)
     ledger.apply("0-load", load)
     ledger.apply("1-retract", signed(counts.join(toxic, "doc_id", "left_semi"), -1))
     ids = F.broadcast(poor) if poor.count() <= BROADCAST_ROWS else poor
     new = docs.join(ids, "doc_id", "left_semi").withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n")), "\n"))
-    revise = signed(counts.join(poor, "doc_id", "left_semi"), -1).unionByName(signed(counted(new), 1))
+    revise = signed(counts.join(poor, "doc_id", "left_semi"), -1).unionByName(signed(counted(new, versions, pattern), 1))
     ledger.apply("2-revise", revise)
     ledger.compact()
     ledger.apply("2-revise", revise)
     return ledger.totals()
-
-
-def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op3_token_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), shared_dir(spark))
-
-
-_COUNTS = "\n    UNION ALL ".join(f"SELECT doc_id, source, lang, '{v}' AS version, coalesce(len(regexp_extract_all({{0}}, '{p}')), 0) AS n FROM {{1}}" for v, p in VERSIONS.items())
-SQL = f"""
-WITH toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
-poor AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM toxic)),
-numbered AS (SELECT d.doc_id, u.line, u.i FROM documents d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY AS u(line, i) WHERE d.doc_id IN (SELECT doc_id FROM poor)),
-firsts AS (SELECT doc_id, line, min(i) AS i FROM numbered GROUP BY ALL),
-shorter AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS short FROM firsts GROUP BY doc_id),
-revised AS (SELECT d.doc_id, d.source, d.lang, s.short FROM documents d JOIN shorter s USING (doc_id)),
-now AS ({_COUNTS.format("text", "documents WHERE doc_id NOT IN (SELECT doc_id FROM toxic) AND doc_id NOT IN (SELECT doc_id FROM poor)")}
-    UNION ALL {_COUNTS.format("short", "revised")})
-SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM now GROUP BY ALL
-"""

@@ -1,14 +1,18 @@
+import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import components, jaccard, lines, packing
-from tessera.llm.store import Workspace
+from tessera.llm.store import Workspace, shared_dir
 from tests.conftest import SF
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -210,48 +214,64 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert left >= {x for t in texts for x in t.split("\n")}
 
 
-def test_packing(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for frame in (docs, odd):
-        rows = packing.op2_best_fit_packing(frame).collect()
-        want = sorted(len(WORD.findall((r.text or "").encode())) + 1 for r in frame.collect())
-        firsts = {}
+TOKENIZER = P.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(TOKENIZER, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: [*enc.encode_ordinary(text or ""), 50256]
+
+
+def test_packing(spark, odd, none, library):
+    """Every sequence is whole pieces side by side, downsized to its contents; from them every document comes back."""
+    for frame in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
+        out = shared_dir(spark)
+        rows = packing.op2_best_fit_packing(frame, TOKENIZER, P.PATTERN, out).collect()
+        sequences = {r.bin_id: r for r in spark.read.parquet(f"{out}/sequences").collect()}
+        docs = {}
         for r in rows:
-            firsts.setdefault((r.bin_id, r.capacity), []).append((r.offset, r.n_tokens))
-        assert len({b for b, _ in firsts}) == len(firsts)
-        for (_, cap), parts in firsts.items():
-            end = 0
-            for o, n in sorted(parts):
-                assert o == end and n > 0
-                end += n
-            assert cap == min(c for c in packing.CAPACITIES if c >= end)
-        assert sum(r.n_tokens for r in rows) == sum(want)
-    assert packing.op2_best_fit_packing(none).count() == 0
-    tokens = sum(r.n_tokens for r in packing.op2_best_fit_packing(docs).collect())
-    space = sum(c for _, c in {(r.bin_id, r.capacity) for r in packing.op2_best_fit_packing(docs).collect()})
-    assert tokens / space > 0.95
+            s = sequences[r.bin_id]
+            ids = np.frombuffer(s.ids, "<u2")
+            assert r.capacity == s.capacity == min(c for c in packing.CAPACITIES if c >= len(ids)) and zlib.crc32(s.ids) == r.sequence_crc32
+            docs.setdefault(r.doc_id, []).append((r.piece, r.start, ids[r.offset : r.offset + r.n_tokens].tolist()))
+        for b, s in sequences.items():
+            spans = sorted((r.offset, r.n_tokens) for r in rows if r.bin_id == b)
+            assert [o for o, _ in spans] == np.cumsum([0, *(n for _, n in spans)])[:-1].tolist() and len(s.ids) == 2 * sum(n for _, n in spans)
+        want = {}
+        for r in frame.collect():
+            want.setdefault(r.doc_id, []).append(library(r.text))
+        for d, texts in want.items():
+            if len(texts) == 1:
+                assert sum((x for _, _, x in sorted(docs[d])), []) == texts[0]
+            assert sum(len(x) for *_, x in docs[d]) == sum(map(len, texts))
+        assert set(docs) == set(want)
+        tokens, space = sum(r.n_tokens for r in rows), sum(s.capacity for s in sequences.values())
+    assert packing.op2_best_fit_packing(none, TOKENIZER, P.PATTERN, shared_dir(spark)).count() == 0
+    assert tokens / space > 0.9
 
 
 def test_best_fit_against_plain_search():
-    """The bit mask finds the same bin sizes as a search over all open bins."""
+    """Piece by piece the choices of a search over all open bins: tightest room, else the size of least cost, then downsizing."""
     rng = np.random.default_rng(4)
     for _ in range(20):
         n = rng.integers(1, 8193, rng.integers(1, 300))
         bins, offs, final = packing.best_fit(n)
-        room, caps = [], []
+        room, used = {}, {}
         order = np.argsort(-n, kind="stable")
         for at, i in enumerate(order):
-            fits = [r for r in room if r >= n[i]]
+            b, fits = int(bins[i]), [r for r in room.values() if r >= n[i]]
             if fits:
-                room[room.index(min(fits))] -= n[i]
-                continue
-            rest = n[order[at + 1 :]]
-            best = min((packing.cost(c) / (n[i] + min(c - n[i], max(0, rest[rest <= c - n[i]].sum() - sum(room)))), c) for c in packing.CAPACITIES if c >= n[i])[1]
-            caps.append(best)
-            room.append(best - n[i])
-        assert len(final) == len(room)
-        used = np.bincount(bins, weights=n).astype(int)
-        assert (final >= used).all()
+                assert room[b] == min(fits) and offs[i] == used[b]
+            else:
+                rest = n[order[at + 1 :]]
+                size = min((packing.cost(c) / (n[i] + min(c - n[i], max(0, rest[rest <= c - n[i]].sum() - sum(room.values())))), c) for c in packing.CAPACITIES if c >= n[i])[1]
+                assert b == len(room) and offs[i] == 0
+                room[b], used[b] = size, 0
+            room[b] -= n[i]
+            used[b] += n[i]
+        assert final.tolist() == [min(c for c in packing.CAPACITIES if c >= used[b]) for b in range(len(used))]
     assert len(packing.best_fit(np.zeros(0, np.int64))[2]) == 0
 
 
@@ -269,7 +289,7 @@ def test_pipeline(spark):
     assert cp.run(spark, SF).select("doc_id").distinct().count() == seen[2]
 
 
-def test_pipeline_against_sql_and_counts(spark):
+def test_pipeline_against_sql_and_counts(spark, library):
     """The first three stages follow in SQL, each on the rows the one before kept; packing places every token of what is left."""
     import corpus_pipeline as cp
     import duckdb
@@ -286,7 +306,7 @@ def test_pipeline_against_sql_and_counts(spark):
         con.execute(f"CREATE TABLE next AS {step}")
         con.execute("DROP TABLE documents")
         con.execute("ALTER TABLE next RENAME TO documents")
-    want = {d: len(WORD.findall((t or "").encode())) + 1 for d, t in con.execute("SELECT doc_id, text FROM documents").fetchall()}
+    want = {d: len(library(t)) for d, t in con.execute("SELECT doc_id, text FROM documents").fetchall()}
     got, bins = {}, {}
     for r in cp.run(spark, SF).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens

@@ -1,3 +1,4 @@
+import base64
 import math
 import re
 import zlib
@@ -5,7 +6,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 
 from tessera.llm import ann, lm, rollup, urls
 from tessera.llm.store import Workspace, shared_dir
@@ -232,15 +235,35 @@ def duck(sql, sf=SF):
     return con.execute(sql).fetchall()
 
 
-def test_rollup_against_sql(spark):
-    got = [tuple(r) for r in rollup.op3_query(spark, SF).collect()]
-    assert sorted(got) == sorted(duck(rollup.SQL))
+VERSIONS = {"one": P.path("byte_bpe_50k.tiktoken"), "multi": P.path("byte_bpe_multi_50k.tiktoken")}
+
+
+def library(path):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_rollup_against_plain_counts(spark):
+    """All batches at once: what is left of the documents, counted by the library."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in labels if r.toxic == 1}
+    poor = {r.doc_id for r in labels if r.quality == 0} - toxic
+    want = Counter()
+    for name, path in VERSIONS.items():
+        enc = library(path)
+        for r in docs:
+            if r.doc_id not in toxic:
+                text = "\n".join(dict.fromkeys(r.text.split("\n"))) if r.doc_id in poor else r.text
+                want[r.source, r.lang, name, "docs"] += 1
+                want[r.source, r.lang, name, "tokens"] += len(enc.encode_ordinary(text))
+    got = rollup.op3_token_counts(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), shared_dir(spark), VERSIONS, P.PATTERN).collect()
+    assert {(r.source, r.lang, r.version, k): v for r in got for k, v in (("docs", r.n_docs), ("tokens", r.n_tokens))} == dict(want)
 
 
 def test_rollup_batches_once(spark, odd, none):
     led = rollup.TokenLedger(spark, shared_dir(spark))
     assert led.totals().count() == 0
-    n = rollup.counted(odd)
+    n = rollup.counted(odd, VERSIONS, P.PATTERN)
     assert led.apply("b1", rollup.signed(n, 1)) and not led.apply("b1", rollup.signed(n, 1))
     first = sorted(map(repr, led.totals().collect()))
     led.compact()
@@ -251,9 +274,27 @@ def test_rollup_batches_once(spark, odd, none):
     assert again.totals().count() == 0
     led.compact()
     assert led.batches() == ["b1", "b2"] and led.totals().count() == 0
-    assert led.apply("b3", rollup.signed(rollup.counted(none), 1))
-    assert rollup.op3_token_counts(none, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"), shared_dir(spark)).count() == 0
-    assert sum(r.n_docs for r in rollup.op3_token_counts(odd, spark.createDataFrame([(5, 0, 0), (5, 0, 0), (7, 1, 1), (999, 0, 1)], "doc_id long, quality int, toxic int"), shared_dir(spark)).collect()) == 2 * (odd.count() - 1)
+    assert led.apply("b3", rollup.signed(rollup.counted(none, VERSIONS, P.PATTERN), 1))
+    op = lambda docs, labels: rollup.op3_token_counts(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), shared_dir(spark), VERSIONS, P.PATTERN)
+    assert op(none, [(1, 1, 1)]).count() == 0
+    assert sum(r.n_docs for r in op(odd, [(5, 0, 0), (5, 0, 0), (7, 1, 1), (999, 0, 1)]).collect()) == 2 * (odd.count() - 1)
+    assert sum(r.n_docs for r in op(odd, []).collect()) == 2 * odd.count()
+
+
+def test_rollup_commit_during_compaction(spark, odd, monkeypatch):
+    """A batch that is committed while older ones are folded is counted once."""
+    led, n = rollup.TokenLedger(spark, shared_dir(spark)), rollup.counted(odd, VERSIONS, P.PATTERN)
+    led.apply("b1", rollup.signed(n, 1))
+    commit = led._commit
+
+    def between(df, to, note=""):
+        if to.startswith("snapshots"):
+            commit(rollup.signed(n, 1).groupBy(*rollup.KEYS).agg(*(rollup.F.sum(c).cast("long").alias(a) for c, a in (("sign", "n_docs"), ("n_tokens", "n_tokens")))), "batches/b2")
+        return commit(df, to, note)
+
+    monkeypatch.setattr(led, "_commit", between)
+    led.compact()
+    assert led.batches() == ["b1", "b2"] and sum(r.n_docs for r in led.totals().collect()) == 4 * odd.count()
 
 
 def py_rule(host, path):
