@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import jaccard, lines, packing, quality
-from tessera.llm.store import Workspace, table
+from tessera.llm.store import Workspace, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +24,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document's tokens go."""
-    return packing.op2_best_fit_packing(docs)
+    """Packed sequences of token ids in the shared folder, and where each document's tokens are in them."""
+    import public_tokenizers as P
+
+    return packing.op2_best_fit_packing(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shared_dir(spark))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("ngram_jaccard", ngram_jaccard), ("best_fit_packing", best_fit_packing)]
-#: Content-defined boundaries and packing by hash and position have no SQL form; tests hold the stages against brute force.
+#: Packing follows positions in shards and token ids, which SQL does not have; tests hold the first three stages against SQL and packing against the tokenizer and a plain search.
 ORACLE_SQL = None
 
 
