@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 
 from .store import Workspace
 
+#: Rows under one key from which it is a hub, and the most hubs that are broadcast.
+HUB, MOST_HUBS = 256, 500_000
+
+
+def meet(many: DataFrame, one: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key and, in ``size``, the number of rows that ``many`` has under it.
+
+    ``total`` is the number of rows of ``many``. Keys of more than total / MOST_HUBS rows (or HUB, if that is more) meet their row
+    by broadcast: there are fewer than MOST_HUBS of them, whatever the data. All other keys meet in a shuffle, where none is hot.
+    """
+    if total <= HUB:
+        return many.join(one.drop(size), key)
+    least = max(HUB, total // MOST_HUBS)
+    hubs = F.broadcast(one.where(F.col(size) > least).drop(size))
+    rest = many.join(hubs.select(key), key, "left_anti").join(one.where(F.col(size) <= least).drop(size), key)
+    return many.join(hubs, key).unionByName(rest)
+
 
 def components(ws: Workspace, edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
     """(node, component) of every node that has an edge to another; component is the smallest node reached.
 
     Each round is written to the shared folder, so a lost executor costs one round. Rounds
     go on until the stars no longer change (logarithmic in the number of nodes). Null ends
-    and self links are ignored; repeated links count once.
+    and self links are ignored; repeated links count once. A hub's edges stay where they are:
+    its least neighbour is summed up before the shuffle and broadcast to them.
     """
     hi, lo = F.col("hi"), F.col("lo")
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(
@@ -24,14 +42,16 @@ def components(ws: Workspace, edges: DataFrame, a: str, b: str, name: str = "cc"
         state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if state == seen or state[0] == 0:
             break
-        seen = state
+        seen, total = state, state[0]
+        step += 1
         both = e.select(hi.alias("u"), lo.alias("v")).unionAll(e.select(lo.alias("u"), hi.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(small, "hi")
+        least = ws.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least-{step}")
+        large = meet(both, least, "u", "n", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = ws.save(large, f"{name}-large-{step}")
+        small = ws.save(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), f"{name}-small-{step}")
+        joined = meet(large, small, "hi", "n", total)
         out = joined.where(lo != F.col("m")).select(lo.alias("hi"), F.col("m").alias("lo")).unionAll(small.select("hi", F.col("m").alias("lo")))
-        step += 1
         e = ws.save(out.distinct(), f"{name}-{step}")
-        ws.drop(f"{name}-{step - 1}")
+        for old in (f"{name}-{step - 1}", f"{name}-least-{step}", f"{name}-large-{step}", f"{name}-small-{step}"):
+            ws.drop(old)
     return e.select(hi.alias("node"), lo.alias("component")).unionAll(e.select(lo.alias("node"), lo.alias("component")).distinct())

@@ -10,9 +10,11 @@ exact intersection of the sorted arrays.
 
 First only neighbours in each group are compared, which connects many near copies by a
 chain; then all remaining pairs between different components. Small groups list their pairs.
-Members of large groups are cut into tiles by size band and compared tile by tile inside a
-task, so their pairs are never rows: a tile is sent once for each tile it is compared with,
-and only the links that join two components come out. No link between components is missed.
+Members of large groups are cut into tiles by size band and compared tile by tile, so their
+pairs are never rows. The tiles of one band and those of the same or the next band make a grid
+that is dealt out in cells of SIDE by SIDE tiles: a tile is sent once for each cell of its row
+or column, a task holds a cell's tiles, and only the links that join two components come out.
+No link between components is missed.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import components, meet
 from .lm import level_of
 from .segments import FLUSH, blobs, dealt, give_back, joined, segment_bits, sum_by_key
 from .store import Workspace, binary_text, reduce_width
@@ -35,6 +37,8 @@ COUNTED, FREQUENT, MAX_FREQUENT = 0.3, 40, 2_000_000
 #: Sets of a token's group from which it is compared in tiles, sets and tokens of a tile (on average), and the
 #: ratio of sizes that a band spans: above 1 / 0.8, so that similar sets lie in one band or in adjacent ones.
 LARGE, TILE, TILE_TOKENS, BAND = 32, 256, 500_000, 1.26
+#: Tiles on each side of a cell.
+SIDE = 4
 #: Rows up to which an id list is broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 U = W.U
@@ -314,8 +318,10 @@ class Verifier:
         ws = self.ws
         m = members.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
         m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int"))
-        counts = m.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"))
-        m = m.join(counts, ["cluster", "band"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        m = ws.save(m.withColumn("group", F.xxhash64("cluster", "band")), f"{name}-members")
+        counts = m.groupBy("group", "cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"), F.count("*").alias("rows"))
+        counts = ws.save(counts, f"{name}-counts")
+        m = meet(m.drop("cluster", "band"), counts, "group", "rows", m.count()).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         m = m.join(self.sets(members.select("fp"), name), "fp")
 
         def pack(table: pa.Table) -> pa.Table:
@@ -327,9 +333,23 @@ class Verifier:
 
         schema = "cluster long, band int, t int, fps binary, labels binary, at binary, sets binary"
         tiles = ws.save(m.select("cluster", "band", "t", "fp", "label", "set").groupBy("cluster", "band", "t").applyInArrow(pack, schema), f"{name}-tiles")
-        x = tiles.select("cluster", "band", "t", *(F.col(c).alias(f"x_{c}") for c in ("fps", "labels", "at", "sets")))
-        y = tiles.select("cluster", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
-        both = x.join(y, ["cluster", "band"]).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop("cluster", "band", "own", "t", "u")
+        sides = ws.save(counts.select("cluster", "band", F.ceil(F.col("tiles") / SIDE).cast("int").alias("side")), f"{name}-sides")
+        beside = lambda by, c: sides.select("cluster", (F.col("band") + by).alias("band"), F.col("side").alias(c))
+        dealt_tiles = tiles.join(sides, ["cluster", "band"])
+        at = lambda n: F.sequence(F.lit(0), n - 1)
+        none = F.array().cast("array<struct<other: int, k: int>>")
+
+        def places(other: str, band) -> F.Column:
+            own = F.transform(at(F.col("side")), lambda k: F.struct(F.col("band").alias("other"), k.alias("k")))
+            return F.concat(own, F.when(F.col(other).isNull(), none).otherwise(F.transform(at(F.col(other)), lambda k: F.struct(band.alias("other"), k.alias("k")))))
+
+        # x lies in row t of its band's grid and goes to all columns, y in column u and goes to all rows
+        x = dealt_tiles.join(beside(-1, "above"), ["cluster", "band"], "left").withColumn("p", F.explode(places("above", F.col("band") + 1)))
+        x = x.select("cluster", "band", F.col("p.other").alias("own"), (F.col("t") % F.col("side")).alias("i"), F.col("p.k").alias("j"), "t", *(F.col(c).alias(f"x_{c}") for c in ("fps", "labels", "at", "sets")))
+        y = dealt_tiles.join(beside(1, "below"), ["cluster", "band"], "left").withColumn("p", F.explode(places("below", F.col("band") - 1)))
+        y = y.select("cluster", F.col("p.other").alias("band"), F.col("band").alias("own"), F.col("p.k").alias("i"), (F.col("t") % F.col("side")).alias("j"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
+        cell = ["cluster", "band", "own", "i", "j"]
+        both = x.join(y, cell).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop(*cell, "t", "u")
 
         def compare(batches):
             for b in batches:
@@ -428,8 +448,9 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rep = nodes.select("fp", F.col("doc_id").alias("rep"))
     links = chains.unionAll(rest).unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile"))
     comp = components(ws, links, "a", "b", "all-cc").select(F.col("node").alias("fp"), "component")
-    least = comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"))
-    first = comp.join(least, "component").select("fp", "first", "component")
+    comp = ws.save(comp, "components")
+    least = ws.save(comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "least")
+    first = meet(comp, least, "component", "n", comp.count()).select("fp", "first", "component")
     of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "fp").alias("label")), "node-components")
     out = sets.join(of_node, "fp", "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")

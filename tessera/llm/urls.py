@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, meet
 from .store import Workspace
 
 #: (verdict, rule) of the query's rule list.
@@ -101,8 +101,8 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     comp = ws.save(components(ws, links, "a", "b", "urls"), "components")
     as_url = F.concat(F.lit("http://"), F.col("node"))
     own = comp.withColumn("v", rule_for(host_of(as_url), path_of(as_url), rules)["verdict"])
-    decided = own.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"))
-    spread = comp.join(decided, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("by_alias"))
+    decided = own.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"), F.count("*").alias("n"))
+    spread = meet(comp, ws.save(decided, "decided"), "component", "n", comp.count()).select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("by_alias"))
     j = p.join(spread, "node", "left")
     return j.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "by_alias", F.lit("allow")).alias("verdict"))
 

@@ -74,12 +74,12 @@ def test_jaccard_chains_and_thresholds(spark):
     rng.shuffle(texts)
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want, old = groups(rows), (jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE)
+    want, old = groups(rows), (jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE, jaccard.SIDE)
     try:
-        for jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE in (old, (3, 32, 256), (40, 2, 4)):
+        for jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE, jaccard.SIDE in (old, (3, 32, 256, 4), (40, 2, 4, 2)):
             assert got_groups(docs) == want
     finally:
-        jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE = old
+        jaccard.FREQUENT, jaccard.LARGE, jaccard.TILE, jaccard.SIDE = old
 
 
 def test_jaccard_kernels():
@@ -142,6 +142,26 @@ def test_components(spark):
     assert got == {x: min(c) for x, c in at.items()}
 
 
+def test_components_of_a_hub(spark):
+    """100,000 aliases of one node and a second hub that meets it: their edges meet the hub's least neighbour without a shuffle on the hub."""
+    from pyspark.sql import functions as F
+
+    star = spark.range(100_000).select((F.col("id") + 10).alias("a"), F.lit(5).cast("long").alias("b"))
+    more = spark.range(3000).select((F.col("id") + 200_000).alias("a"), F.lit(199_999).cast("long").alias("b"))
+    df = star.unionAll(more).unionAll(spark.createDataFrame([(199_999, 77_777)], "a long, b long"))
+    got = components.components(Workspace(spark), df, "a", "b")
+    assert got.count() == 100_000 + 3000 + 2 and [r.component for r in got.select("component").distinct().collect()] == [5]
+
+
+def test_hot_keys_meet_by_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = components.meet(many, one, "k", "n", 3000)
+    assert sorted(map(tuple, got.select("k", "id", "top").collect())) == sorted((1 if i < 2000 else i, i, 1999 if i < 2000 else i) for i in range(3000))
+
+
 def spark_hash(s):
     h = xxhash.xxh64_intdigest(s.encode(), seed=42)
     return h - (1 << 64) if h >> 63 else h
