@@ -7,7 +7,9 @@ rejected packet yields an error_code and never fails the job.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, replace
 from decimal import Decimal
 
 import numpy as np
@@ -22,6 +24,8 @@ from .errors import Rejected
 _PACKET_FIELDS = "file_id string, seq long, byte_offset long, epoch_id long, kind string, stream_id int, pts decimal(20,0), duration long, payload binary, error_code string"
 PACKETS = _PACKET_FIELDS
 FRAMES = "file_id string, epoch_id long, stream_id int, pts decimal(20,0), frame_id decimal(20,0), width int, height int, y binary, u binary, v binary, error_code string"
+#: Bytes of decoded frames that are handed on together.
+FRAME_BYTES = 8 << 20
 PCM = "file_id string, epoch_id long, stream_id int, pts decimal(20,0), rate int, channels int, samples array<short>, error_code string"
 
 
@@ -70,12 +74,12 @@ def scan_rows(file_id: str, data: bytes, at: int, end: int, epoch: int | None, s
         at, seq = at + p.size, seq + 1
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
     """All packets of files (file_id, content), in file order; a bad prefix is one row with an error_code."""
 
     def one(r: dict) -> Iterator[tuple]:
         try:
-            prefix = wire.parse_prefix(r["content"])
+            prefix = wire.parse_prefix(r["content"], magic)
         except Rejected as e:
             yield r["file_id"], 0, 0, None, None, None, None, None, None, e.code
             return
@@ -96,27 +100,27 @@ def epoch_rows(file_id: str, p: wire.Prefix) -> list[tuple]:
     return [(file_id, e.id, u64(e.pts), u64(e.offset), u64(e.length), e.duration) for e in p.epochs]
 
 
-def streams_of(files: DataFrame) -> DataFrame:
-    return _rows(files.select("file_id", "content"), STREAMS, lambda r: iter(stream_rows(r["file_id"], _prefix(r["content"]))))
+def streams_of(files: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
+    return _rows(files.select("file_id", "content"), STREAMS, lambda r: iter(stream_rows(r["file_id"], _prefix(r["content"], magic))))
 
 
-def epochs_of(files: DataFrame) -> DataFrame:
-    return _rows(files.select("file_id", "content"), EPOCHS, lambda r: iter(epoch_rows(r["file_id"], _prefix(r["content"]))))
+def epochs_of(files: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
+    return _rows(files.select("file_id", "content"), EPOCHS, lambda r: iter(epoch_rows(r["file_id"], _prefix(r["content"], magic))))
 
 
-def _prefix(data: bytes) -> wire.Prefix:
+def _prefix(data: bytes, magic: bytes) -> wire.Prefix:
     try:
-        return wire.parse_prefix(data)
+        return wire.parse_prefix(data, magic)
     except Rejected:
         return wire.Prefix(0)
 
 
-def inspect(files: DataFrame) -> DataFrame:
+def inspect(files: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
     """Epochs of every file with the stream count and whether their range lies inside the file."""
     sizes = files.select("file_id", F.octet_length("content").alias("file_bytes"))
-    n = streams_of(files).groupBy("file_id").agg(F.count("*").alias("streams"))
+    n = streams_of(files, magic).groupBy("file_id").agg(F.count("*").alias("streams"))
     inside = F.col("byte_offset") + F.col("byte_len") <= F.col("file_bytes")
-    return epochs_of(files).join(sizes, "file_id").join(n, "file_id", "left").select("file_id", "streams", "epoch_id", "pts", "byte_offset", "byte_len", "duration", F.when(~inside, "BadFront").alias("error_code"))
+    return epochs_of(files, magic).join(sizes, "file_id").join(n, "file_id", "left").select("file_id", "streams", "epoch_id", "pts", "byte_offset", "byte_len", "duration", F.when(~inside, "BadFront").alias("error_code"))
 
 
 def byte_value(payload: Column | str, at: int, n: int) -> Column:
@@ -161,12 +165,18 @@ def decode_audio(routed: DataFrame) -> DataFrame:
 
 
 def decode_video(routed: DataFrame) -> DataFrame:
-    """Frames of every epoch and stream; after a rejected packet the group's later packets are not decoded."""
+    """Frames of every epoch and stream; after a rejected packet the group's later packets are not decoded.
+
+    A group's packets are sorted by their place alone and decoded one at a time; frames are handed on in batches of
+    about FRAME_BYTES, so a task holds an epoch's packets and a few frames, never all of its frames.
+    """
     schema = arrow_schema(FRAMES)
 
-    def run(key, t):
-        decoder, out = video.Decoder(), []
-        for r in sorted(t.to_pylist(), key=lambda r: r["seq"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        decoder, out, held = video.Decoder(), [], 0
+        for i in np.argsort(t.column("seq").to_numpy(), kind="stable").tolist():
+            r = {c: t.column(c)[i].as_py() for c in ("file_id", "epoch_id", "stream_id", "pts", "payload", "param0", "param1")}
             k = r["file_id"], r["epoch_id"], r["stream_id"], r["pts"]
             try:
                 head, frame = decoder.decode(r["payload"])
@@ -176,7 +186,11 @@ def decode_video(routed: DataFrame) -> DataFrame:
                 out.append((*k, None, None, None, None, None, None, e.code))
                 break
             out.append((*k, u64(head.frame_id), head.width, head.height, *(p.tobytes() for p in frame.planes), None))
-        return pa.Table.from_batches([table(out, schema)])
+            held += head.width * head.height * 3 // 2
+            if held >= FRAME_BYTES:
+                yield table(out, schema)
+                out, held = [], 0
+        yield table(out, schema)
 
     return routed.where("kind = 'video_frame' AND error_code IS NULL").groupBy("file_id", "epoch_id", "stream_id").applyInArrow(run, FRAMES)
 
@@ -261,27 +275,74 @@ def encode_audio(pcm: DataFrame, stream_id: int, rate: int, channels: int, q: in
     return _rows(pcm.select("file_id", "epoch_id", "seq", "first_frame", "samples"), ENCODED, one)
 
 
-def mux(packets: DataFrame, streams: list[wire.Stream]) -> DataFrame:
-    """Whole files (file_id, content, error_code) from encoded packets: one task a file, in interleave order within each epoch."""
-    rank = {"video_frame": 0, "audio_frame": 1, "metadata": 2}
-    code = {v: k for k, v in wire.PACKET_KINDS.items()}
+_RANK = {"video_frame": 0, "audio_frame": 1, "metadata": 2}
+_CODE = {v: k for k, v in wire.PACKET_KINDS.items()}
+EPOCH_ROWS = "file_id string, epoch_id long, pts decimal(20,0), duration long, data binary, streams string, error_code string"
+
+
+def _described(streams: list[wire.Stream], rows: list[dict]) -> list[wire.Stream]:
+    """Descriptors of a file: video without a size takes that of its packets."""
+    out = []
+    for s in streams:
+        first = next((r["payload"] for r in rows if r["kind"] == "video_frame" and r["stream_id"] == s.id and r["payload"]), None)
+        if s.kind == 1 and not s.param0 and first:
+            head = video.read_header(first)
+            s = replace(s, param0=head.width, param1=head.height)
+        out.append(s)
+    return out
+
+
+def _epoch(epoch: int, rows: list[dict]) -> tuple[int, int, bytes]:
+    """(pts, duration, packets) of an epoch's rows in interleave order."""
+    rows.sort(key=lambda r: (int(r["pts"]), _RANK[r["kind"]], r["seq"]))
+    first = int(rows[0]["pts"])
+    length = max(int(r["pts"]) + r["duration"] for r in rows) - first
+    data = wire.encode_packet(wire.epoch_start(epoch, first, length)) + b"".join(wire.encode_packet(wire.Packet(_CODE[r["kind"]], r["stream_id"], int(r["pts"]), r["duration"], r["payload"])) for r in rows)
+    return first, length, data
+
+
+def streams_to_json(streams: list[wire.Stream]) -> str:
+    return json.dumps([asdict(s) for s in streams])
+
+
+def streams_from_json(text: str) -> list[wire.Stream]:
+    return [wire.Stream(**x) for x in json.loads(text)]
+
+
+def mux_epochs(packets: DataFrame, streams: list[wire.Stream]) -> DataFrame:
+    """EPOCH_ROWS: the packets of each epoch as bytes, one task an epoch, as the container sink takes them.
+
+    No file is ever one value. A video stream whose size is 0 takes the size of its own clip's packets.
+    """
+    schema = arrow_schema(EPOCH_ROWS)
+
+    def run(key, t):
+        rows = t.to_pylist()
+        head = key[0].as_py(), key[1].as_py()
+        bad = next((r["error_code"] for r in rows if r["error_code"]), None)
+        if bad:
+            return pa.Table.from_batches([table([(*head, None, None, None, None, bad)], schema)])
+        first, length, data = _epoch(head[1], rows)
+        return pa.Table.from_batches([table([(*head, u64(first), length, data, streams_to_json(_described(streams, rows)), None)], schema)])
+
+    return packets.groupBy("file_id", "epoch_id").applyInArrow(run, EPOCH_ROWS)
+
+
+def mux(packets: DataFrame, streams: list[wire.Stream], magic: bytes = wire.FILE_MAGIC) -> DataFrame:
+    """Whole files as values (file_id, content, error_code), for files that fit one; the container sink writes others by epoch."""
     out_schema = "file_id string, content binary, error_code string"
 
     def run(key, t):
-        epochs: dict[int, list[dict]] = {}
-        for r in t.to_pylist():
-            epochs.setdefault(r["epoch_id"], []).append(r)
-        built, bad = [], next((r["error_code"] for rows in epochs.values() for r in rows if r["error_code"]), None)
-        if bad is None:
-            for e, rows in sorted(epochs.items()):
-                rows.sort(key=lambda r: (int(r["pts"]), rank[r["kind"]], r["seq"]))
-                first = int(rows[0]["pts"])
-                length = max(int(r["pts"]) + r["duration"] for r in rows) - first
-                data = wire.encode_packet(wire.epoch_start(e, first, length)) + b"".join(wire.encode_packet(wire.Packet(code[r["kind"]], r["stream_id"], int(r["pts"]), r["duration"], r["payload"])) for r in rows)
-                built.append((e, first, length, data))
-        return pa.table({"file_id": pa.array([key[0].as_py()]), "content": pa.array([None if bad else wire.build_file(streams, built)], pa.binary()), "error_code": pa.array([bad], pa.string())})
-
-    return packets.groupBy("file_id").applyInArrow(run, out_schema)
+        rows = sorted(t.to_pylist(), key=lambda r: r["epoch_id"])
+        bad = next((r["error_code"] for r in rows if r["error_code"]), None)
+        content = None
+        if not bad:
+            own = streams_from_json(rows[0]["streams"])
+            seen = {s.id: s for r in reversed(rows) for s in streams_from_json(r["streams"]) if s.kind == 2 or s.param0}
+            content = wire.build_file([seen.get(s.id, s) for s in own], [(r["epoch_id"], int(r["pts"]), r["duration"], r["data"]) for r in rows], magic=magic)
+        return pa.table({"file_id": pa.array([key[0].as_py()]), "content": pa.array([content], pa.binary()), "error_code": pa.array([bad], pa.string())})
+
+    return mux_epochs(packets, streams).groupBy("file_id").applyInArrow(run, out_schema)
 
 
 def encode_av(frames: DataFrame, pcm: DataFrame, rate: int, channels: int, fps: tuple[int, int], every: int = 48, q: int = 96, preset: str = "balanced", audio_q: int = 1, mid_side: bool = False, cuts: bool = True) -> DataFrame:
@@ -289,11 +350,15 @@ def encode_av(frames: DataFrame, pcm: DataFrame, rate: int, channels: int, fps:
 
     Video epochs begin every ``every`` frames and, with ``cuts``, at scene cuts; audio belongs to the epoch in
     whose time it begins, and what begins after the last video epoch's end is dropped. The interval
-    lookup is one ordered pass over both sides of a clip.
+    lookup is one ordered pass over both sides of a clip. Every clip keeps its own frame size.
     """
+    return mux(*av_packets(frames, pcm, rate, channels, fps, every, q, preset, audio_q, mid_side, cuts))
+
+
+def av_packets(frames: DataFrame, pcm: DataFrame, rate: int, channels: int, fps: tuple[int, int], every: int = 48, q: int = 96, preset: str = "balanced", audio_q: int = 1, mid_side: bool = False, cuts: bool = True) -> tuple[DataFrame, list[wire.Stream]]:
+    """Encoded packets of ``encode_av`` and the descriptors of their streams, for ``mux`` or ``mux_epochs``."""
     tick = fps[1] * 1_000_000 // fps[0]
     f = epochs_by_cut(frames, every) if cuts else frames.withColumn("epoch_id", F.floor(F.col("frame_index") / every))
-    size = frames.agg(F.max("width"), F.max("height")).first()
     marks = f.groupBy("clip_id", "epoch_id").agg(F.min("frame_index").alias("i"), F.max("frame_index").alias("j"))
     begins = marks.select("clip_id", (F.col("i") * tick).alias("at"), "epoch_id", ((F.col("j") + 1) * tick).alias("end"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("long").alias("first_frame"), F.lit(None).cast("array<short>").alias("samples"))
     sound = pcm.select("clip_id", F.floor(F.col("first_frame") * 1_000_000 / rate).alias("at"), F.lit(None).cast("long").alias("epoch_id"), F.lit(None).cast("long").alias("end"), "seq", "first_frame", "samples")
@@ -301,8 +366,7 @@ def encode_av(frames: DataFrame, pcm: DataFrame, rate: int, channels: int, fps:
     placed = begins.unionByName(sound).withColumn("e", F.last("epoch_id", True).over(w)).withColumn("until", F.last("end", True).over(w))
     placed = placed.where("seq IS NOT NULL AND e IS NOT NULL AND at < until").select(F.col("clip_id").alias("file_id"), F.col("e").alias("epoch_id"), "seq", "first_frame", "samples")
     packets = encode_video(f, 1, tick, q, preset).unionByName(encode_audio(placed, 2, rate, channels, audio_q, mid_side))
-    streams = [wire.Stream(1, 1, 1, wire.TIMESCALE, size[0], size[1], fps[0] << 16 | fps[1]), wire.Stream(2, 2, 1, wire.TIMESCALE, rate, channels)]
-    return mux(packets, streams)
+    return packets, [wire.Stream(1, 1, 1, wire.TIMESCALE, 0, 0, fps[0] << 16 | fps[1]), wire.Stream(2, 2, 1, wire.TIMESCALE, rate, channels)]
 
 
 def encode_audio_only(pcm: DataFrame, rate: int, channels: int, epoch_seconds: int = 2, q: int = 1, mid_side: bool = False) -> DataFrame:
@@ -324,11 +388,18 @@ def decode_media(packets: DataFrame, streams: DataFrame) -> tuple[DataFrame, Dat
 
 
 def pcm_bytes(pcm: DataFrame) -> DataFrame:
-    """Samples of each file and stream in order of pts, as little-endian 16-bit bytes of packets."""
-    low = lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")
-    high = lambda x: F.lpad(F.hex(F.pmod(F.shiftright(x.cast("int"), 8), F.lit(256))), 2, "0")
-    packed = F.unhex(F.array_join(F.transform("samples", lambda x: F.concat(low(x), high(x))), ""))
-    return pcm.select("file_id", "stream_id", "pts", packed.alias("s16le"))
+    """Samples of each packet as little-endian 16-bit bytes: the Arrow buffer of the list's values, cut at its offsets."""
+
+    def run(batches):
+        for b in batches:
+            x = b.column(3)
+            at = x.offsets.to_numpy()
+            raw = x.values.fill_null(0).to_numpy(zero_copy_only=False).astype("<i2")
+            packed = [None if missing else raw[lo:hi].tobytes() for missing, lo, hi in zip(x.is_null().to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(packed, pa.binary())], names=["file_id", "stream_id", "pts", "s16le"])
+
+    slim = pcm.select("file_id", "stream_id", "pts", F.col("samples").cast("array<short>"))
+    return slim.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in slim.dtypes[:3]) + ", s16le binary")
 
 
 def violations(packets: DataFrame, streams: DataFrame, epochs: DataFrame, file_bytes: DataFrame) -> DataFrame:
@@ -352,12 +423,12 @@ def violations(packets: DataFrame, streams: DataFrame, epochs: DataFrame, file_b
     return out
 
 
-def reindex(files: DataFrame, repair: bool = False) -> DataFrame:
+def reindex(files: DataFrame, repair: bool = False, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
     """Files with a rebuilt index (content, epochs, dropped packets), or an error_code."""
 
     def one(r: dict) -> Iterator[tuple]:
         try:
-            yield r["file_id"], *wire.regroup(r["content"], repair), None
+            yield r["file_id"], *wire.regroup(r["content"], repair, magic), None
         except Rejected as e:
             yield r["file_id"], None, None, None, e.code
 

@@ -10,8 +10,10 @@ from tessera.functions.checksum import crc32c
 
 from .errors import Rejected
 
+#: The eight bytes that a file begins with by default; readers and writers take others as an option.
+FILE_MAGIC = b"TESSERA\0"
 #: Fixed values of the format.
-FILE_MAGIC, FRONT_MAGIC, PACKET_MAGIC = b"AVELUNE\0", b"AVFR", b"AVPK"
+FRONT_MAGIC, PACKET_MAGIC = b"AVFR", b"AVPK"
 PACKET_KINDS = {1: "epoch_start", 2: "video_frame", 3: "audio_frame", 4: "metadata"}
 STREAM_KINDS = {1: "video", 2: "audio"}
 HEADER_LEN, PACKET_HEAD, PACKET_TAIL = 32, 28, 4
@@ -91,16 +93,26 @@ def unpack_meta(v: int) -> tuple[int, int, int, bool, int]:
     return parts
 
 
-def encode_header(flags: int, streams: int, front_len: int) -> bytes:
-    return _sealed(_HEADER.pack(FILE_MAGIC, 1, 0, flags, HEADER_LEN, streams, 0, front_len))
+def file_magic(name: str | None) -> bytes:
+    """A brand of up to eight characters as the bytes that a file begins with; the default for None."""
+    if name is None:
+        return FILE_MAGIC
+    raw = name.encode("latin-1")
+    if not 0 < len(raw) <= 8:
+        raise ValueError("a magic has one to eight characters")
+    return raw.ljust(8, b"\0")
 
 
-def decode_header(b: bytes) -> tuple[int, int, int]:
+def encode_header(flags: int, streams: int, front_len: int, magic: bytes = FILE_MAGIC) -> bytes:
+    return _sealed(_HEADER.pack(magic, 1, 0, flags, HEADER_LEN, streams, 0, front_len))
+
+
+def decode_header(b: bytes, magic: bytes = FILE_MAGIC) -> tuple[int, int, int]:
     """(flags, streams, front length)."""
     if len(b) < HEADER_LEN:
         raise Rejected("UnexpectedEof")
-    magic, major, minor, flags, size, streams, reserved, front = _HEADER.unpack_from(b)
-    if magic != FILE_MAGIC:
+    found, major, minor, flags, size, streams, reserved, front = _HEADER.unpack_from(b)
+    if found != magic:
         raise Rejected("BadMagic")
     if major != 1:
         raise Rejected("UnsupportedVersion", major)
@@ -153,9 +165,9 @@ def decode_front(b: bytes, expected_streams: int) -> tuple[list[Stream], list[Ep
     return streams, epochs
 
 
-def parse_prefix(b: bytes) -> Prefix:
+def parse_prefix(b: bytes, magic: bytes = FILE_MAGIC) -> Prefix:
     """Header and front index at the start of a file."""
-    flags, n, front = decode_header(b)
+    flags, n, front = decode_header(b, magic)
     if len(b) < HEADER_LEN + front:
         raise Rejected("UnexpectedEof")
     streams, epochs = decode_front(b[HEADER_LEN : HEADER_LEN + front], n)
@@ -247,29 +259,33 @@ def check_epoch(epoch: int, data: bytes) -> None:
         raise Rejected("BadEpoch")
 
 
-def build_file(streams: list[Stream], epochs: list[tuple[int, int, int, bytes]], checked: bool = True) -> bytes:
-    """A whole file of (id, pts, duration, packets) epochs; offsets are the running sum of their lengths."""
-    if checked:
-        for i, _, _, data in epochs:
-            check_epoch(i, data)
+def index_of(streams: list[Stream], epochs: list[tuple[int, int, int, int]], magic: bytes = FILE_MAGIC) -> bytes:
+    """Header and front of a file of (id, pts, duration, length) epochs; offsets are the running sum of their lengths."""
     front_len = 12 + _STREAM.size * len(streams) + _EPOCH.size * len(epochs) + 4
     at, index = HEADER_LEN + front_len, []
-    for i, pts, duration, data in epochs:
-        index.append(Epoch(i, pts, at, len(data), duration))
-        at += len(data)
+    for i, pts, duration, length in epochs:
+        index.append(Epoch(i, pts, at, length, duration))
+        at += length
     front = encode_front(streams, index)
+    decode_front(front, len(streams))
+    return encode_header(1, len(streams), front_len, magic) + front
+
+
+def build_file(streams: list[Stream], epochs: list[tuple[int, int, int, bytes]], checked: bool = True, magic: bytes = FILE_MAGIC) -> bytes:
+    """A whole file of (id, pts, duration, packets) epochs."""
     if checked:
-        decode_front(front, len(streams))
-    return encode_header(1, len(streams), front_len) + front + b"".join(e[3] for e in epochs)
+        for i, _, _, data in epochs:
+            check_epoch(i, data)
+    return index_of(streams, [(i, pts, duration, len(data)) for i, pts, duration, data in epochs], magic) + b"".join(e[3] for e in epochs)
 
 
-def regroup(b: bytes, repair: bool) -> tuple[bytes, int, int]:
+def regroup(b: bytes, repair: bool, magic: bytes = FILE_MAGIC) -> tuple[bytes, int, int]:
     """(file, epochs, packets dropped): packets grouped under the epoch start before them, with a new index.
 
     Strict: any packet error, or media before the first epoch, rejects. Repair: after an error the scan goes on at the
     next packet magic, and packets before the first epoch are dropped. The prefix must be valid either way.
     """
-    prefix = parse_prefix(b)
+    prefix = parse_prefix(b, magic)
     streams = {s.id: s for s in prefix.streams}
     at, dropped, groups = prefix.length, 0, []
     while at < len(b):
@@ -303,4 +319,4 @@ def regroup(b: bytes, repair: bool) -> tuple[bytes, int, int]:
         raise Rejected("BadEpoch")
     known = {e.id: e for e in prefix.epochs}
     rows = [(i, pts, known[i].duration if not duration and i in known else duration, bytes(data)) for i, pts, duration, data in groups]
-    return build_file(prefix.streams, rows), len(rows), dropped
+    return build_file(prefix.streams, rows, magic=magic), len(rows), dropped

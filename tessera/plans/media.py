@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.checksum import crc32c
+from tessera.functions.checksum import crc32c_many, table as crc_table
 from tessera.operators import audio, entropy, media, wire
 from tessera.sources import container, y4m
 
@@ -23,9 +24,11 @@ FRAME_US = 41_666
 
 
 def shared(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset a local one is set."""
+    """A fresh folder below spark.checkpoint.dir; only in local mode, where that is unset, a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     out = f"{root.rstrip('/')}/media/{uuid.uuid4().hex}"
@@ -36,27 +39,46 @@ def shared(spark: SparkSession) -> str:
     return out
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as the block runs."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def crc32c_texts(spark, sf):
-    """CRC-32C of every text's bytes."""
+    """CRC-32C of every text's bytes, a batch of texts at a time."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([crc32c(x) for x in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "crc32c"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc32c_many(b.column(1)), pa.int64())], names=["doc_id", "crc32c"])
 
     d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
     return d.mapInArrow(run, "doc_id long, crc32c long")
 
 
+_STEP = f"xor([{', '.join(map(str, crc_table().tolist()))}][(xor(s, b) & 255) + 1], s >> 8)"
+CRC32C_TEXTS = f"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents)
+SELECT doc_id, xor(list_reduce(list_concat([4294967295], bytes), lambda s, b: {_STEP}), 4294967295) AS crc32c FROM d"""
+
+
 def entropy_roundtrip(spark, sf):
-    """Entropy blocks of the benchmark texts: sizes, mode and whether they come back."""
+    """Entropy blocks (of at most MAX_ENTROPY bytes) of all documents' texts: sizes, mode and whether they come back."""
 
     def run(batches):
         for b in batches:
-            got = [(x, entropy.compress(x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x, _ in got], pa.int64()), pa.array([len(c) for _, c in got], pa.int64()), pa.array([c[0] for _, c in got], pa.int64()), pa.array([entropy.decompress(c, wire.MAX_ENTROPY) == x for x, c in got])], names=["item_id", "raw_bytes", "coded_bytes", "mode", "exact"])
+            cut = [(i, k, x[at : at + wire.MAX_ENTROPY]) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, at in enumerate(range(0, max(len(x), 1), wire.MAX_ENTROPY))]
+            got = [(i, k, x, entropy.compress(x)) for i, k, x in cut]
+            cols = [[i for i, *_ in got], [k for _, k, *_ in got], [len(x) for *_, x, _ in got], [len(c) for *_, c in got], [c[0] for *_, c in got]]
+            exact = pa.array([entropy.decompress(c, wire.MAX_ENTROPY) == x for *_, x, c in got], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), exact], names=["doc_id", "block", "raw_bytes", "coded_bytes", "mode", "exact"])
 
-    d = read(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    return d.mapInArrow(run, "item_id long, raw_bytes long, coded_bytes long, mode long, exact boolean")
+    d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    return d.mapInArrow(run, "doc_id long, block long, raw_bytes long, coded_bytes long, mode long, exact boolean")
 
 
 def audio_roundtrip(spark, sf):
@@ -78,15 +100,20 @@ def audio_roundtrip(spark, sf):
     return blocks(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, q long, packet_bytes long, snr_db double, exact boolean")
 
 
-def clips(spark: SparkSession, frames: int = FRAMES) -> DataFrame:
-    """Procedural test clips, one row a frame; each plane is one expression over its positions."""
-    t, h = F.col("frame_index"), F.col("clip_id")
+def copies(spark: SparkSession, sf: str) -> int:
+    """Clips of each pattern: one for 500 rows of embeddings, so that media queries grow with the tables."""
+    return -(-read(spark, sf, "embeddings").count() // 500)
+
+
+def clips(spark: SparkSession, frames: int = FRAMES, copies: int = 1) -> DataFrame:
+    """Procedural test clips, one row a frame; each plane is one expression over its positions. Copies of a pattern differ in phase."""
+    t, h = F.col("frame_index") + F.col("copy") * 5 % 7, F.col("pattern")
     size = lambda w, hh: F.sequence(F.lit(0), F.lit(w * hh - 1))
 
     def plane(w: int, hh: int, chroma: int):
         x, y = (lambda i: i % w), (lambda i: F.floor(i / w))
         kinds = {
-            "cut": lambda i: F.when(t < frames // 2, x(i) * 4 + y(i)).otherwise(255 - x(i) * 3),
+            "cut": lambda i: F.when(F.col("frame_index") < frames // 2, x(i) * 4 + y(i)).otherwise(255 - x(i) * 3),
             "pan": lambda i: (x(i) + 2 * t) * 5 + y(i) * 3,
             "ui": lambda i: F.when((x(i) % 16 < 8) & (y(i) < 16), 220).otherwise(F.when(x(i) == t, 30).otherwise(90)),
             "gradient": lambda i: x(i) * 255 / w + y(i) * 64 / hh,
@@ -102,7 +129,9 @@ def clips(spark: SparkSession, frames: int = FRAMES) -> DataFrame:
 
         return F.unhex(F.array_join(F.transform(size(w, hh), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
 
-    base = spark.range(len(PATTERNS) * frames).select(F.element_at(F.array(*map(F.lit, PATTERNS)), (F.floor(F.col("id") / frames) + 1).cast("int")).alias("clip_id"), (F.col("id") % frames).alias("frame_index"))
+    at = F.floor(F.col("id") / frames)
+    base = spark.range(len(PATTERNS) * frames * copies).select(F.element_at(F.array(*map(F.lit, PATTERNS)), (at % len(PATTERNS) + 1).cast("int")).alias("pattern"), F.floor(at / len(PATTERNS)).alias("copy"), (F.col("id") % frames).alias("frame_index"))
+    base = base.withColumn("clip_id", F.when(F.col("copy") == 0, F.col("pattern")).otherwise(F.concat_ws("-", "pattern", "copy")))
     return base.select("clip_id", "frame_index", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(24).alias("fps_n"), F.lit(1).alias("fps_d"), F.lit(0).cast("long").alias("meta0"), plane(WIDTH, HEIGHT, 0).alias("y"), plane(WIDTH // 2, HEIGHT // 2, 1).alias("u"), plane(WIDTH // 2, HEIGHT // 2, -1).alias("v"), F.lit(None).cast("string").alias("error_code"))
 
 
@@ -114,20 +143,32 @@ def audio_stream(channels: int = 2) -> wire.Stream:
     return wire.Stream(2, 2, 1, wire.TIMESCALE, 48_000, channels)
 
 
-def encoded_clips(spark: SparkSession, q: int = 48, preset: str = "fast", every: int = 6) -> DataFrame:
-    """Whole container files of the generated clips: video by scene-cut epochs and a tone in stereo packets."""
-    frames = media.epochs_by_cut(clips(spark), every)
+def encoded_packets(spark: SparkSession, q: int = 48, preset: str = "fast", every: int = 6, copies: int = 1) -> tuple[DataFrame, list[wire.Stream]]:
+    """Packets of the generated clips and their streams: video by scene-cut epochs and a tone in stereo packets."""
+    frames = media.epochs_by_cut(clips(spark, copies=copies), every)
     packets = media.encode_video(frames, 1, FRAME_US, q, preset)
     epochs = frames.groupBy(F.col("clip_id").alias("file_id"), "epoch_id").agg(F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
     each = epochs.select("file_id", "epoch_id", F.explode(F.sequence("first", "last")).alias("i"))
     sample = lambda k: F.pmod((F.col("i") * 960 + k) * 37, F.lit(1000)) * 40 - 20_000
     pcm = each.select("file_id", "epoch_id", F.col("i").alias("seq"), (F.col("i") * 1999).alias("first_frame"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(479)), lambda k: F.array(sample(k), sample(k + 7)))).cast("array<short>").alias("samples"))
-    return media.mux(packets.unionByName(media.encode_audio(pcm, 2, 48_000, 2, 1, True)), [video_stream(), audio_stream()])
+    return packets.unionByName(media.encode_audio(pcm, 2, 48_000, 2, 1, True)), [video_stream(), audio_stream()]
+
+
+def encoded_clips(spark: SparkSession, copies: int = 1) -> DataFrame:
+    """Whole container files of the generated clips, as values."""
+    return media.mux(*encoded_packets(spark, copies=copies))
+
+
+def saved_clips(spark: SparkSession, sf: str) -> str:
+    """A shared folder of container files of the generated clips, written by the sink epoch by epoch."""
+    root = shared(spark)
+    container.save(media.mux_epochs(*encoded_packets(spark, copies=copies(spark, sf))), root)
+    return root
 
 
 def video_roundtrip(spark, sf):
     """Clips encoded and decoded: packet bytes and PSNR of every clip and epoch."""
-    frames = media.epochs_by_cut(clips(spark), 6)
+    frames = media.epochs_by_cut(clips(spark, copies=copies(spark, sf)), 6)
     packets = media.encode_video(frames, 1, FRAME_US, 48, "balanced")
     routed = packets.select("file_id", "seq", "epoch_id", "kind", "stream_id", "pts", "payload", F.lit(WIDTH).alias("param0"), F.lit(HEIGHT).alias("param1"), "error_code")
     out = media.decode_video(routed).withColumnRenamed("file_id", "clip_id")
@@ -145,44 +186,33 @@ def video_roundtrip(spark, sf):
     return psnr.join(size, ["clip_id", "epoch_id"])
 
 
-def save_files(spark: SparkSession, files: DataFrame) -> str:
-    """Write (file_id, content) as files below the shared folder, each by its own task under its final name once complete."""
-    root = shared(spark)
-
-    def run(batches):
-        fs, base = container.file_system(root)
-        fs.create_dir(base, recursive=True)
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                temp = f"{base}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(temp) as f:
-                    f.write(data)
-                fs.move(temp, f"{base}/{name}.bin")
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-    files.where("content IS NOT NULL").select("file_id", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
-    return root
-
-
 def container_scan(spark, sf):
     """Encode, write, then scan epoch by epoch through the data source, route and verify by full decode."""
-    root = save_files(spark, encoded_clips(spark))
+    root = saved_clips(spark, sf)
     return media.verify(container.load(spark, root), container.load(spark, root, "streams"))
 
 
 def container_frames(spark, sf):
     """The frame listing of scanned containers."""
-    root = save_files(spark, encoded_clips(spark))
+    root = saved_clips(spark, sf)
     return media.frame_list(container.load(spark, root)).join(container.load(spark, root, "files").select("file_id", "stream_count"), "file_id")
 
 
+def seek_decode(spark, sf):
+    """Frames and samples from the epoch of a third of a second on: only that byte range of each file is read."""
+    root = saved_clips(spark, sf)
+    frames, sound = container.play(spark, root, 333_333)
+    f = frames.groupBy("file_id").agg(F.count("*").alias("frames"), F.min("pts").alias("first_pts"), F.count("error_code").alias("rejected"))
+    return f.join(sound.groupBy("file_id").agg(F.sum(F.size("samples")).alias("samples")), "file_id")
+
+
 def inspect_files(spark, sf):
-    return media.inspect(encoded_clips(spark))
+    return media.inspect(encoded_clips(spark, copies(spark, sf)))
 
 
 def repair_files(spark, sf):
     """Files with a byte of one packet flipped: strict reindexing rejects them, repair drops that packet."""
-    good = encoded_clips(spark)
+    good = encoded_clips(spark, copies(spark, sf))
     cut = F.floor(F.octet_length("content") * 2 / 3).cast("int")
     flip = F.concat(F.expr("substring(content, 1, floor(octet_length(content) * 2 / 3))"), F.lit(bytes([0xEE, 0x11, 0xEE, 0x11])), F.expr("substring(content, floor(octet_length(content) * 2 / 3) + 5)"))
     bad = good.select("file_id", flip.alias("content"), cut.alias("cut"))
@@ -193,38 +223,65 @@ def repair_files(spark, sf):
 
 def y4m_roundtrip(spark, sf):
     """Generated clips as Y4M files and back: frames and whether each is the same."""
-    c = clips(spark)
-    back = y4m.frames(y4m.files(c))
+    c = clips(spark, copies=copies(spark, sf))
+    root = shared(spark)
+    y4m.save(c, root)
+    back = y4m.load(spark, root)
     same = F.every((F.col("a.y") == F.col("b.y")) & (F.col("a.u") == F.col("b.u")) & (F.col("a.v") == F.col("b.v")))
     return c.alias("a").join(back.alias("b"), ["clip_id", "frame_index"]).groupBy("clip_id").agg(F.count("*").alias("frames"), same.alias("exact"))
 
 
-def stream_parse(spark, sf):
-    """Files cut into fragments and parsed by a stateful stream: packets of each file and kind."""
-    from tessera.streaming.packets import FRAGMENTS, OUT, parse_stream
+def _fragments(spark: SparkSession, sf: str, root: str, size: int = 700) -> DataFrame:
+    """The generated files as a stream of fragments, a part of them in each micro-batch."""
+    from tessera.streaming.packets import FRAGMENTS
 
-    root = shared(spark)
-    size = 700
     n = F.ceil(F.octet_length("content") / size).cast("int")
-    parts = encoded_clips(spark).select("file_id", "content", n.alias("n")).select("file_id", "content", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    parts = encoded_clips(spark, copies(spark, sf)).select("file_id", "content", n.alias("n")).select("file_id", "content", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     frag = parts.select("file_id", F.lit(0).cast("long").alias("generation"), F.col("part").cast("long").alias("part"), F.expr(f"substring(content, part * {size} + 1, {size})").alias("data"), (F.col("part") == F.col("n") - 1).alias("last"))
     frag.repartition(3).write.parquet(f"{root}/fragments")
-    stream = spark.readStream.schema(FRAGMENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/fragments")
-    q = parse_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{root}/out").groupBy("file_id", "kind", "error_code").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
+    return spark.readStream.schema(FRAGMENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/fragments")
+
+
+def _streamed(spark: SparkSession, root: str, build, schema: str) -> DataFrame:
+    """What a streaming query gives for all that is there, by way of a Parquet sink."""
+    from tessera.streaming.packets import PROVIDER
+
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", PROVIDER):
+        q = build().writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
+def stream_parse(spark, sf):
+    """Files cut into fragments and parsed by a stateful stream: packets of each file and kind."""
+    from tessera.streaming.packets import OUT, parse_stream
+
+    root = shared(spark)
+    stream = _fragments(spark, sf, root)
+    return _streamed(spark, root, lambda: parse_stream(stream), OUT).groupBy("file_id", "kind", "error_code").agg(F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
+
+
+def stream_decode(spark, sf):
+    """Files cut into fragments and decoded within the stream: frames and samples of each file and epoch, with a digest of them."""
+    from tessera.streaming.packets import DECODED, decode_stream
+
+    root = shared(spark)
+    stream = _fragments(spark, sf, root)
+    out = _streamed(spark, root, lambda: decode_stream(stream), DECODED)
+    digest = F.bit_xor(F.xxhash64("pts", "y", "u", "v", "samples"))
+    return out.groupBy("file_id", "epoch_id", "kind", "error_code").agg(F.count("*").alias("n"), F.sum(F.size("samples")).alias("samples"), digest.alias("digest"))
 
 
 def format_experiments(spark, sf):
     """Transform skip, block copy, motion merge, deblocking and entropy lanes on the generated clips."""
     from tessera.operators.research import experiments
 
-    return experiments(clips(spark))
+    return experiments(clips(spark, copies=copies(spark, sf)))
 
 
 def rate_quality(spark, sf):
     """Bytes of each clip by quantiser."""
-    frames = media.epochs_by_cut(clips(spark), 6)
+    frames = media.epochs_by_cut(clips(spark, copies=copies(spark, sf)), 6)
     out = None
     for q in (1, 48, 192):
         size = media.encode_video(frames, 1, FRAME_US, q, "fast").groupBy(F.col("file_id").alias("clip_id")).agg(F.sum(F.octet_length("payload")).alias("bytes")).withColumn("q", F.lit(q))
@@ -234,7 +291,7 @@ def rate_quality(spark, sf):
 
 def encode_and_decode(spark, sf):
     """A clip with sound through encode_av, scan and decode: frames, samples, and packets of the audio dropped at the end."""
-    c = clips(spark)
+    c = clips(spark, copies=copies(spark, sf))
     n = F.sequence(F.lit(0), F.lit(34))
     pcm = c.select("clip_id").distinct().select("clip_id", F.explode(n).alias("k")).select("clip_id", F.col("k").cast("long").alias("seq"), (F.col("k") * 960).cast("long").alias("first_frame"), F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: (F.pmod(i * 31 + F.col("k"), F.lit(2000)) - 1000).cast("short")).alias("samples"))
     files = media.encode_av(c, pcm, 48_000, 1, (24, 1), 6, 1, "fast")
@@ -246,7 +303,7 @@ def encode_and_decode(spark, sf):
 
 def file_violations(spark, sf):
     """Broken rules of good files, of a truncated copy and of one with a flipped byte."""
-    good = encoded_clips(spark)
+    good = encoded_clips(spark, copies(spark, sf))
     short = good.select(F.concat("file_id", F.lit("-short")).alias("file_id"), F.expr("substring(content, 1, octet_length(content) - 9)").alias("content"))
     flip = good.select(F.concat("file_id", F.lit("-flip")).alias("file_id"), F.concat(F.expr("substring(content, 1, octet_length(content) - 9)"), F.lit(b"x"), F.expr("substring(content, octet_length(content) - 7)")).alias("content"))
     files = good.select("file_id", "content").unionByName(short).unionByName(flip)
@@ -254,5 +311,5 @@ def file_violations(spark, sf):
     return media.violations(media.scan(files), media.streams_of(files), media.epochs_of(files), sizes).groupBy("file_id", "rule").agg(F.count("*").alias("n"))
 
 
-_ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, inspect_files, repair_files, y4m_roundtrip, stream_parse, format_experiments, rate_quality, encode_and_decode, file_violations)
-QUERIES = {f.__name__: (f, None) for f in _ALL}
+_ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, seek_decode, inspect_files, repair_files, y4m_roundtrip, stream_parse, stream_decode, format_experiments, rate_quality, encode_and_decode, file_violations)
+QUERIES = {f.__name__: (f, None) for f in _ALL} | {"crc32c_texts": (crc32c_texts, CRC32C_TEXTS)}

@@ -1,52 +1,51 @@
-"""Data source ``tessera_container``: tables files, streams, epochs, packets, packets_meta of container files.
+"""Data source ``tessera_container``: tables files, streams, epochs, packets, packets_meta of container files, and a sink of epochs.
 
-Planning reads only each file's header and front index; every epoch's byte range is a partition of
-its own, and a task reads just that range. Options: ``path`` (file, folder or glob of one), ``table``, ``epochs``
-(comma list) and, with ``pushdown`` true and spark.sql.python.filterPushdown.enabled, filters on epoch_id prune partitions.
+Planning reads only each file's header and front index, many files at a time; every epoch's byte range is a partition of
+its own, and a task reads just that range. Options: ``path`` (file, folder or glob of one), ``table``, ``magic`` (another
+brand than our own), ``epochs`` (comma list), ``from_pts`` and ``to_pts`` (microseconds: a file is read from the last epoch that
+begins at or before the one, else its first, up to the last that begins before the other) and, with ``pushdown`` true and
+spark.sql.python.filterPushdown.enabled, filters on epoch_id and upper bounds of pts prune partitions.
+
+The sink takes rows of ``media.EPOCH_ROWS``, those of a file side by side in order (``save`` deals them so). Epochs are
+appended to a hidden file as they come, then copied behind the index in pieces: no file is ever held as one value.
 """
 
 from __future__ import annotations
 
-import fnmatch
 import posixpath
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, LessThan, LessThanOrEqual
 
 from tessera.operators import media, wire
 from tessera.operators.errors import Rejected
 
+from .files import Written, file_system, hidden, listed, publish, withdraw
+
+#: Indexes that planning reads at once, and bytes that the sink copies at once.
+READERS, COPY = 32, 8 << 20
 FILES = "file_id string, bytes long, flags long, stream_count int, front_len long, error_code string"
 SCHEMAS = {"files": FILES, "streams": media.STREAMS, "epochs": media.EPOCHS, "packets": media.PACKETS, "packets_meta": media.PACKETS.replace("payload binary", "payload_len long")}
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-def listed(path: str) -> tuple[object, list[tuple[str, int]]]:
-    """The file system, and (name, bytes) of the files of a path."""
-    from pyarrow import fs as pafs
-
-    fs, root = file_system(path)
-    folder, _, pattern = root.rpartition("/")
-    globbed = any(c in pattern for c in "*?[")
-    info = fs.get_file_info(folder if globbed else root)
-    if info.type == pafs.FileType.File:
-        return fs, [(info.path, info.size)]
-    found = fs.get_file_info(pafs.FileSelector(folder if globbed else root))
-    return fs, sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and (not globbed or fnmatch.fnmatch(posixpath.basename(f.path), pattern)) and posixpath.basename(f.path)[0] not in "._")
-
-
-def read_prefix(fs, name: str) -> wire.Prefix:
+def read_prefix(fs, name: str, magic: bytes = wire.FILE_MAGIC) -> wire.Prefix:
     """Reads header and front index and no more."""
     with fs.open_input_file(name) as f:
         head = f.read(wire.HEADER_LEN)
-        _, _, front = wire.decode_header(head)
-        return wire.parse_prefix(head + f.read(front))
+        _, _, front = wire.decode_header(head, magic)
+        return wire.parse_prefix(head + f.read(front), magic)
+
+
+def wanted(epochs: list[wire.Epoch], only: set[int] | None, since: int | None, until: int | None) -> list[tuple[int, wire.Epoch]]:
+    """Epochs of a file, with their place, that a read needs."""
+    first = 0
+    if since is not None:
+        before = [k for k, e in enumerate(epochs) if e.pts <= since]
+        first = max(before, key=lambda k: (epochs[k].pts, k), default=0)
+    return [(k, e) for k, e in enumerate(epochs) if k >= first and (until is None or e.pts < until) and (only is None or e.id in only)]
 
 
 @dataclass
@@ -60,25 +59,25 @@ class Range(InputPartition):
 
 
 class ContainerReader(DataSourceReader):
-    def __init__(self, path: str, table: str, epochs: set[int] | None):
-        self.path, self.table, self.epochs = path, table, epochs
+    def __init__(self, options: dict):
+        pts = lambda key: int(options[key]) if key in options else None
+        self.path, self.table, self.magic = options["path"], options.get("table", "packets"), wire.file_magic(options.get("magic"))
+        self.epochs = {int(x) for x in options["epochs"].split(",")} if options.get("epochs") else None
+        self.since, self.until = pts("from_pts"), pts("to_pts")
+
+    def _ranges(self, fs, name: str, size: int) -> list[Range]:
+        try:
+            prefix = read_prefix(fs, name, self.magic)
+        except Rejected:
+            return [Range(name, None, 0, 0, size, 0)]
+        return [Range(name, e.id, e.offset, e.length, size, k << 32) for k, e in wanted(prefix.epochs, self.epochs, self.since, self.until)]
 
     def partitions(self) -> list[InputPartition]:
         fs, files = listed(self.path)
-        out: list[InputPartition] = []
-        for name, size in files:
-            if self.table not in ("packets", "packets_meta"):
-                out.append(Range(name, None, 0, 0, size, 0))
-                continue
-            try:
-                prefix = read_prefix(fs, name)
-            except Rejected:
-                out.append(Range(name, None, 0, 0, size, 0))
-                continue
-            for k, e in enumerate(prefix.epochs):
-                if self.epochs is None or e.id in self.epochs:
-                    out.append(Range(name, e.id, e.offset, e.length, size, k << 32))
-        return out
+        if self.table not in ("packets", "packets_meta"):
+            return [Range(name, None, 0, 0, size, 0) for name, size in files]
+        with ThreadPoolExecutor(READERS) as pool:
+            return [r for rs in pool.map(lambda f: self._ranges(fs, *f), files) for r in rs]
 
     def read(self, part: Range) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
@@ -86,7 +85,7 @@ class ContainerReader(DataSourceReader):
         meta = self.table == "packets_meta"
         if part.epoch is None:
             try:
-                prefix = read_prefix(fs, part.name)
+                prefix = read_prefix(fs, part.name, self.magic)
             except Rejected as e:
                 if self.table == "files":
                     yield file_id, part.size, None, None, None, e.code
@@ -114,12 +113,67 @@ class ContainerReader(DataSourceReader):
 class PushdownReader(ContainerReader):
     def pushFilters(self, filters):
         for f in filters:
-            wanted = {f.value} if isinstance(f, EqualTo) and f.attribute == ("epoch_id",) else set(f.value) if isinstance(f, In) and f.attribute == ("epoch_id",) else None
-            if wanted is not None:
-                self.epochs = wanted if self.epochs is None else self.epochs & wanted
+            if isinstance(f, EqualTo | In) and f.attribute == ("epoch_id",):
+                ids = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.epochs = ids if self.epochs is None else self.epochs & ids
+            if isinstance(f, LessThan | LessThanOrEqual) and f.attribute == ("pts",):  # an epoch's packets do not begin before it
+                end = int(f.value) + 1
+                self.until = end if self.until is None else min(self.until, end)
             yield f  # partitions are pruned; Spark still checks the rows
 
 
+class ContainerWriter(DataSourceWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.magic, self.overwrite = options["path"], wire.file_magic(options.get("magic")), overwrite
+
+    def write(self, iterator) -> Written:
+        fs, base = file_system(self.path)
+        fs.create_dir(base, recursive=True)
+        done, name, body, out = Written(), None, None, None
+        index: list[tuple[int, int, int, int]] = []
+        streams: dict[int, wire.Stream] = {}
+
+        def finish():
+            out.close()
+            temp = hidden(base)
+            with fs.open_output_stream(temp) as whole, fs.open_input_stream(body) as packets:
+                whole.write(wire.index_of(list(streams.values()), index, self.magic))
+                while piece := packets.read(COPY):
+                    whole.write(piece)
+            fs.delete_file(body)
+            done.files.append((temp, f"{base}/{name}.bin"))
+
+        for r in iterator:
+            if r.error_code:
+                raise ValueError(f"{r.file_id}, epoch {r.epoch_id}: {r.error_code}")
+            if r.file_id != name:
+                if name is not None:
+                    finish()
+                if any(f == f"{base}/{r.file_id}.bin" for _, f in done.files):
+                    raise ValueError(f"the epochs of {r.file_id} are not side by side")
+                name, index, streams, body = r.file_id, [], {}, hidden(base)
+                out = fs.open_output_stream(body)
+            for s in media.streams_from_json(r.streams):
+                if s.id not in streams or s.kind == 1 and not streams[s.id].param0:
+                    streams[s.id] = s
+            wire.check_epoch(r.epoch_id, bytes(r.data))
+            index.append((r.epoch_id, int(r.pts), r.duration, len(r.data)))
+            out.write(bytes(r.data))
+        if name is not None:
+            finish()
+        return done
+
+    def commit(self, messages) -> None:
+        if self.overwrite:
+            fs, files = listed(self.path)
+            for old, _ in files:
+                fs.delete_file(old)
+        publish(self.path, messages)
+
+    def abort(self, messages) -> None:
+        withdraw(self.path, messages)
+
+
 class ContainerSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -129,12 +183,25 @@ class ContainerSource(DataSource):
         return SCHEMAS[self.options.get("table", "packets")]
 
     def reader(self, schema) -> DataSourceReader:
-        epochs = self.options.get("epochs")
-        kind = PushdownReader if self.options.get("pushdown", "false") == "true" else ContainerReader
-        return kind(self.options["path"], self.options.get("table", "packets"), {int(x) for x in epochs.split(",")} if epochs else None)
+        return (PushdownReader if self.options.get("pushdown", "false") == "true" else ContainerReader)(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ContainerWriter(dict(self.options), overwrite)
 
 
 def load(spark, path: str, table: str = "packets", **options):
     """A table of the containers below a path."""
     spark.dataSource.register(ContainerSource)
     return spark.read.format("tessera_container").option("table", table).options(**options).load(path)
+
+
+def save(epochs: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Write EPOCH_ROWS as one container file for each file_id; a name that exists is replaced."""
+    epochs.sparkSession.dataSource.register(ContainerSource)
+    rows = epochs.repartition("file_id").sortWithinPartitions("file_id", "epoch_id")
+    rows.write.format("tessera_container").option("path", path).options(**options).mode(mode).save()
+
+
+def play(spark, path: str, at: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(frames, PCM) from the epoch in which a time lies (the last that begins at or before it, else the first) to the end of each file."""
+    return media.decode_media(load(spark, path, from_pts=str(at), **options), load(spark, path, "streams", **options))

@@ -1,48 +1,75 @@
-"""Incremental container parsing: fragments of files in, packets out, whatever the split into fragments and micro-batches.
+"""Incremental container parsing and decoding: fragments of files in, packets or frames and samples out, whatever the split into fragments and micro-batches.
 
-State is kept for each file: its generation, the unread tail and the parse position. A newer generation
-discards the older one's bytes and later fragments of it are ignored. A fragment with ``last`` ends the
-file: an unread tail is then an error. The unread tail is bounded; beyond the bound the file is rejected.
+State is kept for each file (or each epoch range): its generation, the unread tail and the parse position, and apart from
+these a map of the parts that came early. A newer generation discards the older one's bytes and later fragments of it are
+ignored. A fragment with ``last`` ends the file: an unread tail is then an error. The unread tail and the parts that wait
+are bounded together; beyond the bound the file is rejected, and a rejected file keeps nothing.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators import wire
+from tessera.operators import audio, video, wire
 from tessera.operators.errors import Rejected
 
 FRAGMENTS = "file_id string, generation long, part long, data binary, last boolean"
-OUT = "file_id string, generation long, seq long, epoch_id long, kind string, stream_id long, pts string, duration long, payload_len long, error_code string"
+#: Fragments of one epoch's byte range each; parts are counted within the range.
+RANGES = FRAGMENTS + ", epoch_id long"
+_PLACE = "file_id string, generation long, seq long, epoch_id long, kind string, stream_id long, pts string, duration long"
+OUT = _PLACE + ", payload_len long, error_code string, payload binary"
+DECODED = _PLACE + ", frame_id string, width long, height long, y binary, u binary, v binary, rate long, channels long, samples array<int>, error_code string"
 
 
 class Parser:
-    """Pushed fragments become packets as soon as they are complete; plain Python, so it pickles into state."""
+    """Pushed fragments become packets as soon as they are complete; plain Python, so it pickles into state.
 
-    def __init__(self, generation: int, max_buffer: int = wire.MAX_BUFFER):
-        self.generation, self.max_buffer = generation, max_buffer
-        self.tail, self.started, self.seq, self.next_part = b"", False, 0, 0
-        self.waiting: dict[int, tuple[bytes, bool]] = {}
-        self.streams: dict[int, wire.Stream] = {}
-        self.tracker, self.failed, self.ended = wire.EpochTracker(), False, False
+    ``epoch`` is the expected id of a single epoch's range, which has no prefix: its packets are not routed.
+    ``waiting`` holds parts that came early; the caller may keep it elsewhere.
+    """
+
+    def __init__(self, generation: int, max_buffer: int = wire.MAX_BUFFER, epoch: int | None = None, magic: bytes = wire.FILE_MAGIC):
+        self.generation, self.max_buffer, self.magic = generation, max_buffer, magic
+        self.tail, self.started, self.seq, self.next_part = b"", epoch is not None, 0, 0
+        self.waiting: MutableMapping[int, tuple[bytes, bool]] = {}
+        self.held = 0  # bytes that wait
+        self.streams: dict[int, wire.Stream] | None = None
+        self.tracker, self.failed, self.ended = wire.EpochTracker(epoch), False, False
 
     def push(self, part: int, data: bytes, last: bool) -> Iterator[tuple]:
         """Rows (seq, epoch, packet, error_code); a part that comes early waits for those before it, a repeated one is ignored."""
-        if part >= self.next_part:
-            self.waiting.setdefault(part, (data, last))
-        while self.next_part in self.waiting and not self.failed:
-            data, last = self.waiting.pop(self.next_part)
+        if self.failed or part < self.next_part or part in self.waiting:
+            return
+        if part > self.next_part:
+            if len(self.tail) + self.held + len(data) > self.max_buffer:
+                yield self._fail("ResourceLimit")
+                return
+            self.waiting[part] = (data, last)
+            self.held += len(data)
+            return
+        while not self.failed:
             self.next_part += 1
             yield from self._take(data, last)
+            if self.failed or self.next_part not in self.waiting:
+                return
+            data, last = self.waiting[self.next_part]
+            del self.waiting[self.next_part]
+            self.held -= len(data)
+
+    def _fail(self, code: str) -> tuple:
+        self.failed, self.tail, self.held = True, b"", 0
+        for part in list(self.waiting):
+            del self.waiting[part]
+        return self.seq, self.tracker.current, None, code
 
     def _take(self, data: bytes, last: bool) -> Iterator[tuple]:
         try:
-            if len(self.tail) + len(data) > self.max_buffer:
+            if len(self.tail) + self.held + len(data) > self.max_buffer:
                 raise Rejected("ResourceLimit")
             buf, at = self.tail + data, 0
             if not self.started:
@@ -55,7 +82,8 @@ class Parser:
                         break
                     raise
                 epoch = self.tracker.observe(p)
-                wire.route(p, self.streams)
+                if self.streams is not None:
+                    wire.route(p, self.streams)
                 yield self.seq, epoch, p, None
                 at, self.seq = at + p.size, self.seq + 1
             self.tail = buf[at:]
@@ -64,12 +92,11 @@ class Parser:
                 if self.tail or not self.started:
                     raise Rejected("TrailingData")
         except Rejected as e:
-            self.failed, self.tail, self.waiting = True, b"", {}
-            yield self.seq, self.tracker.current, None, e.code
+            yield self._fail(e.code)
 
     def _prefix(self, buf: bytes) -> int:
         try:
-            p = wire.parse_prefix(buf)
+            p = wire.parse_prefix(buf, self.magic)
         except Rejected as e:
             if e.code == "UnexpectedEof":
                 return 0
@@ -78,33 +105,139 @@ class Parser:
         return p.length
 
 
+class Session:
+    """Decodes the packets of a parser in order; an epoch's start clears the references of every video stream."""
+
+    def __init__(self):
+        self.decoders: dict[int, video.Decoder] = {}
+
+    def row(self, p: wire.Packet, streams: dict[int, wire.Stream]) -> tuple:
+        """(frame_id, width, height, y, u, v, rate, channels, samples, error_code) of a packet."""
+        if p.kind == 1:
+            self.decoders.clear()
+        none = (None,) * 9
+        s = streams.get(p.stream_id)
+        try:
+            if p.kind in (2, 3) and (s is None or s.codec != 1):
+                raise Rejected("BadStream")
+            if p.kind == 2:
+                head, frame = self.decoders.setdefault(s.id, video.Decoder()).decode(p.payload)
+                if (head.width, head.height) != (s.param0, s.param1):
+                    raise Rejected("BadStream")
+                return str(head.frame_id), head.width, head.height, *(x.tobytes() for x in frame.planes), None, None, None, None
+            if p.kind == 3:
+                rate, channels, pcm = audio.decode(p.payload)
+                if (rate, channels) != (s.param0, s.param1):
+                    raise Rejected("BadStream")
+                return *none[:6], rate, channels, pcm.tolist(), None
+        except Rejected as e:
+            return *none, e.code
+        return *none, None
+
+
+class Parts(MutableMapping):
+    """The parts that wait, in a state map of their own: a batch writes only those that come or go."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __getitem__(self, part):
+        if not self.state.containsKey((part,)):
+            raise KeyError(part)
+        return tuple(self.state.getValue((part,)))
+
+    def __setitem__(self, part, value):
+        self.state.updateValue((part,), value)
+
+    def __delitem__(self, part):
+        self.state.removeKey((part,))
+
+    def __iter__(self):
+        return iter([k[0] for k in self.state.keys()])
+
+    def __len__(self):
+        return sum(1 for _ in self.state.keys())
+
+    def __contains__(self, part):
+        return self.state.containsKey((part,))
+
+
 class PacketProcessor(StatefulProcessor):
+    """Packets of a file's fragments, or of an epoch range's where the key holds an epoch."""
+
+    columns = OUT
+
+    def __init__(self, magic: bytes = wire.FILE_MAGIC, max_buffer: int = wire.MAX_BUFFER):
+        self.magic, self.max_buffer = magic, max_buffer
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("parser", "data binary")
+        self.parts = handle.getMapState("waiting", "part long", "data binary, last boolean")
+
+    def fresh(self):
+        return None
+
+    def tell(self, parser: Parser, session, p: wire.Packet | None, code: str | None) -> tuple:
+        return p and len(p.payload), code, p and p.payload
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parser: Parser | None = pickle.loads(self.state.get()[0]) if self.state.exists() else None
-        parts = pd.concat(list(rows))
+        parser, session = pickle.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+        waiting = Parts(self.parts)
+        if parser is not None:
+            parser.waiting = waiting
+        epoch = int(key[1]) if len(key) > 1 else None
         out = []
-        for r in parts.sort_values(["generation", "part"]).itertuples():
+        for r in pd.concat(list(rows)).sort_values(["generation", "part"]).itertuples():
             if parser is None or r.generation > parser.generation:
-                parser = Parser(int(r.generation))
+                self.parts.clear()
+                parser, session = Parser(int(r.generation), self.max_buffer, epoch, self.magic), self.fresh()
+                parser.waiting = waiting
             if r.generation < parser.generation:
                 continue
-            for seq, epoch, p, code in parser.push(int(r.part), bytes(r.data) if r.data is not None else b"", bool(r.last)):
-                out.append((key[0], parser.generation, seq, epoch, p and wire.PACKET_KINDS[p.kind], p and p.stream_id, p and str(p.pts), p and p.duration, p and len(p.payload), code))
-        self.state.update((pickle.dumps(parser),))
-        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in OUT.split(", ")])
-        yield frame.astype({c: "Int64" for c in ("generation", "seq", "epoch_id", "stream_id", "duration", "payload_len")})
+            for seq, current, p, code in parser.push(int(r.part), bytes(r.data) if r.data is not None else b"", bool(r.last)):
+                out.append((key[0], parser.generation, seq, current, p and wire.PACKET_KINDS[p.kind], p and p.stream_id, p and str(p.pts), p and p.duration, *self.tell(parser, session, p, code)))
+        parser.waiting = {}
+        self.state.update((pickle.dumps((parser, session)),))
+        names, kinds = zip(*(c.split(" ") for c in self.columns.split(", ")), strict=True)
+        frame = pd.DataFrame(out, columns=names)
+        yield frame.astype({c: "Int64" for c, k in zip(names, kinds, strict=True) if k == "long"})
 
     def close(self) -> None:
         pass
 
 
+class MediaProcessor(PacketProcessor):
+    """Frames and samples as soon as their packets are complete; what each stream retains is part of the state."""
+
+    columns = DECODED
+
+    def fresh(self):
+        return Session()
+
+    def tell(self, parser, session, p, code):
+        return (*(None,) * 9, code) if p is None else session.row(p, parser.streams or {})
+
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def parse_stream(fragments: DataFrame) -> DataFrame:
-    """A streaming frame of FRAGMENTS as packets; needs the RocksDB state store provider."""
-    fragments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return fragments.groupBy("file_id").transformWithStateInPandas(statefulProcessor=PacketProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
+def _keyed(fragments: DataFrame, keys: tuple[str, ...], processor: PacketProcessor) -> DataFrame:
+    found = fragments.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    if found != PROVIDER:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
+    return fragments.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.columns, outputMode="Append", timeMode="None")
+
+
+def parse_stream(fragments: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
+    """A streaming frame of FRAGMENTS as packets with their payloads; needs the RocksDB state store provider in the session."""
+    return _keyed(fragments, ("file_id",), PacketProcessor(magic))
+
+
+def parse_ranges(fragments: DataFrame) -> DataFrame:
+    """A streaming frame of RANGES as packets: each (file, epoch) is parsed from its range's first byte and must start that epoch."""
+    return _keyed(fragments, ("file_id", "epoch_id"), PacketProcessor())
+
+
+def decode_stream(fragments: DataFrame, magic: bytes = wire.FILE_MAGIC) -> DataFrame:
+    """A streaming frame of FRAGMENTS as DECODED rows: frames and samples, decoded within the stream."""
+    return _keyed(fragments, ("file_id",), MediaProcessor(magic))

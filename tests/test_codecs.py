@@ -276,6 +276,9 @@ def test_stream_failures():
     assert [e for *_, e in p.push(0, data[:-3], True)][-1] == "TrailingData"
     assert [e for *_, e in Parser(0, 50).push(0, data, False)] == ["ResourceLimit"]
     assert [e for *_, e in Parser(0).push(0, b"y" * 40, False)] == ["BadMagic"]
+    p = Parser(0, 100)  # parts that come early count, and a rejected file keeps nothing
+    assert [e for k in range(9, 0, -1) for *_, e in p.push(k, bytes(30), False)] == ["ResourceLimit"] and p.failed and not p.waiting and not p.held
+    assert list(p.push(0, data, False)) == [] and not p.waiting
     for _ in range(60):  # any mutation is classified the same way twice
         rng = random.Random(_)
         b = bytearray(data)

@@ -93,6 +93,26 @@ def test_pcm_bytes(spark):
     assert bytes(pcm_bytes(df).first().s16le) == b"\x00\x00\x01\x00\xff\xff\xff\x7f\x00\x80"
 
 
+def test_seek_and_stream_decode(spark):
+    """Decoding within the stream gives the frames and samples of the scan, and a seek gives their last part."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import media
+    from tessera.plans import media as plans
+
+    files = plans.encoded_clips(spark)
+    r = media.route(media.scan(files), media.streams_of(files))
+    frames = media.decode_video(r).select("file_id", "epoch_id", F.lit("video_frame").alias("kind"), F.col("pts").cast("string").alias("pts"), "y", "u", "v", F.lit(None).cast("array<int>").alias("samples"))
+    sound = media.decode_audio(r).select("file_id", "epoch_id", F.lit("audio_frame").alias("kind"), F.col("pts").cast("string").alias("pts"), *(F.lit(None).cast("binary").alias(c) for c in "yuv"), F.col("samples").cast("array<int>").alias("samples"))
+    both = frames.unionByName(sound).groupBy("file_id", "epoch_id", "kind").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("pts", "y", "u", "v", "samples")).alias("digest"))
+    want = {(x.file_id, x.epoch_id, x.kind, x.n, x.digest) for x in both.collect()}
+    got = result(spark, "stream_decode")
+    assert not any(x.error_code for x in got)
+    assert {(x.file_id, x.epoch_id, x.kind, x.n, x.digest) for x in got if x.kind != "epoch_start"} == want
+    seek = {x.file_id.removesuffix(".bin"): x for x in result(spark, "seek_decode")}
+    assert len(seek) == 6 and all(0 < x.frames < 12 and x.first_pts <= 333_333 and not x.rejected for x in seek.values())
+
+
 def test_stream_equals_scan(spark):
     streamed = {(r.file_id, r.kind): r.n for r in result(spark, "stream_parse")}
     assert not any(r.error_code for r in result(spark, "stream_parse"))

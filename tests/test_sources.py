@@ -7,7 +7,9 @@ import pytest
 from tessera.operators import media
 from tessera.plans import media as plans
 from tessera.sources import container, y4m
-from tessera.streaming.packets import FRAGMENTS, OUT, parse_stream
+from tessera.operators import wire
+from tessera.operators.video import Frame
+from tessera.streaming.packets import FRAGMENTS, OUT, PROVIDER, RANGES, parse_ranges, parse_stream
 from tests.test_codecs import small_file
 
 
@@ -55,6 +57,72 @@ def test_scan_of_rows_equals_source(spark, folder):
     assert sorted(map(key, media.scan(files).collect())) == sorted(map(key, container.load(spark, f"{folder}/a.bin").collect()))
 
 
+def test_magic_is_an_option(spark, tmp_path):
+    other = b"OTHER\0\0\0"
+    (tmp_path / "a.bin").write_bytes(other + small_file()[8:])
+    assert {r.error_code for r in container.load(spark, str(tmp_path), "files").collect()} == {"BadMagic"}
+    data = bytearray(small_file())
+    data[:8] = other
+    data[28:32] = wire._sealed(bytes(data[:28]))[-4:]
+    (tmp_path / "a.bin").write_bytes(bytes(data))
+    assert container.load(spark, str(tmp_path), magic="OTHER").where("error_code IS NULL").count() == 15
+    assert wire.regroup(bytes(data), False, other)[0] == bytes(data)
+
+
+def test_sink_writes_epochs(spark, tmp_path):
+    """The sink's files are those that are built as values, byte for byte; overwriting replaces what was there."""
+    packets, streams = plans.encoded_packets(spark)
+    packets = spark.createDataFrame(packets.collect(), packets.schema)
+    container.save(media.mux_epochs(packets, streams), str(tmp_path))
+    want = {r.file_id: bytes(r.content) for r in media.mux(packets, streams).collect()}
+    assert {p.name.removesuffix(".bin"): p.read_bytes() for p in tmp_path.iterdir() if p.name[0] != "."} == want
+    container.save(media.mux_epochs(packets.where("file_id = 'pan'"), streams), str(tmp_path), "overwrite", magic="OTHER")
+    assert [p.name for p in tmp_path.iterdir() if p.name[0] != "."] == ["pan.bin"]
+    assert (tmp_path / "pan.bin").read_bytes()[32:] == want["pan"][32:] and (tmp_path / "pan.bin").read_bytes()[:5] == b"OTHER"
+    with pytest.raises(Exception, match="BadX"):
+        container.save(media.mux_epochs(packets.withColumn("error_code", plans.F.lit("BadX")), streams), str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").glob("*.bin")]
+
+
+def test_time_ranges(spark, folder):
+    """From the epoch in which a time lies, up to the last that begins before another."""
+    ids = lambda **o: {r.epoch_id for r in container.load(spark, f"{folder}/a.bin", **o).collect()}
+    assert ids(from_pts="1500") == {1, 2} and ids(from_pts="2000") == {2} and ids(from_pts="0") == {0, 1, 2}
+    assert ids(from_pts="1000", to_pts="2000") == {1} and ids(to_pts="1") == {0}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        early = container.load(spark, f"{folder}/a.bin", pushdown="true").where("pts < 1002")
+        assert early.rdd.getNumPartitions() == 2 and early.count() == 5 + 3
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_play_from_a_time(spark, folder, tmp_path):
+    """Decoding from a seek gives the rest of the whole decode."""
+    container.save(media.mux_epochs(*plans.encoded_packets(spark)), str(tmp_path))
+    key = lambda r: (r.file_id, r.epoch_id, r.pts, bytes(r.y))
+    whole = sorted(map(key, container.play(spark, str(tmp_path), 0)[0].collect()))
+    some = sorted(map(key, container.play(spark, str(tmp_path), 300_000)[0].collect()))
+    first = {}
+    for f, e, pts, _ in whole:
+        if pts <= 300_000:
+            first[f] = max(first.get(f, 0), e)
+    assert some == [r for r in whole if r[1] >= first[r[0]]] and 0 < len(some) < len(whole)
+
+
+def test_clips_of_different_sizes(spark):
+    """Each file describes its own frames, so all of them decode."""
+    shade = lambda w, h, i: Frame.of(w, h, bytes((x * 3 + i) % 256 for x in range(w * h)), bytes(w * h // 4), bytes(w * h // 4))
+    rows = [(f"c{w}", i, w, h, *(p.tobytes() for p in shade(w, h, i).planes)) for w, h in ((24, 16), (48, 32), (18, 10)) for i in range(4)]
+    frames = spark.createDataFrame(rows, "clip_id string, frame_index long, width int, height int, y binary, u binary, v binary")
+    pcm = spark.createDataFrame([(f"c{w}", k, k * 960, [k] * 960) for w in (24, 48, 18) for k in range(9)], "clip_id string, seq long, first_frame long, samples array<short>")
+    files = media.encode_av(frames, pcm, 48_000, 1, (24, 1), 2, 1, "fast")
+    assert sorted((r.param0, r.param1) for r in media.streams_of(files).where("kind = 'video'").collect()) == [(18, 10), (24, 16), (48, 32)]
+    got = media.decode_media(media.scan(files), media.streams_of(files))[0].collect()
+    assert len(got) == 12 and not any(r.error_code for r in got)
+    assert {(r.file_id, int(r.frame_id), bytes(r.y)) for r in got} == {(r[0], r[1], r[4]) for r in rows}
+
+
 def test_audio_only_files(spark):
     pcm = spark.createDataFrame([("x", i, i * 960, [(i * 7 + k) % 100 for k in range(960)]) for i in range(120)], "file_id string, seq long, first_frame long, samples array<short>")
     files = media.encode_audio_only(pcm, 48_000, 1, 1)
@@ -71,15 +139,45 @@ def test_y4m_files(spark, tmp_path):
     assert sum(r.error_code is None for r in got) == 18 and [r.error_code for r in got if r.clip_id == "bad.y4m"] == ["BadHeader"]
 
 
-def run_stream(spark, folder, batches):
+def test_y4m_source_and_sink(spark, tmp_path):
+    """Runs of frames are read apart; files that the sink writes are those of the value form; bad ones are rows."""
+    c = plans.clips(spark, 5)
+    y4m.save(c, str(tmp_path))
+    assert {p.name.removesuffix(".y4m"): p.read_bytes() for p in tmp_path.glob("*.y4m")} == {r.file_id: bytes(r.content) for r in y4m.files(c).collect()}
+    (tmp_path / "bad.y4m").write_bytes(b"nothing")
+    (tmp_path / "short.y4m").write_bytes((tmp_path / "pan.y4m").read_bytes()[:-7])
+    (tmp_path / "words.y4m").write_bytes((tmp_path / "ui.y4m").read_bytes().replace(b"FRAME\n", b"FRAME Ip\n"))
+    got = y4m.load(spark, str(tmp_path), read_bytes="5000")
+    rows = got.collect()
+    assert got.rdd.getNumPartitions() == 6 * 3 + 3  # five frames of 2310 bytes in runs of two; odd files whole
+    want = {(r.clip_id, r.frame_index, bytes(r.y), bytes(r.v)) for r in c.collect()}
+    good = {(r.clip_id, r.frame_index, bytes(r.y), bytes(r.v)) for r in rows if not r.error_code}
+    assert want <= good and {(f, i) for f, i, *_ in good - want} == {("words", i) for i in range(5)}
+    assert {r.clip_id: r.error_code for r in rows if r.error_code} == {"bad": "BadHeader", "short": "UnexpectedEof"}
+
+
+def run_stream(spark, folder, batches, schema=FRAGMENTS, parse=parse_stream):
     """Each batch of fragments is one micro-batch."""
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, FRAGMENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(FRAGMENTS).parquet(f"{folder}/in")
-        parse_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        with plans.setting(spark, "spark.sql.streaming.stateStore.providerClass", PROVIDER):
+            parse(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{folder}/out").collect()
 
 
+def test_epoch_ranges(spark, tmp_path):
+    """Each epoch's range is a stream of its own, keyed by file and epoch; another epoch's bytes are rejected."""
+    data = small_file()
+    cut = lambda name, e, part, size=300: [(name, 0, i // size, bytearray(part[i : i + size]), i + size >= len(part), e) for i in range(0, len(part), size)]
+    ranges = {e.id: data[e.offset : e.offset + e.length] for e in wire.parse_prefix(data).epochs}
+    rows = [r for e, part in ranges.items() for r in cut("a", e, part)] + cut("b", 1, ranges[2])
+    got = run_stream(spark, str(tmp_path), [rows[::2], rows[1::2]], RANGES, parse_ranges)
+    want = [(e, p.pts, bytes(p.payload)) for e, part in ranges.items() for _, p in wire.scan(part)]
+    assert sorted((r.epoch_id, int(r.pts), bytes(r.payload)) for r in got if r.file_id == "a") == sorted(want)
+    assert [r.error_code for r in got if r.file_id == "b"] == ["BadEpoch"]
+
+
 def test_stream_state_over_batches(spark, tmp_path):
     data = small_file()
     cut = lambda name, gen, size: [(name, gen, i // size, bytearray(data[i : i + size]), i + size >= len(data)) for i in range(0, len(data), size)]
