@@ -181,3 +181,31 @@ def color_meta(matrix: Column, transfer: Column, primaries: Column, color_range:
         for name, value in codes.items():
             out = out + F.when(column == name, value << at).otherwise(0)
     return out
+
+
+#: Fixed values of the presentation transform by (matrix, full range): luma scale, luma offset, then red by v, green by u and v, blue by u.
+#: Any matrix but 1 (BT.601) and 3 (BT.2020) is shown as BT.709.
+PRESENTATION = {
+    (1, True): (1, 0, 1.402, -0.344136, -0.714136, 1.772),
+    (1, False): (1.164, 16 / 255, 1.596, -0.392, -0.813, 2.017),
+    (3, True): (1, 0, 1.4746, -0.16455, -0.57135, 1.8814),
+    (3, False): (1.164, 16 / 255, 1.6787, -0.1873, -0.6504, 2.1418),
+    (2, True): (1, 0, 1.5748, -0.187324, -0.468124, 1.8556),
+    (2, False): (1.164, 16 / 255, 1.793, -0.213, -0.533, 2.112),
+}
+
+
+def presented(y: Column, u: Column, v: Column, meta0: Column) -> tuple[Column, Column, Column]:
+    """Eight-bit red, green and blue of samples, by the matrix and range bits of the packed metadata; halves go to the even number."""
+    matrix, full = meta0.bitwiseAND(15), meta0.bitwiseAND(1 << 12) != 0
+
+    def pick(k: int) -> Column:
+        out = F.when(full, F.lit(float(PRESENTATION[2, True][k]))).otherwise(F.lit(float(PRESENTATION[2, False][k])))
+        for m in (1, 3):
+            for f in (True, False):
+                out = F.when((matrix == m) & (full == f), F.lit(float(PRESENTATION[m, f][k]))).otherwise(out)
+        return out
+
+    scale, offset, rv, gu, gv, bu = map(pick, range(6))
+    luma, cu, cv = scale * (y / 255 - offset), u / 255 - 0.5, v / 255 - 0.5
+    return tuple(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), x * 255))).cast("bigint") for x in (luma + rv * cv, luma + gu * cu + gv * cv, luma + bu * cu))

@@ -272,16 +272,18 @@ SELECT vec_id, m AS mean_difference, m > 48 AS cut FROM m"""
 
 
 def yuv_rgb(spark, sf):
-    """Full-range BT.709 presentation of three neighbouring samples."""
-    b = blocks(spark, sf, 255).select("vec_id", *(S.clip8(F.get("x", F.lit(i)) + 128).alias(c) for i, c in enumerate("yuv")))
-    y, u, v = F.col("y"), F.col("u") - 128, F.col("v") - 128
-    to8 = lambda x: S.clip8(F.floor(x + 0.5))
-    return b.select("vec_id", to8(y + 1.5748 * v).alias("r"), to8(y - 0.1873 * u - 0.4681 * v).alias("g"), to8(y + 1.8556 * u).alias("b"))
-
-
-YUV_RGB = f"""WITH {sql_blocks(255)}, p AS (SELECT vec_id, least(greatest(x[1] + 128, 0), 255) AS y, least(greatest(x[2] + 128, 0), 255) - 128 AS u, least(greatest(x[3] + 128, 0), 255) - 128 AS v FROM blocks)
-SELECT vec_id, CAST(least(greatest(floor(y + 1.5748::DOUBLE * v + 0.5), 0), 255) AS BIGINT) AS r, CAST(least(greatest(floor(y - 0.1873::DOUBLE * u - 0.4681::DOUBLE * v + 0.5), 0), 255) AS BIGINT) AS g,
-CAST(least(greatest(floor(y + 1.8556::DOUBLE * u + 0.5), 0), 255) AS BIGINT) AS b FROM p"""
+    """Presentation of three neighbouring samples, by every matrix in full and in limited range."""
+    b = blocks(spark, sf, 255).select("vec_id", (F.col("vec_id") % 5 + F.col("vec_id") % 2 * 4096).alias("meta0"), *(S.clip8(F.get("x", F.lit(i)) + 128).alias(c) for i, c in enumerate("yuv")))
+    r, g, b_ = S.presented(F.col("y"), F.col("u"), F.col("v"), F.col("meta0"))
+    return b.select("vec_id", "meta0", r.alias("r"), g.alias("g"), b_.alias("b"))
+
+
+_ROWS = ", ".join(f"({m}, {4096 * f}, {', '.join(f'CAST({float(x)!r} AS DOUBLE)' for x in c)})" for (m, f), c in S.PRESENTATION.items())
+_SHOWN = lambda x: f"CAST(round_even(greatest(0.0::DOUBLE, least(255.0::DOUBLE, ({x}) * 255)), 0) AS BIGINT)"
+YUV_RGB = f"""WITH {sql_blocks(255)}, c(matrix, full_range, ys, yo, rv, gu, gv, bu) AS (VALUES {_ROWS}),
+p AS (SELECT vec_id, vec_id % 5 + vec_id % 2 * 4096 AS meta0, CAST(least(greatest(x[1] + 128, 0), 255) AS DOUBLE) / 255 AS y, CAST(least(greatest(x[2] + 128, 0), 255) AS DOUBLE) / 255 - 0.5 AS u, CAST(least(greatest(x[3] + 128, 0), 255) AS DOUBLE) / 255 - 0.5 AS v FROM blocks)
+SELECT vec_id, meta0, {_SHOWN("ys * (y - yo) + rv * v")} AS r, {_SHOWN("ys * (y - yo) + gu * u + gv * v")} AS g, {_SHOWN("ys * (y - yo) + bu * u")} AS b
+FROM p JOIN c ON full_range = meta0 & 4096 AND matrix = CASE meta0 & 15 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 2 END"""
 
 QUERIES = {
     "div_round": (div_round, DIV_ROUND), "quantize_audio": (quantize_audio, QUANTIZE_AUDIO), "quantize_video": (quantize_video, QUANTIZE_VIDEO), "haar_forward": (haar_forward, HAAR_FORWARD),

@@ -11,10 +11,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as packets: type is kind, user is stream, ts is pts in microseconds, props is payload."""
+    """events as packets: type is kind, user is stream (four to a file), ts is pts in microseconds, props is payload."""
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "click", 3).otherwise(4)
     return read(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("file_id"),
+        F.floor(F.col("user_id") / 4).alias("file_id"),
         F.col("event_id").alias("seq"),
         kind.alias("kind"),
         F.col("user_id").alias("stream_id"),
@@ -24,7 +24,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PACKETS = """packets AS (SELECT user_id % 8 AS file_id, event_id AS seq,
+PACKETS = """packets AS (SELECT user_id // 4 AS file_id, event_id AS seq,
     CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS kind,
     user_id AS stream_id, epoch_us(ts) AS pts, CAST(octet_length(encode(props)) AS BIGINT) AS payload_len, value FROM events)"""
 

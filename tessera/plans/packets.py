@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,17 +157,25 @@ REF_WINDOW = f"WITH {PACKETS} SELECT stream_id, seq, coalesce(array_to_string(li
 
 
 def missing_dependencies(spark, sf):
-    """Dependencies on the frame six places back or on the next but one: both are beyond the four retained."""
+    """Declared dependencies that are not among the up to four frames retained before, or that have another size.
+
+    Each frame declares the frame one to six places back in its stream, and a frame by its bare id, which may be any.
+    """
+    w = Window.partitionBy("stream_id").orderBy("pts", "seq")
+    size = lambda c: F.col(c) % 16
     p = packets(spark, sf).where("kind = 2")
-    age = F.col("seq") % 6 + 1
-    w = _by_pts()
-    dep = F.coalesce(*(F.when(age == k, F.lag("seq", k).over(w)) for k in range(1, 7)))
-    d = p.select("stream_id", "seq", age.alias("age"), dep.alias("dep"))
-    return d.where(F.col("dep").isNotNull() & (F.col("age") > 4)).select("stream_id", "seq", "dep", F.lit("ReferenceMissing").alias("error_code"))
+    back = F.coalesce(*(F.when(F.col("seq") % 6 + 1 == k, F.lag("seq", k).over(w)) for k in range(1, 7)))
+    kept = F.collect_list(F.struct("seq", size("payload_len").alias("size"))).over(w.rowsBetween(-4, -1))
+    p = p.select("stream_id", "seq", size("payload_len").alias("size"), F.array_distinct(F.array_compact(F.array(back, F.col("seq") - 3))).alias("deps"), kept.alias("kept"))
+    d = p.select("stream_id", "seq", "size", "kept", F.explode("deps").alias("dep"))
+    found = F.filter("kept", lambda k: k["seq"] == F.col("dep"))
+    d = d.select("stream_id", "seq", "dep", F.when(F.size(found) == 0, "ReferenceMissing").when(F.get(found, F.lit(0))["size"] != F.col("size"), "ReferenceSize").alias("error_code"))
+    return d.where("error_code IS NOT NULL")
 
 
-MISSING_DEPENDENCIES = f"""WITH {PACKETS}, r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pts, seq) AS k FROM packets WHERE kind = 2)
-SELECT a.stream_id, a.seq, b.seq AS dep, 'ReferenceMissing' AS error_code FROM r a JOIN r b ON a.stream_id = b.stream_id AND b.k = a.k - (a.seq % 6 + 1) WHERE a.seq % 6 + 1 > 4"""
+MISSING_DEPENDENCIES = f"""WITH {PACKETS}, r AS (SELECT *, payload_len % 16 AS size, row_number() OVER (PARTITION BY stream_id ORDER BY pts, seq) AS k FROM packets WHERE kind = 2),
+d AS (SELECT a.stream_id, a.seq, a.size, a.k, b.seq AS dep FROM r a JOIN r b ON a.stream_id = b.stream_id AND b.k = a.k - (a.seq % 6 + 1) UNION SELECT stream_id, seq, size, k, seq - 3 FROM r)
+SELECT d.stream_id, d.seq, d.dep, CASE WHEN e.seq IS NULL THEN 'ReferenceMissing' ELSE 'ReferenceSize' END AS error_code FROM d LEFT JOIN r e ON d.stream_id = e.stream_id AND d.dep = e.seq AND e.k BETWEEN d.k - 4 AND d.k - 1 WHERE e.seq IS NULL OR e.size <> d.size"""
 
 
 def range_violations(spark, sf):
@@ -231,30 +241,65 @@ NEAREST_RANK_PCT = """WITH l AS (SELECT event_type, list_sort(list(value)) AS v
 SELECT event_type, v[(len(v) - 1) * 10 // 100 + 1] AS p10, v[(len(v) - 1) * 50 // 100 + 1] AS p50, v[(len(v) - 1) * 90 // 100 + 1] AS p90 FROM l"""
 
 
+#: Fixed values of the gate: the rate that counts as larger, the gains of PSNR and SSIM that make up for it, the losses of
+#: each that count, the rate that makes up for these, and the factor of total time that fails.
+LARGER, GAIN_PSNR, GAIN_SSIM, LOSS_PSNR, LOSS_SSIM, SMALLER, SLOWER = 1.05, 0.10, 0.0005, -0.50, -0.003, 0.97, 1.75
+
+
+def gate(base: DataFrame, head: DataFrame) -> DataFrame:
+    """(rule, cases, ratio): what a later run (case_id, source_hash, bytes, psnr_db, ssim, encode_s, decode_s) breaks against an earlier one.
+
+    Cases of one run alone fail as ``case_set``; where the sources differ nothing else is judged. A lossless case has no PSNR and
+    counts as 999 dB, a missing SSIM as 1, and so does a value of 0. Times are judged together, by the geometric mean over the cases of both runs.
+    """
+    names = ("source_hash", "bytes", "psnr_db", "ssim", "encode_s", "decode_s")
+    side = lambda df, p: df.select("case_id", *(F.col(c).alias(f"{p}_{c}") for c in names), F.lit(True).alias(p))
+    j = side(base, "b").join(side(head, "h"), "case_id", "full_outer")
+    both = F.col("b").isNotNull() & F.col("h").isNotNull()
+    filled = lambda c, v: F.when(F.col(c).isNull() | (F.col(c) == 0), F.lit(v)).otherwise(F.col(c))
+    rate = F.col("h_bytes") / F.col("b_bytes")
+    psnr, ssim = filled("h_psnr_db", 999.0) - filled("b_psnr_db", 999.0), filled("h_ssim", 1.0) - filled("b_ssim", 1.0)
+    same = both & (F.col("b_source_hash") == F.col("h_source_hash"))
+    rules = {
+        "case_set": ~both,
+        "source_hash": both & (F.col("b_source_hash") != F.col("h_source_hash")),
+        "larger": same & (rate > LARGER) & (psnr < GAIN_PSNR) & (ssim < GAIN_SSIM),
+        "psnr": same & (psnr < LOSS_PSNR) & (rate > SMALLER),
+        "ssim": same & (ssim < LOSS_SSIM) & (rate > SMALLER),
+    }
+    timed = {k: F.exp(F.avg(F.when(both & (F.col(f"b_{k}") > 0), F.log(F.col(f"h_{k}") / F.col(f"b_{k}"))))) for k in ("encode_s", "decode_s")}
+    one = j.agg(*(F.count_if(c).alias(k) for k, c in rules.items()), *(x.alias(k) for k, x in timed.items()))
+    none = F.lit(None).cast("double")
+    rows = [F.struct(F.lit(k).alias("rule"), F.col(k).alias("cases"), none.alias("ratio")) for k in rules]
+    rows += [F.struct(F.lit(k).alias("rule"), F.when(F.col(k) > SLOWER, 1).otherwise(0).cast("long").alias("cases"), F.round(k, 6).alias("ratio")) for k in timed]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def run_compare(spark, sf):
-    """An earlier and a later run by case, outer joined: missing cases and changed hashes fail; sizes and qualities gate; time ratios by geometric mean."""
+    """Two runs derived from events, held against each other by ``gate``."""
     e = read(spark, sf, "events").withColumn("case_id", F.col("user_id") * 10 + F.length("event_type"))
     early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
 
-    def run(which: Column, name: str) -> DataFrame:
-        return e.where(which).groupBy("case_id").agg(F.sum(F.floor(F.col("value") * 100)).alias(f"{name}_bytes"), F.count("*").alias(f"{name}_q"))
+    def run(which: Column, change: int) -> DataFrame:
+        g = e.where(which).groupBy("case_id").agg(F.sum(F.floor(F.col("value") * 100)).alias("bytes"), F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+        psnr = F.when(F.col("n") % 5 != 0, 30 + F.col("ids") % 40 / 16)
+        ssim = F.when(F.col("n") % 7 != 0, 0.9 + F.col("ids") % 32 / 1024)
+        return g.select("case_id", (F.col("case_id") + F.when(F.col("case_id") % 6 == 0, change).otherwise(0)).alias("source_hash"), "bytes", psnr.alias("psnr_db"), ssim.alias("ssim"), F.col("n").cast("double").alias("encode_s"), (F.col("bytes") % 50).cast("double").alias("decode_s"))
 
-    j = run(early, "base").join(run(~early, "head"), "case_id", "full_outer")
-    gain = F.col("head_q") - F.col("base_q")
-    verdict = (
-        F.when(F.col("base_bytes").isNull() | F.col("head_bytes").isNull(), "missing")
-        .when((F.col("head_bytes") > F.col("base_bytes") * 1.05) & (gain < 1), "larger")
-        .when((gain < -3) & ~(F.col("head_bytes") <= F.col("base_bytes") * 0.97), "worse")
-        .otherwise("ok")
-    )
-    j = j.select(verdict.alias("verdict"), F.log(F.col("head_q") / F.col("base_q")).alias("ratio"))
-    return j.groupBy("verdict").agg(F.count("*").alias("cases"), F.round(F.exp(F.avg("ratio")), 6).alias("geomean"))
+    return gate(run(early, 0), run(~early, 1))
 
 
-RUN_COMPARE = """WITH e AS (SELECT *, user_id * 10 + length(event_type) AS case_id FROM events),
-b AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS bb, count(*) AS bq FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), h AS (SELECT case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS hb, count(*) AS hq FROM e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
-j AS (SELECT CASE WHEN bb IS NULL OR hb IS NULL THEN 'missing' WHEN hb > bb * 1.05 AND hq - bq < 1 THEN 'larger' WHEN hq - bq < -3 AND NOT hb <= bb * 0.97 THEN 'worse' ELSE 'ok' END AS verdict, ln(CAST(hq AS DOUBLE) / bq) AS r FROM b FULL JOIN h USING (case_id))
-SELECT verdict, count(*) AS cases, round(exp(avg(r)), 6) AS geomean FROM j GROUP BY verdict"""
+_RUN = "SELECT user_id * 10 + length(event_type) AS case_id, sum(CAST(floor(value * 100) AS BIGINT)) AS bytes, count(*) AS n, sum(event_id) AS ids FROM events WHERE ts {} TIMESTAMP '2024-01-16' GROUP BY 1"
+_SIDE = "SELECT case_id, case_id + CASE WHEN case_id % 6 = 0 THEN {1} ELSE 0 END AS src, bytes, CASE WHEN n % 5 <> 0 THEN 30 + CAST(ids % 40 AS DOUBLE) / 16 ELSE 999 END AS psnr, CASE WHEN n % 7 <> 0 THEN 0.9::DOUBLE + CAST(ids % 32 AS DOUBLE) / 1024 ELSE 1 END AS ssim, CAST(n AS DOUBLE) AS enc, CAST(bytes % 50 AS DOUBLE) AS dec FROM ({0})"
+RUN_COMPARE = f"""WITH b AS ({_SIDE.format(_RUN.format("<"), 0)}), h AS ({_SIDE.format(_RUN.format(">="), 1)}),
+j AS (SELECT b.case_id IS NOT NULL AND h.case_id IS NOT NULL AS both_runs, b.src = h.src AS same, CAST(h.bytes AS DOUBLE) / b.bytes AS rate, h.psnr - b.psnr AS psnr, h.ssim - b.ssim AS ssim, b.enc AS be, h.enc AS he, b.dec AS bd, h.dec AS hd FROM b FULL JOIN h ON b.case_id = h.case_id),
+t AS (SELECT exp(avg(ln(he / be)) FILTER (both_runs AND be > 0)) AS enc, exp(avg(CASE WHEN hd = 0 THEN NULL ELSE ln(hd / bd) END) FILTER (both_runs AND bd > 0)) AS dec FROM j)
+SELECT 'case_set' AS rule, count(*) FILTER (NOT both_runs) AS cases, CAST(NULL AS DOUBLE) AS ratio FROM j
+UNION ALL SELECT 'source_hash', count(*) FILTER (both_runs AND NOT same), NULL FROM j
+UNION ALL SELECT 'larger', count(*) FILTER (both_runs AND same AND rate > {LARGER} AND psnr < {GAIN_PSNR} AND ssim < {GAIN_SSIM}), NULL FROM j
+UNION ALL SELECT 'psnr', count(*) FILTER (both_runs AND same AND psnr < {LOSS_PSNR} AND rate > {SMALLER}), NULL FROM j
+UNION ALL SELECT 'ssim', count(*) FILTER (both_runs AND same AND ssim < {LOSS_SSIM} AND rate > {SMALLER}), NULL FROM j
+UNION ALL SELECT 'encode_s', CASE WHEN enc > {SLOWER} THEN 1 ELSE 0 END, round(enc, 6) FROM t UNION ALL SELECT 'decode_s', CASE WHEN dec > {SLOWER} THEN 1 ELSE 0 END, round(dec, 6) FROM t"""
 
 
 def timing_summary(spark, sf):
@@ -283,10 +328,19 @@ CASE WHEN n > 0 AND 1000000 * d // n > 0 THEN 1000000 * d // n END AS frame_us F
 
 
 def byte_histogram(spark, sf):
-    """Bytes of all texts; each text's own counts are merged before any shuffle."""
-    hexed = F.hex(F.col("text").cast("binary"))
-    byte = F.explode(F.regexp_extract_all(hexed, F.lit("(..)"), F.lit(1)))
-    return read(spark, sf, "documents").select(byte.alias("h")).groupBy("h").agg(F.count("*").alias("n")).select(F.conv("h", 16, 10).cast("bigint").alias("symbol"), "n")
+    """Bytes of all texts: each Arrow batch is counted whole, so a task sends at most 256 rows for each."""
+
+    def run(batches):
+        for b in batches:
+            t = b.column(0)
+            at = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1]
+            raw = np.frombuffer(t.buffers()[2], np.uint8)[at[0] : at[-1]] if t.buffers()[2] is not None else np.zeros(0, np.uint8)
+            n = np.bincount(raw, minlength=256)
+            own = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[own], pa.int64())], names=["symbol", "n"])
+
+    texts = read(spark, sf, "documents").select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
+    return texts.mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 _HIST = "hist AS (SELECT CAST(('0x' || b) AS BIGINT) AS symbol, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1)"
@@ -309,19 +363,28 @@ f AS (SELECT symbol, CAST(f + CASE WHEN rem > 0 AND k <= rem THEN 1 WHEN rem < 0
 SELECT symbol, freq, CAST(sum(freq) OVER (ORDER BY symbol) - freq AS BIGINT) AS start, sum(freq) OVER () = 4096 AS valid FROM f"""
 
 
+def _repeated(d: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose text has a hash that another row with the same keys has too: only these are compared as texts."""
+    hashed = d.withColumn("h", F.xxhash64("text"))
+    again = hashed.groupBy(*keys, "h").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return hashed.join(again, [*keys, "h"], "left_semi")
+
+
 def dup_blocks(spark, sf):
-    """The first earlier document with the same bytes: minimum by hash and text, aggregated before the join."""
-    d = read(spark, sf, "documents").select("doc_id", "text")
-    first = d.groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    return d.join(first, "text").where("doc_id > first_id").select("doc_id", "first_id")
+    """The first earlier document with the same bytes: by hash, then by text among those whose hash repeats; minima are taken before the shuffle."""
+    d = _repeated(read(spark, sf, "documents").select("doc_id", "text"))
+    first = d.groupBy("h", "text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return d.join(first, ["h", "text"]).where("doc_id > first_id").select("doc_id", "first_id")
 
 
 DUP_BLOCKS = "WITH f AS (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY text) SELECT doc_id, first_id FROM documents JOIN f USING (text) WHERE doc_id > first_id"
 
 
 def repeated_block_pct(spark, sf):
-    d = read(spark, sf, "documents").groupBy("source", "text").agg(F.count("*").alias("n"))
-    return d.groupBy("source").agg(F.round(100.0 * F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("percent"))
+    """Share of a source's documents that repeat an earlier one; texts are shuffled only where a hash repeats."""
+    d = read(spark, sf, "documents").select("source", "text")
+    extra = _repeated(d, "source").groupBy("source", "h", "text").agg(F.count("*").alias("n")).groupBy("source").agg(F.sum(F.col("n") - 1).alias("extra"))
+    return d.groupBy("source").agg(F.count("*").alias("rows")).join(extra, "source", "left").select("source", F.round(100.0 * F.coalesce("extra", F.lit(0)) / F.col("rows"), 6).alias("percent"))
 
 
 REPEATED_BLOCK_PCT = "WITH d AS (SELECT source, text, count(*) AS n FROM documents GROUP BY ALL) SELECT source, round(100.0::DOUBLE * sum(n - 1) / sum(n), 6) AS percent FROM d GROUP BY source"
