@@ -14,8 +14,8 @@ from .store import binary_text, bounded_batches
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Cost of a sequence of c tokens: per sequence, per token, per squared token.
 COST = (64.0, 1.0, 1 / 65536)
-#: Documents and tokens that one task packs together, on average.
-SHARD, SHARD_TOKENS = 1 << 15, 1 << 24
+#: Documents and bytes of text (a token has one at least) that one task packs together, on average.
+SHARD, SHARD_BYTES = 1 << 15, 1 << 25
 #: Tokens of the sequences that are handed over at once.
 OUT_TOKENS = 1 << 20
 
@@ -90,17 +90,21 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text") ->
     return docs.select("doc_id", binary_text(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
-def pack(tokens: DataFrame, width: int, capacities: tuple[int, ...] = CAPACITIES, weights=COST, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def shards_of(docs: DataFrame, text: str = "text", shard: int = SHARD, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards of about ``shard`` rows or ``shard_bytes`` of text, whichever are more; the texts are measured, not encoded."""
+    rows, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, -(-rows // shard), -(-total // shard_bytes))
+
+
+def pack(tokens: DataFrame, width: int, shards: int, capacities: tuple[int, ...] = CAPACITIES, weights=COST) -> DataFrame:
     """Sequences (bin_id, capacity, ids, pieces) of a frame of (doc_id, n_tokens >= 1, ids).
 
     ``pieces`` are structs (doc_id, piece, start, n_tokens, offset) in the order of their offsets.
-    Rows are dealt evenly, whatever their keys, into shards that are packed alone: a task
-    holds about ``shard`` rows or ``shard_tokens`` tokens, and each shard leaves a bin or two
-    partly filled. A document longer than the largest capacity becomes full pieces and a remainder.
+    Rows are dealt evenly, whatever their keys, into shards that are packed alone: a task holds a
+    shard's ids, and each shard leaves a bin or two partly filled. A document longer than the
+    largest capacity becomes full pieces and a remainder. Ids move once, in the shuffle to the shards.
     """
     top = capacities[-1]
-    rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    shards = max(1, -(-rows // shard), -(-total // shard_tokens))
     kind = dict(tokens.dtypes)["doc_id"]
     schema = f"bin_id long, capacity long, ids binary, pieces array<struct<doc_id: {kind}, piece: long, start: long, n_tokens: long, offset: long>>"
 
@@ -144,9 +148,7 @@ def op2_best_fit_packing(docs: DataFrame, tokenizer: str, pattern: str, out: str
     are ignored. A text longer than the largest capacity is cut into pieces; each text is encoded whole.
     """
     spark = docs.sparkSession
-    encode(docs, tokenizer, pattern).write.mode("overwrite").parquet(f"{out}/tokens")
-    tokens = spark.read.schema(f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids binary").parquet(f"{out}/tokens")
-    sequences = pack(tokens, ranked.id_bytes(tokenizer))
+    sequences = pack(encode(docs, tokenizer, pattern), ranked.id_bytes(tokenizer), shards_of(docs))
     sequences.write.mode("overwrite").parquet(f"{out}/sequences")
     packed = spark.read.schema(sequences.schema).parquet(f"{out}/sequences")
     each = packed.select("bin_id", "capacity", F.crc32("ids").alias("sequence_crc32"), F.explode("pieces").alias("p"))
