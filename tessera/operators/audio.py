@@ -93,13 +93,19 @@ def tokens(q: np.ndarray, out: bytearray) -> None:
 
 
 def read_sparse(c: Cursor, most: int, into: list[int]) -> None:
-    """One block's coefficients; indexes must rise and values stay within ``most``."""
+    """One block's coefficients; indexes must rise and values stay within ``most``. Single bytes, the rule, are read in place."""
     n = c.uvarint()
     if n > 64:
         raise Rejected("BadCoefficient")
-    last = -1
+    last, data, end = -1, c.data, len(c.data)
     for _ in range(n):
-        i, v = c.uvarint(), c.svarint()
+        at = c.at
+        if at + 1 < end and data[at] < 128 and data[at + 1] < 128:
+            i, z = data[at], data[at + 1]
+            v = (z >> 1) ^ -(z & 1)
+            c.at = at + 2
+        else:
+            i, v = c.uvarint(), c.svarint()
         if i >= 64 or i <= last or abs(v) > most:
             raise Rejected("BadCoefficient")
         into[i], last = v, i

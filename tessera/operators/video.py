@@ -57,17 +57,34 @@ def inverse_wht(q: np.ndarray) -> np.ndarray:
     return div_round(wht(q), 64)
 
 
+class HalfSamples:
+    """A plane at half-sample steps: the four interpolated planes by parity, their edges repeated as far as motion reaches."""
+
+    MARGIN = MAX_MOTION // 2 + BLOCK
+
+    def __init__(self, ref: np.ndarray):
+        p = np.pad(ref.astype(np.int32), ((self.MARGIN, self.MARGIN + 1), (self.MARGIN, self.MARGIN + 1)), mode="edge")
+        a, b, c, d = p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]
+        self.planes = np.stack([a, a + b + 1 >> 1, a + c + 1 >> 1, a + b + c + d + 2 >> 2])
+        self.flat = self.planes.ravel()
+        _, self.rows, self.stride = self.planes.shape
+        k = np.arange(BLOCK)
+        self.inner = (k[:, None] * self.stride + k).ravel()
+
+    def at(self, x0: np.ndarray, y0: np.ndarray, dx2: np.ndarray, dy2: np.ndarray) -> np.ndarray:
+        """Predictions (n, 8, 8) of blocks at (x0, y0)."""
+        parity = (dy2 & 1) * 2 + (dx2 & 1)
+        first = (parity * self.rows + y0 + (dy2 >> 1) + self.MARGIN) * self.stride + x0 + (dx2 >> 1) + self.MARGIN
+        return self.flat[first[:, None] + self.inner].reshape(-1, BLOCK, BLOCK)
+
+    def shifted(self, dx: int, dy: int, h: int, w: int) -> np.ndarray:
+        """The whole plane moved by whole samples."""
+        return self.planes[0, self.MARGIN + dy : self.MARGIN + dy + h, self.MARGIN + dx : self.MARGIN + dx + w]
+
+
 def motion(ref: np.ndarray, x0: np.ndarray, y0: np.ndarray, dx2: np.ndarray, dy2: np.ndarray) -> np.ndarray:
     """Half-sample predictions (n, 8, 8) of blocks at (x0, y0); coordinates clamp to the edges."""
-    h, w = ref.shape
-    k = np.arange(BLOCK)
-    x2 = 2 * (x0[:, None] + k) + dx2[:, None]
-    y2 = 2 * (y0[:, None] + k) + dy2[:, None]
-    fx, fy = (x2 & 1)[:, None, :], (y2 & 1)[:, :, None]
-    xa, xb = np.clip(x2 >> 1, 0, w - 1)[:, None, :], np.clip((x2 >> 1) + 1, 0, w - 1)[:, None, :]
-    ya, yb = np.clip(y2 >> 1, 0, h - 1)[:, :, None], np.clip((y2 >> 1) + 1, 0, h - 1)[:, :, None]
-    r = ref.astype(np.int64)
-    return (r[ya, xa] * (2 - fx) * (2 - fy) + r[ya, xb] * fx * (2 - fy) + r[yb, xa] * (2 - fx) * fy + r[yb, xb] * fx * fy + 2) // 4
+    return HalfSamples(ref).at(x0, y0, dx2, dy2)
 
 
 def intra(recon: np.ndarray, x: int, y: int, bw: int, bh: int, mode: int) -> np.ndarray | int:
@@ -164,7 +181,7 @@ def _decode_plane(blocks: list[bytes], h: int, w: int, q: int, refs: list[np.nda
         read_sparse(data, MAX_COEFFICIENT, coefficients[k])
     control.end()
     data.end()
-    deq = np.array(coefficients, np.int64) * q
+    deq = np.array(coefficients, np.int64).reshape(-1, 64) * q
     if np.abs(deq).max() > MAX_DEQUANTISED:
         raise Rejected("BadCoefficient")
     residual = inverse_wht(deq.reshape(-1, BLOCK, BLOCK))
@@ -175,14 +192,18 @@ def _decode_plane(blocks: list[bytes], h: int, w: int, q: int, refs: list[np.nda
             k, _, dx2, dy2 = (np.array(c) for c in zip(*mine, strict=True))
             at = np.array([grid[i][:2] for i in k])
             predicted |= dict(zip(k.tolist(), motion(refs[r], at[:, 0], at[:, 1], dx2, dy2), strict=True))
-    out = np.full((h, w), 128, np.uint8)
+    out = np.full((h, w), 128, np.int32)
+    residual = residual.astype(np.int32)
+    known = [k for k, m in enumerate(modes) if m == 3]
+    if known:  # blocks from other frames are finished together
+        done = (np.stack([predicted[k] for k in known]) + residual[known]).clip(0, 255)
+        palettes |= {k: done[i, : grid[k][3], : grid[k][2]] for i, k in enumerate(known)}
     for k, (x, y, bw, bh) in enumerate(grid):
-        if modes[k] == 4:
+        if modes[k] >= 3:
             out[y : y + bh, x : x + bw] = palettes[k]
         else:
-            p = predicted[k][:bh, :bw] if modes[k] == 3 else intra(out, x, y, bw, bh, modes[k])
-            out[y : y + bh, x : x + bw] = np.clip(p + residual[k, :bh, :bw], 0, 255)
-    return out
+            out[y : y + bh, x : x + bw] = (intra(out, x, y, bw, bh, modes[k]) + residual[k, :bh, :bw]).clip(0, 255)
+    return out.astype(np.uint8)
 
 
 def decode(b: bytes, references: dict[int, Frame]) -> tuple[Header, Frame]:
@@ -240,27 +261,36 @@ class Block:
     index: np.ndarray | None = None
 
 
-def _sad(src: np.ndarray, pred: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    return np.where(inside, np.abs(src - pred), 0).sum(axis=(1, 2))
-
-
-def _search(src: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: np.ndarray, radius: int, pattern: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search(src: np.ndarray, tiles: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: HalfSamples, radius: int, pattern: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sad, dx2, dy2) of every block: whole-sample square around zero, then the half samples around the best.
 
     With ``pattern`` the square is not searched whole: blocks step to their best neighbour, two samples away
     and then one, as long as that improves.
 
-    All blocks try one displacement at a time. A later displacement wins only if strictly better: zero comes
-    first, then rows, then columns; blocks that match exactly are not refined.
+    All blocks try one displacement at a time: whole samples by one difference of whole planes, summed up by block. A later
+    displacement wins only if strictly better: zero comes first, then rows, then columns; blocks that match exactly are not refined.
     """
+    h, w = src.shape
     x, y, zero = at[:, 0], at[:, 1], np.zeros(len(at), np.int64)
-    best, bx, by = _sad(src, motion(ref, x, y, zero, zero), inside), zero.copy(), zero.copy()
+    rows, columns = np.arange(0, h, BLOCK), np.arange(0, w, BLOCK)
+
+    def whole(dx: int, dy: int) -> np.ndarray:
+        d = np.abs(src - ref.shifted(dx, dy, h, w))
+        return np.add.reduceat(np.add.reduceat(d, rows, axis=0), columns, axis=1).ravel()
+
+    best, bx, by = whole(0, 0), zero.copy(), zero.copy()
+
+    def take(s: np.ndarray, dx2: np.ndarray, dy2: np.ndarray, which: np.ndarray) -> None:
+        better = s < best[which]
+        n = which[better]
+        best[n], bx[n], by[n] = s[better], dx2[n], dy2[n]
 
     def attempt(dx2: np.ndarray, dy2: np.ndarray, which: np.ndarray) -> None:
-        if which.any():
-            s = _sad(src[which], motion(ref, x[which], y[which], dx2[which], dy2[which]), inside[which])
-            better = np.flatnonzero(which)[s < best[which]]
-            best[better], bx[better], by[better] = s[s < best[which]], dx2[better], dy2[better]
+        which = np.flatnonzero(which)
+        if len(which):
+            d = np.abs(tiles[which] - ref.at(x[which], y[which], dx2[which], dy2[which]))
+            d *= inside[which]
+            take(d.reshape(len(which), -1).sum(axis=1), dx2, dy2, which)
 
     around = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
     for step in (2, 1) if pattern else ():
@@ -271,10 +301,11 @@ def _search(src: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: np.ndarray
                 x2, y2 = cx + 2 * step * dx, cy + 2 * step * dy
                 attempt(x2, y2, moving & (np.abs(x2) <= 2 * radius) & (np.abs(y2) <= 2 * radius))
             moving = (best < before) & (best > 0)
+    every = np.arange(len(at))
     for dy in () if pattern else range(-radius, radius + 1):
         for dx in range(-radius, radius + 1):
             if dx or dy:
-                attempt(zero + 2 * dx, zero + 2 * dy, best > 0)
+                take(whole(dx, dy), zero + 2 * dx, zero + 2 * dy, every)
     cx, cy = bx.copy(), by.copy()
     for dx, dy in around:
         attempt(cx + dx, cy + dy, best > 0)
@@ -293,22 +324,32 @@ def palette(block: np.ndarray) -> tuple[list[int], np.ndarray] | None:
     return values[np.argsort(first)].tolist(), rank[back]
 
 
-def _varint_len(v: int) -> int:
-    return max(1, -(-v.bit_length() // 7))
+def _signed_lens(v: np.ndarray) -> np.ndarray:
+    """Bytes of each value as a signed varint."""
+    z = (v << 1) ^ (v >> 63)
+    return 1 + (z >> 7 > 0) + (z >> 14 > 0) + (z >> 21 > 0) + (z >> 28 > 0)
 
 
-def _signed_len(v: int) -> int:
-    return _varint_len((v << 1) ^ (v >> 63))
+def raw_rates(q: np.ndarray) -> np.ndarray:
+    """Bytes of the tokens of rows of coefficients before entropy coding, with the mode's; indexes and counts take one."""
+    return 2 + ((1 + _signed_lens(q)) * (q != 0)).sum(axis=1)
 
 
-def raw_rate(mode: int, dx2: int, dy2: int, q: np.ndarray) -> int:
-    """Bytes of a block's tokens before entropy coding."""
-    at = np.flatnonzero(q).tolist()
-    n = 1 + _varint_len(len(at)) + (1 + _signed_len(dx2) + _signed_len(dy2) if mode == 3 else 0)
-    return n + sum(_varint_len(i) + _signed_len(int(q[i])) for i in at)
+def _residuals(diff: np.ndarray, pred: np.ndarray, tiles: np.ndarray, inside: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(squared error, rate, coefficients, reconstruction) of blocks coded with the given predictions."""
+    coded = div_round(wht(diff), q)
+    got = (pred + inverse_wht(coded * q)).clip(0, 255)
+    err = (((tiles - got) ** 2) * inside).reshape(len(got), -1).sum(axis=1)
+    flat = coded.reshape(-1, 64)
+    return err, raw_rates(flat), flat, got
 
 
-def _encode_plane(src: np.ndarray, refs: list[np.ndarray], q: int, preset: str, use_palette: bool) -> tuple[list[Block], list[bool], np.ndarray]:
+def _encode_plane(src: np.ndarray, refs: list[HalfSamples], q: int, preset: str, use_palette: bool) -> tuple[list[Block], list[bool], np.ndarray]:
+    """Blocks in raster order, which references they use, and the reconstruction.
+
+    What comes from other frames needs nothing of this one, so it is searched and coded for all blocks at once; only
+    intra prediction goes block by block.
+    """
     h, w = src.shape
     grid = _grid(h, w)
     at = np.array([g[:2] for g in grid])
@@ -316,40 +357,51 @@ def _encode_plane(src: np.ndarray, refs: list[np.ndarray], q: int, preset: str,
     tiles = padded.reshape(padded.shape[0] // BLOCK, BLOCK, -1, BLOCK).swapaxes(1, 2).reshape(-1, BLOCK, BLOCK)
     k = np.arange(BLOCK)
     inside = ((at[:, 1, None] + k < h)[:, :, None]) & ((at[:, 0, None] + k < w)[:, None, :])
-    found = [_search(tiles, inside, at, r, PRESETS[preset][0], preset == "fast") for r in refs]
-    lam, recon, used, out = max(q * q // 512, 1), np.full((h, w), 128, np.uint8), [False] * len(refs), []
-
-    def evaluate(i: int, mode: int, r: int, dx2: int, dy2: int):
-        x, y, bw, bh = grid[i]
-        p = motion(refs[r], at[i : i + 1, 0], at[i : i + 1, 1], np.array([dx2]), np.array([dy2]))[0, :bh, :bw] if mode == 3 else intra(recon, x, y, bw, bh, mode)
-        diff = np.zeros((1, BLOCK, BLOCK), np.int64)
-        diff[0, :bh, :bw] = tiles[i, :bh, :bw] - p
-        coded = div_round(wht(diff), q)
-        got = np.clip(p + inverse_wht(coded * q)[0, :bh, :bw], 0, 255)
-        err = int(((tiles[i, :bh, :bw] - got) ** 2).sum())
-        flat = coded.reshape(64)
-        return err, raw_rate(mode, dx2, dy2, flat), Block(mode, r, dx2, dy2, flat), got
+    lam, recon, used, out = max(q * q // 512, 1), np.full((h, w), 128, np.int64), [False] * len(refs), []
+
+    if refs:
+        found = [_search(src.astype(np.int32), tiles, inside, at, r, PRESETS[preset][0], preset == "fast") for r in refs]
+        which = np.argmin(np.stack([f[0] for f in found]), axis=0)  # the first of equals
+        sad, dx2, dy2 = (np.choose(which, [f[j] for f in found]) for j in range(3))
+        pred = np.zeros((len(grid), BLOCK, BLOCK), np.int64)
+        for r, ref in enumerate(refs):
+            own = np.flatnonzero(which == r)
+            pred[own] = ref.at(at[own, 0], at[own, 1], dx2[own], dy2[own])
+        errs, rates, flats, gots = _residuals((tiles - pred) * inside, pred, tiles, inside, q)
+        rates = rates + 1 + _signed_lens(dx2) + _signed_lens(dy2)
+        inter = list(zip(sad.tolist(), which.tolist(), dx2.tolist(), dy2.tolist(), errs.tolist(), rates.tolist(), strict=True))
+    ordered = np.sort(tiles.reshape(len(grid), -1), axis=1)
+    few = ((ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) <= 4) | ~inside.all(axis=(1, 2))  # the rest have more than four colours
+
+    def as_inter(i: int):
+        _, r, x2, y2, err, rate = inter[i]
+        return err, rate, Block(3, r, x2, y2, flats[i]), gots[i, : grid[i][3], : grid[i][2]]
+
+    def as_intra(i: int, mode: int, p):
+        _, _, bw, bh = grid[i]
+        here, wide = inside[i : i + 1], np.zeros((1, BLOCK, BLOCK), np.int64)
+        wide[0, :bh, :bw] = p
+        err, rate, flat, got = _residuals((tiles[i : i + 1] - wide) * here, wide, tiles[i : i + 1], here, q)
+        return int(err[0]), int(rate[0]), Block(mode, 0, 0, 0, flat[0]), got[0, :bh, :bw]
 
     for i, (x, y, bw, bh) in enumerate(grid):
         here = tiles[i, :bh, :bw]
-        intra_sad, intra_mode = min((int(np.abs(here - intra(recon, x, y, bw, bh, m)).sum()), m) for m in (0, 1, 2))
-        inter = min(((int(f[0][i]), r, int(f[1][i]), int(f[2][i])) for r, f in enumerate(found)), key=lambda t: (t[0], t[1]), default=None)
-        inter_first = inter is not None and inter[0] < intra_sad
-        as_inter = (3, *inter[1:]) if inter else None
-        as_intra = (intra_mode, 0, 0, 0)
-        colors = palette(src[y : y + bh, x : x + bw]) if use_palette else None
-        err, rate, chosen, got = evaluate(i, *(as_inter if inter_first else as_intra))
+        guesses = [intra(recon, x, y, bw, bh, m) for m in (0, 1, 2)]
+        intra_sad, intra_mode = min((int(np.abs(here - p).sum()), m) for m, p in enumerate(guesses))
+        inter_sad = inter[i][0] if refs else None
+        inter_first = inter_sad is not None and inter_sad < intra_sad
+        colors = palette(src[y : y + bh, x : x + bw]) if use_palette and few[i] else None
+        err, rate, chosen, got = as_inter(i) if inter_first else as_intra(i, intra_mode, guesses[intra_mode])
         if preset == "fast":
-            if colors and min(intra_sad, inter[0] if inter else intra_sad) > 4 * bw * bh:
+            if colors and min(intra_sad, intra_sad if inter_sad is None else inter_sad) > 4 * bw * bh:
                 chosen, got = Block(4, colors=colors[0], index=colors[1]), here
         else:
             def score(e: int, n: int, b: Block) -> int:
                 return e + lam * (n + (8 if b.mode == 3 and not used[b.ref] else 0))
 
             best = score(err, rate, chosen)
-            other = as_intra if inter_first else as_inter
-            if other and (q == 1 or preset == "quality" or abs(intra_sad - inter[0]) <= 2 * q):
-                err, rate, b, g = evaluate(i, *other)
+            if inter_sad is not None and (q == 1 or preset == "quality" or abs(intra_sad - inter_sad) <= 2 * q):
+                err, rate, b, g = as_intra(i, intra_mode, guesses[intra_mode]) if inter_first else as_inter(i)
                 if score(err, rate, b) < best:
                     best, chosen, got = score(err, rate, b), b, g
             if colors and lam * (3 + len(colors[0]) + -(-bw * bh // 4)) < best:
@@ -358,7 +410,7 @@ def _encode_plane(src: np.ndarray, refs: list[np.ndarray], q: int, preset: str,
             used[chosen.ref] = True
         recon[y : y + bh, x : x + bw] = got
         out.append(chosen)
-    return out, used, recon
+    return out, used, recon.astype(np.uint8)
 
 
 def _serialise(blocks: list[Block], place: dict[int, int]) -> tuple[bytes, bytes]:
@@ -388,7 +440,7 @@ def encode(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q:
     if not 1 <= q <= 65535:
         raise Rejected("BadQuantizer")
     references = [r for r in references if r[1].size == frame.size][: PRESETS[preset][1]]
-    coded = [_encode_plane(frame.planes[i], [r.planes[i] for _, r in references], q, preset, use_palette) for i in range(3)]
+    coded = [_encode_plane(frame.planes[i], [HalfSamples(r.planes[i]) for _, r in references], q, preset, use_palette) for i in range(3)]
     needed = [k for k in range(len(references)) if any(used[k] for _, used, _ in coded)]
     place = {k: n for n, k in enumerate(needed)}
     deps = [references[k][0] for k in needed]
