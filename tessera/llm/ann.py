@@ -312,7 +312,7 @@ def op8_nearest(embeddings: DataFrame, top: int = TOP, every: int = 20, shard_si
     Vectors that are null, empty, zero or hold a null or non-finite component take no part,
     nor do rows without a vec_id. Equal vectors share one node of the graph. Vectors with
     different numbers of components are never compared. Repeated rows of one vec_id count once. An empty
-    table gives no rows; extra columns are ignored.
+    table gives no rows; extra columns are ignored. Ties go to the smaller vec_id.
     """
     ws = Workspace(embeddings.sparkSession)
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))

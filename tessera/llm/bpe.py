@@ -123,7 +123,8 @@ def encode_frame(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...]
 def op7_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Token count and digests of the ids and of the text decoded from them, for every row.
 
-    A null or empty text has no tokens. Repeated rows repeat. Extra columns are ignored.
+    A null or empty text has no tokens. Repeated rows repeat, null ids too. An empty table gives no
+    rows. Extra columns are ignored. A very long text, or a long run without a cut, is encoded whole in one task.
     """
 
     def run(batches):

@@ -461,8 +461,9 @@ def op5_ngram_jaccard(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have empty sets and are linked with nothing. A text of one to
     four words has one shingle. Equal sets share a component. A null doc_id never names a
-    component; a group of such rows alone has a null one. An empty table gives no rows;
-    extra columns are ignored. Shingles are identified by 64-bit hashes.
+    component; a group of such rows alone has a null one. Repeated rows repeat. An empty table gives
+    no rows; extra columns are ignored. A very long text is one set, held whole by a task. Shingles
+    are identified by 64-bit hashes.
     """
     return near_groups(docs).select("doc_id", "n_shingles", "component_id")
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; only where that is unset (tests) a local one is set.
+    """A fresh folder below ``spark.checkpoint.dir``; only in local mode (tests), where that is unset, a local one is set.
 
     It goes when the driver's JVM ends: results that still read it are those of the same session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/tessera-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     out = f"{root.rstrip('/')}/tessera/{uuid.uuid4().hex}"

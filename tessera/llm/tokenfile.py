@@ -260,7 +260,12 @@ def _rows(got: list) -> pa.RecordBatch:
 
 
 def op10_token_files(docs: DataFrame, tokenizer: str, out: str) -> DataFrame:
-    """Write the token files below ``out`` and read them back: a row for every document."""
+    """Write the token files below ``out`` and read them back: a row for every document.
+
+    A null or empty text is the end id alone. Rows without a doc_id come first; rows that share one are ordered by
+    text, repeated rows are all written. An empty table writes no files and gives no rows. Extra columns are
+    ignored. A very long text is encoded whole in one task and fills a frame of its own.
+    """
     manifest = write_tokens(docs, out, tokenizer)
     spark = docs.sparkSession
     manifest.write.mode("overwrite").parquet(f"{out}/manifest")

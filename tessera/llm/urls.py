@@ -111,8 +111,8 @@ def op6_url_filters(pages: DataFrame) -> DataFrame:
     """Host, path, rule and verdict of every page.
 
     A null url or one without :// has empty host and path, no rule and no aliases, and is
-    allowed. Null html has no links. Repeated rows repeat; an empty table gives no rows; extra
-    columns are ignored.
+    allowed. Null html has no links. Repeated rows repeat; of two rules as long, allow comes first; an
+    empty table gives no rows; extra columns are ignored. Very long pages and addresses are read whole.
     """
     return filter_urls(pages.select("page_id", "url", "html"))
 

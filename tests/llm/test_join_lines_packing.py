@@ -335,3 +335,15 @@ def test_pipeline_against_sql_and_counts(spark, library):
     for (_, capacity), parts in bins.items():
         ends = [0, *(o + n for o, n in sorted(parts))]
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= capacity
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_on_odd_and_empty_tables(spark, odd, none, tmp_path, which):
+    import corpus_pipeline as cp
+
+    plain = [(d, " ".join(f"plain{k}" for k in range(d, d + 60)), None, None, None, None, None, None, None) for d in (900, 900, 950, 2000)]
+    docs = odd.unionByName(spark.createDataFrame(plain, odd.schema)) if which == "odd" else none
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == ({900, 950, 2000} if which == "odd" else set())
+    assert all(0 < r.n_tokens <= r.capacity for r in rows) and len(rows) in (0, 3)

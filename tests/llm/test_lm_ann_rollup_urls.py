@@ -343,3 +343,13 @@ def test_url_filters_against_sql(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = sorted(map(tuple, urls.op6_url_filters(pages).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
     assert got == sorted(duck(urls.SQL), key=str)
+
+
+def test_url_filters_with_long_pages_and_a_hub(spark):
+    """A homepage with thousands of aliases, one of them in a very long page, and a very long address."""
+    far = "http://x.com/de/" + "a" * 60_000
+    rows = [(i, f"http://h{i}.net/", f'<link rel="canonical" href="http://home.net/">') for i in range(3000)]
+    rows += [(5000, "http://long.net/", "<p>" + "x " * 200_000 + f'<link rel="canonical" href="{far}">'), (5001, "http://long.net/2", '<link rel="canonical" href="http://long.net/">'), (5002, far, None)]
+    rows += [(6000, "http://home.net/", f'<link rel="canonical" href="{far}">')]
+    got = {r.page_id: r for r in urls.op6_url_filters(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows) and {r.verdict for r in got.values()} == {"block"} and got[5002].rule == "com/de/" and got[7].rule is None

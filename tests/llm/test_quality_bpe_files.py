@@ -96,6 +96,16 @@ def test_quality_sketch_merges(spark):
     assert b == sorted(b)
 
 
+def test_keep_good_on_odd_rows(spark, odd):
+    odd = odd.unionByName(odd.sparkSession.createDataFrame([(d, " ".join(f"plain{k}" for k in range(d, d + 60)), None, "s", 1, None, None, None, None) for d in (900, 900, 950)], odd.schema))
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns
+    judged = {(r.doc_id, r.n_words): r.kept for r in quality.op4_quality_rules(odd).collect()}
+    rows = [(r.doc_id, len(WORD.findall(r.text or ""))) for r in kept.collect()]
+    assert len(rows) >= 3 and all(judged[x] for x in rows)
+    assert len(rows) == sum(judged[r.doc_id, len(WORD.findall(r.text or ""))] for r in odd.collect())
+
+
 def test_empty_tables(spark, none):
     assert quality.op4_quality_rules(none).count() == 0
     assert quality.keep_good(none).count() == 0
@@ -157,6 +167,24 @@ def test_token_files_compose_before_folding():
         assert np.frombuffer(ids, f"<u{enc.width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1]
 
 
+def test_token_ids_of_random_texts():
+    """Marks, joiners, odd spaces, special tokens, contractions and numbers in random order: the library's ids of the whole text."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), tokenfile.WordCacheEncoder(path, 1)
+    rng = random.Random(11)
+    bits = [*"aTJHWYIZéİßΣςǅ１2.,'!-_<|>#", "\u0300", "\u0308", "\u030a", "\u030c", "\u0331", "\u0327", "\u1ab0", "\u200b", "\u200d", "\u00ad", "\ufeff", "\u2028", "\u00a0", "\u3000", "\x85", "\x1c", "\x00", " ", "\t", "\n", "\r\n", "\x0b",
+            "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "n't", "한", "漢", "ﬁ", "🙂", "\U0001f468\u200d\U0001f469", "word", "WORD.", "Two,", "e\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 24))) for _ in range(20_000)]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        for x, ids in zip(part, enc.texts([x.encode() for x in part]), strict=True):
+            assert np.frombuffer(ids, f"<u{enc.width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+
+
 def test_token_file_random_access(tmp_path):
     from pyarrow import fs
 
