@@ -136,7 +136,7 @@ class Session:
 
 
 class Parts(MutableMapping):
-    """The parts that wait, in a state map of their own: a batch writes only those that come or go."""
+    """What waits by number, in a state map of its own: a batch writes only what comes or goes."""
 
     def __init__(self, state):
         self.state = state

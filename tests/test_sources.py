@@ -191,3 +191,23 @@ def test_stream_state_over_batches(spark, tmp_path):
     assert [k for _, k, _ in by["a"]] == [k for _, k, _ in by["b"]] == [k for _, k, _ in by["c"]] and len(by["a"]) == 15
     assert {g for _, _, g in by["c"]} == {2} and not any(r.error_code for r in got)
     assert os.path.isdir(f"{tmp_path}/state")
+
+
+def test_encoding_in_a_stream(spark, tmp_path):
+    """Frames in shuffled micro-batches give the packets of the batch encoder, epoch by epoch."""
+    import random
+
+    from tessera.streaming.encode import FRAMES_IN, PACKETS_OUT, encode_stream
+
+    clips = spark.createDataFrame(plans.clips(spark, 8).where("clip_id IN ('pan', 'cut')").drop("error_code").collect())
+    want = {(r.file_id, r.epoch_id, r.seq, bytes(r.payload)) for r in media.encode_video(media.epochs_by_cut(clips, 3), 1, plans.FRAME_US, 48, "fast").collect()}
+    rows = [(r.clip_id, r.frame_index, r.width, r.height, r.y, r.u, r.v) for r in clips.collect()]
+    random.Random(3).shuffle(rows)
+    for part in (rows[:7], rows[7:], rows[:2]):
+        spark.createDataFrame(part, FRAMES_IN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        with plans.setting(spark, "spark.sql.streaming.stateStore.providerClass", PROVIDER):
+            out = encode_stream(spark.readStream.schema(FRAMES_IN).parquet(f"{tmp_path}/in"), 1, plans.FRAME_US, 48, "fast", 3, True)
+            out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(PACKETS_OUT).parquet(f"{tmp_path}/out").collect()
+    assert {(r.file_id, r.epoch_id, r.seq, bytes(r.payload)) for r in got} == want and len(got) == len(want) == 16
+    assert all(int(r.pts) == r.seq * plans.FRAME_US and r.error_code is None for r in got)
