@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 
 from .store import binary_text, bounded_batches
 
-#: Entries of a worker's pre-token cache; it is emptied when full, which changes no result.
-CACHE = 250_000
+#: Entries of each of the two generations of a worker's pre-token cache: rare pre-tokens leave, frequent ones stay; no result depends on it.
+CACHE = 300_000
 
 
 def _varint(n: int) -> bytes:
@@ -82,14 +82,19 @@ class BytePieceTokenizer(dict):
         back = {c: b for b, c in enumerate(self.to)}
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.tokens))]
         self.find = regex.compile(pattern).findall
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        known = self.whole.get(raw)
-        ids = [known] if known is not None else self.model.encode("".join([self.to[b] for b in raw]))
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.get(piece)
+        if out is None:
+            raw = piece.encode()
+            known = self.whole.get(raw)
+            ids = [known] if known is not None else self.model.encode("".join([self.to[b] for b in raw]))
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:

@@ -128,6 +128,16 @@ def test_byte_bpe(spark, odd, which):
     assert sorted((tuple(x) for x in bpe.op7_byte_bpe(docs, path, P.PATTERN).collect()), key=key) == sorted(want, key=key)
 
 
+def test_byte_bpe_cache_generations(monkeypatch):
+    """However few pre-tokens are kept, the ids are the same."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    text = " ".join(f"word{i % 23} thing{i % 7}" for i in range(400))
+    want = bpe.BytePieceTokenizer(path, P.PATTERN).encode(text)
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    few = bpe.BytePieceTokenizer(path, P.PATTERN)
+    assert few.encode(text) == want and len(few) <= 5 and len(few.old) <= 5
+
+
 def test_byte_bpe_frame(spark, odd):
     path = P.path("byte_bpe_50k.tiktoken")
     t = bpe.BytePieceTokenizer(path, P.PATTERN)
