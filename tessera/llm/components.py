@@ -33,25 +33,26 @@ def components(ws: Workspace, edges: DataFrame, a: str, b: str, name: str = "cc"
     and self links are ignored; repeated links count once. A hub's edges stay where they are:
     its least neighbour is summed up before the shuffle and broadcast to them.
     """
-    hi, lo = F.col("hi"), F.col("lo")
+    hi, lo, n = F.col("hi"), F.col("lo"), F.col("n")
     e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (hi != lo)
     )
-    e, step, seen = ws.save(e.distinct(), f"{name}-0"), 0, None
-    while True:
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if state == seen or state[0] == 0:
-            break
-        seen, total = state, state[0]
+    stars = {"rows": F.count(F.lit(1)), "sum": F.bit_xor(F.xxhash64("hi", "lo"))}
+    (e, state), step, seen = ws.measured(e.distinct(), f"{name}-0", **stars), 0, None
+    while state["rows"] and state != seen:
+        seen = state
         step += 1
         both = e.select(hi.alias("u"), lo.alias("v")).unionAll(e.select(lo.alias("u"), hi.alias("v")))
-        least = ws.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least-{step}")
-        large = meet(both, least, "u", "n", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = ws.save(large, f"{name}-large-{step}")
-        small = ws.save(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), f"{name}-small-{step}")
-        joined = meet(large, small, "hi", "n", total)
+        least, size = ws.measured(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"{name}-least-{step}", most=F.max(n))
+        hubs = size["most"] > HUB
+        large = meet(both, least, "u", "n", 2 * state["rows"]) if hubs else both.join(least.drop("n"), "u")
+        large = large.where(F.col("v") > F.col("u")).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        if hubs:
+            large, size = ws.measured(large, f"{name}-large-{step}", rows=F.count(F.lit(1)))
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        joined = meet(large, ws.save(small, f"{name}-small-{step}"), "hi", "n", size["rows"]) if hubs else large.join(small.drop("n"), "hi")
         out = joined.where(lo != F.col("m")).select(lo.alias("hi"), F.col("m").alias("lo")).unionAll(small.select("hi", F.col("m").alias("lo")))
-        e = ws.save(out.distinct(), f"{name}-{step}")
+        e, state = ws.measured(out.distinct(), f"{name}-{step}", **stars)
         for old in (f"{name}-{step - 1}", f"{name}-least-{step}", f"{name}-large-{step}", f"{name}-small-{step}"):
             ws.drop(old)
     return e.select(hi.alias("node"), lo.alias("component")).unionAll(e.select(lo.alias("node"), lo.alias("component")).distinct())

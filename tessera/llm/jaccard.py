@@ -318,10 +318,10 @@ class Verifier:
         ws = self.ws
         m = members.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
         m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int"))
-        m = ws.save(m.withColumn("group", F.xxhash64("cluster", "band")), f"{name}-members")
+        m, size = ws.measured(m.withColumn("group", F.xxhash64("cluster", "band")), f"{name}-members", rows=F.count(F.lit(1)))
         counts = m.groupBy("group", "cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"), F.count("*").alias("rows"))
         counts = ws.save(counts, f"{name}-counts")
-        m = meet(m.drop("cluster", "band"), counts, "group", "rows", m.count()).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        m = meet(m.drop("cluster", "band"), counts, "group", "rows", size["rows"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         m = m.join(self.sets(members.select("fp"), name), "fp")
 
         def pack(table: pa.Table) -> pa.Table:
@@ -333,7 +333,7 @@ class Verifier:
 
         schema = "cluster long, band int, t int, fps binary, labels binary, at binary, sets binary"
         tiles = ws.save(m.select("cluster", "band", "t", "fp", "label", "set").groupBy("cluster", "band", "t").applyInArrow(pack, schema), f"{name}-tiles")
-        sides = ws.save(counts.select("cluster", "band", F.ceil(F.col("tiles") / SIDE).cast("int").alias("side")), f"{name}-sides")
+        sides = counts.select("cluster", "band", F.ceil(F.col("tiles") / SIDE).cast("int").alias("side"))
         beside = lambda by, c: sides.select("cluster", (F.col("band") + by).alias("band"), F.col("side").alias(c))
         dealt_tiles = tiles.join(sides, ["cluster", "band"])
         at = lambda n: F.sequence(F.lit(0), n - 1)
@@ -448,9 +448,9 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rep = nodes.select("fp", F.col("doc_id").alias("rep"))
     links = chains.unionAll(rest).unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile"))
     comp = components(ws, links, "a", "b", "all-cc").select(F.col("node").alias("fp"), "component")
-    comp = ws.save(comp, "components")
+    comp, size = ws.measured(comp, "components", rows=F.count(F.lit(1)))
     least = ws.save(comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "least")
-    first = meet(comp, least, "component", "n", comp.count()).select("fp", "first", "component")
+    first = meet(comp, least, "component", "n", size["rows"]).select("fp", "first", "component")
     of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "fp").alias("label")), "node-components")
     out = sets.join(of_node, "fp", "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")

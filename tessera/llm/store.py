@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measured(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+        """``save`` and aggregates of the rows, taken as they are written: no pass of their own."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
+        return out, seen.get
+
     def drop(self, name: str) -> None:
         drop(self.spark, f"{self.root}/{name}")
 

@@ -98,11 +98,11 @@ def filter_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
     links = pages.select(node_of(url).alias("a"), F.explode(alias_targets(url, F.col("html"))).alias("b"))
     if redirects is not None:
         links = links.unionAll(redirects.select(node_of(F.col("from_url")), node_of(F.col("to_url"))))
-    comp = ws.save(components(ws, links, "a", "b", "urls"), "components")
+    comp, size = ws.measured(components(ws, links, "a", "b", "urls"), "components", rows=F.count(F.lit(1)))
     as_url = F.concat(F.lit("http://"), F.col("node"))
     own = comp.withColumn("v", rule_for(host_of(as_url), path_of(as_url), rules)["verdict"])
     decided = own.groupBy("component").agg(F.max(F.col("v") == "allow").alias("allowed"), F.max(F.col("v") == "block").alias("blocked"), F.count("*").alias("n"))
-    spread = meet(comp, ws.save(decided, "decided"), "component", "n", comp.count()).select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("by_alias"))
+    spread = meet(comp, ws.save(decided, "decided"), "component", "n", size["rows"]).select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("by_alias"))
     j = p.join(spread, "node", "left")
     return j.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "by_alias", F.lit("allow")).alias("verdict"))
 
