@@ -424,7 +424,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     verify = Verifier(ws, d, nodes)
 
     chains = verify.links(_unpack(shared, ["a", "b"], ["a", "b"]).distinct(), "chain")
-    label = components(ws, chains, "a", "b", "chain-cc")
+    label = ws.save(components(ws, chains, "a", "b", "chain-cc"), "labels")
     held = _unpack(shared, ["keys", "fps", "ns", "at"], ["key", "fp", "n", "at"]).join(label.select(F.col("node").alias("fp"), "component"), "fp", "left")
     held = ws.save(held.select("key", "fp", "n", "at", F.coalesce("component", "fp").alias("label")), "labelled")
     ws.drop("shared")
@@ -446,9 +446,15 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     rest = verify.links(pairs, "rest")
 
     rep = nodes.select("fp", F.col("doc_id").alias("rep"))
-    links = chains.unionAll(rest).unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile"))
-    comp = components(ws, links, "a", "b", "all-cc").select(F.col("node").alias("fp"), "component")
-    comp, size = ws.measured(comp, "components", rows=F.count(F.lit(1)))
+    late = ws.save(rest.unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile")), "late-links")
+    # the chains' components are known: what came later joins their labels, a much smaller graph
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
+    between = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    joined_up = ws.save(components(ws, between, "a", "b", "all-cc"), "joined")
+    side = _small(joined_up.select(F.col("node").alias("component"), F.col("component").alias("whole")))
+    chained = label.join(side, "component", "left").select(F.col("node").alias("fp"), F.coalesce("whole", "component").alias("component"))
+    alone = joined_up.select(F.col("node").alias("fp"), "component").join(label.select(F.col("node").alias("fp")), "fp", "left_anti")
+    comp, size = ws.measured(chained.unionAll(alone), "components", rows=F.count(F.lit(1)))
     least = ws.save(comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "least")
     first = meet(comp, least, "component", "n", size["rows"]).select("fp", "first", "component")
     of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "fp").alias("label")), "node-components")
