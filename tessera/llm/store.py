@@ -59,10 +59,10 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def measured(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
-        """``save`` and aggregates of the rows, taken as they are written: no pass of their own."""
+        """``save`` and aggregates of the rows (0 without any), taken as they are written: no pass of their own."""
         seen = Observation()
         out = self.save(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
-        return out, seen.get
+        return out, {k: v or 0 for k, v in seen.get.items()}
 
     def drop(self, name: str) -> None:
         drop(self.spark, f"{self.root}/{name}")
