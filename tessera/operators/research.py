@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame
 
 from . import entropy
 from .audio import div_round
-from .video import _signed_len, _varint_len, inverse_wht, palette, wht
+from .video import inverse_wht, palette, wht
+
+
+def _varint_len(v: int) -> int:
+    return max(1, -(-v.bit_length() // 7))
+
+
+def _signed_len(v: int) -> int:
+    return _varint_len((v << 1) ^ (v >> 63))
 
 #: Extra absolute difference a sample that a merged vector may cost, and edge thresholds of the filter.
 MERGE_LIMITS, EDGES = (0, 1, 2, 4), (2, 4, 8, 16, 32)
