@@ -18,6 +18,7 @@ def _varint_len(v: int) -> int:
 def _signed_len(v: int) -> int:
     return _varint_len((v << 1) ^ (v >> 63))
 
+
 #: Extra absolute difference a sample that a merged vector may cost, and edge thresholds of the filter.
 MERGE_LIMITS, EDGES = (0, 1, 2, 4), (2, 4, 8, 16, 32)
 
