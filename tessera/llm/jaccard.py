@@ -257,6 +257,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                 fps += [x if m else None for x, m in zip(fp.tolist(), n.tolist(), strict=True)]
                 sigs += [signature(h[at[i] : at[i + 1]]) if n[i] else None for i in range(b.n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(fps, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "h", "n", "fp", "sig"])
+        give_back()
 
     return docs.select("doc_id", "t", "h").mapInArrow(run, "doc_id long, h long, n long, fp long, sig binary")
 
@@ -282,6 +283,8 @@ class Verifier:
                 ok = DEN * best >= NUM * (na + nb - best)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
+            give_back()
+
         likely = ws.save(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long"), f"{name}-likely")
         sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), name)
 
@@ -295,10 +298,12 @@ class Verifier:
                     out.append(DEN * common >= NUM * (len(x) + len(y) - common))
                 m = pa.array(out, pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(m), b.column("b").filter(m)], names=["a", "b"])
+            give_back()
 
         both = likely.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
-        return ws.save(both.mapInArrow(exact, "a long, b long"), f"{name}-links")
-
+        found = ws.save(both.mapInArrow(exact, "a long, b long"), f"{name}-links")
+        ws.drop(f"{name}-likely", f"{name}-ends")
+        return found
 
     def sets(self, wanted: DataFrame, name: str) -> DataFrame:
         """(fp, set): the sorted tokens of the wanted nodes, made again from the texts that name them."""
@@ -310,6 +315,7 @@ class Verifier:
                 for b in W.blocks(batch.column(0), lower=True):
                     h, at = b.shingle_sets(K)
                     yield pa.RecordBatch.from_arrays([pa.array(fingerprints(h, at)), blobs(h, at)], names=["fp", "set"])
+            give_back()
 
         return texts.mapInArrow(arrays, "fp long, set binary").dropDuplicates(["fp"])
 
@@ -333,21 +339,22 @@ class Verifier:
 
         schema = "cluster long, band int, t int, fps binary, labels binary, at binary, sets binary"
         tiles = ws.save(m.select("cluster", "band", "t", "fp", "label", "set").groupBy("cluster", "band", "t").applyInArrow(pack, schema), f"{name}-tiles")
-        sides = counts.select("cluster", "band", F.ceil(F.col("tiles") / SIDE).cast("int").alias("side"))
+        sides = counts.select("cluster", "band", "tiles", F.ceil(F.col("tiles") / SIDE).cast("int").alias("side"))
         beside = lambda by, c: sides.select("cluster", (F.col("band") + by).alias("band"), F.col("side").alias(c))
-        dealt_tiles = tiles.join(sides, ["cluster", "band"])
-        at = lambda n: F.sequence(F.lit(0), n - 1)
+        place = F.floor(F.col("t") * F.col("side") / F.col("tiles")).cast("int")  # rises with t
+        dealt_tiles = tiles.join(sides, ["cluster", "band"]).withColumn("place", place)
         none = F.array().cast("array<struct<other: int, k: int>>")
 
-        def places(other: str, band) -> F.Column:
-            own = F.transform(at(F.col("side")), lambda k: F.struct(F.col("band").alias("other"), k.alias("k")))
-            return F.concat(own, F.when(F.col(other).isNull(), none).otherwise(F.transform(at(F.col(other)), lambda k: F.struct(band.alias("other"), k.alias("k")))))
+        def places(first, last, other: str, band) -> F.Column:
+            own = F.transform(F.sequence(first, last), lambda k: F.struct(F.col("band").alias("other"), k.alias("k")))
+            return F.concat(own, F.when(F.col(other).isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(band.alias("other"), k.alias("k")))))
 
-        # x lies in row t of its band's grid and goes to all columns, y in column u and goes to all rows
-        x = dealt_tiles.join(beside(-1, "above"), ["cluster", "band"], "left").withColumn("p", F.explode(places("above", F.col("band") + 1)))
-        x = x.select("cluster", "band", F.col("p.other").alias("own"), (F.col("t") % F.col("side")).alias("i"), F.col("p.k").alias("j"), "t", *(F.col(c).alias(f"x_{c}") for c in ("fps", "labels", "at", "sets")))
-        y = dealt_tiles.join(beside(1, "below"), ["cluster", "band"], "left").withColumn("p", F.explode(places("below", F.col("band") - 1)))
-        y = y.select("cluster", F.col("p.other").alias("band"), F.col("band").alias("own"), F.col("p.k").alias("i"), (F.col("t") % F.col("side")).alias("j"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
+        # x lies in a row of its band's grid and goes to the columns from the diagonal on, y in a column and goes to the rows up to it;
+        # between two bands they go to all
+        x = dealt_tiles.join(beside(-1, "above"), ["cluster", "band"], "left").withColumn("p", F.explode(places(F.col("place"), F.col("side") - 1, "above", F.col("band") + 1)))
+        x = x.select("cluster", "band", F.col("p.other").alias("own"), F.col("place").alias("i"), F.col("p.k").alias("j"), "t", *(F.col(c).alias(f"x_{c}") for c in ("fps", "labels", "at", "sets")))
+        y = dealt_tiles.join(beside(1, "below"), ["cluster", "band"], "left").withColumn("p", F.explode(places(F.lit(0), F.col("place"), "below", F.col("band") - 1)))
+        y = y.select("cluster", F.col("p.other").alias("band"), F.col("band").alias("own"), F.col("p.k").alias("i"), F.col("place").alias("j"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
         cell = ["cluster", "band", "own", "i", "j"]
         both = x.join(y, cell).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop(*cell, "t", "u")
 
@@ -356,8 +363,11 @@ class Verifier:
                 for row in b.to_pylist():
                     links = tile_pairs(*([row[f"{s}_{c}"] for c in ("fps", "labels", "at", "sets")] for s in "xy"))
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
+            give_back()
 
-        return ws.save(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
+        found = ws.save(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
+        ws.drop(*(f"{name}-{x}" for x in ("members", "counts", "ends", "tiles")))
+        return found
 
 
 def tile_pairs(x: list[bytes], y: list[bytes]) -> list[tuple[int, int]]:
@@ -430,6 +440,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     ws.drop("shared")
     mixed = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.min("fp").alias("head")).where("lo <> hi")
     rows = ws.save(held.join(mixed.select("key", "size", "head"), "key"), "mixed")
+    ws.drop("labelled")
     large = rows.where(F.col("size") > LARGE)
     members = ws.save(large.select("fp", "n", "label").distinct(), "members")
     rows = rows.where(F.col("size") <= LARGE)
@@ -447,6 +458,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     rep = nodes.select("fp", F.col("doc_id").alias("rep"))
     late = ws.save(rest.unionAll(verify.tile_links(members, components(ws, large, "fp", "head", "tile-cc"), "tile")), "late-links")
+    ws.drop("mixed", "members", "rest-links", "tile-links")
     # the chains' components are known: what came later joins their labels, a much smaller graph
     name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"l{c}"))
     between = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -458,6 +470,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     least = ws.save(comp.join(rep, "fp").groupBy("component").agg(F.min("rep").alias("first"), F.count("*").alias("n")), "least")
     first = meet(comp, least, "component", "n", size["rows"]).select("fp", "first", "component")
     of_node = ws.save(rep.join(first, "fp", "left").select("fp", F.coalesce("first", "rep").alias("component_id"), F.coalesce("component", "fp").alias("label")), "node-components")
+    ws.drop("nodes", "components", "least")
     out = sets.join(of_node, "fp", "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "label")
 

@@ -46,6 +46,22 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Spark's setting by which an execution deletes its shuffle files when it ends, instead of whenever the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as Parquet files, read back. The shuffles that made them are gone by then: nothing reads them again, as each write plans its own."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Workspace:
     """Writes frames as Parquet and reads them back, which cuts lineage and survives lost executors."""
 
@@ -54,9 +70,7 @@ class Workspace:
         bounded_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, f"{self.root}/{name}")
 
     def measured(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
         """``save`` and aggregates of the rows (0 without any), taken as they are written: no pass of their own."""
@@ -64,8 +78,9 @@ class Workspace:
         out = self.save(df.observe(seen, *(c.alias(k) for k, c in sums.items())), name)
         return out, {k: v or 0 for k, v in seen.get.items()}
 
-    def drop(self, name: str) -> None:
-        drop(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop(self.spark, f"{self.root}/{name}")
 
 
 def reduce_width(df: DataFrame) -> int:

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import components, jaccard, lines, packing
-from tessera.llm.store import Workspace, shared_dir
+from tessera.llm.store import CLEANUP, Workspace, shared_dir
 from tests.conftest import SF
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -98,6 +100,66 @@ def test_jaccard_kernels():
             assert jaccard.enough(lo[0], hi[0], lo[1], hi[1])
 
 
+def shuffle_files(spark):
+    return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")))
+
+
+def test_written_rows_leave_no_shuffle_behind(spark):
+    before, ws, setting = shuffle_files(spark), Workspace(spark), spark.conf.get(CLEANUP, "false")
+    twice = spark.range(5000).selectExpr("id % 700 AS k", "id").groupBy("k").agg(F.sum("id").alias("s"))
+    kept = [ws.save(twice, "sums"), ws.save(twice.join(twice.withColumnRenamed("s", "t"), "k"), "both")]  # the same frame is planned anew
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert [x.count() for x in kept] == [700, 700] and twice.count() == 700
+    assert spark.conf.get(CLEANUP, "false") == setting
+
+
+def test_join_drops_what_its_rows_do_not_read(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(jaccard, "Workspace", lambda s: made.append(Workspace(s)) or made[-1])
+    monkeypatch.setattr(jaccard, "LARGE", 3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(60)]
+    jaccard.op5_ngram_jaccard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    left = {p.name for p in pathlib.Path(made[0].root.removeprefix("file://")).iterdir()}
+    assert {"sets", "node-components"} <= left
+    assert not left & {"nodes", "shared", "labelled", "mixed", "members", "tile-members", "tile-tiles", "tile-links", "chain-likely", "rest-likely"}
+
+
+@pytest.mark.parametrize("side", [1, 2, 3])
+def test_cells_hold_every_pair_of_tiles(spark, monkeypatch, side):
+    """Groups of many tiles in adjacent bands, without chains: all links come from the cells."""
+    for name, value in (("TILE", 4), ("SIDE", side)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(side)
+    words = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        t = words[: rng.choice([60, 66, 72, 80, 90])]
+        for j in rng.sample(range(len(t)), rng.choice([0, 1, 2])):
+            t = [*t[:j], f"x{i}", *t[j + 1 :]]
+        rows.append((i, " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("t"), F.lit(0).cast("long").alias("h"))
+    ws = Workspace(spark)
+    sets = ws.save(jaccard.set_table(docs), "sets")
+    nodes = ws.save(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    members = nodes.select("fp", "n", F.col("fp").alias("label"))
+    monkeypatch.setattr(ws, "drop", lambda *names: None)
+    links = jaccard.Verifier(ws, docs, nodes).tile_links(members, nodes.select(F.col("fp").alias("node"), F.lit(7).cast("long").alias("component")), "tile")
+    id_of = {r.fp: r.doc_id for r in nodes.collect()}
+    found = components.components(ws, links, "a", "b", "cc").collect()
+    least = {}
+    for r in found:
+        least[r.component] = min(least.get(r.component, 99), id_of[r.node])
+    got = {id_of[r.node]: least[r.component] for r in found}
+    rep = {r.doc_id: id_of[r.fp] for r in sets.collect()}
+    assert {d: got.get(rep[d], rep[d]) for d, _ in rows} == {d: c for (_, d), _, c in groups(rows)}
+    assert ws.spark.read.parquet(f"{ws.root}/tile-counts").agg(F.max("tiles")).first()[0] > 3
+
+
 def test_one_of_each(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {c for (_, d), _, c in groups([(r.doc_id, r.text) for r in docs.collect()])}
