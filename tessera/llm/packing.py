@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ranked
-from .store import binary_text, bounded_batches
+from .segments import give_back
+from .store import binary_text, bounded_batches, written
 
 #: Permitted sequence lengths, ascending.
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -85,6 +86,7 @@ def encode(docs: DataFrame, tokenizer: str, pattern: str, text: str = "text") ->
         for b in batches:
             ids = [ranked.encoded(x.decode(), tokenizer, pattern, end, width) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", binary_text(text).alias("t")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -135,6 +137,8 @@ def pack(tokens: DataFrame, width: int, shards: int, capacities: tuple[int, ...]
             members = pa.StructArray.from_arrays([rows.column("doc_id").combine_chunks().take(pa.array(doc[at])), *(pa.array(x[at], pa.int64()) for x in (piece, start, size, offs))], names=["doc_id", "piece", "start", "n_tokens", "offset"])
             ends = pa.array(np.append(cuts[own], cuts[own[-1] + 1]) - cuts[own[0]], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(first + own), pa.array(final[own]), pa.array(blobs, pa.binary()), pa.ListArray.from_arrays(ends, members)], names=["bin_id", "capacity", "ids", "pieces"])
+        del rows, ids
+        give_back()
 
     return tokens.repartition(shards).mapInArrow(run, schema)
 
@@ -147,9 +151,7 @@ def op2_best_fit_packing(docs: DataFrame, tokenizer: str, pattern: str, out: str
     on their own; ties in length go by position. An empty table gives no rows. Extra columns
     are ignored. A text longer than the largest capacity is cut into pieces; each text is encoded whole.
     """
-    spark = docs.sparkSession
     sequences = pack(encode(docs, tokenizer, pattern), ranked.id_bytes(tokenizer), shards_of(docs))
-    sequences.write.mode("overwrite").parquet(f"{out}/sequences")
-    packed = spark.read.schema(sequences.schema).parquet(f"{out}/sequences")
+    packed = written(sequences, f"{out}/sequences")
     each = packed.select("bin_id", "capacity", F.crc32("ids").alias("sequence_crc32"), F.explode("pieces").alias("p"))
     return each.select("p.doc_id", "p.piece", "p.start", "p.n_tokens", "bin_id", "capacity", "p.offset", "sequence_crc32")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
+from .segments import give_back
 from .store import Workspace, binary_text
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -97,6 +98,7 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
             at = batch.schema.get_field_index(text)
             stats = text_stats(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(stats[k], pa.int64()) for k in STATS)], names=[*batch.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
