@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, quality, urls
+from . import jaccard, lines, neardup, negatives, quality, urls
 from .store import shared_dir, table
 
 
@@ -69,8 +69,22 @@ def op10_token_files(spark, sf_dir):
     return op(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), shared_dir(spark))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.op11_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    from .runs import op12_periodic_runs as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
+def op13_near_duplicates(spark, sf_dir):
+    return neardup.op13_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_best_fit_packing, op3_token_counts, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files)
+    for f in (op1_lm_scores, op2_best_fit_packing, op3_token_counts, op4_quality_rules, op5_ngram_jaccard, op6_url_filters, op7_byte_bpe, op8_nearest, op9_line_dedup, op10_token_files, op11_hard_negatives, op12_periodic_runs, op13_near_duplicates)
 }
-SQL = {"op4_quality_rules": quality.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_url_filters": urls.SQL, "op9_line_dedup": lines.SQL}
+SQL = {"op4_quality_rules": quality.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_url_filters": urls.SQL, "op9_line_dedup": lines.SQL, "op11_hard_negatives": negatives.SQL, "op13_near_duplicates": neardup.SQL}
