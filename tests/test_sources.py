@@ -36,19 +36,67 @@ def test_tables(spark, folder):
     assert "payload" not in meta.columns and meta.where("file_id = 'b.bin' AND kind = 'audio_frame'").count() == 12
 
 
+def all_rows(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """A file of 10,000 epochs, and some small ones."""
+    d = tmp_path_factory.mktemp("many")
+    epoch = lambda i, n=3: (i, i * 1000, 1000, b"".join(wire.encode_packet(p) for p in [wire.epoch_start(i, i * 1000, 1000), *(wire.Packet(3, 2, i * 1000 + k, 1, bytes([k]) * 40) for k in range(n))]))
+    streams = [wire.Stream(2, 2, 1, wire.TIMESCALE, 48_000, 1)]
+    (d / "large.bin").write_bytes(wire.build_file(streams, [epoch(i) for i in range(10_000)], checked=False))
+    for k in range(30):
+        (d / f"small{k}.bin").write_bytes(wire.build_file(streams, [epoch(i) for i in range(2)]))
+    (d / "bad.bin").write_bytes(b"nothing that could be read as a container of ours")
+    return str(d)
+
+
+def test_splits_by_bytes(spark, many, monkeypatch):
+    """10,000 epochs are a few splits, planned without opening a file, with the rows of one whole read."""
+    opened = []
+    monkeypatch.setattr(container, "read_prefix", lambda *a: opened.append(a))
+    reader = container.ContainerReader({"path": many, "split_bytes": "300000"})
+    splits = reader.partitions()
+    size = os.path.getsize(f"{many}/large.bin")
+    assert not opened and -(-size // 300_000) <= len(splits) <= -(-size // 300_000) + 3
+    assert sum(len(s.pieces) for s in splits if s.pieces[0].lo == 0) >= 32
+    monkeypatch.undo()
+    df = container.load(spark, many, split_bytes="300000")
+    assert df.rdd.getNumPartitions() == len(splits)
+    whole = container.load(spark, many, min_splits="1")
+    assert whole.rdd.getNumPartitions() <= 3 and all_rows(df) == all_rows(whole) and df.count() == 40_000 + 30 * 8 + 1
+
+
+def test_saved_index(spark, many, folder, tmp_path):
+    """Reads that prune plan from the saved index alone; rows are those of the read without it."""
+    for where, n in ((many, 10_061), (folder, 10)):
+        container.save_index(spark, where, str(tmp_path / f"index{n}"))
+        index = spark.read.parquet(str(tmp_path / f"index{n}"))
+        assert index.count() == n and index.where("error_code IS NOT NULL").count() == 1
+        for o in ({"epochs": "1,7,9999"}, {"from_pts": "1500"}, {"to_pts": "2000"}, {"from_pts": "1000", "to_pts": "3000"}, {"epochs": "0", "from_pts": "1000"}, {}):
+            assert all_rows(container.load(spark, where, index=str(tmp_path / f"index{n}"), **o)) == all_rows(container.load(spark, where, **o))
+    one = container.load(spark, many, index=str(tmp_path / "index10061"), split_bytes="300000").where("epoch_id = 9000")
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 4
+    half = container.load(spark, many, index=str(tmp_path / "index10061"), split_bytes="300000", min_splits="1").where("pts < 5000000")
+    assert 3 <= half.rdd.getNumPartitions() <= 8 and half.count() == 20_000 + 240
+
+
 def test_seek_reads_only_chosen_epochs(spark, folder):
     one = container.load(spark, f"{folder}/a.bin", epochs="1")
     assert one.rdd.getNumPartitions() == 1 and {r.epoch_id for r in one.collect()} == {1}
-    assert container.load(spark, f"{folder}/[ab].bin").rdd.getNumPartitions() == 6
+    assert container.load(spark, f"{folder}/[ab].bin", min_splits="1").rdd.getNumPartitions() == 1
 
 
 def test_pushdown(spark, folder):
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        one = container.load(spark, f"{folder}/a.bin", pushdown="true").where("epoch_id = 2")
-        assert {r.epoch_id for r in one.collect()} == {2} and one.rdd.getNumPartitions() == 1
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    """On by default; without it the same rows."""
+    for o in ({}, {"pushdown": "false"}):
+        one = container.load(spark, f"{folder}/a.bin", **o).where("epoch_id = 2")
+        assert {r.epoch_id for r in one.collect()} == {2} and one.count() == 5
+    reader = container.PushdownReader({"path": folder})
+    kept = list(reader.pushFilters([container.EqualTo(("epoch_id",), 2), container.LessThan(("pts",), 5)]))
+    assert reader.epochs == {2} and reader.until == 6 and len(kept) == 2
 
 
 def test_scan_of_rows_equals_source(spark, folder):
@@ -89,12 +137,7 @@ def test_time_ranges(spark, folder):
     ids = lambda **o: {r.epoch_id for r in container.load(spark, f"{folder}/a.bin", **o).collect()}
     assert ids(from_pts="1500") == {1, 2} and ids(from_pts="2000") == {2} and ids(from_pts="0") == {0, 1, 2}
     assert ids(from_pts="1000", to_pts="2000") == {1} and ids(to_pts="1") == {0}
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    try:
-        early = container.load(spark, f"{folder}/a.bin", pushdown="true").where("pts < 1002")
-        assert early.rdd.getNumPartitions() == 2 and early.count() == 5 + 3
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    assert container.load(spark, f"{folder}/a.bin").where("pts < 1002").count() == 5 + 3
 
 
 def test_play_from_a_time(spark, folder, tmp_path):
