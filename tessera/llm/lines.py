@@ -7,8 +7,9 @@ chunks by its amount: a line whose hash modulo SPAN is below its length in chara
 alone, so the longer a line, the likelier it is a chunk of its own. Chunks that occur more than
 once in the corpus are the seeds; the windows of two neighbouring lines, compared in the same
 way, extend them to the whole run of repeated lines, whatever the chunks at its ends hold
-besides. Of each repeated chunk or window all but the first occurrence go, after a comparison
-of their lines' bytes. The first line of its kind in the corpus therefore always stays.
+besides. Chunks and windows are told by the hashes of all their lines, and lines that share a hash are
+compared byte for byte, so what goes has been compared whole. Of each repeated chunk or window all but the
+first occurrence go. The first line of its kind in the corpus therefore always stays.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import meet
 from .store import Workspace
 
 WINDOW, DIVISOR, SPAN = 2, 4, 256
-#: Rows up to which a side is broadcast (a few dozen bytes each); beyond it the join is by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side is broadcast; beyond it the join is by shuffle.
+BROADCAST = 64 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,7 +41,7 @@ def split_lines(text: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """Array of (a, b, x): first and last line, from 0, and hash of each chunk and each window of two lines with text."""
+    """Array of (a, b, x): first and last line, from 0, and the line hashes of each chunk and each window of two lines with text."""
 
     def of(ls: Column) -> Column:
         n = F.size(ls)
@@ -54,7 +56,7 @@ def units(text: Column) -> Column:
 
         def unit(first: Column, last: Column) -> Column:
             own = F.transform(F.slice(ls, first + 1, last - first + 1), lambda x: x["h"])
-            return F.struct(F.get(ls, first)["i"].alias("a"), F.get(ls, last)["i"].alias("b"), F.xxhash64(own).alias("x"))
+            return F.struct(F.get(ls, first)["i"].alias("a"), F.get(ls, last)["i"].alias("b"), own.alias("x"))
 
         def of_ends(ends: Column) -> Column:
             spans = F.transform(ends, lambda last, k: F.struct(F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1).alias("first"), last.alias("last")))
@@ -70,8 +72,10 @@ def units(text: Column) -> Column:
     return _let(kept, of)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(ws: Workspace, df: DataFrame, name: str, size: Column) -> tuple[DataFrame, bool]:
+    """``df`` saved, and whether its bytes, summed as they are written, allow a broadcast."""
+    out, seen = ws.measured(df, name, bytes=F.sum(size.cast("long")))
+    return out, seen["bytes"] <= BROADCAST
 
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,34 +83,37 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The first occurrence (smallest doc_id, nulls first, then text hash, then place in the text) stays. Rows
     that share doc_id and text count as one document and keep the same lines. Null texts stay null.
-    Only hashes are written and shuffled, and the lines of repeated units for the comparison of bytes;
-    joins that fit are broadcast, so whole texts are not shuffled unless there are very many of these.
+    Only hashes are written and shuffled, and the lines of repeated units for the comparison of bytes; sides of up to
+    BROADCAST bytes are broadcast, so whole texts are shuffled only where more than that is to go.
     """
     ws = Workspace(docs.sparkSession)
     doc = {"__d": F.col("doc_id"), "__h": F.xxhash64(text)}
     each = docs.select(*(c.alias(k) for k, c in doc.items()), F.inline(units(F.col(text)))).select("__d", "__h", "a", "b", "x")
-    each = ws.save(each, "units")
+    each, total = ws.measured(each, "units", rows=F.count(F.lit(1)))
     place = F.struct("__d", "__h", "a", "b")
-    again = ws.save(each.groupBy("x").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "first"), "repeated")
-    met = each.join(_small(again), "x")
+    again = each.groupBy("x").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again, small = _sized(ws, again, "repeated", 64 + 8 * F.size("x"))
+    met = each.join(F.broadcast(again.drop("n")), "x") if small else meet(each, again, "x", "n", total["rows"])
     later = met.where(~(F.col("first.__d").eqNullSafe(F.col("__d")) & (F.col("first.__h") == F.col("__h")) & (F.col("first.a") == F.col("a"))))
-    spans = later.select("__d", "__h", "a", "b", F.lit(True).alias("goes")).unionAll(again.select("first.*", F.lit(False)))
+    spans = later.select("__d", "__h", "a", "b", F.lit(True).alias("goes")).unionAll(again.select("first.*", F.lit(False))).distinct()  # a repeated row has the same spans
     rows = F.flatten(F.collect_list(F.sequence("a", "b")))
     gone = F.flatten(F.collect_list(F.when(F.col("goes"), F.sequence("a", "b"))))
-    touched = ws.save(spans.groupBy("__d", "__h").agg(F.array_distinct(rows).alias("__all"), F.array_distinct(gone).alias("__gone")), "touched")
+    touched = spans.groupBy("__d", "__h").agg(F.array_distinct(rows).alias("__all"), F.array_distinct(gone).alias("__gone"))
+    touched, small = _sized(ws, touched, "touched", 64 + 4 * F.size("__all") + 4 * F.size("__gone"))
     ws.drop("units")
 
+    sent = F.broadcast if small else (lambda df: df)
     keyed = docs.withColumn("__hash", doc["__h"])
     on = lambda right: F.col("doc_id").eqNullSafe(right["__d"]) & (F.col("__hash") == right["__h"])
-    side = _small(touched.select("__d", "__h", "__all"))
+    side = sent(touched.select("__d", "__h", "__all"))
     lines = keyed.select("doc_id", "__hash", F.col(text).alias("__t")).join(side, on(side)).select("__d", "__h", "__all", split_lines(F.col("__t")).alias("__l"))
     lines = lines.select("__d", "__h", F.explode("__all").alias("__i"), "__l").select("__d", "__h", "__i", F.get("__l", F.col("__i")).alias("line")).withColumn("hash", line_hash(F.col("line")))
     differ = ws.save(lines.groupBy("hash").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("hash"), "differ")
     if differ.limit(1).count():  # lines that only share a hash stay, with what hangs on them
-        wrong = lines.join(_small(differ), "hash").groupBy("__d", "__h").agg(F.collect_set("__i").alias("__wrong"))
+        wrong = lines.join(differ, "hash").groupBy("__d", "__h").agg(F.collect_set("__i").alias("__wrong"))
         touched = touched.join(wrong.select(F.col("__d").alias("d"), F.col("__h").alias("h"), "__wrong"), F.col("__d").eqNullSafe(F.col("d")) & (F.col("__h") == F.col("h")), "left")
         touched = touched.select("__d", "__h", F.array_except("__gone", F.coalesce("__wrong", F.array().cast("array<int>"))).alias("__gone"))
-    side = _small(touched.where(F.size("__gone") > 0).select("__d", "__h", "__gone"))
+    side = sent(touched.where(F.size("__gone") > 0).select("__d", "__h", "__gone"))
     j = keyed.join(side, on(side), "left")
     left = _let(split_lines(F.col(text)), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone")), lambda i: F.get(ls, i)), "\n"))
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)

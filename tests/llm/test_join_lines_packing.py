@@ -286,9 +286,10 @@ def test_line_dedup_shifts(spark, none):
     assert lines.op9_line_dedup(none).count() == 0 and lines.without_repeats(none).columns == none.columns
 
 
-def test_line_dedup_compares_bytes(spark, monkeypatch):
+@pytest.mark.parametrize("values", [2, 37])
+def test_line_dedup_compares_bytes(spark, monkeypatch, values):
     """With a hash that many lines share, nothing goes whose bytes do not stand elsewhere."""
-    monkeypatch.setattr(lines, "line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(37)))
+    monkeypatch.setattr(lines, "line_hash", lambda x: F.pmod(F.xxhash64(x), F.lit(values)))
     rng = random.Random(9)
     texts = ["\n".join(f"line {rng.randrange(200)} of all" for _ in range(12)) for _ in range(60)]
     got = {r.doc_id: r.text for r in lines.op9_line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -296,6 +297,17 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert left >= {x for t in texts for x in t.split("\n")}
 
 
+def test_line_dedup_of_repeated_rows(spark, monkeypatch):
+    """A row repeated often is one document, whether sides are broadcast or shuffled."""
+    text = "\n".join(f"line {i} of a text that one row holds again and again" for i in range(50))
+    other = "\n".join(["own line"] + text.split("\n")[10:20])
+    df = spark.range(20_002).selectExpr("CASE id WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 7 END AS doc_id", f"CASE WHEN id = 1 THEN '{other}' ELSE '{text}' END AS text")
+    for most in (lines.BROADCAST, 0):
+        monkeypatch.setattr(lines, "BROADCAST", most)
+        got = {(r.doc_id, r.text): r["count"] for r in lines.op9_line_dedup(df).groupBy("doc_id", "text").count().collect()}
+        assert got == {(1, text): 1, (3, "own line"): 1, (7, ""): 20_000}
+
+
 TOKENIZER = P.path("byte_bpe_50k.tiktoken")
 
 
