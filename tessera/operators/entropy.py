@@ -109,14 +109,13 @@ def compress(data: bytes) -> bytes:
         return raw
     freq = normalised(data)
     first = starts(freq)
+    rows = [(f, f << 19, SCALE - f, c) for f, c in zip(freq, first, strict=True)]
     state, out = LOW, bytearray()
-    for s in reversed(data):
-        f = freq[s]
-        limit = (LOW >> BITS << 8) * f
+    for f, limit, gain, c in map(rows.__getitem__, reversed(data)):
         while state >= limit:
             out.append(state & 255)
             state >>= 8
-        state = (state // f << BITS) + state % f + first[s]
+        state += state // f * gain + c
     out.reverse()
     used = [s for s in range(256) if freq[s]]
     head = bytearray(b"\2" + struct.pack("<IH", len(data), len(used)))

@@ -175,11 +175,14 @@ def decode_video(routed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         decoder, out, held = video.Decoder(), [], 0
-        for i in np.argsort(t.column("seq").to_numpy(), kind="stable").tolist():
+        order = np.argsort(t.column("seq").to_numpy(), kind="stable").tolist()
+        for place, i in enumerate(order):
+            if place % video.TOGETHER == 0:
+                inflate = video.inflated([t.column("payload")[j].as_py() for j in order[place : place + video.TOGETHER]])
             r = {c: t.column(c)[i].as_py() for c in ("file_id", "epoch_id", "stream_id", "pts", "payload", "param0", "param1")}
             k = r["file_id"], r["epoch_id"], r["stream_id"], r["pts"]
             try:
-                head, frame = decoder.decode(r["payload"])
+                head, frame = decoder.decode(r["payload"], inflate)
                 if (head.width, head.height) != (r["param0"], r["param1"]):
                     raise Rejected("BadStream")
             except Rejected as e:
@@ -245,15 +248,18 @@ def encode_video(frames: DataFrame, stream_id: int, frame_us: int, q: int = 96,
     schema = arrow_schema(ENCODED)
 
     def run(key, t):
-        encoder, out = video.Encoder(q, preset), []
-        for r in sorted(t.to_pylist(), key=lambda r: r["frame_index"]):
-            i = r["frame_index"]
-            head = (r["clip_id"], r["epoch_id"], stream_id, "video_frame", i, u64(i * frame_us), frame_us)
-            try:
-                payload, _, _ = encoder.encode(i, video.Frame.of(r["width"], r["height"], r["y"], r["u"], r["v"]))
-                out.append((*head, payload, None))
-            except Rejected as e:
-                out.append((*head, None, e.code))
+        rows, out = sorted(t.to_pylist(), key=lambda r: r["frame_index"]), []
+
+        def given():
+            for r in rows:
+                try:
+                    yield r["frame_index"], video.Frame.of(r["width"], r["height"], r["y"], r["u"], r["v"])
+                except Rejected as e:
+                    yield r["frame_index"], e
+
+        for r, payload in zip(rows, video.Encoder(q, preset).encode_all(given()), strict=True):
+            i, bad = r["frame_index"], isinstance(payload, Rejected)
+            out.append((r["clip_id"], r["epoch_id"], stream_id, "video_frame", i, u64(i * frame_us), frame_us, None if bad else payload, payload.code if bad else None))
         return pa.Table.from_batches([table(out, schema)])
 
     return frames.groupBy("clip_id", "epoch_id").applyInArrow(run, ENCODED)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-from .audio import div_round, read_sparse, tokens
-from .entropy import Cursor, compress, decompress, put_svarint
+from . import lanes, wavefront
+from .audio import div_round, read_sparse
+from .entropy import Cursor, compress, decompress
 from .errors import Rejected
 from .wire import MAX_ENTROPY, MAX_PIXELS
 
@@ -18,10 +20,9 @@ MAGIC, BLOCK, MAX_SIDE, MAX_REFS, MAX_MOTION = b"ALV1", 8, 8192, 4, 64
 MAX_COEFFICIENT, MAX_DEQUANTISED = 1_000_000, 33_554_431
 #: (motion radius, references) of each preset.
 PRESETS = {"fast": (2, 1), "balanced": (4, 1), "quality": (5, 4)}
+#: Frames whose entropy blocks are coded at once, each block a lane.
+TOGETHER = 64
 _HEAD = struct.Struct("<4sQHHHBB")
-_H = np.array([[1]])
-for _ in range(3):
-    _H = np.block([[_H, _H], [_H, -_H]])
 
 
 @dataclass
@@ -50,7 +51,7 @@ def check_size(width: int, height: int) -> None:
 
 def wht(x: np.ndarray) -> np.ndarray:
     """Forward transform of (n, 8, 8); the inverse is the same, divided by 64."""
-    return _H @ x @ _H
+    return wavefront.wht(x.reshape(-1, BLOCK * BLOCK)).reshape(x.shape)
 
 
 def inverse_wht(q: np.ndarray) -> np.ndarray:
@@ -63,7 +64,7 @@ class HalfSamples:
     MARGIN = MAX_MOTION // 2 + BLOCK
 
     def __init__(self, ref: np.ndarray):
-        p = np.pad(ref.astype(np.int32), ((self.MARGIN, self.MARGIN + 1), (self.MARGIN, self.MARGIN + 1)), mode="edge")
+        p = np.pad(ref.astype(np.int16), ((self.MARGIN, self.MARGIN + 1), (self.MARGIN, self.MARGIN + 1)), mode="edge")
         a, b, c, d = p[:-1, :-1], p[:-1, 1:], p[1:, :-1], p[1:, 1:]
         self.planes = np.stack([a, a + b + 1 >> 1, a + c + 1 >> 1, a + b + c + d + 2 >> 2])
         self.flat = self.planes.ravel()
@@ -87,17 +88,6 @@ def motion(ref: np.ndarray, x0: np.ndarray, y0: np.ndarray, dx2: np.ndarray, dy2
     return HalfSamples(ref).at(x0, y0, dx2, dy2)
 
 
-def intra(recon: np.ndarray, x: int, y: int, bw: int, bh: int, mode: int) -> np.ndarray | int:
-    """Prediction of a block from what is reconstructed above and to the left; broadcasts to (bh, bw)."""
-    if mode == 1:
-        return recon[y : y + bh, x - 1 : x] if x else 128
-    if mode == 2:
-        return recon[y - 1 : y, x : x + bw] if y else 128
-    near = (recon[y - 1, x : x + bw] if y else recon[:0, 0], recon[y : y + bh, x - 1] if x else recon[:0, 0])
-    n = len(near[0]) + len(near[1])
-    return (int(near[0].sum()) + int(near[1].sum()) + n // 2) // n if n else 128
-
-
 def _grid(h: int, w: int) -> list[tuple[int, int, int, int]]:
     """(x, y, width, height) of the blocks in raster order."""
     return [(x, y, min(BLOCK, w - x), min(BLOCK, h - y)) for y in range(0, h, BLOCK) for x in range(0, w, BLOCK)]
@@ -149,10 +139,71 @@ def _envelopes(b: bytes, at: int) -> list[list[bytes]]:
     return out
 
 
-def _decode_plane(blocks: list[bytes], h: int, w: int, q: int, refs: list[np.ndarray]) -> np.ndarray:
-    data = Cursor(decompress(blocks[-1], MAX_ENTROPY))
-    control = Cursor(decompress(blocks[0], MAX_ENTROPY)) if len(blocks) == 2 else data
+@dataclass
+class Parsed:
+    """What a plane's entropy blocks say of each of its blocks."""
+
+    modes: np.ndarray
+    residual: np.ndarray
+    moves: list[tuple[int, int, int, int]]
+    palettes: dict[int, np.ndarray]
+
+
+def _plain(data: bytes, control: bytes | None, n: int, refs: int) -> tuple[np.ndarray, np.ndarray, list] | None:
+    """(modes, coefficients, moves) of a plane without palettes, which is varints throughout; None for any other and whatever is not in order."""
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    if not len(raw) or raw[-1] > 127:
+        return None
+    ends = np.flatnonzero(raw < 128)
+    size = np.diff(ends, prepend=-1)
+    if size.max() > 5 or ((size > 1) & (raw[ends] == 0)).any():
+        return None
+    value = raw[ends]
+    for k in range(1, int(size.max())):
+        i = size > k
+        value[i] = value[i] << 7 | raw[ends[i] - k] & 127
+    v, at, modes, begin, count, moves = value.tolist(), 0, list(control) if control is not None else [], [], [], []
+    try:
+        for k in range(n):
+            if control is None:
+                modes.append(v[at])
+                at += 1
+            if modes[k] == 3:
+                r, dx, dy = v[at : at + 3]
+                at += 3
+                moves.append((k, r, (dx >> 1) ^ -(dx & 1), (dy >> 1) ^ -(dy & 1)))
+            elif modes[k] > 3:
+                return None
+            count.append(v[at])
+            begin.append(at + 1)
+            at += 1 + 2 * v[at]
+    except (IndexError, ValueError):
+        return None
+    if at != len(v) or len(modes) != n or max(count) > 64 or any(r >= refs or abs(dx) > MAX_MOTION or abs(dy) > MAX_MOTION for _, r, dx, dy in moves):
+        return None
+    n_, first = np.array(count), np.array(begin)
+    block = np.repeat(np.arange(n), n_)
+    place = first[block] + 2 * (np.arange(len(block)) - np.repeat(np.cumsum(n_) - n_, n_))
+    index, z = value[place], value[place + 1]
+    coefficient = (z >> 1) ^ -(z & 1)
+    falls = (index[1:] <= index[:-1]) & (block[1:] == block[:-1])
+    if (index > 63).any() or falls.any() or (z >> 32).any() or (np.abs(coefficient) > MAX_COEFFICIENT).any():
+        return None
+    out = np.zeros((n, 64), np.int64)
+    out[block, index] = coefficient
+    return np.array(modes), out, moves
+
+
+def parse_plane(blocks: list[bytes], h: int, w: int, q: int, refs: int, inflate: Callable[[bytes], bytes]) -> Parsed:
+    """Everything of a plane that needs no sample of another block or frame."""
+    data = Cursor(inflate(blocks[-1]))
+    control = Cursor(inflate(blocks[0])) if len(blocks) == 2 else data
     grid = _grid(h, w)
+    if plain := _plain(data.data, control.data if len(blocks) == 2 else None, len(grid), refs):
+        deq = plain[1] * q
+        if np.abs(deq).max() > MAX_DEQUANTISED:
+            raise Rejected("BadCoefficient")
+        return Parsed(plain[0], inverse_wht(deq.reshape(-1, BLOCK, BLOCK)).reshape(-1, 64), plain[2], {})
     coefficients = [[0] * 64 for _ in grid]
     modes, moves, palettes = [], [], {}
     for k, (_, _, bw, bh) in enumerate(grid):
@@ -171,11 +222,12 @@ def _decode_plane(blocks: list[bytes], h: int, w: int, q: int, refs: list[np.nda
             index = ((packed[:, None] >> np.array([0, 2, 4, 6])) & 3).ravel()[: bw * bh]
             if index.max() >= n:
                 raise Rejected("BadPalette")
-            palettes[k] = colors[index].reshape(bh, bw)
+            palettes[k] = np.zeros((BLOCK, BLOCK), np.int64)
+            palettes[k][:bh, :bw] = colors[index].reshape(bh, bw)
             continue
         if mode == 3:
             r, dx2, dy2 = data.byte(), data.svarint(), data.svarint()
-            if r >= len(refs) or abs(dx2) > MAX_MOTION or abs(dy2) > MAX_MOTION:
+            if r >= refs or abs(dx2) > MAX_MOTION or abs(dy2) > MAX_MOTION:
                 raise Rejected("BadMode")
             moves.append((k, r, dx2, dy2))
         read_sparse(data, MAX_COEFFICIENT, coefficients[k])
@@ -184,31 +236,34 @@ def _decode_plane(blocks: list[bytes], h: int, w: int, q: int, refs: list[np.nda
     deq = np.array(coefficients, np.int64).reshape(-1, 64) * q
     if np.abs(deq).max() > MAX_DEQUANTISED:
         raise Rejected("BadCoefficient")
-    residual = inverse_wht(deq.reshape(-1, BLOCK, BLOCK))
-    predicted: dict[int, np.ndarray] = {}
-    for r in range(len(refs)):  # predictions from other frames need nothing of this one: all blocks of a reference at once
-        mine = [m for m in moves if m[1] == r]
+    return Parsed(np.array(modes), inverse_wht(deq.reshape(-1, BLOCK, BLOCK)).reshape(-1, 64), moves, palettes)
+
+
+def _fill(recon: np.ndarray, lay: wavefront.Layout, plane: int, parsed: Parsed, refs: list[np.ndarray]) -> None:
+    """The blocks of a plane that are palettes or come from other frames: all of a reference at once."""
+    first = lay.first[plane]
+    for k, samples in parsed.palettes.items():
+        recon[lay.own[first + k]] = samples.ravel()
+    for r in range(len(refs)):
+        mine = [m for m in parsed.moves if m[1] == r]
         if mine:
             k, _, dx2, dy2 = (np.array(c) for c in zip(*mine, strict=True))
-            at = np.array([grid[i][:2] for i in k])
-            predicted |= dict(zip(k.tolist(), motion(refs[r], at[:, 0], at[:, 1], dx2, dy2), strict=True))
-    out = np.full((h, w), 128, np.int32)
-    residual = residual.astype(np.int32)
-    known = [k for k, m in enumerate(modes) if m == 3]
-    if known:  # blocks from other frames are finished together
-        done = (np.stack([predicted[k] for k in known]) + residual[known]).clip(0, 255)
-        palettes |= {k: done[i, : grid[k][3], : grid[k][2]] for i, k in enumerate(known)}
-    for k, (x, y, bw, bh) in enumerate(grid):
-        if modes[k] >= 3:
-            out[y : y + bh, x : x + bw] = palettes[k]
-        else:
-            out[y : y + bh, x : x + bw] = (intra(out, x, y, bw, bh, modes[k]) + residual[k, :bh, :bw]).clip(0, 255)
-    return out.astype(np.uint8)
-
-
-def decode(b: bytes, references: dict[int, Frame]) -> tuple[Header, Frame]:
-    """One frame; ``references`` are the retained frames by id."""
-    head = read_header(b)
+            got = motion(refs[r], lay.x[first + k], lay.y[first + k], dx2, dy2).reshape(-1, 64)
+            recon[lay.own[first + k]] = (got + parsed.residual[k]).clip(0, 255)
+
+
+def reconstruct(width: int, height: int, parsed: list[Parsed], refs: list[Frame]) -> Frame:
+    """A frame of its parsed planes; intra blocks by anti-diagonals, those of all planes together."""
+    lay = wavefront.layout(width, height)
+    recon = np.full(lay.samples, 128, np.int64)
+    for i, p in enumerate(parsed):
+        _fill(recon, lay, i, p, [r.planes[i] for r in refs])
+    wavefront.rebuild(lay, recon, np.concatenate([p.modes for p in parsed]), np.concatenate([p.residual for p in parsed]))
+    return Frame(tuple(lay.planes(recon)))
+
+
+def referenced(head: Header, references: dict[int, Frame]) -> list[Frame]:
+    """The frames that a header names, if they are retained and of its size."""
     refs = []
     for d in head.deps:
         if d not in references:
@@ -216,9 +271,35 @@ def decode(b: bytes, references: dict[int, Frame]) -> tuple[Header, Frame]:
         if references[d].size != (head.width, head.height):
             raise Rejected("ReferenceShape")
         refs.append(references[d])
+    return refs
+
+
+def inflated(payloads: list[bytes]) -> Callable[[bytes], bytes]:
+    """What decompresses the entropy blocks of some payloads: all of them at once, each block a lane; a rejection comes when its block is asked for."""
+    blocks: dict[bytes, bytes | Rejected | None] = {}
+    for b in payloads:
+        try:
+            blocks |= dict.fromkeys(x for e in _envelopes(b, read_header(b).body) for x in e)
+        except Rejected:
+            continue
+    known = dict(zip(blocks, lanes.decompress_many(list(blocks), MAX_ENTROPY), strict=True))
+
+    def inflate(block: bytes) -> bytes:
+        got = known[block] if block in known else decompress(block, MAX_ENTROPY)
+        if isinstance(got, Rejected):
+            raise got
+        return got
+
+    return inflate
+
+
+def decode(b: bytes, references: dict[int, Frame], inflate: Callable[[bytes], bytes] = lambda block: decompress(block, MAX_ENTROPY)) -> tuple[Header, Frame]:
+    """One frame; ``references`` are the retained frames by id."""
+    head = read_header(b)
+    refs = referenced(head, references)
     shapes = [(head.height, head.width), *[(head.height // 2, head.width // 2)] * 2]
-    parts = zip(_envelopes(b, head.body), shapes, strict=True)
-    return head, Frame(tuple(_decode_plane(e, h, w, head.q, [r.planes[i] for r in refs]) for i, (e, (h, w)) in enumerate(parts)))
+    parsed = [parse_plane(e, h, w, head.q, len(refs), inflate) for e, (h, w) in zip(_envelopes(b, head.body), shapes, strict=True)]
+    return head, reconstruct(head.width, head.height, parsed, refs)
 
 
 class Retained:
@@ -241,8 +322,8 @@ class Decoder:
     def __init__(self):
         self.kept = Retained()
 
-    def decode(self, b: bytes) -> tuple[Header, Frame]:
-        head, frame = decode(b, self.kept.frames)
+    def decode(self, b: bytes, *inflate: Callable[[bytes], bytes]) -> tuple[Header, Frame]:
+        head, frame = decode(b, self.kept.frames, *inflate)
         self.kept.add(head.frame_id, frame)
         return head, frame
 
@@ -250,17 +331,6 @@ class Decoder:
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class Block:
-    mode: int
-    ref: int = 0
-    dx2: int = 0
-    dy2: int = 0
-    q: np.ndarray | None = None
-    colors: list[int] | None = None
-    index: np.ndarray | None = None
-
-
 def _search(src: np.ndarray, tiles: np.ndarray, inside: np.ndarray, at: np.ndarray, ref: HalfSamples, radius: int, pattern: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sad, dx2, dy2) of every block: whole-sample square around zero, then the half samples around the best.
 
@@ -272,11 +342,15 @@ def _search(src: np.ndarray, tiles: np.ndarray, inside: np.ndarray, at: np.ndarr
     """
     h, w = src.shape
     x, y, zero = at[:, 0], at[:, 1], np.zeros(len(at), np.int64)
-    rows, columns = np.arange(0, h, BLOCK), np.arange(0, w, BLOCK)
+    ny, nx = -(-h // BLOCK), -(-w // BLOCK)
+    space = np.zeros((ny * BLOCK, nx * BLOCK), np.int16)
+    d = space[:h, :w]
 
     def whole(dx: int, dy: int) -> np.ndarray:
-        d = np.abs(src - ref.shifted(dx, dy, h, w))
-        return np.add.reduceat(np.add.reduceat(d, rows, axis=0), columns, axis=1).ravel()
+        np.subtract(src, ref.shifted(dx, dy, h, w), out=d)
+        np.abs(d, out=d)
+        rows = space.reshape(ny, BLOCK, -1).sum(axis=1, dtype=np.int16)  # a block's sum is at most 64 * 255: it stays within 16 bits
+        return rows.reshape(ny, nx, BLOCK).sum(axis=2, dtype=np.int64).ravel()
 
     best, bx, by = whole(0, 0), zero.copy(), zero.copy()
 
@@ -324,135 +398,116 @@ def palette(block: np.ndarray) -> tuple[list[int], np.ndarray] | None:
     return values[np.argsort(first)].tolist(), rank[back]
 
 
-def _signed_lens(v: np.ndarray) -> np.ndarray:
-    """Bytes of each value as a signed varint."""
-    z = (v << 1) ^ (v >> 63)
-    return 1 + (z >> 7 > 0) + (z >> 14 > 0) + (z >> 21 > 0) + (z >> 28 > 0)
+def _tiles(lay: wavefront.Layout, frame: Frame) -> np.ndarray:
+    return lay.flat([p.astype(np.int64) for p in frame.planes])[lay.own]
 
 
-def raw_rates(q: np.ndarray) -> np.ndarray:
-    """Bytes of the tokens of rows of coefficients before entropy coding, with the mode's; indexes and counts take one."""
-    return 2 + ((1 + _signed_lens(q)) * (q != 0)).sum(axis=1)
-
-
-def _residuals(diff: np.ndarray, pred: np.ndarray, tiles: np.ndarray, inside: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(squared error, rate, coefficients, reconstruction) of blocks coded with the given predictions."""
-    coded = div_round(wht(diff), q)
-    got = (pred + inverse_wht(coded * q)).clip(0, 255)
-    err = (((tiles - got) ** 2) * inside).reshape(len(got), -1).sum(axis=1)
-    flat = coded.reshape(-1, 64)
-    return err, raw_rates(flat), flat, got
+def _from_references(lay: wavefront.Layout, frame: Frame, tiles: np.ndarray, references: list[Frame], q: int, preset: str) -> wavefront.Inter:
+    """The best block of all references for every block, searched and coded for all at once."""
+    parts = []
+    for i, src in enumerate(frame.planes):
+        own = slice(lay.first[i], lay.first[i + 1])
+        at, inside, mine = np.stack([lay.x[own], lay.y[own]], axis=1), lay.inside[own].reshape(-1, BLOCK, BLOCK), tiles[own].reshape(-1, BLOCK, BLOCK)
+        halves = [HalfSamples(r.planes[i]) for r in references]
+        found = [_search(src.astype(np.int16), mine, inside, at, r, PRESETS[preset][0], preset == "fast") for r in halves]
+        which = np.argmin(np.stack([f[0] for f in found]), axis=0)  # the first of equals
+        sad, dx2, dy2 = (np.choose(which, [f[j] for f in found]) for j in range(3))
+        pred = np.zeros((len(at), BLOCK, BLOCK), np.int64)
+        for r, ref in enumerate(halves):
+            k = np.flatnonzero(which == r)
+            pred[k] = ref.at(at[k, 0], at[k, 1], dx2[k], dy2[k])
+        parts.append((sad, which, dx2, dy2, pred.reshape(-1, 64)))
+    sad, which, dx2, dy2, pred = (np.concatenate(x) for x in zip(*parts, strict=True))
+    err, rate, coded, got = wavefront.residuals((tiles - pred) * lay.inside, pred, tiles, lay.inside, q)
+    rate = rate + 1 + wavefront.signed_lens(dx2) + wavefront.signed_lens(dy2)
+    return wavefront.Inter(sad, which, dx2, dy2, err, rate, coded, got)
+
+
+def _palettes(lay: wavefront.Layout, tiles: np.ndarray) -> tuple[np.ndarray, dict[int, tuple[list[int], np.ndarray]]]:
+    """How many colours each block's palette has (0 for none), and the palettes."""
+    ordered = np.sort(tiles, axis=1)
+    few = ((ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) <= 4) | ~lay.inside.all(axis=1)  # the rest have more than four colours
+    count, out = np.zeros(lay.count, np.int64), {}
+    for k in np.flatnonzero(few).tolist():
+        if found := palette(tiles[k][lay.inside[k]]):
+            count[k], out[k] = len(found[0]), found
+    return count, out
+
+
+def _serialise(lay: wavefront.Layout, plane: int, chosen: wavefront.Chosen, inter: wavefront.Inter | None, place: dict[int, int], palettes: dict) -> tuple[bytes, tuple[bytes, bytes]]:
+    """A plane's blocks mixed, and apart: mode bytes, everything else."""
+    own = slice(lay.first[plane], lay.first[plane + 1])
+    mode, coded = chosen.mode[own], np.where(chosen.mode[own, None] < 4, chosen.coded[own], 0)
+    n = len(mode)
+    zigzag = lambda v: (v << 1) ^ (v >> 63)
+    items = [(np.arange(n), np.full(n, -1), mode, True)]
+    moved = np.flatnonzero(mode == 3)
+    if len(moved):
+        ref, dx2, dy2 = (x[own][moved] for x in (inter.ref, inter.dx2, inter.dy2))
+        items += [(moved, np.full(len(moved), 0), np.array([place[r] for r in ref.tolist()]), True), (moved, np.full(len(moved), 1), zigzag(dx2), False), (moved, np.full(len(moved), 2), zigzag(dy2), False)]
+    plain = np.flatnonzero(mode < 4)
+    block, index = np.nonzero(coded)
+    items += [(plain, np.full(len(plain), 3), np.count_nonzero(coded[plain], axis=1), False), (block, 4 + 2 * index, index, False), (block, 5 + 2 * index, zigzag(coded[block, index]), False)]
+    for k in np.flatnonzero(mode == 4).tolist():
+        colors, at = palettes[own.start + k]
+        packed = (np.pad(at, (0, -len(at) % 4)).reshape(-1, 4) << np.array([0, 2, 4, 6])).sum(axis=1)
+        whole = np.array([len(colors), *colors, len(at), *packed.tolist()])
+        items.append((np.full(len(whole), k), np.arange(len(whole)), whole, True))
+    block, order, value = (np.concatenate([x[j] for x in items]) for j in range(3))
+    raw = np.repeat([x[3] for x in items], [len(x[0]) for x in items])
+    mixed, at = wavefront.varints(block, order, value, raw, n)
+    keep = np.ones(len(mixed), bool)
+    keep[at[:-1]] = False  # a block begins with its mode
+    both = np.frombuffer(mixed, np.uint8)
+    return mixed, (both[~keep].tobytes(), both[keep].tobytes())
 
 
-def _encode_plane(src: np.ndarray, refs: list[HalfSamples], q: int, preset: str, use_palette: bool) -> tuple[list[Block], list[bool], np.ndarray]:
-    """Blocks in raster order, which references they use, and the reconstruction.
+@dataclass
+class Coded:
+    """A frame before its entropy coding, which no other frame waits for."""
 
-    What comes from other frames needs nothing of this one, so it is searched and coded for all blocks at once; only
-    intra prediction goes block by block.
-    """
-    h, w = src.shape
-    grid = _grid(h, w)
-    at = np.array([g[:2] for g in grid])
-    padded = np.pad(src.astype(np.int64), ((0, -h % BLOCK), (0, -w % BLOCK)))
-    tiles = padded.reshape(padded.shape[0] // BLOCK, BLOCK, -1, BLOCK).swapaxes(1, 2).reshape(-1, BLOCK, BLOCK)
-    k = np.arange(BLOCK)
-    inside = ((at[:, 1, None] + k < h)[:, :, None]) & ((at[:, 0, None] + k < w)[:, None, :])
-    lam, recon, used, out = max(q * q // 512, 1), np.full((h, w), 128, np.int64), [False] * len(refs), []
-
-    if refs:
-        found = [_search(src.astype(np.int32), tiles, inside, at, r, PRESETS[preset][0], preset == "fast") for r in refs]
-        which = np.argmin(np.stack([f[0] for f in found]), axis=0)  # the first of equals
-        sad, dx2, dy2 = (np.choose(which, [f[j] for f in found]) for j in range(3))
-        pred = np.zeros((len(grid), BLOCK, BLOCK), np.int64)
-        for r, ref in enumerate(refs):
-            own = np.flatnonzero(which == r)
-            pred[own] = ref.at(at[own, 0], at[own, 1], dx2[own], dy2[own])
-        errs, rates, flats, gots = _residuals((tiles - pred) * inside, pred, tiles, inside, q)
-        rates = rates + 1 + _signed_lens(dx2) + _signed_lens(dy2)
-        inter = list(zip(sad.tolist(), which.tolist(), dx2.tolist(), dy2.tolist(), errs.tolist(), rates.tolist(), strict=True))
-    ordered = np.sort(tiles.reshape(len(grid), -1), axis=1)
-    few = ((ordered[:, 1:] != ordered[:, :-1]).sum(axis=1) <= 4) | ~inside.all(axis=(1, 2))  # the rest have more than four colours
-
-    def as_inter(i: int):
-        _, r, x2, y2, err, rate = inter[i]
-        return err, rate, Block(3, r, x2, y2, flats[i]), gots[i, : grid[i][3], : grid[i][2]]
-
-    def as_intra(i: int, mode: int, p):
-        _, _, bw, bh = grid[i]
-        here, wide = inside[i : i + 1], np.zeros((1, BLOCK, BLOCK), np.int64)
-        wide[0, :bh, :bw] = p
-        err, rate, flat, got = _residuals((tiles[i : i + 1] - wide) * here, wide, tiles[i : i + 1], here, q)
-        return int(err[0]), int(rate[0]), Block(mode, 0, 0, 0, flat[0]), got[0, :bh, :bw]
-
-    for i, (x, y, bw, bh) in enumerate(grid):
-        here = tiles[i, :bh, :bw]
-        guesses = [intra(recon, x, y, bw, bh, m) for m in (0, 1, 2)]
-        intra_sad, intra_mode = min((int(np.abs(here - p).sum()), m) for m, p in enumerate(guesses))
-        inter_sad = inter[i][0] if refs else None
-        inter_first = inter_sad is not None and inter_sad < intra_sad
-        colors = palette(src[y : y + bh, x : x + bw]) if use_palette and few[i] else None
-        err, rate, chosen, got = as_inter(i) if inter_first else as_intra(i, intra_mode, guesses[intra_mode])
-        if preset == "fast":
-            if colors and min(intra_sad, intra_sad if inter_sad is None else inter_sad) > 4 * bw * bh:
-                chosen, got = Block(4, colors=colors[0], index=colors[1]), here
-        else:
-            def score(e: int, n: int, b: Block) -> int:
-                return e + lam * (n + (8 if b.mode == 3 and not used[b.ref] else 0))
-
-            best = score(err, rate, chosen)
-            if inter_sad is not None and (q == 1 or preset == "quality" or abs(intra_sad - inter_sad) <= 2 * q):
-                err, rate, b, g = as_intra(i, intra_mode, guesses[intra_mode]) if inter_first else as_inter(i)
-                if score(err, rate, b) < best:
-                    best, chosen, got = score(err, rate, b), b, g
-            if colors and lam * (3 + len(colors[0]) + -(-bw * bh // 4)) < best:
-                chosen, got = Block(4, colors=colors[0], index=colors[1]), here
-        if chosen.mode == 3:
-            used[chosen.ref] = True
-        recon[y : y + bh, x : x + bw] = got
-        out.append(chosen)
-    return out, used, recon.astype(np.uint8)
-
-
-def _serialise(blocks: list[Block], place: dict[int, int]) -> tuple[bytes, bytes]:
-    """(mode bytes, everything else)."""
-    control, data, mixed = bytearray(), bytearray(), bytearray()
-    for b in blocks:
-        at = len(data)
-        if b.mode == 4:
-            data += bytes([len(b.colors), *b.colors, len(b.index)])
-            padded = np.pad(b.index, (0, -len(b.index) % 4)).reshape(-1, 4)
-            data += (padded << np.array([0, 2, 4, 6])).sum(axis=1).astype(np.uint8).tobytes()
-        else:
-            if b.mode == 3:
-                data.append(place[b.ref])
-                put_svarint(b.dx2, data)
-                put_svarint(b.dy2, data)
-            tokens(b.q[None, :], data)
-        control.append(b.mode)
-        mixed += bytes([b.mode]) + data[at:]
-    return bytes(mixed), (bytes(control), bytes(data))
+    head: bytes
+    streams: list[bytes]
+    recon: Frame
+    deps: list[int]
 
 
-def encode(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q: int = 96, preset: str = "balanced", use_palette: bool = True) -> tuple[bytes, Frame, list[int]]:
-    """(payload, reconstruction, ids of the references that some block uses). The smaller of the two layouts is taken."""
+def prepare(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q: int = 96, preset: str = "balanced", use_palette: bool = True) -> Coded:
+    """Everything of a frame but its entropy coding; ``streams`` has each plane's bytes mixed, its modes, and the rest."""
     width, height = frame.size
     check_size(width, height)
     if not 1 <= q <= 65535:
         raise Rejected("BadQuantizer")
     references = [r for r in references if r[1].size == frame.size][: PRESETS[preset][1]]
-    coded = [_encode_plane(frame.planes[i], [HalfSamples(r.planes[i]) for _, r in references], q, preset, use_palette) for i in range(3)]
-    needed = [k for k in range(len(references)) if any(used[k] for _, used, _ in coded)]
+    lay = wavefront.layout(width, height)
+    tiles = _tiles(lay, frame)
+    inter = _from_references(lay, frame, tiles, [r for _, r in references], q, preset) if references else None
+    count, palettes = _palettes(lay, tiles) if use_palette else (np.zeros(lay.count, np.int64), {})
+    chosen = wavefront.decide(lay, tiles, inter, count, q, preset, len(references))
+    needed = np.unique(inter.ref[chosen.mode == 3]).tolist() if references else []
     place = {k: n for n, k in enumerate(needed)}
     deps = [references[k][0] for k in needed]
-    out = bytearray(_HEAD.pack(MAGIC, frame_id, width, height, q, len(deps), 1) + struct.pack(f"<{len(deps)}Q", *deps))
-    for blocks, _, _ in coded:
-        mixed, split = _serialise(blocks, place)
-        one, two = compress(mixed), [compress(s) for s in split]
+    head = _HEAD.pack(MAGIC, frame_id, width, height, q, len(deps), 1) + struct.pack(f"<{len(deps)}Q", *deps)
+    streams = [x for i in range(3) for mixed, split in [_serialise(lay, i, chosen, inter, place, palettes)] for x in (mixed, *split)]
+    return Coded(head, streams, Frame(tuple(lay.planes(chosen.recon))), deps)
+
+
+def finish(coded: Coded, blocks: list[bytes]) -> bytes:
+    """The payload of a frame whose streams are compressed. The smaller of the two layouts is taken."""
+    out = bytearray(coded.head)
+    for i in range(0, 9, 3):
+        one, *two = blocks[i : i + 3]
         layout, parts = (0, [one]) if 4 + len(one) <= 8 + sum(map(len, two)) else (1, two)
         out.append(layout)
         for p in parts:
             out += struct.pack("<I", len(p)) + p
-    return bytes(out), Frame(tuple(r for _, _, r in coded)), deps
+    return bytes(out)
+
+
+def encode(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q: int = 96, preset: str = "balanced", use_palette: bool = True) -> tuple[bytes, Frame, list[int]]:
+    """(payload, reconstruction, ids of the references that some block uses)."""
+    coded = prepare(frame_id, frame, references, q, preset, use_palette)
+    return finish(coded, [compress(s) for s in coded.streams]), coded.recon, coded.deps
 
 
 class Encoder:
@@ -466,6 +521,29 @@ class Encoder:
         self.kept.add(frame_id, out[1])
         return out
 
+    def encode_all(self, frames: Iterator[tuple[int, Frame]]) -> Iterator[bytes | Rejected]:
+        """Payloads of frames in order, TOGETHER of them entropy-coded at once."""
+        held: list[Coded | Rejected] = []
+
+        def out() -> Iterator[bytes | Rejected]:
+            good = [c for c in held if isinstance(c, Coded)]
+            blocks = iter(lanes.compress_many([s for c in good for s in c.streams]))
+            for c in held:
+                yield finish(c, [next(blocks) for _ in c.streams]) if isinstance(c, Coded) else c
+            held.clear()
+
+        for frame_id, frame in frames:
+            try:
+                if isinstance(frame, Rejected):
+                    raise frame
+                held.append(prepare(frame_id, frame, list(reversed(self.kept.frames.items())), *self.options))
+                self.kept.add(frame_id, held[-1].recon)
+            except Rejected as e:
+                held.append(e)
+            if len(held) == TOGETHER:
+                yield from out()
+        yield from out()
+
 
 def psnr_db(a: Frame, b: Frame) -> float:
     """Over all samples of the three planes; infinite if they agree."""
