@@ -198,19 +198,126 @@ def decode_video(routed: DataFrame) -> DataFrame:
     return routed.where("kind = 'video_frame' AND error_code IS NULL").groupBy("file_id", "epoch_id", "stream_id").applyInArrow(run, FRAMES)
 
 
+_ENVELOPES = "file_id string, epoch_id long, stream_id int, seq long, pts decimal(20,0), param0 long, param1 long, plane int, payload binary, broken string, rank int"
+_PLANES = "file_id string, epoch_id long, stream_id int, seq long, pts decimal(20,0), frame_id decimal(20,0), width int, height int, plane int, samples binary, error_code string, rank int"
+
+
+def decode_video_by_plane(routed: DataFrame) -> DataFrame:
+    """``decode_video`` with three tasks for each epoch and stream: payloads are cut into their planes, each of which has its own references.
+
+    A plane stops at its own first rejection. The frame at which the first plane stopped is the group's rejected one, with the error that decoding
+    it whole gives; frames before it are joined from their planes, later ones are left out.
+    """
+    cut, done = arrow_schema(_ENVELOPES), arrow_schema(_PLANES)
+
+    def split(r: dict) -> Iterator[tuple]:
+        b = r["payload"]
+        parts, broken, rank = [b""] * 3, None, None
+        try:
+            rank = video.HEADER
+            at = video.read_header(b).body
+            rank, head = video.ENVELOPE, b[:at]
+            parts = [head + raw for raw in video.plane_bytes(b, at)]
+        except Rejected as e:
+            broken, parts = e.code, [b[: at if rank else len(b)]] * 3
+        for plane, part in enumerate(parts):
+            yield r["file_id"], r["epoch_id"], r["stream_id"], r["seq"], r["pts"], r["param0"], r["param1"], plane, part, broken, rank if broken else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        plane = t.column("plane")[0].as_py()
+        decoder, out, held = video.PlaneDecoder(plane), [], 0
+        order = np.argsort(t.column("seq").to_numpy(), kind="stable").tolist()
+        for place, i in enumerate(order):
+            if place % video.TOGETHER == 0:
+                inflate = video.inflated([t.column("payload")[j].as_py() for j in order[place : place + video.TOGETHER]], 1)
+            r = {c: t.column(c)[i].as_py() for c in t.column_names}
+            k = r["file_id"], r["epoch_id"], r["stream_id"], r["seq"], r["pts"]
+            try:
+                if r["rank"] == video.HEADER:
+                    raise Rejected(r["broken"], video.HEADER)
+                head = video.read_header(r["payload"])
+                if r["broken"]:
+                    decoder.references(head)
+                    raise Rejected(r["broken"], video.ENVELOPE)
+                samples = decoder.decode(head, video.one_envelope(r["payload"], head.body), (r["param0"], r["param1"]), inflate)
+            except Rejected as e:
+                out.append((*k, None, None, None, plane, None, e.code, e.detail))
+                break
+            out.append((*k, u64(head.frame_id), head.width, head.height, plane, samples.tobytes(), None, None))
+            held += samples.size
+            if held >= FRAME_BYTES:
+                yield table(out, done)
+                out, held = [], 0
+        yield table(out, done)
+
+    packets = routed.where("kind = 'video_frame' AND error_code IS NULL")
+    parts = _rows(packets.select("file_id", "epoch_id", "stream_id", "seq", "pts", "param0", "param1", "payload"), _ENVELOPES, split)
+    group = ["file_id", "epoch_id", "stream_id"]
+    planes = parts.groupBy(*group, "plane").applyInArrow(run, _PLANES)
+    of = lambda k: F.max(F.when(F.col("plane") == k, F.col("samples")))
+    frames = planes.groupBy(*group, "seq").agg(
+        F.first("pts").alias("pts"), F.max("frame_id").alias("frame_id"), F.max("width").alias("width"), F.max("height").alias("height"),
+        of(0).alias("y"), of(1).alias("u"), of(2).alias("v"), F.min(F.when(F.col("error_code").isNotNull(), F.struct("rank", "error_code"))).alias("e"),
+    )
+    w = Window.partitionBy(*group).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    kept = frames.withColumn("bad", F.count("e").over(w)).where((F.col("bad") == 0) | (F.col("bad") == 1) & F.col("e").isNotNull())
+    good = F.col("e").isNull()
+    return kept.select(*group, "pts", *(F.when(good, F.col(c)).alias(c) for c in ("frame_id", "width", "height", "y", "u", "v")), F.col("e.error_code").alias("error_code"))
+
+
+_COUNTS = "file_id string, kind string, stream_id int, n long, rejected long"
+
+
 def verify(packets: DataFrame, streams: DataFrame) -> DataFrame:
-    """Decoded packets of each file, kind and stream, and how many were rejected, by full decode."""
-    r = route(packets, streams)
-    parts = [
-        decode_video(r).select("file_id", F.lit("video").alias("kind"), "stream_id", "error_code"),
-        decode_audio(r).select("file_id", F.lit("audio").alias("kind"), "stream_id", "error_code"),
-        r.where("kind = 'epoch_start'").select("file_id", F.lit("epoch").alias("kind"), F.lit(None).cast("int").alias("stream_id"), "error_code"),
-        r.where("error_code IS NOT NULL").select("file_id", F.lit("rejected").alias("kind"), "stream_id", "error_code"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("file_id", "kind", "stream_id").agg(F.count_if(F.col("error_code").isNull()).alias("n"), F.count_if(F.col("error_code").isNotNull()).alias("rejected"))
+    """Decoded packets of each file, kind and stream, and how many were rejected, by full decode.
+
+    One pass over the packets: each goes to the task of its epoch and stream, which decodes what is there in order and hands on counts.
+    After a rejected video packet the group's later ones are not decoded.
+    """
+    schema = arrow_schema(_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        counts: dict[tuple[str, int | None], list[int]] = {}
+        file_id, kinds, errors, payloads = t.column("file_id")[0].as_py(), t.column("kind").to_pylist(), t.column("error_code").to_pylist(), t.column("payload")
+        stream = t.column("stream_id")[0].as_py()
+
+        def count(kind: str, of: int | None, good: bool) -> None:
+            counts.setdefault((kind, of), [0, 0])[not good] += 1
+
+        moving = []
+        for i, (kind, error) in enumerate(zip(kinds, errors, strict=True)):
+            if kind == "epoch_start":
+                count("epoch", None, error is None)
+            if error is not None:
+                count("rejected", stream, False)
+            elif kind == "audio_frame":
+                try:
+                    rate, channels, _ = audio.decode(payloads[i].as_py())
+                    count("audio", stream, (rate, channels) == (t.column("param0")[i].as_py(), t.column("param1")[i].as_py()))
+                except Rejected:
+                    count("audio", stream, False)
+            elif kind == "video_frame":
+                moving.append(i)
+        seq, decoder = t.column("seq").to_pylist(), video.Decoder()
+        moving.sort(key=seq.__getitem__)
+        for place, i in enumerate(moving):
+            if place % video.TOGETHER == 0:
+                inflate = video.inflated([payloads[j].as_py() for j in moving[place : place + video.TOGETHER]])
+            try:
+                head, _ = decoder.decode(payloads[i].as_py(), inflate)
+                good = (head.width, head.height) == (t.column("param0")[i].as_py(), t.column("param1")[i].as_py())
+            except Rejected:
+                good = False
+            count("video", stream, good)
+            if not good:
+                break
+        yield table([(file_id, *k, *v) for k, v in counts.items()], schema)
+
+    slim = route(packets, streams).select("file_id", "epoch_id", "stream_id", "seq", "kind", "payload", "param0", "param1", "error_code")
+    found = slim.groupBy("file_id", "epoch_id", "stream_id").applyInArrow(run, _COUNTS)
+    return found.groupBy("file_id", "kind", "stream_id").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"))
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
@@ -387,10 +494,10 @@ def only_stream(streams: DataFrame, kind: str) -> DataFrame:
     return one.select("file_id", "stream_id")
 
 
-def decode_media(packets: DataFrame, streams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frames, PCM) of the one video and the one audio stream of each file."""
+def decode_media(packets: DataFrame, streams: DataFrame, by_plane: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(frames, PCM) of the one video and the one audio stream of each file; ``by_plane`` deals an epoch's planes to tasks of their own."""
     r = route(packets, streams)
-    return decode_video(r).join(only_stream(streams, "video"), ["file_id", "stream_id"]), decode_audio(r).join(only_stream(streams, "audio"), ["file_id", "stream_id"])
+    return (decode_video_by_plane if by_plane else decode_video)(r).join(only_stream(streams, "video"), ["file_id", "stream_id"]), decode_audio(r).join(only_stream(streams, "audio"), ["file_id", "stream_id"])
 
 
 def pcm_bytes(pcm: DataFrame) -> DataFrame:

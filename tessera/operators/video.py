@@ -126,11 +126,11 @@ def read_header(b: bytes) -> Header:
     return Header(frame_id, width, height, q, ids, end)
 
 
-def _envelopes(b: bytes, at: int) -> list[list[bytes]]:
-    """The entropy blocks of the three planes: one (mixed) or two (control, data) each."""
+def _envelopes(b: bytes, at: int, planes: int = 3) -> list[list[bytes]]:
+    """The entropy blocks of the planes: one (mixed) or two (control, data) each."""
     out, c = [], Cursor(b)
     c.at = at
-    for _ in range(3):
+    for _ in range(planes):
         layout = c.byte()
         if layout > 1:
             raise Rejected("BadMode")
@@ -139,6 +139,18 @@ def _envelopes(b: bytes, at: int) -> list[list[bytes]]:
     return out
 
 
+def plane_bytes(b: bytes, at: int) -> list[bytes]:
+    """Each plane's envelope as it stands in a payload."""
+    sizes = [1 + sum(4 + len(x) for x in e) for e in _envelopes(b, at)]
+    ends = np.cumsum([at, *sizes]).tolist()
+    return [b[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def one_envelope(b: bytes, at: int) -> list[bytes]:
+    """The entropy blocks of a payload that holds one plane alone."""
+    return _envelopes(b, at, 1)[0]
+
+
 @dataclass
 class Parsed:
     """What a plane's entropy blocks say of each of its blocks."""
@@ -252,18 +264,22 @@ def _fill(recon: np.ndarray, lay: wavefront.Layout, plane: int, parsed: Parsed,
             recon[lay.own[first + k]] = (got + parsed.residual[k]).clip(0, 255)
 
 
-def reconstruct(width: int, height: int, parsed: list[Parsed], refs: list[Frame]) -> Frame:
-    """A frame of its parsed planes; intra blocks by anti-diagonals, those of all planes together."""
-    lay = wavefront.layout(width, height)
+def plane_shapes(width: int, height: int) -> list[tuple[int, int]]:
+    return [(height, width), *[(height // 2, width // 2)] * 2]
+
+
+def reconstruct(shapes: list[tuple[int, int]], parsed: list[Parsed], refs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Parsed planes and, for each, those of the references; intra blocks by anti-diagonals, those of all planes together."""
+    lay = wavefront.layout(*shapes)
     recon = np.full(lay.samples, 128, np.int64)
     for i, p in enumerate(parsed):
-        _fill(recon, lay, i, p, [r.planes[i] for r in refs])
+        _fill(recon, lay, i, p, refs[i])
     wavefront.rebuild(lay, recon, np.concatenate([p.modes for p in parsed]), np.concatenate([p.residual for p in parsed]))
-    return Frame(tuple(lay.planes(recon)))
+    return lay.planes(recon)
 
 
-def referenced(head: Header, references: dict[int, Frame]) -> list[Frame]:
-    """The frames that a header names, if they are retained and of its size."""
+def referenced(head: Header, references: dict[int, Frame | Plane]) -> list:
+    """The frames (or planes of frames) that a header names, if they are retained and of its size."""
     refs = []
     for d in head.deps:
         if d not in references:
@@ -274,12 +290,12 @@ def referenced(head: Header, references: dict[int, Frame]) -> list[Frame]:
     return refs
 
 
-def inflated(payloads: list[bytes]) -> Callable[[bytes], bytes]:
+def inflated(payloads: list[bytes], planes: int = 3) -> Callable[[bytes], bytes]:
     """What decompresses the entropy blocks of some payloads: all of them at once, each block a lane; a rejection comes when its block is asked for."""
     blocks: dict[bytes, bytes | Rejected | None] = {}
     for b in payloads:
         try:
-            blocks |= dict.fromkeys(x for e in _envelopes(b, read_header(b).body) for x in e)
+            blocks |= dict.fromkeys(x for e in _envelopes(b, read_header(b).body, planes) for x in e)
         except Rejected:
             continue
     known = dict(zip(blocks, lanes.decompress_many(list(blocks), MAX_ENTROPY), strict=True))
@@ -297,18 +313,18 @@ def decode(b: bytes, references: dict[int, Frame], inflate: Callable[[bytes], by
     """One frame; ``references`` are the retained frames by id."""
     head = read_header(b)
     refs = referenced(head, references)
-    shapes = [(head.height, head.width), *[(head.height // 2, head.width // 2)] * 2]
+    shapes = plane_shapes(head.width, head.height)
     parsed = [parse_plane(e, h, w, head.q, len(refs), inflate) for e, (h, w) in zip(_envelopes(b, head.body), shapes, strict=True)]
-    return head, reconstruct(head.width, head.height, parsed, refs)
+    return head, Frame(tuple(reconstruct(shapes, parsed, [[r.planes[i] for r in refs] for i in range(3)])))
 
 
 class Retained:
     """The last four frames of a stream within an epoch, oldest out first."""
 
     def __init__(self):
-        self.frames: dict[int, Frame] = {}
+        self.frames: dict = {}
 
-    def add(self, frame_id: int, frame: Frame) -> None:
+    def add(self, frame_id: int, frame: Frame | Plane) -> None:
         if frame_id in self.frames:
             raise Rejected("BadHeader")
         self.frames[frame_id] = frame
@@ -479,7 +495,7 @@ def prepare(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q:
     if not 1 <= q <= 65535:
         raise Rejected("BadQuantizer")
     references = [r for r in references if r[1].size == frame.size][: PRESETS[preset][1]]
-    lay = wavefront.layout(width, height)
+    lay = wavefront.layout(*plane_shapes(width, height))
     tiles = _tiles(lay, frame)
     inter = _from_references(lay, frame, tiles, [r for _, r in references], q, preset) if references else None
     count, palettes = _palettes(lay, tiles) if use_palette else (np.zeros(lay.count, np.int64), {})
@@ -510,6 +526,47 @@ def encode(frame_id: int, frame: Frame, references: list[tuple[int, Frame]], q:
     return finish(coded, [compress(s) for s in coded.streams]), coded.recon, coded.deps
 
 
+@dataclass
+class Plane:
+    """One plane of a frame, with the frame's size."""
+
+    size: tuple[int, int]
+    samples: np.ndarray
+
+
+#: In which order a frame's rejections count; a plane's own is PLANE and its number.
+HEADER, REFERENCE, ENVELOPE, PLANE, REPEATED, STREAM = 0, 1, 2, 3, 6, 7
+
+
+class PlaneDecoder:
+    """Decodes one plane of the frames of a stream and epoch in order: a plane refers to the same plane of other frames alone."""
+
+    def __init__(self, plane: int):
+        self.plane, self.kept = plane, Retained()
+
+    @staticmethod
+    def _step(order: int, f: Callable, *args):
+        """f(*args); a rejection's detail is the order in which it counts."""
+        try:
+            return f(*args)
+        except Rejected as e:
+            raise Rejected(e.code, order) from e
+
+    def references(self, head: Header) -> list[Plane]:
+        return self._step(REFERENCE, referenced, head, self.kept.frames)
+
+    def decode(self, head: Header, blocks: list[bytes], size: tuple[int, int], inflate: Callable[[bytes], bytes]) -> np.ndarray:
+        """The plane of a frame; ``size`` is that of the stream."""
+        refs = self.references(head)
+        shape = plane_shapes(head.width, head.height)[self.plane]
+        parsed = self._step(PLANE + self.plane, parse_plane, blocks, *shape, head.q, len(refs), inflate)
+        (samples,) = reconstruct([shape], [parsed], [[r.samples for r in refs]])
+        self._step(REPEATED, self.kept.add, head.frame_id, Plane((head.width, head.height), samples))
+        if (head.width, head.height) != size:
+            raise Rejected("BadStream", STREAM)
+        return samples
+
+
 class Encoder:
     """Encodes the frames of one stream and epoch in order; newest references first."""
 

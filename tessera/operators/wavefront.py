@@ -59,10 +59,10 @@ class Near:
 
 
 class Layout:
-    """The blocks of three planes in raster order, one plane after the other, each plane padded to whole blocks."""
+    """The blocks of planes (height, width) in raster order, one plane after the other, each plane padded to whole blocks."""
 
-    def __init__(self, width: int, height: int):
-        self.shapes = [(height, width), *[(height // 2, width // 2)] * 2]
+    def __init__(self, shapes: tuple[tuple[int, int], ...]):
+        self.shapes = shapes
         k = np.arange(BLOCK)
         self.first, at, parts = [0], 0, []
         self.spans = []
@@ -82,7 +82,7 @@ class Layout:
         rows, columns = k < self.bh[:, None], k < self.bw[:, None]
         self.inside = (rows[:, :, None] & columns[:, None, :]).reshape(-1, SIZE)
         self.order = np.concatenate([np.arange(b - a) for a, b in zip(self.first[:-1], self.first[1:], strict=True)])
-        self.plane = np.repeat(np.arange(3), np.diff(self.first))
+        self.plane = np.repeat(np.arange(len(shapes)), np.diff(self.first))
         left = np.maximum(origin[:, None] - 1 + k * stride[:, None], 0)
         top = np.maximum((origin - stride)[:, None] + k, 0)
         has_left, has_top = bx > 0, by > 0
@@ -107,8 +107,8 @@ class Layout:
 
 
 @functools.lru_cache(maxsize=16)
-def layout(width: int, height: int) -> Layout:
-    return Layout(width, height)
+def layout(*shapes: tuple[int, int]) -> Layout:
+    return Layout(shapes)
 
 
 def guesses(recon: np.ndarray, n: Near) -> np.ndarray:
