@@ -133,7 +133,7 @@ def entropy_lanes(data: bytes) -> dict:
 
 
 def experiments(frames: DataFrame, q: int = 48) -> DataFrame:
-    """(clip_id, experiment, measure, value) of clips (clip_id, frame_index, width, height, y); one task a clip."""
+    """(clip_id, experiment, measure, value) over all frames of clips (clip_id, frame_index, width, height, y); one task a clip."""
     from .video import Encoder, Frame
 
     def run(key, t):
@@ -141,7 +141,8 @@ def experiments(frames: DataFrame, q: int = 48) -> DataFrame:
         luma = [np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]) for r in rows]
         enc = Encoder(q, "fast")
         decoded = [enc.encode(i, Frame.of(r["width"], r["height"], r["y"], r["u"], r["v"]))[1].planes[0] for i, r in enumerate(rows)]
-        found = {"transform_skip": transform_skip(luma, q), "block_copy": block_copy(luma[0]), "motion_merge": motion_merge(luma), "deblock": deblock(luma, decoded), "entropy_lanes": entropy_lanes(rows[0]["y"])}
+        every = lambda found: {k: sum(x[k] for x in found) for k in found[0]}
+        found = {"transform_skip": transform_skip(luma, q), "block_copy": every([block_copy(x) for x in luma]), "motion_merge": motion_merge(luma), "deblock": deblock(luma, decoded), "entropy_lanes": every([entropy_lanes(r["y"]) for r in rows])}
         flat = [(rows[0]["clip_id"], e, m, int(v)) for e, d in found.items() for m, v in d.items()]
         return pa.table([pa.array(c) for c in zip(*flat, strict=True)], names=["clip_id", "experiment", "measure", "value"])
 

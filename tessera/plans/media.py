@@ -16,10 +16,9 @@ from tessera.operators import audio, lanes, media, wire
 from tessera.sources import container, y4m
 
 from .carriers import blocks, read
+from .clips import FRAMES, HEIGHT, WIDTH, clips
+from .clips import SQL as CLIPS
 
-#: Patterns of the generated clips, and their size.
-PATTERNS = ("cut", "pan", "ui", "gradient", "noise", "chroma")
-WIDTH, HEIGHT, FRAMES = 48, 32, 12
 FRAME_US = 41_666
 
 
@@ -100,41 +99,6 @@ def audio_roundtrip(spark, sf):
     return blocks(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, q long, packet_bytes long, snr_db double, exact boolean")
 
 
-def copies(spark: SparkSession, sf: str) -> int:
-    """Clips of each pattern: one for 500 rows of embeddings, so that media queries grow with the tables."""
-    return -(-read(spark, sf, "embeddings").count() // 500)
-
-
-def clips(spark: SparkSession, frames: int = FRAMES, copies: int = 1) -> DataFrame:
-    """Procedural test clips, one row a frame; each plane is one expression over its positions. Copies of a pattern differ in phase."""
-    t, h = F.col("frame_index") + F.col("copy") * 5 % 7, F.col("pattern")
-    size = lambda w, hh: F.sequence(F.lit(0), F.lit(w * hh - 1))
-
-    def plane(w: int, hh: int, chroma: int):
-        x, y = (lambda i: i % w), (lambda i: F.floor(i / w))
-        kinds = {
-            "cut": lambda i: F.when(F.col("frame_index") < frames // 2, x(i) * 4 + y(i)).otherwise(255 - x(i) * 3),
-            "pan": lambda i: (x(i) + 2 * t) * 5 + y(i) * 3,
-            "ui": lambda i: F.when((x(i) % 16 < 8) & (y(i) < 16), 220).otherwise(F.when(x(i) == t, 30).otherwise(90)),
-            "gradient": lambda i: x(i) * 255 / w + y(i) * 64 / hh,
-            "noise": lambda i: F.pmod(F.xxhash64(i.cast("long"), t.cast("long"), F.lit(chroma)), F.lit(256)),
-            "chroma": lambda i: F.lit(128) + chroma * (x(i) + t) * 3,
-        }
-
-        def value(i):
-            out = F.lit(0).cast("long")
-            for k, f in kinds.items():
-                out = F.when(h == k, f(i).cast("long")).otherwise(out)
-            return F.pmod(out, F.lit(256))
-
-        return F.unhex(F.array_join(F.transform(size(w, hh), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
-
-    at = F.floor(F.col("id") / frames)
-    base = spark.range(len(PATTERNS) * frames * copies).select(F.element_at(F.array(*map(F.lit, PATTERNS)), (at % len(PATTERNS) + 1).cast("int")).alias("pattern"), F.floor(at / len(PATTERNS)).alias("copy"), (F.col("id") % frames).alias("frame_index"))
-    base = base.withColumn("clip_id", F.when(F.col("copy") == 0, F.col("pattern")).otherwise(F.concat_ws("-", "pattern", "copy")))
-    return base.select("clip_id", "frame_index", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(24).alias("fps_n"), F.lit(1).alias("fps_d"), F.lit(0).cast("long").alias("meta0"), plane(WIDTH, HEIGHT, 0).alias("y"), plane(WIDTH // 2, HEIGHT // 2, 1).alias("u"), plane(WIDTH // 2, HEIGHT // 2, -1).alias("v"), F.lit(None).cast("string").alias("error_code"))
-
-
 def video_stream() -> wire.Stream:
     return wire.Stream(1, 1, 1, wire.TIMESCALE, WIDTH, HEIGHT, 24 << 16 | 1)
 
@@ -143,32 +107,32 @@ def audio_stream(channels: int = 2) -> wire.Stream:
     return wire.Stream(2, 2, 1, wire.TIMESCALE, 48_000, channels)
 
 
-def encoded_packets(spark: SparkSession, q: int = 48, preset: str = "fast", every: int = 6, copies: int = 1) -> tuple[DataFrame, list[wire.Stream]]:
-    """Packets of the generated clips and their streams: video by scene-cut epochs and a tone in stereo packets."""
-    frames = media.epochs_by_cut(clips(spark, copies=copies), every)
+def encoded_packets(spark: SparkSession, sf: str, q: int = 48, preset: str = "fast", every: int = 6) -> tuple[DataFrame, list[wire.Stream]]:
+    """Packets of the clips and their streams: video by scene-cut epochs, and stereo sound of the clips' own samples."""
+    c = clips(spark, sf)
+    frames = media.epochs_by_cut(c, every)
     packets = media.encode_video(frames, 1, FRAME_US, q, preset)
-    epochs = frames.groupBy(F.col("clip_id").alias("file_id"), "epoch_id").agg(F.min("frame_index").alias("first"), F.max("frame_index").alias("last"))
-    each = epochs.select("file_id", "epoch_id", F.explode(F.sequence("first", "last")).alias("i"))
-    sample = lambda k: F.pmod((F.col("i") * 960 + k) * 37, F.lit(1000)) * 40 - 20_000
-    pcm = each.select("file_id", "epoch_id", F.col("i").alias("seq"), (F.col("i") * 1999).alias("first_frame"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(479)), lambda k: F.array(sample(k), sample(k + 7)))).cast("array<short>").alias("samples"))
+    byte = lambda k: F.conv(F.hex(F.expr("substring(y, 1, 481)").substr(k + 1, F.lit(1))), 16, 10).cast("int")
+    sample = lambda k: byte(k) * 200 - 25_600
+    pcm = frames.select(F.col("clip_id").alias("file_id"), "epoch_id", F.col("frame_index").alias("seq"), (F.col("frame_index") * 1999).alias("first_frame"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(479)), lambda k: F.array(sample(k), sample(k + 1)))).cast("array<short>").alias("samples"), "y")
     return packets.unionByName(media.encode_audio(pcm, 2, 48_000, 2, 1, True)), [video_stream(), audio_stream()]
 
 
-def encoded_clips(spark: SparkSession, copies: int = 1) -> DataFrame:
-    """Whole container files of the generated clips, as values."""
-    return media.mux(*encoded_packets(spark, copies=copies))
+def encoded_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole container files of the clips, as values."""
+    return media.mux(*encoded_packets(spark, sf))
 
 
-def saved_clips(spark: SparkSession, sf: str) -> str:
-    """A shared folder of container files of the generated clips, written by the sink epoch by epoch."""
+def saved_clips(spark: SparkSession, sf: str, q: int = 48) -> str:
+    """A shared folder of container files of the clips, written by the sink epoch by epoch."""
     root = shared(spark)
-    container.save(media.mux_epochs(*encoded_packets(spark, copies=copies(spark, sf))), root)
+    container.save(media.mux_epochs(*encoded_packets(spark, sf, q)), root)
     return root
 
 
 def video_roundtrip(spark, sf):
     """Clips encoded and decoded: packet bytes and PSNR of every clip and epoch."""
-    frames = media.epochs_by_cut(clips(spark, copies=copies(spark, sf)), 6)
+    frames = media.epochs_by_cut(clips(spark, sf), 6)
     packets = media.encode_video(frames, 1, FRAME_US, 48, "balanced")
     routed = packets.select("file_id", "seq", "epoch_id", "kind", "stream_id", "pts", "payload", F.lit(WIDTH).alias("param0"), F.lit(HEIGHT).alias("param1"), "error_code")
     out = media.decode_video(routed).withColumnRenamed("file_id", "clip_id")
@@ -198,6 +162,43 @@ def container_frames(spark, sf):
     return media.frame_list(container.load(spark, root)).join(container.load(spark, root, "files").select("file_id", "stream_count"), "file_id")
 
 
+def media_counts(spark, sf):
+    """Epochs, frames and times of every file, from its index and its packets."""
+    root = saved_clips(spark, sf)
+    name = F.regexp_replace("file_id", r"\.bin$", "").alias("clip_id")
+    epochs = container.load(spark, root, "epochs").groupBy(name).agg(F.count("*").alias("epochs"))
+    frames = media.frame_list(container.load(spark, root)).groupBy(name).agg(F.count("*").alias("frames"), F.min("pts").cast("long").alias("first_pts"), F.max("pts").cast("long").alias("last_pts"), F.count_if(F.col("q") != 48).alias("odd"))
+    return epochs.join(frames, "clip_id")
+
+
+MEDIA_COUNTS = f"""WITH {CLIPS},
+d AS (SELECT a.clip_id, a.t, sum(abs(a.y - b.y)) // count(*) AS d FROM luma_ a JOIN luma_ b ON a.clip_id = b.clip_id AND a.i = b.i AND a.t = b.t + 1 GROUP BY ALL)
+SELECT clip_id, 1 + count(*) FILTER (t % 6 = 0 OR d > 48) AS epochs, 1 + count(*) AS frames, 0 AS first_pts, {(FRAMES - 1) * FRAME_US} AS last_pts, 0 AS odd FROM d GROUP BY clip_id"""
+
+
+def lossless_frames(spark, sf):
+    """Clips coded without loss, written, scanned by splits and decoded by plane: sums of every frame's planes, plain and by place."""
+    root = saved_clips(spark, sf, 1)
+    frames, _ = media.decode_media(container.load(spark, root), container.load(spark, root, "streams"), by_plane=True)
+
+    def run(batches):
+        for b in batches:
+            sums = []
+            for c in "yuv":
+                planes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in b.column(c).to_pylist()]
+                sums += [[int(p.sum()) for p in planes], [int((p * np.arange(1, len(p) + 1)).sum()) for p in planes]]
+            yield pa.RecordBatch.from_arrays([b.column("clip_id"), b.column("frame"), *(pa.array(s, pa.int64()) for s in sums)], names=["clip_id", "frame", *(f"{k}_{c}" for c in "yuv" for k in ("sum", "place"))])
+
+    slim = frames.where("error_code IS NULL").select(F.regexp_replace("file_id", r"\.bin$", "").alias("clip_id"), F.col("frame_id").cast("long").alias("frame"), "y", "u", "v")
+    return slim.mapInArrow(run, "clip_id string, frame long, " + ", ".join(f"{k}_{c} long" for c in "yuv" for k in ("sum", "place")))
+
+
+LOSSLESS_FRAMES = f"""WITH {CLIPS},
+a AS (SELECT clip_id, t, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(y * (i + 1)) AS BIGINT) AS place_y FROM luma_ GROUP BY ALL),
+b AS (SELECT clip_id, t, CAST(sum(u) AS BIGINT) AS sum_u, CAST(sum(u * (i + 1)) AS BIGINT) AS place_u, CAST(sum(v) AS BIGINT) AS sum_v, CAST(sum(v * (i + 1)) AS BIGINT) AS place_v FROM chroma_ GROUP BY ALL)
+SELECT clip_id, t AS frame, sum_y, place_y, sum_u, place_u, sum_v, place_v FROM a JOIN b USING (clip_id, t)"""
+
+
 def seek_decode(spark, sf):
     """Frames and samples from the epoch of a third of a second on: only that byte range of each file is read."""
     root = saved_clips(spark, sf)
@@ -207,7 +208,7 @@ def seek_decode(spark, sf):
 
 
 def inspect_files(spark, sf):
-    return media.inspect(encoded_clips(spark, copies(spark, sf)))
+    return media.inspect(encoded_clips(spark, sf))
 
 
 def damaged(spark: SparkSession, folder: str, to: str) -> None:
@@ -249,7 +250,7 @@ def repair_files(spark, sf):
 
 def y4m_roundtrip(spark, sf):
     """Generated clips as Y4M files and back: frames and whether each is the same."""
-    c = clips(spark, copies=copies(spark, sf))
+    c = clips(spark, sf)
     root = shared(spark)
     y4m.save(c, root)
     back = y4m.load(spark, root)
@@ -262,7 +263,7 @@ def _fragments(spark: SparkSession, sf: str, root: str, size: int = 700) -> Data
     from tessera.streaming.packets import FRAGMENTS
 
     n = F.ceil(F.octet_length("content") / size).cast("int")
-    parts = encoded_clips(spark, copies(spark, sf)).select("file_id", "content", n.alias("n")).select("file_id", "content", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    parts = encoded_clips(spark, sf).select("file_id", "content", n.alias("n")).select("file_id", "content", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
     frag = parts.select("file_id", F.lit(0).cast("long").alias("generation"), F.col("part").cast("long").alias("part"), F.expr(f"substring(content, part * {size} + 1, {size})").alias("data"), (F.col("part") == F.col("n") - 1).alias("last"))
     frag.repartition(3).write.parquet(f"{root}/fragments")
     return spark.readStream.schema(FRAGMENTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/fragments")
@@ -302,12 +303,12 @@ def format_experiments(spark, sf):
     """Transform skip, block copy, motion merge, deblocking and entropy lanes on the generated clips."""
     from tessera.operators.research import experiments
 
-    return experiments(clips(spark, copies=copies(spark, sf)))
+    return experiments(clips(spark, sf))
 
 
 def rate_quality(spark, sf):
     """Bytes of each clip by quantiser."""
-    frames = media.epochs_by_cut(clips(spark, copies=copies(spark, sf)), 6)
+    frames = media.epochs_by_cut(clips(spark, sf), 6)
     out = None
     for q in (1, 48, 192):
         size = media.encode_video(frames, 1, FRAME_US, q, "fast").groupBy(F.col("file_id").alias("clip_id")).agg(F.sum(F.octet_length("payload")).alias("bytes")).withColumn("q", F.lit(q))
@@ -317,7 +318,7 @@ def rate_quality(spark, sf):
 
 def encode_and_decode(spark, sf):
     """A clip with sound through encode_av, scan and decode: frames, samples, and packets of the audio dropped at the end."""
-    c = clips(spark, copies=copies(spark, sf))
+    c = clips(spark, sf)
     n = F.sequence(F.lit(0), F.lit(34))
     pcm = c.select("clip_id").distinct().select("clip_id", F.explode(n).alias("k")).select("clip_id", F.col("k").cast("long").alias("seq"), (F.col("k") * 960).cast("long").alias("first_frame"), F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: (F.pmod(i * 31 + F.col("k"), F.lit(2000)) - 1000).cast("short")).alias("samples"))
     files = media.encode_av(c, pcm, 48_000, 1, (24, 1), 6, 1, "fast")
@@ -329,7 +330,7 @@ def encode_and_decode(spark, sf):
 
 def file_violations(spark, sf):
     """Broken rules of good files, of a truncated copy and of one with a flipped byte."""
-    good = encoded_clips(spark, copies(spark, sf))
+    good = encoded_clips(spark, sf)
     short = good.select(F.concat("file_id", F.lit("-short")).alias("file_id"), F.expr("substring(content, 1, octet_length(content) - 9)").alias("content"))
     flip = good.select(F.concat("file_id", F.lit("-flip")).alias("file_id"), F.concat(F.expr("substring(content, 1, octet_length(content) - 9)"), F.lit(b"x"), F.expr("substring(content, octet_length(content) - 7)")).alias("content"))
     files = good.select("file_id", "content").unionByName(short).unionByName(flip)
@@ -338,4 +339,4 @@ def file_violations(spark, sf):
 
 
 _ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, seek_decode, inspect_files, repair_files, y4m_roundtrip, stream_parse, stream_decode, format_experiments, rate_quality, encode_and_decode, file_violations)
-QUERIES = {f.__name__: (f, None) for f in _ALL} | {"crc32c_texts": (crc32c_texts, CRC32C_TEXTS)}
+QUERIES = {f.__name__: (f, None) for f in _ALL} | {"crc32c_texts": (crc32c_texts, CRC32C_TEXTS), "media_counts": (media_counts, MEDIA_COUNTS), "lossless_frames": (lossless_frames, LOSSLESS_FRAMES)}

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import media
 from tessera.plans import media as plans
+from tests.conftest import SF
 
 
 @pytest.fixture(scope="module")
 def packets(spark):
     """Packets of the clips, and copies of them with payloads broken at every layer, a wrong size, repeated ids and missing references."""
-    found, streams = plans.encoded_packets(spark)
+    found, streams = plans.encoded_packets(spark, SF)
     rows, rnd = [tuple(r) for r in found.collect()], random.Random(4)
     columns = found.columns
     f, k, p = columns.index("file_id"), columns.index("kind"), columns.index("payload")

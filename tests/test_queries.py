@@ -100,7 +100,7 @@ def test_seek_and_stream_decode(spark):
     from tessera.operators import media
     from tessera.plans import media as plans
 
-    files = plans.encoded_clips(spark)
+    files = plans.encoded_clips(spark, SF)
     r = media.route(media.scan(files), media.streams_of(files))
     frames = media.decode_video(r).select("file_id", "epoch_id", F.lit("video_frame").alias("kind"), F.col("pts").cast("string").alias("pts"), "y", "u", "v", F.lit(None).cast("array<int>").alias("samples"))
     sound = media.decode_audio(r).select("file_id", "epoch_id", F.lit("audio_frame").alias("kind"), F.col("pts").cast("string").alias("pts"), *(F.lit(None).cast("binary").alias(c) for c in "yuv"), F.col("samples").cast("array<int>").alias("samples"))

@@ -10,6 +10,7 @@ from tessera.sources import container, y4m
 from tessera.operators import wire
 from tessera.operators.video import Frame
 from tessera.streaming.packets import FRAGMENTS, OUT, PROVIDER, RANGES, parse_ranges, parse_stream
+from tests.conftest import SF
 from tests.test_codecs import small_file
 
 
@@ -119,7 +120,7 @@ def test_magic_is_an_option(spark, tmp_path):
 
 def test_sink_writes_epochs(spark, tmp_path):
     """The sink's files are those that are built as values, byte for byte; overwriting replaces what was there."""
-    packets, streams = plans.encoded_packets(spark)
+    packets, streams = plans.encoded_packets(spark, SF)
     packets = spark.createDataFrame(packets.collect(), packets.schema)
     container.save(media.mux_epochs(packets, streams), str(tmp_path))
     want = {r.file_id: bytes(r.content) for r in media.mux(packets, streams).collect()}
@@ -142,7 +143,7 @@ def test_time_ranges(spark, folder):
 
 def test_play_from_a_time(spark, folder, tmp_path):
     """Decoding from a seek gives the rest of the whole decode."""
-    container.save(media.mux_epochs(*plans.encoded_packets(spark)), str(tmp_path))
+    container.save(media.mux_epochs(*plans.encoded_packets(spark, SF)), str(tmp_path))
     key = lambda r: (r.file_id, r.epoch_id, r.pts, bytes(r.y))
     whole = sorted(map(key, container.play(spark, str(tmp_path), 0)[0].collect()))
     some = sorted(map(key, container.play(spark, str(tmp_path), 300_000)[0].collect()))
@@ -175,7 +176,7 @@ def test_audio_only_files(spark):
 
 
 def test_y4m_files(spark, tmp_path):
-    for r in y4m.files(plans.clips(spark, 3)).collect():
+    for r in y4m.files(plans.clips(spark, SF, 3)).collect():
         (tmp_path / f"{r.file_id}.y4m").write_bytes(bytes(r.content))
     (tmp_path / "bad.y4m").write_bytes(b"nothing")
     got = y4m.read(spark, str(tmp_path)).collect()
@@ -184,7 +185,7 @@ def test_y4m_files(spark, tmp_path):
 
 def test_y4m_source_and_sink(spark, tmp_path):
     """Runs of frames are read apart; files that the sink writes are those of the value form; bad ones are rows."""
-    c = plans.clips(spark, 5)
+    c = plans.clips(spark, SF, 5)
     y4m.save(c, str(tmp_path))
     assert {p.name.removesuffix(".y4m"): p.read_bytes() for p in tmp_path.glob("*.y4m")} == {r.file_id: bytes(r.content) for r in y4m.files(c).collect()}
     (tmp_path / "bad.y4m").write_bytes(b"nothing")
@@ -242,7 +243,7 @@ def test_encoding_in_a_stream(spark, tmp_path):
 
     from tessera.streaming.encode import FRAMES_IN, PACKETS_OUT, encode_stream
 
-    clips = spark.createDataFrame(plans.clips(spark, 8).where("clip_id IN ('pan', 'cut')").drop("error_code").collect())
+    clips = spark.createDataFrame(plans.clips(spark, SF, 8).where("clip_id IN ('pan', 'cut')").drop("error_code").collect())
     want = {(r.file_id, r.epoch_id, r.seq, bytes(r.payload)) for r in media.encode_video(media.epochs_by_cut(clips, 3), 1, plans.FRAME_US, 48, "fast").collect()}
     rows = [(r.clip_id, r.frame_index, r.width, r.height, r.y, r.u, r.v) for r in clips.collect()]
     random.Random(3).shuffle(rows)
