@@ -24,7 +24,7 @@ from .store import Workspace
 
 WINDOW, DIVISOR, SPAN = 2, 4, 256
 #: Bytes up to which a side is broadcast; beyond it the join is by shuffle.
-BROADCAST = 64 << 20
+BROADCAST = 16 << 20
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
