@@ -393,7 +393,7 @@ _CODE = {v: k for k, v in wire.PACKET_KINDS.items()}
 EPOCH_ROWS = "file_id string, epoch_id long, pts decimal(20,0), duration long, data binary, streams string, error_code string"
 
 
-def _described(streams: list[wire.Stream], rows: list[dict]) -> list[wire.Stream]:
+def described(streams: list[wire.Stream], rows: list[dict]) -> list[wire.Stream]:
     """Descriptors of a file: video without a size takes that of its packets."""
     out = []
     for s in streams:
@@ -405,7 +405,7 @@ def _described(streams: list[wire.Stream], rows: list[dict]) -> list[wire.Stream
     return out
 
 
-def _epoch(epoch: int, rows: list[dict]) -> tuple[int, int, bytes]:
+def epoch_bytes(epoch: int, rows: list[dict]) -> tuple[int, int, bytes]:
     """(pts, duration, packets) of an epoch's rows in interleave order."""
     rows.sort(key=lambda r: (int(r["pts"]), _RANK[r["kind"]], r["seq"]))
     first = int(rows[0]["pts"])
@@ -435,8 +435,8 @@ def mux_epochs(packets: DataFrame, streams: list[wire.Stream]) -> DataFrame:
         bad = next((r["error_code"] for r in rows if r["error_code"]), None)
         if bad:
             return pa.Table.from_batches([table([(*head, None, None, None, None, bad)], schema)])
-        first, length, data = _epoch(head[1], rows)
-        return pa.Table.from_batches([table([(*head, u64(first), length, data, streams_to_json(_described(streams, rows)), None)], schema)])
+        first, length, data = epoch_bytes(head[1], rows)
+        return pa.Table.from_batches([table([(*head, u64(first), length, data, streams_to_json(described(streams, rows)), None)], schema)])
 
     return packets.groupBy("file_id", "epoch_id").applyInArrow(run, EPOCH_ROWS)
 

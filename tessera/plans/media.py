@@ -176,10 +176,8 @@ d AS (SELECT a.clip_id, a.t, sum(abs(a.y - b.y)) // count(*) AS d FROM luma_ a J
 SELECT clip_id, 1 + count(*) FILTER (t % 6 = 0 OR d > 48) AS epochs, 1 + count(*) AS frames, 0 AS first_pts, {(FRAMES - 1) * FRAME_US} AS last_pts, 0 AS odd FROM d GROUP BY clip_id"""
 
 
-def lossless_frames(spark, sf):
-    """Clips coded without loss, written, scanned by splits and decoded by plane: sums of every frame's planes, plain and by place."""
-    root = saved_clips(spark, sf, 1)
-    frames, _ = media.decode_media(container.load(spark, root), container.load(spark, root, "streams"), by_plane=True)
+def _sums(frames: DataFrame) -> DataFrame:
+    """Sums of the planes of (clip_id, frame, y, u, v), plain and by place."""
 
     def run(batches):
         for b in batches:
@@ -189,8 +187,16 @@ def lossless_frames(spark, sf):
                 sums += [[int(p.sum()) for p in planes], [int((p * np.arange(1, len(p) + 1)).sum()) for p in planes]]
             yield pa.RecordBatch.from_arrays([b.column("clip_id"), b.column("frame"), *(pa.array(s, pa.int64()) for s in sums)], names=["clip_id", "frame", *(f"{k}_{c}" for c in "yuv" for k in ("sum", "place"))])
 
+    return frames.mapInArrow(run, "clip_id string, frame long, " + ", ".join(f"{k}_{c} long" for c in "yuv" for k in ("sum", "place")))
+
+
+def lossless_frames(spark, sf):
+    """Clips coded without loss, written, scanned by splits and decoded by plane: sums of every frame's planes, plain and by place."""
+    root = saved_clips(spark, sf, 1)
+    frames, _ = media.decode_media(container.load(spark, root), container.load(spark, root, "streams"), by_plane=True)
+
     slim = frames.where("error_code IS NULL").select(F.regexp_replace("file_id", r"\.bin$", "").alias("clip_id"), F.col("frame_id").cast("long").alias("frame"), "y", "u", "v")
-    return slim.mapInArrow(run, "clip_id string, frame long, " + ", ".join(f"{k}_{c} long" for c in "yuv" for k in ("sum", "place")))
+    return _sums(slim)
 
 
 LOSSLESS_FRAMES = f"""WITH {CLIPS},
@@ -199,6 +205,22 @@ b AS (SELECT clip_id, t, CAST(sum(u) AS BIGINT) AS sum_u, CAST(sum(u * (i + 1))
 SELECT clip_id, t AS frame, sum_y, place_y, sum_u, place_u, sum_v, place_v FROM a JOIN b USING (clip_id, t)"""
 
 
+def stream_lossless(spark, sf):
+    """Frames in, in three micro-batches, to containers out within one stream, and from these within another to frames again: sums of every frame's planes."""
+    from tessera.streaming.encode import FRAMES_IN, encode_epochs
+    from tessera.streaming.packets import DECODED, PROVIDER, decode_stream
+
+    root = shared(spark)
+    c = clips(spark, sf).select("clip_id", "frame_index", "width", "height", "y", "u", "v", (F.col("frame_index") == FRAMES - 1).alias("last"))
+    c.repartition(3, "frame_index").write.parquet(f"{root}/frames")
+    frames = spark.readStream.schema(FRAMES_IN + ", last boolean").option("maxFilesPerTrigger", 1).parquet(f"{root}/frames")
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", PROVIDER):
+        epochs = encode_epochs(frames, 1, FRAME_US, 1, "fast", 6, True)
+        container.sink(epochs, f"{root}/containers", f"{root}/encode").trigger(availableNow=True).start().awaitTermination()
+    got = _streamed(spark, root, lambda: decode_stream(container.stream(spark, f"{root}/containers", fragment_bytes="4096")), DECODED)
+    return _sums(got.where("kind = 'video_frame' AND error_code IS NULL").select(F.regexp_replace("file_id", r"\.\d{8}\.bin$", "").alias("clip_id"), F.col("frame_id").cast("long").alias("frame"), "y", "u", "v"))
+
+
 def seek_decode(spark, sf):
     """Frames and samples from the epoch of a third of a second on: only that byte range of each file is read."""
     root = saved_clips(spark, sf)
@@ -339,4 +361,4 @@ def file_violations(spark, sf):
 
 
 _ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, seek_decode, inspect_files, repair_files, y4m_roundtrip, stream_parse, stream_decode, format_experiments, rate_quality, encode_and_decode, file_violations)
-QUERIES = {f.__name__: (f, None) for f in _ALL} | {"crc32c_texts": (crc32c_texts, CRC32C_TEXTS), "media_counts": (media_counts, MEDIA_COUNTS), "lossless_frames": (lossless_frames, LOSSLESS_FRAMES)}
+QUERIES = {f.__name__: (f, None) for f in _ALL} | {"crc32c_texts": (crc32c_texts, CRC32C_TEXTS), "media_counts": (media_counts, MEDIA_COUNTS), "lossless_frames": (lossless_frames, LOSSLESS_FRAMES), "stream_lossless": (stream_lossless, LOSSLESS_FRAMES)}

@@ -8,6 +8,11 @@ begins at or before the one, else its first, up to the last that begins before t
 prune epochs as well (``load`` turns that on). With ``index``, a Parquet table that ``save_index`` has written in executor tasks, a pruned
 read plans from that table's rows that pass, packed into splits by their bytes, so files and epochs that are not wanted cost nothing.
 
+As a stream, table fragments: the bytes of files that appear below the path, in pieces of ``fragment_bytes``, for the parsers of
+``tessera.streaming``. Its offset is the bytes read of each file; of a file that still grows whole pieces are read, and the last one when the
+length that its own index gives is there. The streaming sink gives each batch's epochs of a file a container of its own, named by file and batch, so a
+batch that runs again replaces its own files and no others.
+
 The sink takes rows of ``media.EPOCH_ROWS``, those of a file side by side in order (``save`` deals them so). Epochs are
 appended to a hidden file as they come, then copied behind the index in pieces: no file is ever held as one value.
 """
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, DataSourceWriter, EqualTo, In, InputPartition, LessThan, LessThanOrEqual
 
 from tessera.operators import media, wire
 from tessera.operators.errors import Rejected
@@ -28,11 +33,12 @@ from tessera.operators.errors import Rejected
 from .files import Written, file_system, hidden, listed, publish, withdraw
 
 #: Bytes of a split and at least, files of a split whose indexes alone are read, and bytes that are read or copied at once.
-SPLIT, LEAST_SPLIT, INDEXES, COPY = 64 << 20, 64 << 10, 64, 8 << 20
+SPLIT, LEAST_SPLIT, INDEXES, COPY, FRAGMENT = 64 << 20, 64 << 10, 64, 8 << 20, 1 << 20
 FILES = "file_id string, bytes long, flags long, stream_count int, front_len long, error_code string"
 #: Offsets, lengths and times beyond 63 bits are the largest long here: they lie outside every file either way.
 INDEX = "file string, file_bytes long, place long, epoch_id long, pts long, byte_offset long, byte_len long, error_code string"
-SCHEMAS = {"files": FILES, "streams": media.STREAMS, "epochs": media.EPOCHS, "index": INDEX, "packets": media.PACKETS, "packets_meta": media.PACKETS.replace("payload binary", "payload_len long")}
+FRAGMENTS = "file_id string, generation long, part long, data binary, last boolean"
+SCHEMAS = {"fragments": FRAGMENTS, "files": FILES, "streams": media.STREAMS, "epochs": media.EPOCHS, "index": INDEX, "packets": media.PACKETS, "packets_meta": media.PACKETS.replace("payload binary", "payload_len long")}
 
 
 def read_prefix(fs, name: str, magic: bytes = wire.FILE_MAGIC) -> wire.Prefix:
@@ -289,6 +295,78 @@ class ContainerWriter(DataSourceWriter):
         withdraw(self.path, messages)
 
 
+@dataclass
+class Bytes(InputPartition):
+    """A piece of a file."""
+
+    name: str
+    part: int
+    lo: int
+    hi: int
+    last: bool
+
+
+class FragmentReader(DataSourceStreamReader):
+    """Offsets are {file: bytes read}; a file is read once, however it grew."""
+
+    def __init__(self, options: dict):
+        self.path, self.magic, self.size = options["path"], wire.file_magic(options.get("magic")), int(options.get("fragment_bytes", FRAGMENT))
+        self.lengths: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _length(self, fs, name: str, size: int) -> int:
+        """How long a file is to be by its own index; what is there, where that cannot be read."""
+        if name not in self.lengths:
+            try:
+                self.lengths[name] = max([(p := read_prefix(fs, name, self.magic)).length, *(e.offset + e.length for e in p.epochs)])
+            except Rejected as e:
+                if e.code == "UnexpectedEof":
+                    return size + 1  # the index itself is still to come
+                self.lengths[name] = size
+        return self.lengths[name]
+
+    def latestOffset(self) -> dict:
+        fs, files = listed(self.path)
+        return {name: size if size >= self._length(fs, name, size) else size // self.size * self.size for name, size in files}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        fs, _ = file_system(self.path)
+        out = []
+        for name, to in sorted(end.items()):
+            done = to > start.get(name, 0) and to >= self._length(fs, name, to)
+            for lo in range(start.get(name, 0), to, self.size):
+                hi = min(lo + self.size, to)
+                out.append(Bytes(name, lo // self.size, lo, hi, done and hi == to))
+        return out
+
+    def read(self, part: Bytes) -> Iterator[tuple]:
+        fs, _ = file_system(self.path)
+        with fs.open_input_file(part.name) as f:
+            f.seek(part.lo)
+            yield posixpath.basename(part.name), 0, part.part, f.read(part.hi - part.lo), part.last
+
+
+class SegmentWriter(DataSourceStreamWriter):
+    """Epochs of a micro-batch: hidden files in the tasks, and on commit a container for each file and batch."""
+
+    def __init__(self, options: dict):
+        self.path, self.writer = options["path"], ContainerWriter(options, False)
+
+    def write(self, iterator) -> Written:
+        return self.writer.write(iterator)
+
+    def _named(self, messages, batch: int) -> list[Written]:
+        return [Written([(temp, f"{name.removesuffix('.bin')}.{batch:08d}.bin") for temp, name in m.files]) for m in messages if m]
+
+    def commit(self, messages, batchId: int) -> None:
+        publish(self.path, self._named(messages, batchId))
+
+    def abort(self, messages, batchId: int) -> None:
+        withdraw(self.path, [m for m in messages if m])
+
+
 class ContainerSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -303,6 +381,12 @@ class ContainerSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return ContainerWriter(dict(self.options), overwrite)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FragmentReader(dict(self.options))
+
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return SegmentWriter(dict(self.options))
+
 
 #: Spark's setting without which a reader that takes filters is refused.
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -318,6 +402,18 @@ def load(spark, path: str, table: str = "packets", **options):
     return spark.read.format("tessera_container").option("table", table).options(**options).load(path)
 
 
+def stream(spark, path: str, **options) -> DataFrame:
+    """The bytes of the containers below a path as a stream of fragments."""
+    spark.dataSource.register(ContainerSource)
+    return spark.readStream.format("tessera_container").option("table", "fragments").options(**options).load(path)
+
+
+def sink(epochs: DataFrame, path: str, checkpoint: str, **options):
+    """A stream writer of EPOCH_ROWS to containers below a path, one for each file and batch; ``start`` it."""
+    epochs.sparkSession.dataSource.register(ContainerSource)
+    return epochs.writeStream.format("tessera_container").option("path", path).option("checkpointLocation", checkpoint).options(**options)
+
+
 def save_index(spark, path: str, to: str, **options) -> None:
     """The epochs of all containers below a path as a Parquet table (INDEX) for the option ``index``: read in executor tasks, one row an epoch."""
     load(spark, path, "index", **options).sortWithinPartitions("file", "place").write.mode("overwrite").parquet(to)

@@ -1,7 +1,8 @@
 """Incremental encoding: frames of clips in, in any order and split into micro-batches, video packets out as soon as their turn comes.
 
 State is kept for each clip: the encoder with the frames that it retains, the epoch and the frame before (for scene cuts), and, in a
-map of their own, frames that came early. The packets are those that ``media.encode_video`` gives for the whole clip, so a
+map of their own, frames that came early. ``encode_epochs`` gives whole epochs instead, as the container sink takes them: the
+packets of an epoch wait in state until the next begins or the clip's last frame has come. The packets are those that ``media.encode_video`` gives for the whole clip, so a
 batch of them can be muxed at any time into the epochs that are complete.
 """
 
@@ -9,12 +10,13 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tessera.operators import video, wire
+from tessera.operators import media, video, wire
 from tessera.operators.errors import Rejected
 
 from .packets import PROVIDER, Parts
@@ -56,6 +58,7 @@ class EncodeProcessor(StatefulProcessor):
 
         for r in pd.concat(list(rows)).sort_values("frame_index").itertuples():
             i = int(r.frame_index)
+            self.note(r)
             if failed or i < session.next or i in waiting:
                 continue
             one = (int(r.width), int(r.height), bytes(r.y), bytes(r.u), bytes(r.v))
@@ -79,20 +82,74 @@ class EncodeProcessor(StatefulProcessor):
                 failed, held = True, 0
                 self.parts.clear()
         self.state.update((pickle.dumps((session, held, failed)),))
+        yield self.result(key[0], session, out)
+
+    def note(self, row) -> None:
+        """A frame has come."""
+
+    def result(self, clip: str, session: EncodeSession, out: list[tuple]) -> pd.DataFrame:
         names = [c.split(" ")[0] for c in PACKETS_OUT.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("epoch_id", "seq", "duration")})
+        return pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("epoch_id", "seq", "duration")})
 
     def close(self) -> None:
         pass
 
 
+class EpochProcessor(EncodeProcessor):
+    """Whole epochs of a clip; its frames carry ``last``, true on the one with the largest index."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = Parts(handle.getMapState("open", "seq long", "epoch long, payload binary"))
+        self.end = handle.getValueState("end", "frame_index long")
+
+    def note(self, row) -> None:
+        if bool(row.last):
+            self.end.update((int(row.frame_index),))
+
+    def result(self, clip: str, session: EncodeSession, out: list[tuple]) -> pd.DataFrame:
+        ended = self.end.exists() and session.next > self.end.get()[0]
+        epochs: dict[int, list[dict]] = {}
+        bad = [(clip, r[1], None, None, None, None, r[8]) for r in out if r[8]]
+        told = {r[4]: (r[1], r[7]) for r in out if not r[8]}
+        closed = {e for e, _ in told.values()} | {self.open[i][0] for i in self.open}
+        closed = {e for e in closed if e < session.epoch or ended}
+        for i in sorted(i for i in self.open if self.open[i][0] in closed):
+            epoch, payload = self.open[i]
+            epochs.setdefault(epoch, []).append(self._packet(i, bytes(payload)))
+            del self.open[i]
+        for i, (epoch, payload) in sorted(told.items()):
+            if epoch in closed:
+                epochs.setdefault(epoch, []).append(self._packet(i, payload))
+            else:
+                self.open[i] = (epoch, payload)
+        rows = []
+        for epoch, packets in sorted(epochs.items()):
+            first, length, data = media.epoch_bytes(epoch, packets)
+            streams = media.described([wire.Stream(self.stream_id, 1, 1, wire.TIMESCALE, 0, 0)], packets)
+            rows.append((clip, epoch, Decimal(first), length, data, media.streams_to_json(streams), None))
+        return pd.DataFrame(rows + bad, columns=[c.split(" ")[0] for c in media.EPOCH_ROWS.split(", ")]).astype({c: "Int64" for c in ("epoch_id", "duration")})
+
+    def _packet(self, i: int, payload: bytes) -> dict:
+        return {"kind": "video_frame", "stream_id": self.stream_id, "seq": i, "pts": i * self.frame_us, "duration": self.frame_us, "payload": payload}
+
+
 def encode_stream(frames: DataFrame, stream_id: int, frame_us: int, q: int = 96, preset: str = "balanced", every: int = 48, cuts: bool = False, max_buffer: int = wire.MAX_BUFFER) -> DataFrame:
     """A streaming frame of FRAMES_IN as video packets; needs the RocksDB state store provider in the session.
 
     Frames that come early wait, at most ``max_buffer`` bytes of a clip; beyond that, or at a frame that cannot be encoded, the
     clip ends with an error_code. A repeated frame is ignored.
     """
+    processor = EncodeProcessor(stream_id, frame_us, q, preset, every, cuts, max_buffer)
+    return _keyed(frames, processor, PACKETS_OUT)
+
+
+def encode_epochs(frames: DataFrame, stream_id: int, frame_us: int, q: int = 96, preset: str = "balanced", every: int = 48, cuts: bool = False, max_buffer: int = wire.MAX_BUFFER) -> DataFrame:
+    """A streaming frame of FRAMES_IN and ``last`` (true on a clip's last frame) as EPOCH_ROWS, each as soon as its epoch is complete; for ``container.sink``."""
+    return _keyed(frames, EpochProcessor(stream_id, frame_us, q, preset, every, cuts, max_buffer), media.EPOCH_ROWS)
+
+
+def _keyed(frames: DataFrame, processor: EncodeProcessor, schema: str) -> DataFrame:
     if frames.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != PROVIDER:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
-    processor = EncodeProcessor(stream_id, frame_us, q, preset, every, cuts, max_buffer)
-    return frames.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=PACKETS_OUT, outputMode="Append", timeMode="None")
+    return frames.groupBy("clip_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
