@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.operators.ordered import running
 
 from .carriers import PACKETS, STREAMS, packets, read, streams
 
@@ -26,8 +27,9 @@ VERIFY_COUNTS = f"WITH {PACKETS} SELECT file_id, kind, stream_id, count(*) AS n,
 
 def packet_interleave(spark, sf):
     """Place of each packet of a file: epoch starts first, then pts, then video, audio, metadata, then source order."""
-    w = Window.partitionBy("file_id").orderBy((F.col("kind") != 1).cast("int"), "pts", "kind", "seq")
-    return packets(spark, sf).select("file_id", "seq", F.row_number().over(w).cast("bigint").alias("place"))
+    first = F.when(F.col("kind") == 1, F.lit(-(1 << 62))).otherwise(F.col("pts"))  # starts before all times
+    out = running(packets(spark, sf), "file_id", [first, F.col("pts"), F.col("kind"), F.col("seq")], {"place": F.lit(1)})
+    return out.select("file_id", "seq", "place")
 
 
 PACKET_INTERLEAVE = f"WITH {PACKETS} SELECT file_id, seq, row_number() OVER (PARTITION BY file_id ORDER BY kind <> 1, pts, kind, seq) AS place FROM packets"
@@ -97,10 +99,10 @@ _SIZES = """sizes AS (SELECT o_custkey AS file_id, o_orderkey AS epoch_id, CAST(
 
 def front_offsets(spark, sf):
     """Byte offset of each epoch: what precedes it, after a prefix whose length the number of epochs decides."""
-    w = Window.partitionBy("file_id")
-    run = F.sum("length").over(w.orderBy("epoch_id").rowsBetween(Window.unboundedPreceding, 0))
-    prefix = 32 + 12 + 24 + 32 * F.count("*").over(w) + 4
-    return _epoch_sizes(spark, sf).select("file_id", "epoch_id", "length", (prefix + run - F.col("length")).alias("byte_offset"))
+    sizes = _epoch_sizes(spark, sf)
+    counts = sizes.groupBy("file_id").agg(F.count("*").alias("epochs"))
+    out = running(sizes, "file_id", [F.col("epoch_id")], {"run": F.col("length")}).join(counts, "file_id")
+    return out.select("file_id", "epoch_id", "length", (32 + 12 + 24 + 32 * F.col("epochs") + 4 + F.col("run") - F.col("length")).alias("byte_offset"))
 
 
 FRONT_OFFSETS = f"""WITH {_SIZES} SELECT file_id, epoch_id, length, CAST(72 + 32 * count(*) OVER (PARTITION BY file_id) + sum(length) OVER (PARTITION BY file_id ORDER BY epoch_id ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS byte_offset FROM sizes"""
@@ -117,10 +119,11 @@ PACKET_OFFSETS = "SELECT l_orderkey, l_linenumber, CAST(sum(l_partkey % 500 + 32
 
 def seek_epoch(spark, sf):
     """For each metadata packet the last epoch start at or before it in its file, else the file's first: one ordered pass, no range join."""
-    w = Window.partitionBy("file_id")
-    before = F.last(F.when(F.col("kind") == 1, F.col("seq")), True).over(w.orderBy("pts", (F.col("kind") != 1).cast("int"), "seq").rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min(F.when(F.col("kind") == 1, F.struct("pts", "seq"))).over(w)["seq"]
-    return packets(spark, sf).select("seq", "kind", F.coalesce(before, first).alias("epoch_seq")).where("kind = 4").select("seq", "epoch_seq")
+    p = packets(spark, sf).where("kind IN (1, 4)").select("file_id", "seq", "kind", "pts")
+    start = F.when(F.col("kind") == 1, F.col("seq"))
+    first = p.where("kind = 1").groupBy("file_id").agg(F.min(F.struct("pts", "seq"))["seq"].alias("first"))
+    out = running(p, "file_id", [F.col("pts"), (F.col("kind") != 1).cast("int"), F.col("seq")], lasts={"before": start}).where("kind = 4").join(first, "file_id", "left")
+    return out.select("seq", F.coalesce("before", "first").alias("epoch_seq"))
 
 
 SEEK_EPOCH = f"""WITH {PACKETS}, e AS (SELECT * FROM packets WHERE kind = 1), f AS (SELECT file_id, arg_min(seq, pts) AS first FROM e GROUP BY file_id)
@@ -129,8 +132,8 @@ SELECT m.seq, coalesce(e.seq, f.first) AS epoch_seq FROM (SELECT * FROM packets
 
 def reindex_groups(spark, sf):
     """The epoch start before each packet of a file; packets before the first have none."""
-    w = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return packets(spark, sf).select("file_id", "seq", F.last(F.when(F.col("kind") == 1, F.col("seq")), True).over(w).alias("epoch_seq"))
+    p = packets(spark, sf).select("file_id", "seq", "kind")
+    return running(p, "file_id", [F.col("seq")], lasts={"epoch_seq": F.when(F.col("kind") == 1, F.col("seq"))}).select("file_id", "seq", "epoch_seq")
 
 
 REINDEX_GROUPS = f"WITH {PACKETS} SELECT file_id, seq, max(CASE WHEN kind = 1 THEN seq END) OVER (PARTITION BY file_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS epoch_seq FROM packets"
@@ -212,9 +215,10 @@ SELECT stream_id, seq, CAST(greatest(0, (start - pts) * 48000 // 1000000) AS BIG
 
 def audio_to_epoch(spark, sf):
     """Audio packets of each epoch [pts, next pts) of their file; those after the last video epoch are dropped."""
-    w = Window.partitionBy("file_id").orderBy("pts", (F.col("kind") != 1).cast("int"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("kind") == 2, F.col("pts"))).over(Window.partitionBy("file_id"))
-    p = packets(spark, sf).select("file_id", "seq", "kind", "pts", F.last(F.when(F.col("kind") == 1, F.col("seq")), True).over(w).alias("epoch_seq"), last.alias("end"))
+    p = packets(spark, sf).where("kind <= 3").select("file_id", "seq", "kind", "pts")
+    last = p.where("kind = 2").groupBy("file_id").agg(F.max("pts").alias("end"))
+    start = F.when(F.col("kind") == 1, F.col("seq"))
+    p = running(p, "file_id", [F.col("pts"), (F.col("kind") != 1).cast("int"), F.col("seq")], lasts={"epoch_seq": start}).join(last, "file_id")
     return p.where("kind = 3 AND epoch_seq IS NOT NULL AND pts < end").groupBy("file_id", "epoch_seq").agg(F.count("*").alias("audio_packets"))
 
 
@@ -302,11 +306,22 @@ UNION ALL SELECT 'ssim', count(*) FILTER (both_runs AND same AND ssim < {LOSS_SS
 UNION ALL SELECT 'encode_s', CASE WHEN enc > {SLOWER} THEN 1 ELSE 0 END, round(enc, 6) FROM t UNION ALL SELECT 'decode_s', CASE WHEN dec > {SLOWER} THEN 1 ELSE 0 END, round(dec, 6) FROM t"""
 
 
+def median_by_rank(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): the middle value, or the mean of the two middle ones. Values are counted first, so no group is gathered; nulls do not count."""
+    c = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group)
+    c = c.select("*", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(w).alias("all"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col(value)))
+    low, high = at(F.floor((F.col("all") - 1) / 2)), at(F.floor(F.col("all") / 2))
+    return c.groupBy(group).agg(((low.cast("double") + high.cast("double")) / 2).alias("median"))
+
+
 def timing_summary(spark, sf):
     """Median of samples, throughput and XOR checksum by case."""
     e = read(spark, sf, "events")
     bytes_ = F.sum(F.octet_length("props").cast("bigint"))
-    return e.groupBy("user_id").agg(F.round(F.median("value"), 6).alias("median"), F.bit_xor("event_id").alias("checksum"), F.round(bytes_ / F.sum("value") / 1048576, 9).alias("mib_per_s"))
+    rest = e.groupBy("user_id").agg(F.bit_xor("event_id").alias("checksum"), F.round(bytes_ / F.sum("value") / 1048576, 9).alias("mib_per_s"))
+    return rest.join(median_by_rank(e, "user_id", "value"), "user_id", "left").select("user_id", F.round("median", 6).alias("median"), "checksum", "mib_per_s")
 
 
 TIMING_SUMMARY = "SELECT user_id, round(median(value), 6) AS median, bit_xor(event_id) AS checksum, round(sum(octet_length(encode(props))) / sum(value) / 1048576, 9) AS mib_per_s FROM events GROUP BY user_id"
