@@ -230,7 +230,10 @@ def seek_decode(spark, sf):
 
 
 def inspect_files(spark, sf):
-    return media.inspect(encoded_clips(spark, sf))
+    """Epochs of the written containers from their indexes alone."""
+    from tessera.commands import inspect
+
+    return inspect(spark, saved_clips(spark, sf))
 
 
 def damaged(spark: SparkSession, folder: str, to: str) -> None:
