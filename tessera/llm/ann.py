@@ -248,6 +248,10 @@ def _blocks(vectors: DataFrame, top: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, vec binary, ids array<long>")
 
 
+def width(spark, shards: int) -> int:
+    return max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def build_index(ws: Workspace, vectors: DataFrame, top: int, shard_size: int = SHARD) -> tuple[DataFrame, int]:
     """The saved index, a row for each shard and dimension, and the number of shards; every usable row is in it."""
     slim = ws.save(_blocks(vectors, top), "vectors")
@@ -263,6 +267,7 @@ def build_index(ws: Workspace, vectors: DataFrame, top: int, shard_size: int = S
         s = Shard(np.frombuffer(b"".join(keys), "<f8").reshape(-1, dim), [held[k] for k in keys])
         return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in zip(PACKED, s.pack(), strict=True)}})
 
+    dealt = dealt.repartition(width(ws.spark, shards), "dim", "shard")  # a number of its own: merging by bytes would put shards together whose work is in the products
     index = dealt.groupBy("dim", "shard").applyInArrow(run, f"dim int, shard int, {', '.join(f'{c} binary' for c in PACKED)}")
     return ws.save(index, "index"), shards
 
@@ -291,7 +296,7 @@ def query_blocks(queries: DataFrame, shards: int) -> DataFrame:
     return queries.mapInArrow(run, "dim int, qid binary, q binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
 
-def search(index: DataFrame, blocks: DataFrame, top: int = TOP) -> DataFrame:
+def search(index: DataFrame, blocks: DataFrame, shards: int, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest of what all shards find."""
 
     def run(batches):
@@ -301,7 +306,8 @@ def search(index: DataFrame, blocks: DataFrame, top: int = TOP) -> DataFrame:
                 found = search_shard(r["dim"], tuple(r[c] for c in PACKED), np.frombuffer(r["qid"], "<i8"), q, top)
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], names=["query_id", "vec_id", "score"])
 
-    near = index.join(blocks, ["dim", "shard"]).mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    met = index.repartition(width(index.sparkSession, shards), "dim", "shard").join(blocks.repartition(width(index.sparkSession, shards), "dim", "shard"), ["dim", "shard"])
+    near = met.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
@@ -318,4 +324,4 @@ def op8_nearest(embeddings: DataFrame, top: int = TOP, every: int = 20, shard_si
     e = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable("embedding"))
     e = e.withColumn("embedding", F.col("embedding").cast("array<double>"))
     index, shards = build_index(ws, e, top, shard_size)
-    return search(index, query_blocks(e.where(F.col("vec_id") % every == 0), shards), top)
+    return search(index, query_blocks(e.where(F.col("vec_id") % every == 0), shards), shards, top)
