@@ -83,11 +83,21 @@ class Workspace:
             drop(self.spark, f"{self.root}/{name}")
 
 
+#: Bytes of input for each task of a shuffle that carries a share of it, and the most tasks of one shuffle.
+TASK_BYTES, MOST_TASKS = 16 << 20, 1 << 17
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a frame's bytes, which for a scan is that of its files' columns; 0 where there is none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
+
+
 def reduce_width(df: DataFrame) -> int:
-    """Partitions for a shuffle that carries a share of the input: at least as many as the scan's splits."""
+    """Partitions for a shuffle that carries a share of the input: by its bytes, whatever the size of the scan's splits, and at least as many as these."""
     spark = df.sparkSession
     bounded_batches(spark)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions(), min(-(-input_bytes(df) // TASK_BYTES), MOST_TASKS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
