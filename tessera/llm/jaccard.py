@@ -14,11 +14,14 @@ Members of large groups are cut into tiles by size band and compared tile by til
 pairs are never rows. The tiles of one band and those of the same or the next band make a grid
 that is dealt out in cells of SIDE by SIDE tiles: a tile is sent once for each cell of its row
 or column, a task holds a cell's tiles, and only the links that join two components come out.
-No link between components is missed.
+The cells are dealt in rounds that send no more bytes than the input has, so a large grid takes
+more rounds and not more disk. No link between components is missed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,17 +31,17 @@ from . import words as W
 from .components import components, meet
 from .lm import level_of
 from .segments import FLUSH, blobs, dealt, give_back, joined, segment_bits, sum_by_key
-from .store import Workspace, binary_text, reduce_width
+from .store import Workspace, binary_text, input_bytes, reduce_width
 
 K, NUM, DEN = 5, 80, 100
-#: Share of the hash range whose tokens are counted for the order, the count from which a token is
-#: frequent, and the most of them that are broadcast (8 bytes each; the most frequent ones).
-COUNTED, FREQUENT, MAX_FREQUENT = 0.3, 40, 2_000_000
-#: Sets of a token's group from which it is compared in tiles, sets and tokens of a tile (on average), and the
-#: ratio of sizes that a band spans: above 1 / 0.8, so that similar sets lie in one band or in adjacent ones.
-LARGE, TILE, TILE_TOKENS, BAND = 32, 256, 500_000, 1.26
-#: Tiles on each side of a cell.
-SIDE = 4
+#: The count from which a token is frequent, and the most of them that are broadcast (8 bytes each; the most frequent ones).
+FREQUENT, MAX_FREQUENT = 40, 2_000_000
+#: Sets of a token's group from which it is compared in tiles (above FREQUENT: groups of chance, which would tie the corpus into
+#: one cluster, list their pairs), sets and tokens of a tile (on average), and the ratio of sizes that a band spans: above
+#: 1 / 0.8, so that similar sets lie in one band or in adjacent ones.
+LARGE, TILE, TILE_TOKENS, BAND = 64, 256, 500_000, 1.26
+#: Tiles on each side of a cell, and the least bytes of tiles that one round deals out (else as many as the input has).
+SIDE, ROUND_BYTES = 4, 256 << 20
 #: Rows up to which an id list is broadcast; beyond it the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 U = W.U
@@ -86,7 +89,7 @@ def _by_segment(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_tokens(ws: Workspace, docs: DataFrame, bits: int, parts: int) -> np.ndarray:
-    """Sorted short keys of the frequent tokens below the COUNTED share, at most MAX_FREQUENT of them."""
+    """Sorted short keys of the frequent tokens, at most MAX_FREQUENT of them. All are counted: one that is not would stay early in the order, and a document of common lines would meet all others of them."""
 
     def count(batches):
         held, n, seen = [], 0, set()
@@ -100,7 +103,7 @@ def frequent_tokens(ws: Workspace, docs: DataFrame, bits: int, parts: int) -> np
             for b in W.blocks(batch.column(0), lower=True):
                 h, at = b.shingle_sets(K)
                 h, _ = _chosen(h, at, new_sets(fingerprints(h, at), np.diff(at), seen))
-                held.append(short_keys(h[h < U(int(COUNTED * 2**64))], bits))
+                held.append(short_keys(h, bits))
                 n += len(held[-1])
                 if n > FLUSH:
                     yield from flush()
@@ -325,9 +328,9 @@ class Verifier:
         m = members.join(clusters.select(F.col("node").alias("fp"), F.col("component").alias("cluster")), "fp")
         m = m.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int"))
         m, size = ws.measured(m.withColumn("group", F.xxhash64("cluster", "band")), f"{name}-members", rows=F.count(F.lit(1)))
-        counts = m.groupBy("group", "cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"), F.count("*").alias("rows"))
+        counts = m.groupBy("group", "cluster", "band").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_TOKENS)).alias("tiles"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
         counts = ws.save(counts, f"{name}-counts")
-        m = meet(m.drop("cluster", "band"), counts, "group", "rows", size["rows"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+        m = meet(m.drop("cluster", "band"), counts.drop("tokens"), "group", "rows", size["rows"]).withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
         m = m.join(self.sets(members.select("fp"), name), "fp")
 
         def pack(table: pa.Table) -> pa.Table:
@@ -356,7 +359,13 @@ class Verifier:
         y = dealt_tiles.join(beside(1, "below"), ["cluster", "band"], "left").withColumn("p", F.explode(places(F.lit(0), F.col("place"), "below", F.col("band") - 1)))
         y = y.select("cluster", F.col("p.other").alias("band"), F.col("band").alias("own"), F.col("p.k").alias("i"), F.col("place").alias("j"), F.col("t").alias("u"), *(F.col(c).alias(f"y_{c}") for c in ("fps", "labels", "at", "sets")))
         cell = ["cluster", "band", "own", "i", "j"]
-        both = x.join(y, cell).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop(*cell, "t", "u")
+        sent = sides.join(beside(-1, "above"), ["cluster", "band"], "left").join(beside(1, "below"), ["cluster", "band"], "left").join(counts.select("cluster", "band", "tokens"), ["cluster", "band"])
+        sent = sent.agg(F.sum(8 * F.col("tokens").cast("double") * (1 + F.col("side") + F.coalesce("above", F.lit(0)) + F.coalesce("below", F.lit(0))))).first()[0] or 0
+        rounds = max(1, math.ceil(sent / max(input_bytes(self.docs), ROUND_BYTES)))
+
+        def cells(k: int) -> DataFrame:
+            own = [s if rounds == 1 else s.where(F.pmod(F.xxhash64(*cell), F.lit(rounds)) == k) for s in (x, y)]
+            return own[0].join(own[1], cell).where((F.col("own") > F.col("band")) | (F.col("u") >= F.col("t"))).drop(*cell, "t", "u")
 
         def compare(batches):
             for b in batches:
@@ -365,7 +374,10 @@ class Verifier:
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], names=["a", "b"])
             give_back()
 
-        found = ws.save(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
+        found = None
+        for k in range(rounds):
+            links = ws.save(cells(k).mapInArrow(compare, "a long, b long"), f"{name}-links/{k}")
+            found = links if found is None else found.unionAll(links)
         ws.drop(*(f"{name}-{x}" for x in ("members", "counts", "ends", "tiles")))
         return found
 
@@ -429,7 +441,7 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text(text).alias("t"))
     sets = ws.save(set_table(d.withColumn("h", F.xxhash64("t"))), "sets")
     nodes = ws.save(sets.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    frequent = frequent_tokens(ws, d, bits, parts)
+    frequent = frequent_tokens(ws, d, bits, min(3 * parts, 1 << bits))  # a row for each token, of which shared_tokens sends a fifth
     shared = ws.save(shared_tokens(d, frequent, bits, parts), "shared")
     verify = Verifier(ws, d, nodes)
 

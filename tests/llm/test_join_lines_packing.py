@@ -160,6 +160,31 @@ def test_cells_hold_every_pair_of_tiles(spark, monkeypatch, side):
     assert ws.spark.read.parquet(f"{ws.root}/tile-counts").agg(F.max("tiles")).first()[0] > 3
 
 
+def test_every_frequent_token_comes_last(spark):
+    """Documents of a common line and words of their own meet in no token: all the line's tokens are counted, whatever their hash."""
+    line, own = " ".join(f"w{i}" for i in range(30)), lambda k: " ".join(f"x{k}y{i}" for i in range(10))
+    docs = spark.createDataFrame([(f"{line} {own(k)}",) for k in range(jaccard.FREQUENT + 5)], "text string").select(F.col("text").cast("binary").alias("t"))
+    frequent = jaccard.frequent_tokens(Workspace(spark), docs, 4, 4)
+    assert len(frequent) == 26
+    assert jaccard.shared_tokens(docs, frequent, 4, 4).count() == 0
+
+
+def test_cells_in_rounds(spark, monkeypatch):
+    """A grid that sends more than a round may is dealt in several, with the same links."""
+    made = []
+    monkeypatch.setattr(jaccard, "Workspace", lambda s: made.append(Workspace(s)) or made[-1])
+    monkeypatch.setattr(Workspace, "drop", lambda *names: None)
+    monkeypatch.setattr(jaccard, "input_bytes", lambda df: 0)
+    for name, value in (("FREQUENT", 3), ("LARGE", 3), ("TILE", 4), ("SIDE", 1), ("ROUND_BYTES", 100_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join([*words[: i % 90], f"x{i}", *words[i % 90 + 1 :]])) for i in range(40)]
+    rows += [(i, " ".join(words[: 60 + i % 12] + [f"y{i}z{k}" for k in range(7)])) for i in range(40, 70)]
+    got = {r.doc_id: r.component_id for r in jaccard.op5_ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: c for (_, d), _, c in groups(rows)}
+    assert len(list(pathlib.Path(made[0].root.removeprefix("file://"), "tile-links").iterdir())) > 1
+
+
 def test_one_of_each(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {c for (_, d), _, c in groups([(r.doc_id, r.text) for r in docs.collect()])}
