@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.llm.segments import give_back
+from tessera.llm.store import bounded_batches
 from tessera.operators.ordered import running
 
 from .carriers import PACKETS, STREAMS, packets, read, streams
@@ -342,20 +344,27 @@ SELECT l_orderkey, l_linenumber, matrix, transfer, primaries, full_range, chroma
 CASE WHEN n > 0 AND 1000000 * d // n > 0 THEN 1000000 * d // n END AS frame_us FROM f"""
 
 
-def byte_histogram(spark, sf):
-    """Bytes of all texts: each Arrow batch is counted whole, so a task sends at most 256 rows for each."""
+def counted_bytes(batches):
+    """(symbol, n) of all bytes in a column of texts, one batch a task; counted a MB at a time, as counting takes eight bytes for each."""
+    total = np.zeros(256, np.int64)
+    for b in batches:
+        t = b.column(0)
+        if t.buffers()[2] is None:
+            continue
+        at = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1]
+        raw = np.frombuffer(t.buffers()[2], np.uint8)[at[0] : at[-1]]
+        for lo in range(0, len(raw), 1 << 20):
+            total += np.bincount(raw[lo : lo + (1 << 20)], minlength=256)
+    own = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(total[own], pa.int64())], names=["symbol", "n"])
+    give_back()
 
-    def run(batches):
-        for b in batches:
-            t = b.column(0)
-            at = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1]
-            raw = np.frombuffer(t.buffers()[2], np.uint8)[at[0] : at[-1]] if t.buffers()[2] is not None else np.zeros(0, np.uint8)
-            n = np.bincount(raw, minlength=256)
-            own = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n[own], pa.int64())], names=["symbol", "n"])
 
+def byte_histogram(spark, sf):
+    """Bytes of all texts: each task counts its own and sends at most 256 rows; Arrow batches are bounded by bytes, not by rows alone."""
+    bounded_batches(spark)
     texts = read(spark, sf, "documents").select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
-    return texts.mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(counted_bytes, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 _HIST = "hist AS (SELECT CAST(('0x' || b) AS BIGINT) AS symbol, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY 1)"

@@ -125,3 +125,31 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bytes_are_counted_in_pieces():
+    """One batch a task whatever it reads, and memory that does not follow the size of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.plans.packets import counted_bytes
+
+    texts = pa.RecordBatch.from_arrays([pa.array([b"ab" * (1 << 20)] * 16, pa.binary())], names=["t"])
+    tracemalloc.start()
+    out = list(counted_bytes(iter([texts.slice(1, 7), texts.slice(8)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.to_pydict() for b in out] == [{"symbol": [97, 98], "n": [15 << 20] * 2}]
+    assert peak < 16 << 20
+
+
+def test_coding_keeps_its_tasks(spark):
+    """Few bytes that take long to code are not joined into one task; what violations read is coded once and read from files."""
+    from tessera.operators import media
+    from tessera.plans.clips import clips
+
+    packets = media.encode_video(media.epochs_by_cut(clips(spark, SF), 6), 1, 41_666, 48, "fast")
+    assert packets.rdd.getNumPartitions() == 4
+    assert "FlatMapGroupsInArrow" not in REGISTERED["file_violations"][0](spark, SF)._jdf.queryExecution().toString()
+    assert str(REGISTERED["encode_and_decode"][0](spark, SF)._jdf.queryExecution().optimizedPlan()).count("FlatMapGroupsInArrow") == 1
