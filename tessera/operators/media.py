@@ -60,6 +60,12 @@ def _rows(df: DataFrame, ddl: str, one: Callable[[dict], Iterator[tuple]]) -> Da
     return df.mapInArrow(run, ddl)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key in as many tasks as the session shuffles to: coding takes long over few bytes, by which adaptive execution would join the tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def scan_rows(file_id: str, data: bytes, at: int, end: int, epoch: int | None, seq: int = 0, tracked: bool = True) -> Iterator[tuple]:
     """Packet rows of a byte range; the first bad packet gives a row with an error_code and ends it."""
     tracker = wire.EpochTracker(epoch)
@@ -195,7 +201,8 @@ def decode_video(routed: DataFrame) -> DataFrame:
                 out, held = [], 0
         yield table(out, schema)
 
-    return routed.where("kind = 'video_frame' AND error_code IS NULL").groupBy("file_id", "epoch_id", "stream_id").applyInArrow(run, FRAMES)
+    group = ["file_id", "epoch_id", "stream_id"]
+    return spread(routed.where("kind = 'video_frame' AND error_code IS NULL"), *group).groupBy(*group).applyInArrow(run, FRAMES)
 
 
 _ENVELOPES = "file_id string, epoch_id long, stream_id int, seq long, pts decimal(20,0), param0 long, param1 long, plane int, payload binary, broken string, rank int"
@@ -254,7 +261,7 @@ def decode_video_by_plane(routed: DataFrame) -> DataFrame:
     packets = routed.where("kind = 'video_frame' AND error_code IS NULL")
     parts = _rows(packets.select("file_id", "epoch_id", "stream_id", "seq", "pts", "param0", "param1", "payload"), _ENVELOPES, split)
     group = ["file_id", "epoch_id", "stream_id"]
-    planes = parts.groupBy(*group, "plane").applyInArrow(run, _PLANES)
+    planes = spread(parts, *group, "plane").groupBy(*group, "plane").applyInArrow(run, _PLANES)
     of = lambda k: F.max(F.when(F.col("plane") == k, F.col("samples")))
     frames = planes.groupBy(*group, "seq").agg(
         F.first("pts").alias("pts"), F.max("frame_id").alias("frame_id"), F.max("width").alias("width"), F.max("height").alias("height"),
@@ -316,7 +323,8 @@ def verify(packets: DataFrame, streams: DataFrame) -> DataFrame:
         yield table([(file_id, *k, *v) for k, v in counts.items()], schema)
 
     slim = route(packets, streams).select("file_id", "epoch_id", "stream_id", "seq", "kind", "payload", "param0", "param1", "error_code")
-    found = slim.groupBy("file_id", "epoch_id", "stream_id").applyInArrow(run, _COUNTS)
+    group = ["file_id", "epoch_id", "stream_id"]
+    found = spread(slim, *group).groupBy(*group).applyInArrow(run, _COUNTS)
     return found.groupBy("file_id", "kind", "stream_id").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"))
 
 
@@ -369,7 +377,7 @@ def encode_video(frames: DataFrame, stream_id: int, frame_us: int, q: int = 96,
             out.append((r["clip_id"], r["epoch_id"], stream_id, "video_frame", i, u64(i * frame_us), frame_us, None if bad else payload, payload.code if bad else None))
         return pa.Table.from_batches([table(out, schema)])
 
-    return frames.groupBy("clip_id", "epoch_id").applyInArrow(run, ENCODED)
+    return spread(frames, "clip_id", "epoch_id").groupBy("clip_id", "epoch_id").applyInArrow(run, ENCODED)
 
 
 def encode_audio(pcm: DataFrame, stream_id: int, rate: int, channels: int, q: int = 1, mid_side: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.checksum import crc32c_many, table as crc_table
+from tessera.llm.store import bounded_batches, written
 from tessera.operators import audio, lanes, media, wire
 from tessera.sources import container, y4m
 
@@ -57,6 +58,7 @@ def crc32c_texts(spark, sf):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc32c_many(b.column(1)), pa.int64())], names=["doc_id", "crc32c"])
 
     d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    bounded_batches(spark)
     return d.mapInArrow(run, "doc_id long, crc32c long")
 
 
@@ -77,6 +79,7 @@ def entropy_roundtrip(spark, sf):
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), exact], names=["doc_id", "block", "raw_bytes", "coded_bytes", "mode", "exact"])
 
     d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"))
+    bounded_batches(spark)
     return d.mapInArrow(run, "doc_id long, block long, raw_bytes long, coded_bytes long, mode long, exact boolean")
 
 
@@ -99,6 +102,11 @@ def audio_roundtrip(spark, sf):
     return blocks(spark, sf).select("vec_id", "x").mapInArrow(run, "vec_id long, q long, packet_bytes long, snr_db double, exact boolean")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: what several steps read is made once, not again for each of them."""
+    return written(df, f"{shared(df.sparkSession)}/rows")
+
+
 def video_stream() -> wire.Stream:
     return wire.Stream(1, 1, 1, wire.TIMESCALE, WIDTH, HEIGHT, 24 << 16 | 1)
 
@@ -109,8 +117,7 @@ def audio_stream(channels: int = 2) -> wire.Stream:
 
 def encoded_packets(spark: SparkSession, sf: str, q: int = 48, preset: str = "fast", every: int = 6) -> tuple[DataFrame, list[wire.Stream]]:
     """Packets of the clips and their streams: video by scene-cut epochs, and stereo sound of the clips' own samples."""
-    c = clips(spark, sf)
-    frames = media.epochs_by_cut(c, every)
+    frames = kept(media.epochs_by_cut(clips(spark, sf), every))
     packets = media.encode_video(frames, 1, FRAME_US, q, preset)
     byte = lambda k: F.conv(F.hex(F.expr("substring(y, 1, 481)").substr(k + 1, F.lit(1))), 16, 10).cast("int")
     sample = lambda k: byte(k) * 200 - 25_600
@@ -132,8 +139,8 @@ def saved_clips(spark: SparkSession, sf: str, q: int = 48) -> str:
 
 def video_roundtrip(spark, sf):
     """Clips encoded and decoded: packet bytes and PSNR of every clip and epoch."""
-    frames = media.epochs_by_cut(clips(spark, sf), 6)
-    packets = media.encode_video(frames, 1, FRAME_US, 48, "balanced")
+    frames = kept(media.epochs_by_cut(clips(spark, sf), 6))
+    packets = kept(media.encode_video(frames, 1, FRAME_US, 48, "balanced"))
     routed = packets.select("file_id", "seq", "epoch_id", "kind", "stream_id", "pts", "payload", F.lit(WIDTH).alias("param0"), F.lit(HEIGHT).alias("param1"), "error_code")
     out = media.decode_video(routed).withColumnRenamed("file_id", "clip_id")
     source = frames.select("clip_id", F.col("frame_index").cast("decimal(20,0)").alias("frame_id"), *(F.col(c).alias(f"s{c}") for c in "yuv"))
@@ -275,7 +282,7 @@ def repair_files(spark, sf):
 
 def y4m_roundtrip(spark, sf):
     """Generated clips as Y4M files and back: frames and whether each is the same."""
-    c = clips(spark, sf)
+    c = kept(clips(spark, sf))
     root = shared(spark)
     y4m.save(c, root)
     back = y4m.load(spark, root)
@@ -333,7 +340,7 @@ def format_experiments(spark, sf):
 
 def rate_quality(spark, sf):
     """Bytes of each clip by quantiser."""
-    frames = media.epochs_by_cut(clips(spark, sf), 6)
+    frames = kept(media.epochs_by_cut(clips(spark, sf), 6))
     out = None
     for q in (1, 48, 192):
         size = media.encode_video(frames, 1, FRAME_US, q, "fast").groupBy(F.col("file_id").alias("clip_id")).agg(F.sum(F.octet_length("payload")).alias("bytes")).withColumn("q", F.lit(q))
@@ -343,11 +350,11 @@ def rate_quality(spark, sf):
 
 def encode_and_decode(spark, sf):
     """A clip with sound through encode_av, scan and decode: frames, samples, and packets of the audio dropped at the end."""
-    c = clips(spark, sf)
+    c = kept(clips(spark, sf))
     n = F.sequence(F.lit(0), F.lit(34))
     pcm = c.select("clip_id").distinct().select("clip_id", F.explode(n).alias("k")).select("clip_id", F.col("k").cast("long").alias("seq"), (F.col("k") * 960).cast("long").alias("first_frame"), F.transform(F.sequence(F.lit(0), F.lit(959)), lambda i: (F.pmod(i * 31 + F.col("k"), F.lit(2000)) - 1000).cast("short")).alias("samples"))
-    files = media.encode_av(c, pcm, 48_000, 1, (24, 1), 6, 1, "fast")
-    frames, sound = media.decode_media(media.scan(files), media.streams_of(files))
+    files = kept(media.encode_av(c, pcm, 48_000, 1, (24, 1), 6, 1, "fast"))
+    frames, sound = media.decode_media(kept(media.scan(files)), kept(media.streams_of(files)))
     f = frames.groupBy("file_id").agg(F.count("*").alias("frames"), F.count("error_code").alias("rejected"))
     s = sound.groupBy("file_id").agg(F.count("*").alias("packets"), F.sum(F.size("samples")).alias("samples"), F.min("pts").alias("first_pts"))
     return f.join(s, "file_id")
@@ -355,12 +362,13 @@ def encode_and_decode(spark, sf):
 
 def file_violations(spark, sf):
     """Broken rules of good files, of a truncated copy and of one with a flipped byte."""
-    good = encoded_clips(spark, sf)
+    good = kept(encoded_clips(spark, sf))
     short = good.select(F.concat("file_id", F.lit("-short")).alias("file_id"), F.expr("substring(content, 1, octet_length(content) - 9)").alias("content"))
     flip = good.select(F.concat("file_id", F.lit("-flip")).alias("file_id"), F.concat(F.expr("substring(content, 1, octet_length(content) - 9)"), F.lit(b"x"), F.expr("substring(content, octet_length(content) - 7)")).alias("content"))
     files = good.select("file_id", "content").unionByName(short).unionByName(flip)
     sizes = files.select("file_id", F.octet_length("content").alias("file_bytes"))
-    return media.violations(media.scan(files), media.streams_of(files), media.epochs_of(files), sizes).groupBy("file_id", "rule").agg(F.count("*").alias("n"))
+    packets = kept(media.scan(files).drop("payload"))
+    return media.violations(packets, kept(media.streams_of(files)), kept(media.epochs_of(files)), sizes).groupBy("file_id", "rule").agg(F.count("*").alias("n"))
 
 
 _ALL = (crc32c_texts, entropy_roundtrip, audio_roundtrip, video_roundtrip, container_scan, container_frames, seek_decode, inspect_files, repair_files, y4m_roundtrip, stream_parse, stream_decode, format_experiments, rate_quality, encode_and_decode, file_violations)
