@@ -195,6 +195,52 @@ def test_token_ids_of_random_texts():
             assert np.frombuffer(ids, f"<u{enc.width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
 
 
+def test_token_ids_look_up_distinct_chunks(monkeypatch):
+    """A batch asks the cache once for each distinct chunk, however often it occurs; slices of Arrow columns do, and any generation of the cache."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return super().__getitem__(k)
+
+    path = P.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), tokenfile.WordCacheEncoder(path, 1)
+    enc.now = Counted()
+    texts = ["left out", "", " \t\n", " Word. word, WORD  Ünder <|endoftext|>X\x0b" * 500, "a", "last word", "left out"]
+    want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    read = lambda got: [np.frombuffer(x, f"<u{enc.width}").tolist() for x in got]
+    assert read(enc.texts([x.encode() for x in texts])) == want and Counted.asked < 50
+    assert read(enc.texts(pa.array([x.encode() for x in texts]).slice(1, 5))) == want[1:6]
+    monkeypatch.setattr(tokenfile, "CACHE", 2)
+    for _ in range(4):
+        assert [read(enc.texts([x.encode()])) for x in texts] == [[w] for w in want]
+    assert enc.texts([]) == []
+
+
+def test_token_ids_of_letters_and_marks():
+    """Chunks of letters and marks go to the model straight, with the library's ids; those with anything else do not."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, enc = Tokenizer.from_file(path), tokenfile.WordCacheEncoder(path, 1)
+    assert enc.letters
+    rng, bits = random.Random(12), [*tokenfile.LETTERS, *".,!?*#-_`()[]{}\\/:;=+'<|>012ªµºÿĀſß÷×ŉ", "\u0300", "\u0327"]
+    chunks = ["".join(rng.choice(bits) if rng.random() < 0.5 else rng.choice("etaoinEé.!") for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    for x, ids in zip(chunks, enc.texts([x.encode() for x in chunks]), strict=True):
+        assert np.frombuffer(ids, f"<u{enc.width}").tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+    asked = []
+    batch = enc.t.encode_batch
+    enc.t = type("Seen", (), {"model": enc.t.model, "encode": enc.t.encode, "encode_batch": lambda self, x, **k: asked.extend(x) or batch(x, **k)})()
+    enc.texts(["Straßenübergänge, déjàvus!! newwordhere. it's a1 <|endoftext|> J\u030c".encode()])
+    assert {"Straßenübergänge,", "déjàvus!!", "newwordhere."}.isdisjoint(asked)
+
+
 def test_token_file_random_access(tmp_path):
     from pyarrow import fs
 
