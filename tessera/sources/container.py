@@ -8,7 +8,7 @@ begins at or before the one, else its first, up to the last that begins before t
 prune epochs as well (``load`` turns that on). With ``index``, a Parquet table that ``save_index`` has written in executor tasks, a pruned
 read plans from that table's rows that pass, packed into splits by their bytes, so files and epochs that are not wanted cost nothing.
 
-As a stream, table fragments: the bytes of files that appear below the path, in pieces of ``fragment_bytes``, for the parsers of
+As a stream, table fragments: the bytes of files that appear below the path, in pieces of ``fragment_bytes`` (many to a split), for the parsers of
 ``tessera.streaming``. Its offset is the bytes read of each file; of a file that still grows whole pieces are read, and the last one when the
 length that its own index gives is there. The streaming sink gives each batch's epochs of a file a container of its own, named by file and batch, so a
 batch that runs again replaces its own files and no others.
@@ -79,6 +79,11 @@ class Split(InputPartition):
     pieces: list[Piece]
 
 
+def split_size(total: int, split: int, least: int) -> int:
+    """Bytes of a split, so that there are as many as asked for."""
+    return min(split, max(LEAST_SPLIT, -(-total // max(least, 1))))
+
+
 def cut(files: list[tuple[str, int]], split: int) -> list[Split]:
     """Files of (name, bytes) in splits of about as many bytes: large ones cut, small ones together."""
     out, held, room = [], [], split
@@ -122,8 +127,7 @@ class ContainerReader(DataSourceReader):
         self.split, self.least, self.index = int(options.get("split_bytes", SPLIT)), int(options.get("min_splits", 1)), options.get("index")
 
     def _size(self, total: int) -> int:
-        """Bytes of a split, so that there are as many as asked for."""
-        return min(self.split, max(LEAST_SPLIT, -(-total // max(self.least, 1))))
+        return split_size(total, self.split, self.least)
 
     def _indexed(self) -> list[Split]:
         """Splits of the rows of the saved index that the read needs; only these rows come to the driver."""
@@ -296,21 +300,26 @@ class ContainerWriter(DataSourceWriter):
 
 
 @dataclass
-class Bytes(InputPartition):
-    """A piece of a file."""
+class Bytes:
+    """Whole pieces of a file, side by side; with ``last`` the file ends with them."""
 
     name: str
-    part: int
     lo: int
     hi: int
     last: bool
 
 
+@dataclass
+class Fragments(InputPartition):
+    runs: list[Bytes]
+
+
 class FragmentReader(DataSourceStreamReader):
     """Offsets are {file: bytes read}; a file is read once, however it grew."""
 
     def __init__(self, options: dict):
         self.path, self.magic, self.size = options["path"], wire.file_magic(options.get("magic")), int(options.get("fragment_bytes", FRAGMENT))
+        self.split, self.least = int(options.get("split_bytes", SPLIT)), int(options.get("min_splits", 1))
         self.lengths: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
@@ -332,20 +341,30 @@ class FragmentReader(DataSourceStreamReader):
         return {name: size if size >= self._length(fs, name, size) else size // self.size * self.size for name, size in files}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """A task takes the pieces of as many bytes as a split of the reader's, however small they are; small files share one."""
         fs, _ = file_system(self.path)
-        out = []
-        for name, to in sorted(end.items()):
-            done = to > start.get(name, 0) and to >= self._length(fs, name, to)
-            for lo in range(start.get(name, 0), to, self.size):
-                hi = min(lo + self.size, to)
-                out.append(Bytes(name, lo // self.size, lo, hi, done and hi == to))
+        grown = [(name, start.get(name, 0), to) for name, to in sorted(end.items()) if to > start.get(name, 0)]
+        split = split_size(sum(to - lo for _, lo, to in grown), self.split, self.least)
+        step, out, room = max(split // self.size, 1) * self.size, [], 0
+        for name, first, to in grown:
+            done = to >= self._length(fs, name, to)
+            for lo in range(first, to, step):
+                hi = min(lo + step, to)
+                if not out or hi - lo > room:
+                    out.append(Fragments([]))
+                    room = split
+                out[-1].runs.append(Bytes(name, lo, hi, done and hi == to))
+                room -= max(hi - lo, split // INDEXES)  # opening a file has its price
         return out
 
-    def read(self, part: Bytes) -> Iterator[tuple]:
+    def read(self, part: Fragments) -> Iterator[tuple]:
         fs, _ = file_system(self.path)
-        with fs.open_input_file(part.name) as f:
-            f.seek(part.lo)
-            yield posixpath.basename(part.name), 0, part.part, f.read(part.hi - part.lo), part.last
+        for r in part.runs:
+            with fs.open_input_file(r.name) as f:
+                f.seek(r.lo)
+                for lo in range(r.lo, r.hi, self.size):
+                    hi = min(lo + self.size, r.hi)
+                    yield posixpath.basename(r.name), 0, lo // self.size, f.read(hi - lo), r.last and hi == r.hi
 
 
 class SegmentWriter(DataSourceStreamWriter):
@@ -405,6 +424,7 @@ def load(spark, path: str, table: str = "packets", **options):
 def stream(spark, path: str, **options) -> DataFrame:
     """The bytes of the containers below a path as a stream of fragments."""
     spark.dataSource.register(ContainerSource)
+    options = {"min_splits": str(spark.sparkContext.defaultParallelism)} | options
     return spark.readStream.format("tessera_container").option("table", "fragments").options(**options).load(path)
 
 

@@ -26,11 +26,18 @@ PACKETS_OUT = "file_id string, epoch_id long, stream_id int, kind string, seq lo
 
 
 class EncodeSession:
-    """One clip's encoder. Epochs begin every ``every`` frames and, with ``cuts``, at scene cuts; each starts without references."""
+    """One clip's encoder. Epochs begin every ``every`` frames and, with ``cuts``, at scene cuts; each starts without references.
+
+    ``early`` are the numbers of the frames that wait, ``open`` the epochs of the packets that do.
+    """
+
+    early: set[int] | None = None
+    open: dict[int, int] | None = None
 
     def __init__(self, q: int, preset: str, every: int, cuts: bool):
         self.options, self.every, self.cuts = (q, preset), every, cuts
         self.encoder, self.before, self.epoch, self.next = video.Encoder(q, preset), None, -1, 0
+        self.early, self.open = set(), {}
 
     def push(self, frame: video.Frame) -> tuple[int, int, bytes]:
         """(epoch, index, payload) of the next frame."""
@@ -50,8 +57,9 @@ class EncodeProcessor(StatefulProcessor):
         self.parts = handle.getMapState("early", "frame_index long", "width int, height int, y binary, u binary, v binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        session, held, failed = pickle.loads(self.state.get()[0]) if self.state.exists() else (EncodeSession(*self.options), 0, False)
-        waiting, out = Parts(self.parts), []
+        found = self.state.get()
+        session, held, failed = (EncodeSession(*self.options), 0, False) if found is None else pickle.loads(found[0])
+        waiting, out = Parts(self.parts, session.early), []
 
         def tell(epoch, i, payload, code):
             out.append((key[0], epoch, self.stream_id, "video_frame", i, str(i * self.frame_us), self.frame_us, payload, code))
@@ -80,9 +88,11 @@ class EncodeProcessor(StatefulProcessor):
             except Rejected as e:
                 tell(session.epoch, i, None, e.code)
                 failed, held = True, 0
-                self.parts.clear()
+                waiting.clear()
+        session.early = waiting.numbers
+        rows = self.result(key[0], session, out)
         self.state.update((pickle.dumps((session, held, failed)),))
-        yield self.result(key[0], session, out)
+        yield rows
 
     def note(self, row) -> None:
         """A frame has come."""
@@ -100,7 +110,7 @@ class EpochProcessor(EncodeProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.open = Parts(handle.getMapState("open", "seq long", "epoch long, payload binary"))
+        self.open = handle.getMapState("open", "seq long", "epoch long, payload binary")
         self.end = handle.getValueState("end", "frame_index long")
 
     def note(self, row) -> None:
@@ -108,21 +118,26 @@ class EpochProcessor(EncodeProcessor):
             self.end.update((int(row.frame_index),))
 
     def result(self, clip: str, session: EncodeSession, out: list[tuple]) -> pd.DataFrame:
-        ended = self.end.exists() and session.next > self.end.get()[0]
+        end = self.end.get()
+        ended = end is not None and session.next > end[0]
+        if session.open is None:
+            session.open = {k[0]: v[0] for k, v in self.open.iterator()}
         epochs: dict[int, list[dict]] = {}
         bad = [(clip, r[1], None, None, None, None, r[8]) for r in out if r[8]]
         told = {r[4]: (r[1], r[7]) for r in out if not r[8]}
-        closed = {e for e, _ in told.values()} | {self.open[i][0] for i in self.open}
+        closed = {e for e, _ in told.values()} | set(session.open.values())
         closed = {e for e in closed if e < session.epoch or ended}
-        for i in sorted(i for i in self.open if self.open[i][0] in closed):
-            epoch, payload = self.open[i]
+        for i in sorted(i for i, e in session.open.items() if e in closed):
+            epoch, payload = self.open.getValue((i,))
             epochs.setdefault(epoch, []).append(self._packet(i, bytes(payload)))
-            del self.open[i]
+            self.open.removeKey((i,))
+            del session.open[i]
         for i, (epoch, payload) in sorted(told.items()):
             if epoch in closed:
                 epochs.setdefault(epoch, []).append(self._packet(i, payload))
             else:
-                self.open[i] = (epoch, payload)
+                self.open.updateValue((i,), (epoch, payload))
+                session.open[i] = epoch
         rows = []
         for epoch, packets in sorted(epochs.items()):
             first, length, data = media.epoch_bytes(epoch, packets)

@@ -31,9 +31,11 @@ class Parser:
     """Pushed fragments become packets as soon as they are complete; plain Python, so it pickles into state.
 
     ``epoch`` is the expected id of a single epoch's range, which has no prefix: its packets are not routed.
-    ``waiting`` holds parts that came early; the caller may keep it elsewhere.
+    ``waiting`` holds parts that came early; the caller may keep it elsewhere, and their numbers in ``early``.
     """
 
+    early: set[int] | None = None
+
     def __init__(self, generation: int, max_buffer: int = wire.MAX_BUFFER, epoch: int | None = None, magic: bytes = wire.FILE_MAGIC):
         self.generation, self.max_buffer, self.magic = generation, max_buffer, magic
         self.tail, self.started, self.seq, self.next_part = b"", epoch is not None, 0, 0
@@ -174,30 +176,40 @@ class Session:
 
 
 class Parts(MutableMapping):
-    """What waits by number, in a state map of its own: a batch writes only what comes or goes."""
+    """What waits by number, in a state map of its own: a batch reads and writes only what comes or goes.
 
-    def __init__(self, state):
-        self.state = state
+    ``numbers`` are those that wait, which the caller keeps with its own state: every question to the map is a message to the JVM. None: the map is asked for them.
+    """
+
+    def __init__(self, state, numbers: set[int] | None):
+        self.state, self.numbers = state, {k[0] for k in state.keys()} if numbers is None else numbers
 
     def __getitem__(self, part):
-        if not self.state.containsKey((part,)):
+        if part not in self.numbers:
             raise KeyError(part)
         return tuple(self.state.getValue((part,)))
 
     def __setitem__(self, part, value):
         self.state.updateValue((part,), value)
+        self.numbers.add(part)
 
     def __delitem__(self, part):
         self.state.removeKey((part,))
+        self.numbers.remove(part)
 
     def __iter__(self):
-        return iter([k[0] for k in self.state.keys()])
+        return iter(list(self.numbers))
 
     def __len__(self):
-        return sum(1 for _ in self.state.keys())
+        return len(self.numbers)
 
     def __contains__(self, part):
-        return self.state.containsKey((part,))
+        return part in self.numbers
+
+    def clear(self):
+        if self.numbers:
+            self.state.clear()
+            self.numbers.clear()
 
 
 class PacketProcessor(StatefulProcessor):
@@ -249,8 +261,9 @@ class PacketProcessor(StatefulProcessor):
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parser = pickle.loads(self.state.get()[0]) if self.state.exists() else None
-        waiting = Parts(self.parts)
+        found = self.state.get()
+        parser = None if found is None else pickle.loads(found[0])
+        waiting = Parts(self.parts, set() if parser is None else parser.early)
         self.begin()
         if parser is not None:
             parser.waiting = waiting
@@ -258,7 +271,7 @@ class PacketProcessor(StatefulProcessor):
         out = []
         for r in pd.concat(list(rows)).sort_values(["generation", "part"]).itertuples():
             if parser is None or r.generation > parser.generation:
-                self.parts.clear()
+                waiting.clear()
                 parser = Parser(int(r.generation), self.max_buffer, epoch, self.magic)
                 parser.waiting = waiting
                 self.reset()
@@ -266,7 +279,7 @@ class PacketProcessor(StatefulProcessor):
                 continue
             for seq, current, p, code in parser.push(int(r.part), bytes(r.data) if r.data is not None else b"", bool(r.last)):
                 out.append((key[0], parser.generation, seq, current, p and wire.PACKET_KINDS[p.kind], p and p.stream_id, p and str(p.pts), p and p.duration, *self.tell(parser, p, code)))
-        parser.waiting = {}
+        parser.waiting, parser.early = {}, waiting.numbers
         self.end()
         self.state.update((pickle.dumps(parser),))
         if self.idle_ms is not None:

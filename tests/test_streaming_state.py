@@ -225,3 +225,55 @@ def test_fragments_of_growing_files(tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x" * 1500)
     to = reader.latestOffset()
     assert to[f"{tmp_path}/b.bin"] == 1500 and [r[4] for p in reader.partitions(at, to) for r in reader.read(p)] == [False, True]
+
+
+def test_small_fragments_share_splits(tmp_path):
+    """Splits follow bytes: many small pieces and files to one, a large file cut between pieces; the rows are those of the files, in order."""
+    files = {f"{tmp_path}/{k}.bin": bytes([k]) * size for k, size in enumerate((90_000, 110, 130_001, 50_000, 200))}
+    for name, data in files.items():
+        with open(name, "wb") as f:
+            f.write(data)
+    for least, most in (("1", 2), ("4", 8)):
+        reader = container.FragmentReader({"path": str(tmp_path), "fragment_bytes": "100", "min_splits": least})
+        to = reader.latestOffset()
+        splits = reader.partitions(reader.initialOffset(), to)
+        assert 1 <= len(splits) <= most and len(splits) >= int(least)
+        got: dict = {}
+        for s in splits:
+            for name, _, part, data, last in reader.read(s):
+                got.setdefault(f"{tmp_path}/{name}", []).append((part, data, last))
+        assert {n: b"".join(d for _, d, _ in sorted(rows)) for n, rows in got.items()} == files
+        for name, rows in got.items():
+            n = -(-len(files[name]) // 100)
+            assert [p for p, *_ in rows] == list(range(n)) and [x for *_, x in rows] == [False] * (n - 1) + [True]
+        assert reader.partitions(to, to) == []
+
+
+def test_parts_in_order_ask_no_state():
+    """Parts and frames that come in their turn send no message to the state of those that wait; one that waits costs one to write, read and remove it."""
+    from tessera.streaming.packets import Parser, Parts
+
+    class State(dict):
+        asked = 0
+
+        def __getattr__(self, name):
+            calls = {"containsKey": self.__contains__, "getValue": self.__getitem__, "removeKey": self.__delitem__, "updateValue": self.__setitem__, "keys": lambda: list(dict.keys(self))}
+
+            def call(*args):
+                State.asked += 1
+                return calls[name](*args)
+
+            return call
+
+    head, data, _ = two_streams()
+    whole, state = head + b"".join(data), State()
+    pieces = [whole[at : at + 100] for at in range(0, len(whole), 100)]
+    parser = Parser(0)
+    parser.waiting = Parts(state, set())
+    want = [r for k, p in enumerate(pieces) for r in Parser.push(parser, k, p, k == len(pieces) - 1)]
+    assert State.asked == 0 and want and parser.ended
+    late, order = Parser(0), [1, 2, 0, *range(3, len(pieces))]
+    late.waiting = Parts(state, set())
+    got = [r for k in order for r in late.push(k, pieces[k], k == len(pieces) - 1)]
+    assert State.asked == 6 and [(s, e, c) for s, e, _, c in got] == [(s, e, c) for s, e, _, c in want]
+    assert Parts({}, set()).numbers == set() and len(late.waiting) == 0
